@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from folioscope.catalog import ranking  # noqa: F401
+from folioscope.catalog import evaluation, feedback, ranking  # noqa: F401
 from folioscope.catalog.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -29,9 +29,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """Give a text table of fewer splits than cores one task per core.
+
+    Only small inputs come in so few splits; a large table keeps the splits of its files.
+    """
+    if name not in ("documents", "pages", "conversations"):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; zone-less times become UTC instants."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), name)
     naive = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
 
@@ -211,12 +222,12 @@ pairs AS (
     len(list_intersect(w.words, p.topics)) AS hits,
     greatest(0.0, 1.0 - greatest(epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(w.published), 0)
       / 86400000000.0 / 14) AS recency,
-    CASE WHEN list_contains(w.authors, 'src' || CAST(p.n AS VARCHAR)) THEN 0.75 ELSE 0.0 END AS watched_author,
-    CASE WHEN list_contains(w.affiliations, 'Institute ' || CAST(p.n AS VARCHAR)) THEN 0.5 ELSE 0.0 END AS place_hit
+    CASE WHEN list_contains(w.authors, 'src' || CAST(p.n AS VARCHAR)) THEN 0.75 ELSE 0.0 END::DOUBLE AS watched_author,
+    CASE WHEN list_contains(w.affiliations, 'Institute ' || CAST(p.n AS VARCHAR)) THEN 0.5 ELSE 0.0 END::DOUBLE AS place_hit
   FROM split_words w JOIN profiles p ON list_has_any(w.categories, p.wanted)),
 features AS (
   SELECT *, least(hits / greatest(len(topics), 1), 1.0) AS lexical,
-    CASE source WHEN 'core' THEN 1.0 WHEN 'adjacent' THEN 0.6 ELSE 0.2 END AS category,
+    CASE source WHEN 'core' THEN 1.0 WHEN 'adjacent' THEN 0.6 ELSE 0.2 END::DOUBLE AS category,
     least(coalesce(list_sum(list_transform(list_filter(facets, lambda f:
       length(f.v) >= 3 AND len(list_filter(regexp_extract_all(replace(f.v, '-', ' '), '[a-z][a-z0-9-]{{2,}}'),
         lambda t: NOT list_contains(parts, t))) = 0
@@ -236,7 +247,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from folioscope.operators import ranking
 
     people = profiles(spark, sf_dir).persist()
-    return ranking.assign_pool(ranking.tokenized(papers(spark, sf_dir)), people), people
+    return ranking.assign_pool(ranking.prepare_candidates(papers(spark, sf_dir)), people), people
 
 
 def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,8 @@ def ranking_profile(profiles: DataFrame) -> DataFrame:
         text.normalized_identities(names(F.col("watched_authors"))).alias("_author_names"),
         text.normalized_identities(names(F.col("watched_institutions"))).alias("_place_names"),
         facets.alias("_facets"),
+    ).withColumn(
+        "_facet_words", F.array_distinct(F.flatten(F.transform("_facets", lambda f: f["tokens"])))
     )
 
 
@@ -83,10 +85,19 @@ def _with_profile(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def tokenized(candidates: DataFrame) -> DataFrame:
-    """Replace the summary by its distinct ranking tokens; whole text, read once (I8)."""
-    words = text.ranking_terms(F.concat_ws(" ", "title", "summary"))
-    return candidates.withColumn("words", words).drop("summary")
+def prepare_candidates(candidates: DataFrame) -> DataFrame:
+    """Everything a score needs from a candidate alone, computed once before any pairing.
+
+    The summary gives way to its distinct tokens (whole text, I8) and their hyphen parts; names
+    are normalized (I7).
+    """
+    return (
+        candidates.withColumn("words", text.ranking_terms(F.concat_ws(" ", "title", "summary")))
+        .drop("summary")
+        .withColumn("_parts", text.hyphen_parts(F.col("words")))
+        .withColumn("_authors_norm", text.normalized_identities(F.col("authors")))
+        .withColumn("_places_norm", text.normalized_identities(F.col("affiliations")))
+    )
 
 
 def _tier(core: Column, adjacent: Column) -> Column:
@@ -110,10 +121,7 @@ def _local_features(
     """Tier, overlap, freshness and watched-identity columns of every pair."""
     author, place, cap = bonuses
     if "words" not in candidates.columns:
-        candidates = tokenized(candidates)
-    candidates = candidates.withColumn(
-        "_authors_norm", text.normalized_identities(F.col("authors"))
-    ).withColumn("_places_norm", text.normalized_identities(F.col("affiliations")))
+        candidates = prepare_candidates(candidates)
     joined = _with_profile(candidates, profiles)
     known = lambda c: F.filter(c, lambda n: n != "")
     author_hit = F.arrays_overlap(known(F.col("_authors_norm")), F.col("_author_names"))
@@ -143,18 +151,22 @@ def _local_features(
 
 
 def _facet_value() -> Column:
-    parts = text.hyphen_parts(F.col("words"))
+    """Weight of the facets whose every token occurs in the paper, out of three.
+
+    The paper's tokens are first reduced to those any facet asks for, so each facet is compared
+    with a handful of words.
+    """
     summed = F.aggregate(
         F.col("_facets"),
         F.lit(0.0),
         lambda acc, f: acc
         + F.when(
             (F.size(f["tokens"]) > 0)
-            & (F.size(F.array_except(f["tokens"], F.col("_parts"))) == 0),
+            & (F.size(F.array_except(f["tokens"], F.col("_met"))) == 0),
             f["weight"],
         ).otherwise(0.0),
     )
-    return parts, F.least(summed / 3, F.lit(1.0))
+    return F.least(summed / 3, F.lit(1.0))
 
 
 def feature_table(
@@ -170,7 +182,6 @@ def feature_table(
     local = _local_features(
         candidates, profiles, now, (author_bonus, institution_bonus, identity_bonus_cap)
     )
-    parts, facet = _facet_value()
     return (
         local.withColumn(
             "lexical",
@@ -180,12 +191,13 @@ def feature_table(
         )
         .withColumn("category", _tier_value(TIER_VALUE))
         .withColumn("has_facets", F.size("_facets") > 0)
-        .withColumn("_parts", F.when(F.col("has_facets"), parts))
-        .withColumn("facet", F.when(F.col("has_facets"), facet).otherwise(0.0))
+        .withColumn("_met", F.array_intersect("_parts", "_facet_words"))
+        .withColumn("facet", F.when(F.col("has_facets"), _facet_value()).otherwise(0.0))
         .withColumn("identity", F.col("watched_author") + F.col("watched_institution"))
         .withColumn("has_watchlist", F.col("_watching"))
         .drop(
             "_topics", "_core", "_adjacent", "_author_names", "_place_names", "_facets", "_parts",
+            "_facet_words", "_met",
             "_authors_norm", "_places_norm", "_watching", "words", "term_overlap", "topic_count",
         )
     )
@@ -343,8 +355,8 @@ def score_baseline(
     for part in parts:
         total = total + F.col(part)
     return scored.withColumn("score", total).drop(
-        "_topics", "_core", "_adjacent", "_author_names", "_place_names", "_facets",
-        "_authors_norm", "_places_norm", "_watching", "words", "term_overlap", "topic_count",
+        "_topics", "_core", "_adjacent", "_author_names", "_place_names", "_facets", "_parts",
+        "_facet_words", "_authors_norm", "_places_norm", "_watching", "words", "term_overlap", "topic_count",
     )
 
 
