@@ -9,7 +9,8 @@ from folioscope.catalog.base import (
     papers, query, table,
 )
 from folioscope.operators import corpus, efficiency, evaluation, quality, ranking
-from folioscope.operators.weights import BASELINE_VERSION, QUALITY_FIRST, ablations
+from folioscope.operators.weights import QUALITY_FIRST, BASELINE_VERSION, ablations
+from folioscope.session import materialized
 
 CUTOFF = "2024-01-26T00:00:00+00:00"
 
@@ -336,16 +337,9 @@ _SETS = [QUALITY_FIRST, *ablations(QUALITY_FIRST)]
 def version_rankings(spark, sf_dir):
     """Every reader's list under the baseline, the candidate weights and each ablation."""
     candidates, people = pairs(spark, sf_dir)
-    candidates = candidates.persist()
-    base = ranking.score_baseline(candidates, people, NOW).withColumn(
-        "weight_set_version", F.lit(BASELINE_VERSION)
-    )
     features = ranking.feature_table(candidates, people, NOW)
-    scored = ranking.score_features(features, _SETS)
-    name = F.concat_ws("|", "profile_id", "weight_set_version")
-    columns = ["profile_id", "weight_set_version", "paper_id", "score", "source", "categories", "title", "doi"]
-    both = scored.select(*columns).unionByName(base.select(*columns))
-    return evaluation.ranked_papers(both, name)
+    scored = ranking.score_versions(features, _SETS)
+    return evaluation.ranked_papers(scored, F.concat_ws("|", "profile_id", "weight_set_version"))
 
 
 def version_metrics(spark, sf_dir):
@@ -355,7 +349,8 @@ def version_metrics(spark, sf_dir):
         split_names=("temporal-holdout",),
     )
     parts = F.split("ranking_id", r"\|")
-    return metrics.withColumn("profile_id", parts[0]).withColumn("ranking_id", parts[1])
+    named = metrics.withColumn("profile_id", parts[0]).withColumn("ranking_id", parts[1])
+    return materialized(named, "metrics")
 
 
 def _versions_sql() -> str:
@@ -458,7 +453,7 @@ def ablation_report(spark, sf_dir):
 )
 def shadow_report(spark, sf_dir):
     report = evaluation.shadow_report(
-        version_metrics(spark, sf_dir).persist(), QUALITY_FIRST["version"], by=["profile_id"]
+        version_metrics(spark, sf_dir), QUALITY_FIRST["version"], by=["profile_id"]
     )
     return report.select(
         "profile_id", F.round("ndcg_delta", 6).alias("ndcg_delta"),

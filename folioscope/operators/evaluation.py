@@ -12,6 +12,7 @@ from folioscope.functions import hashing, identity, text
 from folioscope.functions.moments import days_before, instant
 from folioscope.operators import scale
 from folioscope.operators.weights import BASELINE_VERSION
+from folioscope.session import materialized
 
 # ---- fixed values -------------------------------------------------------------------------
 SPLITS = ["stable-anchor", "rolling", "temporal-holdout", "temporal-train", "pairwise"]
@@ -222,17 +223,19 @@ def evaluate_rankings(
 ) -> DataFrame:
     """Metrics of every ranking on every split and k in one pass.
 
+    The rankings are written once to the shared folder, since several metrics read them.
     Precision divides by the labelled papers among the top k only, and the ideal gain counts all
     positives of the split; unavailable values stay NULL.
     """
     ks = sorted(ks)
+    ranked = materialized(ranked, "ranked")
     chosen = splits.filter(F.col("split").isin(list(split_names)))
     top = scale.top_per_group(
         ranked, ["ranking_id"], [F.col("score").desc(), F.col("paper_id")], ks[-1]
     )
     aliases = _aliases(ranked)
     in_split = split_labels(labels, chosen)
-    labelled = item_labels(aliases, in_split)
+    labelled = materialized(item_labels(aliases, in_split), "labelled")
     keys = ["split", "ranking_id"]
     positive, negative = F.col("label") == "positive", F.col("label") == "negative"
 

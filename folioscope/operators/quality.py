@@ -62,6 +62,10 @@ def policy_table(spark) -> DataFrame:
     )
 
 
+def _tagged(field: str):
+    return lambda trait: F.struct(F.lit(field).alias("field"), trait.alias("trait"))
+
+
 def long_traits(examples: DataFrame) -> DataFrame:
     """Examples in long form: one row per paper, field and trait."""
     return examples.select(
@@ -72,8 +76,7 @@ def long_traits(examples: DataFrame) -> DataFrame:
                 F.array(
                     *[
                         F.transform(
-                            F.coalesce(F.col(f), F.array().cast("array<string>")),
-                            lambda t, f=f: F.struct(F.lit(f).alias("field"), t.alias("trait")),
+                            F.coalesce(F.col(f), F.array().cast("array<string>")), _tagged(f)
                         )
                         for f in TRAITS
                     ]

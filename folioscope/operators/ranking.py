@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import moments, text
 from folioscope.operators import scale
-from folioscope.operators.weights import GROUPS, INTEREST_IMPORTANCE, QUALITY_FIRST, weight_literals
+from folioscope.operators.weights import (
+    BASELINE_VERSION, GROUPS, INTEREST_IMPORTANCE, QUALITY_FIRST, weight_literals,
+)
 
 # ---- fixed values -------------------------------------------------------------------------
 TIER_VALUE = {"core": 1.0, "adjacent": 0.6, "exploration": 0.2}
@@ -198,7 +200,7 @@ def feature_table(
         .drop(
             "_topics", "_core", "_adjacent", "_author_names", "_place_names", "_facets", "_parts",
             "_facet_words", "_met",
-            "_authors_norm", "_places_norm", "_watching", "words", "term_overlap", "topic_count",
+            "_authors_norm", "_places_norm", "_watching", "words", "topic_count",
         )
     )
 
@@ -323,40 +325,66 @@ def components(scored: DataFrame) -> DataFrame:
     return scored.withColumn("components", F.map_filter(entries, lambda _, v: v.isNotNull()))
 
 
+def _baseline_parts() -> list[Column]:
+    return [
+        F.col("term_overlap"), _tier_value(BASELINE_TIER_VALUE), F.col("recency"),
+        F.col("feedback"), F.col("watched_author"), F.col("watched_institution"),
+    ]
+
+
+def baseline_features(features: DataFrame, feedback_adjustments: DataFrame | None = None):
+    """Feature rows scored by the frozen unnormalized formula."""
+    if feedback_adjustments is None:
+        features = features.withColumn("feedback", F.lit(0.0))
+    else:
+        known = feedback_adjustments.select("paper_id", F.col("adjustment").alias("feedback"))
+        features = features.join(known, "paper_id", "left").fillna(0.0, ["feedback"])
+    total = F.lit(0.0)
+    for part in _baseline_parts():
+        total = total + part
+    return (
+        features.withColumn("score", total)
+        .withColumn("lexical", F.col("term_overlap"))
+        .withColumn("category", _tier_value(BASELINE_TIER_VALUE))
+        .withColumn("weight_set_version", F.lit(BASELINE_VERSION))
+    )
+
+
 def score_baseline(
     candidates: DataFrame,
     profiles: DataFrame,
     now,
     feedback_adjustments: DataFrame | None = None,
-    *,
-    author_bonus: float = AUTHOR_BONUS,
-    institution_bonus: float = INSTITUTION_BONUS,
-    identity_bonus_cap: float = IDENTITY_CAP,
+    **bonuses: float,
 ) -> DataFrame:
-    """The frozen unnormalized formula kept for comparison."""
-    local = _local_features(
-        candidates, profiles, now, (author_bonus, institution_bonus, identity_bonus_cap)
-    )
-    if feedback_adjustments is not None:
-        local = local.join(
-            feedback_adjustments.select("paper_id", F.col("adjustment").alias("feedback")),
-            "paper_id",
-            "left",
-        )
-    else:
-        local = local.withColumn("feedback", F.lit(0.0))
-    scored = (
-        local.withColumn("feedback", F.coalesce("feedback", F.lit(0.0)))
-        .withColumn("lexical", F.col("term_overlap"))
-        .withColumn("category", _tier_value(BASELINE_TIER_VALUE))
-    )
-    parts = ["lexical", "category", "recency", "feedback", "watched_author", "watched_institution"]
-    total = F.lit(0.0)
-    for part in parts:
-        total = total + F.col(part)
-    return scored.withColumn("score", total).drop(
-        "_topics", "_core", "_adjacent", "_author_names", "_place_names", "_facets", "_parts",
-        "_facet_words", "_authors_norm", "_places_norm", "_watching", "words", "term_overlap", "topic_count",
+    """The frozen formula kept for comparison and rollback."""
+    return baseline_features(feature_table(candidates, profiles, now, **bonuses), feedback_adjustments)
+
+
+def score_versions(features: DataFrame, sets: Sequence[Mapping]) -> DataFrame:
+    """Scores of the same feature rows under the baseline and several weight sets, in one pass."""
+    scored = score_features(features.withColumn("feedback", F.lit(0.0)), sets[:1])
+    known = {g: F.col(f"{g}_value") for g in GROUPS}
+
+    def total(weights: Mapping) -> Column:
+        share, weight = F.lit(0.0), F.lit(0.0)
+        for g, value in known.items():
+            share = share + F.coalesce(value * float(weights[g]), F.lit(0.0))
+            weight = weight + F.when(value.isNotNull(), float(weights[g])).otherwise(0.0)
+        return F.when(weight > 0, share / weight).otherwise(0.0)
+
+    base = F.lit(0.0)
+    for part in _baseline_parts():
+        base = base + part
+    versions = [F.struct(F.lit(BASELINE_VERSION).alias("version"), base.alias("score"))]
+    versions += [
+        F.struct(F.lit(s["version"]).alias("version"), total(s).alias("score")) for s in sets
+    ]
+    return (
+        scored.withColumn("_s", F.explode(F.array(*versions)))
+        .withColumn("score", F.col("_s.score"))
+        .withColumn("weight_set_version", F.col("_s.version"))
+        .drop("_s")
     )
 
 

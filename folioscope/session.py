@@ -47,9 +47,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df):
-    """Checkpoint into the shared folder, so lost executors never force a replay of the past."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint()
+def materialized(df, name: str):
+    """Write an intermediate table once into the shared folder and read it back.
+
+    Later steps read only the columns they need, and a lost executor never replays the past.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
