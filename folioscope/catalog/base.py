@@ -60,14 +60,17 @@ PAPER_KEY_SQL = "printf('%04d.%05d', doc_id // 100000, doc_id % 100000)"
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return papers_of(table(spark, sf_dir, "documents"))
+
+
+def papers_of(documents: DataFrame) -> DataFrame:
     """Documents as candidate papers."""
     doc = F.col("doc_id")
     day = lambda n: F.make_interval(days=n.cast("int"))
     published = F.lit("2024-01-01 00:00:00").cast("timestamp") + day(doc % 30)
     key = paper_key("doc_id")
     return (
-        table(spark, sf_dir, "documents")
-        .withColumn("paper_id", key)
+        documents.withColumn("paper_id", key)
         .select(
             "doc_id",
             "paper_id",
@@ -251,10 +254,14 @@ def pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feedback_of(table(spark, sf_dir, "events"))
+
+
+def feedback_of(events: DataFrame) -> DataFrame:
     """Events as impressions and outcomes of papers."""
     kind = F.col("event_type")
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event_id"),
         F.when(kind == "view", "impression").otherwise("outcome").alias("event_type"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("paper_id"),

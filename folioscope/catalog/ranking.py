@@ -86,7 +86,7 @@ def baseline_score(spark, sf_dir):
     )
 
 
-def _walk_sql(source: str, score: str, minimum: float, limit: int, passes: str, strict: bool) -> str:
+def walk_sql(source: str, score: str, minimum: float, limit: int, passes: str, strict: bool) -> str:
     """Greedy choice as a recursive walk over passes and ranks, one state row per reader."""
     stop = "len(w.picked) < 20" if strict else "(s.wanted <> 'any' OR len(w.picked) < 20)"
     return f"""ranked AS (
@@ -115,13 +115,18 @@ def _walk_sql(source: str, score: str, minimum: float, limit: int, passes: str,
         AND (len(s.title_words) = 0 OR len(list_filter(w.titles, lambda t:
           len(list_intersect(s.title_words, t)) / len(list_distinct(list_concat(s.title_words, t))) > 0.8)) = 0) AS ok)),
     final AS (SELECT profile_id, picked FROM walk QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY step DESC) = 1),
-    chosen AS (SELECT profile_id, unnest(picked) AS paper_id, generate_subscripts(picked, 1) AS selected_order FROM final)
-    SELECT c.profile_id, c.paper_id, CAST(c.selected_order AS BIGINT) AS selected_order, r.source, round(r.score, 6) AS score
-    FROM chosen c JOIN ranked r ON r.profile_id = c.profile_id AND r.paper_id = c.paper_id
-    WHERE c.selected_order <= 20"""
+    chosen AS (SELECT profile_id, unnest(picked) AS paper_id, generate_subscripts(picked, 1) AS selected_order FROM final),
+    chosen_rows AS (
+      SELECT c.profile_id, c.paper_id, CAST(c.selected_order AS BIGINT) AS selected_order, r.source, r.score
+      FROM chosen c JOIN ranked r ON r.profile_id = c.profile_id AND r.paper_id = c.paper_id
+      WHERE c.selected_order <= 20)
+    """
 
 
-_DIVERSE_PASSES = "(1, 'exploration', 2), (2, 'core', 14), (3, 'adjacent', 4), (4, 'any', 20)"
+_CHOSEN_SQL = """SELECT profile_id, paper_id, selected_order, source, round(score, 6) AS score FROM chosen_rows"""
+
+
+DIVERSE_PASSES = "(1, 'exploration', 2), (2, 'core', 14), (3, 'adjacent', 4), (4, 'any', 20)"
 _BASELINE_PASSES = "(1, 'core', 14), (2, 'adjacent', 4), (3, 'exploration', 2), (4, 'any', 20)"
 
 
@@ -135,7 +140,7 @@ def _chosen(df):
 @query(
     "diverse_select",
     f"WITH RECURSIVE {SCORED_SQL}, "
-    + _walk_sql("scored", "score", 0.2, 60, _DIVERSE_PASSES, True),
+    + walk_sql("scored", "score", 0.2, 60, DIVERSE_PASSES, True) + _CHOSEN_SQL,
 )
 def diverse_select(spark, sf_dir):
     return _chosen(selection.select_diverse(scored_pairs(spark, sf_dir), pre_rank_limit=60))
@@ -144,7 +149,7 @@ def diverse_select(spark, sf_dir):
 @query(
     "baseline_select",
     f"WITH RECURSIVE {SCORED_SQL}, {_BASELINE_SQL}, "
-    + _walk_sql("baseline", "base_score", 1.0, 40, _BASELINE_PASSES, False),
+    + walk_sql("baseline", "base_score", 1.0, 40, _BASELINE_PASSES, False) + _CHOSEN_SQL,
 )
 def baseline_select(spark, sf_dir):
     return _chosen(selection.select_baseline(baseline_pairs(spark, sf_dir), pre_rank_limit=40))

@@ -1,14 +1,13 @@
 """Structured Streaming jobs over the same operators.
 
-Each job writes its state as a versioned table: every micro-batch merges into the current version
-and moves the pointer last. A replayed batch writes nothing twice, since its version is its batch
-id and the operators are idempotent by key.
+Bounded state (the pool, the suppression history) is a versioned table that every micro-batch
+merges into. Ledgers only grow, so a batch appends its new rows and nothing is rewritten. Running
+labels live in Spark's own state store. A batch's folder carries its id, so a replay overwrites its
+own rows and writes nothing twice; the pointer that makes it visible moves last.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,36 +26,67 @@ def file_stream(spark: SparkSession, folder: str, schema, name: str, per_trigger
     )
 
 
-def _versioned(root: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]):
-    """A foreachBatch body that merges each batch into the table at ``root``."""
+def _write_batch(rows: DataFrame, root: str, batch_id: int) -> None:
+    version = f"{batch_id:020d}"
+    rows.write.mode("overwrite").parquet(f"{root}/data/version={version}")
+    pointer = rows.sparkSession.range(1).select(
+        F.lit(version).alias("version"), F.current_timestamp().alias("committed_at")
+    )
+    pointer.write.mode("append").parquet(f"{root}/pointer")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = f"{batch_id:020d}"
-        if (writers.current_version(spark, root) or "") >= version:
-            return
-        merged = merge(writers.read_current(spark, root), batch)
-        merged.write.mode("overwrite").parquet(f"{root}/data/version={version}")
-        pointer = spark.range(1).select(
-            F.lit(version).alias("version"), F.current_timestamp().alias("committed_at")
-        )
-        pointer.write.mode("append").parquet(f"{root}/pointer")
 
-    return write
+def _is_done(spark: SparkSession, root: str, batch_id: int) -> bool:
+    return (writers.current_version(spark, root) or "") >= f"{batch_id:020d}"
 
 
-def run_available(stream: DataFrame, root: str, merge) -> DataFrame:
-    """Process everything available now and return the table."""
+def _run(stream: DataFrame, root: str, body, mode: str = "append") -> None:
     query = (
-        stream.writeStream.foreachBatch(_versioned(root, merge))
+        stream.writeStream.foreachBatch(body)
+        .outputMode(mode)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+
+
+def run_merging(stream: DataFrame, root: str, merge) -> DataFrame:
+    """Merge every available batch into a small versioned table and return it."""
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if not _is_done(spark, root, batch_id):
+            _write_batch(merge(writers.read_current(spark, root), batch), root, batch_id)
+
+    _run(stream, root, body)
     return writers.read_current(stream.sparkSession, root)
 
 
+def read_appended(spark: SparkSession, root: str) -> DataFrame | None:
+    """Rows of every visible batch, with their ``version``."""
+    newest = writers.current_version(spark, root)
+    if newest is None:
+        return None
+    return (
+        spark.read.option("basePath", f"{root}/data")
+        .parquet(f"{root}/data")
+        .withColumn("version", F.lpad(F.col("version").cast("string"), 20, "0"))
+        .filter(F.col("version") <= newest)
+    )
+
+
+def run_appending(stream: DataFrame, root: str, new_rows, mode: str = "append") -> DataFrame:
+    """Append what ``new_rows(table so far, batch)`` finds in every available batch."""
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if not _is_done(spark, root, batch_id):
+            _write_batch(new_rows(read_appended(spark, root), batch), root, batch_id)
+
+    _run(stream, root, body, mode)
+    return read_appended(stream.sparkSession, root)
+
+
 def ingest_candidates(
     stream: DataFrame, root: str, completed_at, *, retention_days=pool.RETENTION_DAYS,
     limit: int | None = pool.POOL_LIMIT,
@@ -73,7 +103,7 @@ def ingest_candidates(
             existing, batch, completed_at, retention_days=retention_days, limit=limit
         )
 
-    return run_available(stream, root, merge)
+    return run_merging(stream, root, merge)
 
 
 def ingest_events(stream: DataFrame, root: str, delay: str | None = None) -> DataFrame:
@@ -87,10 +117,16 @@ def ingest_events(stream: DataFrame, root: str, delay: str | None = None) -> Dat
             ["event_id"]
         )
 
-    def merge(existing, batch):
-        return ledger.append(batch.limit(0) if existing is None else existing, batch)
+    columns = stream.columns
 
-    return run_available(stream, root, merge)
+    def new_rows(so_far, batch):
+        stored = batch.limit(0) if so_far is None else so_far.select(*columns)
+        status = ledger.append_status(stored, batch)
+        if status.filter("conflict").limit(1).count():
+            raise ValueError("event_id conflicts with a stored event")
+        return ledger.appended_rows(status).select(*columns)
+
+    return run_appending(stream, root, new_rows).drop("version")
 
 
 def track_history(stream: DataFrame, root: str, now) -> DataFrame:
@@ -103,7 +139,7 @@ def track_history(stream: DataFrame, root: str, now) -> DataFrame:
         )
         return scale.latest_by(alive, ["paper_id"], [F.col("published_at")]).select(*batch.columns)
 
-    return run_available(stream, root, merge)
+    return run_merging(stream, root, merge)
 
 
 def attribute_stream(stream: DataFrame, root: str) -> DataFrame:
@@ -132,13 +168,18 @@ def attribute_in_window(impressions: DataFrame, outcomes: DataFrame, delay: str,
 
 
 def latest_labels(stream: DataFrame, root: str, cutoff) -> DataFrame:
-    """Latest label event per paper as of a cutoff, kept as one row per paper."""
-
-    def merge(existing, batch):
-        judged = corpus.at_cutoff(batch, cutoff).filter(F.col("kind") != "pairwise")
-        both = judged if existing is None else existing.unionByName(judged)
-        return scale.latest_by(
-            both, ["paper_id"], [F.col("occurred_at"), F.col("event_id")]
-        ).select(*batch.columns)
+    """Latest label event per paper as of a cutoff.
 
-    return run_available(stream, root, merge).filter(F.col("kind") == "label")
+    A streaming aggregate keeps one row per paper in the state store; each trigger appends only
+    the papers that changed.
+    """
+    judged = corpus.at_cutoff(stream, cutoff).filter(F.col("kind") != "pairwise")
+    rest = [c for c in stream.columns if c != "paper_id"]
+    running = judged.groupBy("paper_id").agg(
+        F.max_by(F.struct(*rest), F.struct("occurred_at", "event_id")).alias("_row")
+    )
+    changed = run_appending(
+        running, root, lambda so_far, batch: batch.select("paper_id", "_row.*"), mode="update"
+    )
+    newest = scale.latest_by(changed, ["paper_id"], [F.col("version")])
+    return newest.filter(F.col("kind") == "label").select(*stream.columns)
