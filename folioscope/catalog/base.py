@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import profile as P
-from folioscope.operators import scale
+from folioscope.session import materialized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -146,13 +146,12 @@ def reader_number(profile_id="profile_id"):
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight readers: topics and facets from their passages, one core and one adjacent language."""
-    weights = P.term_weights(benchmark_items(spark, sf_dir))
-    terms = P.ranked_terms(weights)
+    terms = P.profile_table(P.term_weights(benchmark_items(spark, sf_dir)))
     # Each reader's own terms serve as hint words, spread over the three kinds by length.
     kind = F.element_at(
         F.array(F.lit("domain"), F.lit("method"), F.lit("task")), (F.length("term") % 3 + 1)
     )
-    hints = weights.select(kind.alias("kind"), "term", F.col("term").alias("value")).distinct()
+    hints = terms.select(kind.alias("kind"), "term", F.col("term").alias("value")).distinct()
     facets = P.profile_facets(terms.filter(F.col("horizon") == "long"), hints)
     no_categories = spark.createDataFrame(
         [], "profile_id string, category string, score double, rank int"
@@ -249,7 +248,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Candidates tokenized once and paired with the readers that retrieve them."""
     from folioscope.operators import ranking
 
-    people = profiles(spark, sf_dir).persist()
+    people = materialized(profiles(spark, sf_dir), "profiles")
     return ranking.assign_pool(ranking.prepare_candidates(papers(spark, sf_dir)), people), people
 
 

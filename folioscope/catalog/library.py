@@ -78,15 +78,16 @@ long_terms AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY wei
 recent_terms AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY recent DESC, term) AS rank FROM weights QUALIFY rank <= 30)"""
 
 
-def _weights(spark, sf_dir):
-    return profile.term_weights(
+def _terms(spark, sf_dir):
+    weights = profile.term_weights(
         conversation_items(spark, sf_dir), conversation_collections(spark, sf_dir),
         observed_at=OBSERVED,
     )
+    return profile.profile_table(weights)
 
 
 def _terms_query(spark, sf_dir, horizon):
-    terms = profile.ranked_terms(_weights(spark, sf_dir)).filter(F.col("horizon") == horizon)
+    terms = _terms(spark, sf_dir).filter(F.col("horizon") == horizon)
     return terms.select(
         "profile_id", F.col("rank").cast("long").alias("rank"), "term",
         F.round("weight", 6).alias("weight"),
@@ -107,11 +108,11 @@ _KINDS = ["domain", "method", "task"]
 _CATEGORIES = ["cs.LG", "cs.CL", "cs.CV", "quant-ph"]
 
 
-def _hints(weights):
+def _hints(terms):
     """Every term hints at its first three letters; kind and category follow its length."""
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), F.length("term") % 3 + 1)
     category = F.element_at(F.array(*map(F.lit, _CATEGORIES)), F.length("term") % 4 + 1)
-    return weights.select("term").distinct().select(
+    return terms.select("term").distinct().select(
         kind.alias("kind"), "term", F.left("term", F.lit(3)).alias("value"), category.alias("category")
     )
 
@@ -128,9 +129,8 @@ facets AS (SELECT profile_id, kind, value, least(s / top, 1.0) AS score,
 
 @query("profile_facets", f"WITH {_FACET_SQL} SELECT profile_id, rank, kind, value, round(score, 6) AS score FROM facets")
 def profile_facets(spark, sf_dir):
-    weights = _weights(spark, sf_dir)
-    terms = profile.ranked_terms(weights).filter(F.col("horizon") == "long")
-    facets = profile.profile_facets(terms, _hints(weights))
+    terms = _terms(spark, sf_dir).filter(F.col("horizon") == "long")
+    facets = profile.profile_facets(terms, _hints(terms))
     return facets.select(
         "profile_id", F.col("rank").cast("long").alias("rank"), "kind", "value",
         F.round("score", 6).alias("score"),
@@ -151,13 +151,12 @@ def profile_facets(spark, sf_dir):
     FROM long_terms t JOIN core USING (profile_id) JOIN adj USING (profile_id) JOIN f USING (profile_id) WHERE rank <= 30 GROUP BY t.profile_id""",
 )
 def remote_profile(spark, sf_dir):
-    weights = _weights(spark, sf_dir)
-    hints = _hints(weights)
-    tables = profile.build_profile(
-        conversation_items(spark, sf_dir), conversation_collections(spark, sf_dir),
-        observed_at=OBSERVED, facet_hints=hints, category_hints=hints,
-    )
-    tables["facets"] = tables["facets"].filter(F.col("horizon") == "long")
+    terms = _terms(spark, sf_dir)
+    hints = _hints(terms)
+    facets = profile.profile_facets(terms.filter(F.col("horizon") == "long"), hints)
+    tables = {
+        "terms": terms, "categories": profile.profile_categories(terms, hints), "facets": facets,
+    }
     remote = profile.project_remote(tables)
     named = F.transform("preference_facets", lambda f: F.concat_ws(":", f["kind"], f["value"]))
     return remote.select(

@@ -72,8 +72,10 @@ def ranking_terms(text: Column) -> Column:
 
 def hyphen_parts(words: Column) -> Column:
     """Parts of three or more letters after splitting tokens at hyphens."""
-    parts = F.flatten(F.transform(words, lambda w: F.split(w, "-")))
-    return F.array_distinct(F.filter(parts, lambda p: F.length(p) >= 3))
+    joined = lambda w: F.contains(w, F.lit("-"))
+    plain = F.filter(words, lambda w: ~joined(w))
+    split = F.flatten(F.transform(F.filter(words, joined), lambda w: F.split(w, "-")))
+    return F.array_distinct(F.concat(plain, F.filter(split, lambda p: F.length(p) >= 3)))
 
 
 def facet_tokens(value: Column) -> Column:

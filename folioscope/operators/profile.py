@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import hashing, moments, text
 from folioscope.operators import scale
+from folioscope.session import materialized
 
 # ---- fixed values -------------------------------------------------------------------------
 SIGNAL_WEIGHTS = {
@@ -207,6 +208,11 @@ def ranked_terms(weights: DataFrame) -> DataFrame:
     return long.unionByName(recent).select("profile_id", "horizon", "rank", "term", "weight")
 
 
+def profile_table(weights: DataFrame) -> DataFrame:
+    """Ranked terms, written once; ``weights`` is written too unless it is a table already."""
+    return materialized(ranked_terms(materialized(weights, "term-weights")), "profile-terms")
+
+
 def _hinted_category(term: Column) -> Column:
     pairs = [F.lit(v) for pair in CATEGORY_HINTS.items() for v in pair]
     return F.try_element_at(F.create_map(*pairs), term)
@@ -263,10 +269,13 @@ def build_profile(
     facet_hints: DataFrame | None = None,
     category_hints: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The long-form profile tables: terms, categories, facets."""
-    terms = ranked_terms(
-        term_weights(items, collections, observed_at=observed_at, curated=curated)
-    )
+    """The long-form profile tables: terms, categories, facets.
+
+    Every text is read once: the summed weights and then the short ranked lists are written to the
+    shared folder, and all that follows reads those.
+    """
+    weights = term_weights(items, collections, observed_at=observed_at, curated=curated)
+    terms = profile_table(weights)
     hints = hint_rows(items.sparkSession) if facet_hints is None else facet_hints
     return {
         "terms": terms,

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 20_000
 SALTS = 16
-SAMPLE_PER_BUCKET = 32
-MAX_BUCKETS = 256
+SAMPLE_PER_BUCKET = 16
+MAX_BUCKETS = 2_048
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -64,31 +64,53 @@ def top_rows(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
     return df.orderBy(*order).limit(most)
 
 
+def _sql_literal(value, kind: str) -> str:
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    if kind == "string":
+        return f"CAST(X'{value.encode().hex()}' AS STRING)"
+    return f"CAST('{value!r}' AS {kind})" if isinstance(value, float) else f"CAST({value} AS {kind})"
+
+
 def range_buckets(df: DataFrame, order: Sequence[str], name: str = "_bucket") -> DataFrame:
     """Tag rows with order-preserving buckets cut at sampled keys.
 
     The sample is the rows with the smallest key hashes: bounded, repeatable, and one pass. The
-    cut points become literals, so a row's bucket depends on its key alone. A group of any size
-    is spread over as many buckets as its share of the rows.
+    cut points become one constant, so a row's bucket depends on its key alone and is found by
+    binary search. A group of any size is spread over as many buckets as its share of the rows.
     """
     spark = df.sparkSession
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), MAX_BUCKETS)
-    hashed = df.select(*order).orderBy(F.xxhash64(*order), *order)
-    sample = hashed.limit(buckets * SAMPLE_PER_BUCKET)
-    ordered = sample.orderBy(*order).collect()
+    kinds = dict(df.dtypes)
+    plain = [
+        F.unix_micros(c).alias(c) if kinds[c] == "timestamp" else F.col(c).alias(c) for c in order
+    ]
+    keys = df.select(*plain)
+    sampled = keys.orderBy(F.xxhash64(*order), *order).limit(buckets * SAMPLE_PER_BUCKET)
+    ordered = sampled.orderBy(*order).collect()
     step = max(1, len(ordered) // buckets)
     cuts = [tuple(row) for row in ordered[step::step]]
     if not cuts:
         return df.withColumn(name, F.lit(0))
-    schema = df.select(*order).schema
-    key = F.struct(*[F.col(c) for c in order])
-    literals = F.array(
-        *[
-            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, schema)])
+    types = [t for _, t in keys.dtypes]
+    constant = F.expr(
+        "array("
+        + ",".join(
+            "struct(" + ",".join(_sql_literal(v, t) for v, t in zip(cut, types, strict=True)) + ")"
             for cut in cuts
-        ]
+        )
+        + ")"
+    )
+    key = F.struct(*plain)
+    halves = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
+    bucket = F.aggregate(
+        F.array(*[F.lit(h) for h in halves]),
+        F.lit(0),
+        lambda at, half: F.when(
+            F.coalesce(F.get(constant, at + half - 1) <= key, F.lit(False)), at + half
+        ).otherwise(at),
     )
-    return df.withColumn(name, F.size(F.filter(literals, lambda cut: cut <= key)))
+    return df.withColumn(name, bucket)
 
 
 def position_within(
