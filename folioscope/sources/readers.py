@@ -31,10 +31,8 @@ def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def _supported(df: DataFrame, versions: list[int], what: str) -> DataFrame:
     version = F.coalesce("schema_version", F.lit(1))
     message = F.concat(F.lit(f"unsupported {what} schema "), version.cast("string"))
-    return df.withColumn(
-        "schema_version",
-        F.when(version.isin(versions), version).otherwise(F.raise_error(message)),
-    )
+    known = F.when(version.isin(versions), True).otherwise(F.raise_error(message).cast("boolean"))
+    return df.withColumn("schema_version", version).filter(known)
 
 
 def _strings() -> Column:
@@ -300,7 +298,7 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     """Evidence cache documents, key to entry."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     entry = f"map<string, struct<{schemas.EVIDENCE}>>"
     rows = lines.select(F.explode(F.from_json("value", entry)).alias("cache_key", "v"))
     return rows.select(
@@ -315,7 +313,7 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """Proposal and judgment cache documents, key to payload."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     return lines.select(
         F.explode(F.from_json("value", "map<string,string>")).alias("cache_key", "payload")
     )
