@@ -216,13 +216,13 @@ def resolved_candidates(spark, sf_dir):
 
 def split_inputs(spark, sf_dir):
     events = corpus_events(spark, sf_dir)
-    labels = corpus.resolved_labels(events, CUTOFF)
-    preferences = corpus.pairwise_judgments(events, CUTOFF)
+    labels = materialized(corpus.resolved_labels(events, CUTOFF), "labels")
+    preferences = materialized(corpus.pairwise_judgments(events, CUTOFF), "preferences")
     anchors = labels.filter(F.col("label") == "negative").select("paper_id")
     splits = evaluation.make_splits(
         labels, preferences, CUTOFF, anchors=anchors, rolling_days=10, holdout_ratio=0.2
     )
-    return labels, preferences, splits
+    return labels, preferences, materialized(splits, "splits")
 
 
 SPLITS_SQL = f"""{CORPUS_SQL},

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import html
 import re
 import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -238,3 +240,7 @@ def paper_sections(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(
         [blank if v is None else sections_of(v) for v in values], columns=list(SECTION_TERMS)
     )
+
+
+# Functions travel to the workers by value, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -127,14 +127,13 @@ def split_labels(labels: DataFrame, splits: DataFrame) -> DataFrame:
     return members.join(one_each, "id")
 
 
-def item_labels(aliases: DataFrame, labels: DataFrame) -> DataFrame:
+def item_labels(labelled_aliases: DataFrame) -> DataFrame:
     """Label of each ranked paper through any of its aliases.
 
     ``conflict`` marks papers whose aliases carry different labels, which is an error upstream.
     """
     return (
-        aliases.join(labels, "id")
-        .groupBy("split", "ranking_id", "paper_id", "score")
+        labelled_aliases.groupBy("split", "ranking_id", "paper_id", "score")
         .agg(F.min("label").alias("label"), (F.min("label") != F.max("label")).alias("conflict"))
     )
 
@@ -180,7 +179,12 @@ def pairwise_accuracy(aliases: DataFrame, pairwise: DataFrame, splits: DataFrame
     inside = pair.join(members.withColumnRenamed("id", "winner"), "winner").join(
         members.withColumnRenamed("id", "other"), ["split", "other"]
     )
-    scores = aliases.groupBy("ranking_id", "id").agg(F.max("score").alias("score"))
+    asked = inside.select(F.explode(F.array("winner", "other")).alias("id")).distinct()
+    scores = (
+        aliases.join(asked, "id", "left_semi")
+        .groupBy("ranking_id", "id")
+        .agg(F.max("score").alias("score"))
+    )
     left = scores.select("ranking_id", F.col("id").alias("winner"), F.col("score").alias("_w"))
     right = scores.select("ranking_id", F.col("id").alias("other"), F.col("score").alias("_o"))
     return (
@@ -235,7 +239,9 @@ def evaluate_rankings(
     )
     aliases = _aliases(ranked)
     in_split = split_labels(labels, chosen)
-    labelled = materialized(item_labels(aliases, in_split), "labelled")
+    # Most ranked papers carry no label: only the labelled aliases go on to the metrics.
+    matched = materialized(aliases.join(in_split, "id"), "labelled")
+    labelled = item_labels(matched)
     keys = ["split", "ranking_id"]
     positive, negative = F.col("label") == "positive", F.col("label") == "negative"
 
@@ -245,9 +251,8 @@ def evaluate_rankings(
         F.count_if(negative).alias("negative_labels"),
     )
     overlap = (
-        aliases.select("ranking_id", "id")
+        matched.select(*keys, "id", "label")
         .distinct()
-        .join(in_split, "id")
         .groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("candidate_overlap"),
@@ -327,7 +332,8 @@ def evaluate_rankings(
 
 def label_alias_conflicts(ranked: DataFrame, labels: DataFrame, splits: DataFrame) -> DataFrame:
     """Ranked papers whose aliases carry different labels; any row is an error."""
-    return item_labels(_aliases(ranked), split_labels(labels, splits)).filter("conflict")
+    matched = _aliases(ranked).join(split_labels(labels, splits), "id")
+    return item_labels(matched).filter("conflict")
 
 
 def _texts(*conditions: tuple[Column, str]) -> Column:

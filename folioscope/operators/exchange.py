@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -395,3 +397,7 @@ def value_assessments(judgments: DataFrame) -> DataFrame:
         "paper_id", advance.alias("solution_advance"), depth.alias("technical_depth"),
         (1.0 - F.col("uncertainty")).alias("value_confidence"),
     ).filter(F.col("solution_advance").isNotNull() | F.col("technical_depth").isNotNull())
+
+
+# Functions travel to the workers by value, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

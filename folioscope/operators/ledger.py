@@ -41,7 +41,9 @@ def append_status(ledger: DataFrame, batch: DataFrame, key: str = "event_id") ->
     )
     # The stored side is only scanned: it meets the batch's keys first, then just the matches join.
     stored = ledger.select(key, body.alias("_known"))
-    known = scale.hot_key_join(stored, per_key.select(key), [key], rows=100_000)
+    known = scale.hot_key_join(
+        stored, per_key.select(key), [key], rows=100_000, sized_by=batch.select(key)
+    )
     joined = per_key.join(known, key, "left")
     conflict = (F.col("_low") != F.col("_high")) | (
         F.col("_known").isNotNull() & (F.col("_known") != F.col("_low"))

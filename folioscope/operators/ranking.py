@@ -73,7 +73,9 @@ def assign_pool(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
         F.col("retrieval_categories").alias("_wanted"),
     )
     offered = candidates.withColumn("_category", F.explode(F.array_distinct("categories")))
-    paired = scale.hot_key_join(offered, wanted, ["_category"])
+    paired = scale.hot_key_join(
+        offered, wanted, ["_category"], sized_by=wanted.select("_category")
+    )
     first = F.get(F.array_intersect("categories", "_wanted"), F.lit(0))
     return paired.filter(F.col("_category") == first).drop("_category", "_wanted")
 
@@ -83,7 +85,8 @@ def _with_profile(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
     if "profile_id" not in candidates.columns:
         raise ValueError("give candidates a profile_id, for example with assign_pool")
     return scale.hot_key_join(
-        candidates, prepared.drop("retrieval_categories"), ["profile_id"], rows=2_000
+        candidates, prepared.drop("retrieval_categories"), ["profile_id"], rows=2_000,
+        sized_by=profiles.select("profile_id"),
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.session import materialized
+
 BROADCAST_ROWS = 20_000
 SALTS = 16
 SAMPLE_PER_BUCKET = 16
@@ -24,14 +26,19 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def hot_key_join(
-    wide: DataFrame, narrow: DataFrame, keys: Sequence[str], rows: int = BROADCAST_ROWS
+    wide: DataFrame,
+    narrow: DataFrame,
+    keys: Sequence[str],
+    rows: int = BROADCAST_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Inner equi-join that survives one key holding a third of ``wide``.
 
-    A narrow side within ``rows`` is broadcast. Beyond it, ``wide`` is spread over salts and
+    A narrow side within ``rows`` is broadcast; ``sized_by`` is a cheaper table known to be no
+    smaller, counted in its place. Beyond it, ``wide`` is spread over salts and
     ``narrow`` is repeated once per salt, so a hot key is met by many tasks.
     """
-    if fits_broadcast(narrow, rows):
+    if fits_broadcast(narrow if sized_by is None else sized_by, rows):
         return wide.join(F.broadcast(narrow), list(keys))
     salted = wide.withColumn("_salt", F.pmod(F.xxhash64(*wide.columns), F.lit(SALTS)).cast("int"))
     spread = narrow.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
@@ -144,7 +151,7 @@ def position_within(
 def exact_medians(df: DataFrame, groups: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """Exact medians of several measures per group, NULLs skipped.
 
-    Equal values are counted together before any shuffle, then located by bucket counts, so
+    Equal values are counted together before any shuffle and written once, then located by bucket counts, so
     neither a hot group nor a long list of values meets in one task.
     """
     measures = list(values)
@@ -153,8 +160,8 @@ def exact_medians(df: DataFrame, groups: Sequence[str], values: dict[str, Column
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(m).alias("measure"), values[m].cast("double").alias("value"))
-                    for m in measures
+                    F.struct(F.lit(i).alias("measure"), values[m].cast("double").alias("value"))
+                    for i, m in enumerate(measures)
                 ]
             )
         ).alias("_m"),
@@ -164,6 +171,7 @@ def exact_medians(df: DataFrame, groups: Sequence[str], values: dict[str, Column
         .groupBy(*groups, "_measure", "_value")
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
+    counted = materialized(counted, "value-counts")
     keys = [*groups, "_measure"]
     bucketed = range_buckets(counted, [*keys, "_value"])
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_rows").alias("_size"))
@@ -192,5 +200,8 @@ def exact_medians(df: DataFrame, groups: Sequence[str], values: dict[str, Column
     median = (F.max(F.when(low_hit, F.col("_value"))) + F.max(F.when(high_hit, F.col("_value")))) / 2
     per_measure = ends.groupBy(*keys).agg(median.alias("_median"))
     return per_measure.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("_measure") == m, F.col("_median"))).alias(m) for m in measures]
+        *[
+            F.max(F.when(F.col("_measure") == i, F.col("_median"))).alias(m)
+            for i, m in enumerate(measures)
+        ]
     )

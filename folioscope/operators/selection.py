@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,3 +152,7 @@ def select_baseline(
     return _select(
         short.filter(F.col("score") >= minimum_score), keys, passes, target, strict=False
     )
+
+
+# Functions travel to the workers by value, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
