@@ -99,9 +99,13 @@ def prepare_candidates(candidates: DataFrame) -> DataFrame:
     return (
         candidates.withColumn("words", text.ranking_terms(F.concat_ws(" ", "title", "summary")))
         .drop("summary")
-        .withColumn("_parts", text.hyphen_parts(F.col("words")))
-        .withColumn("_authors_norm", text.normalized_identities(F.col("authors")))
-        .withColumn("_places_norm", text.normalized_identities(F.col("affiliations")))
+        .withColumns(
+            {
+                "_parts": text.hyphen_parts(F.col("words")),
+                "_authors_norm": text.normalized_identities(F.col("authors")),
+                "_places_norm": text.normalized_identities(F.col("affiliations")),
+            }
+        )
     )
 
 
@@ -131,27 +135,21 @@ def _local_features(
     known = lambda c: F.filter(c, lambda n: n != "")
     author_hit = F.arrays_overlap(known(F.col("_authors_norm")), F.col("_author_names"))
     place_hit = F.arrays_overlap(known(F.col("_places_norm")), F.col("_place_names"))
-    return (
-        joined.withColumn("source", _tier(F.col("_core"), F.col("_adjacent")))
-        .withColumn(
-            "term_overlap",
-            F.size(F.array_intersect(F.col("words"), F.col("_topics"))).cast("double"),
-        )
-        .withColumn("topic_count", F.size("_topics"))
-        .withColumn("recency", moments.freshness(moments.instant(now), F.col("published")))
-        .withColumn(
-            "watched_author", F.least(F.when(author_hit, author).otherwise(0.0), F.lit(cap))
-        )
-        .withColumn(
-            "watched_institution",
-            F.least(
-                F.when(place_hit, place).otherwise(0.0),
-                F.greatest(F.lit(0.0), F.lit(cap) - F.col("watched_author")),
-            ),
-        )
-        .withColumn(
-            "_watching", (F.size("_author_names") > 0) | (F.size("_place_names") > 0)
-        )
+    return joined.withColumns(
+        {
+            "source": _tier(F.col("_core"), F.col("_adjacent")),
+            "term_overlap": F.size(F.array_intersect("words", "_topics")).cast("double"),
+            "topic_count": F.size("_topics"),
+            "recency": moments.freshness(moments.instant(now), F.col("published")),
+            "watched_author": F.least(F.when(author_hit, author).otherwise(0.0), F.lit(cap)),
+            "_place_bonus": F.when(place_hit, place).otherwise(0.0),
+            "has_watchlist": (F.size("_author_names") > 0) | (F.size("_place_names") > 0),
+            "has_facets": F.size("_facets") > 0,
+            "_met": F.array_intersect("_parts", "_facet_words"),
+        }
+    ).withColumn(
+        "watched_institution",
+        F.least("_place_bonus", F.greatest(F.lit(0.0), F.lit(cap) - F.col("watched_author"))),
     )
 
 
@@ -187,24 +185,19 @@ def feature_table(
     local = _local_features(
         candidates, profiles, now, (author_bonus, institution_bonus, identity_bonus_cap)
     )
-    return (
-        local.withColumn(
-            "lexical",
-            F.least(
+    return local.withColumns(
+        {
+            "lexical": F.least(
                 F.col("term_overlap") / F.greatest(F.col("topic_count"), F.lit(1)), F.lit(1.0)
             ),
-        )
-        .withColumn("category", _tier_value(TIER_VALUE))
-        .withColumn("has_facets", F.size("_facets") > 0)
-        .withColumn("_met", F.array_intersect("_parts", "_facet_words"))
-        .withColumn("facet", F.when(F.col("has_facets"), _facet_value()).otherwise(0.0))
-        .withColumn("identity", F.col("watched_author") + F.col("watched_institution"))
-        .withColumn("has_watchlist", F.col("_watching"))
-        .drop(
-            "_topics", "_core", "_adjacent", "_author_names", "_place_names", "_facets", "_parts",
-            "_facet_words", "_met",
-            "_authors_norm", "_places_norm", "_watching", "words", "topic_count",
-        )
+            "category": _tier_value(TIER_VALUE),
+            "facet": F.when(F.col("has_facets"), _facet_value()).otherwise(0.0),
+            "identity": F.col("watched_author") + F.col("watched_institution"),
+        }
+    ).drop(
+        "_topics", "_core", "_adjacent", "_author_names", "_place_names", "_facets", "_parts",
+        "_facet_words", "_met", "_place_bonus", "_authors_norm", "_places_norm", "words",
+        "topic_count",
     )
 
 
@@ -269,10 +262,9 @@ def score_features(
     ``weight_set_version``.
     """
     sets = [weights] if isinstance(weights, Mapping) else list(weights)
-    for g in GROUPS:
-        for prefix in ("_x_", "_n_"):
-            if prefix + g not in features.columns:
-                features = features.withColumn(prefix + g, F.lit(None).cast("double"))
+    present = set(features.columns)
+    absent = [p + g for g in GROUPS for p in ("_x_", "_n_") if p + g not in present]
+    features = features.withColumns({c: F.lit(None).cast("double") for c in absent})
     df = features.withColumns({f"{g}_value": v for g, v in _group_values().items()}).drop(
         *[p + g for g in GROUPS for p in ("_x_", "_n_")]
     )
@@ -292,10 +284,8 @@ def score_features(
     total = F.lit(0.0)
     for g in GROUPS:
         total = total + F.coalesce(F.col(f"{g}_contribution"), F.lit(0.0))
-    return (
-        df.withColumn("score", total)
-        .withColumn("weight_set_version", F.col("_w.version"))
-        .drop("_w", "_known")
+    return df.withColumns({"score": total, "weight_set_version": F.col("_w.version")}).drop(
+        "_w", "_known"
     )
 
 
@@ -345,11 +335,13 @@ def baseline_features(features: DataFrame, feedback_adjustments: DataFrame | Non
     total = F.lit(0.0)
     for part in _baseline_parts():
         total = total + part
-    return (
-        features.withColumn("score", total)
-        .withColumn("lexical", F.col("term_overlap"))
-        .withColumn("category", _tier_value(BASELINE_TIER_VALUE))
-        .withColumn("weight_set_version", F.lit(BASELINE_VERSION))
+    return features.withColumns(
+        {
+            "score": total,
+            "lexical": F.col("term_overlap"),
+            "category": _tier_value(BASELINE_TIER_VALUE),
+            "weight_set_version": F.lit(BASELINE_VERSION),
+        }
     )
 
 
@@ -385,8 +377,7 @@ def score_versions(features: DataFrame, sets: Sequence[Mapping]) -> DataFrame:
     ]
     return (
         scored.withColumn("_s", F.explode(F.array(*versions)))
-        .withColumn("score", F.col("_s.score"))
-        .withColumn("weight_set_version", F.col("_s.version"))
+        .withColumns({"score": F.col("_s.score"), "weight_set_version": F.col("_s.version")})
         .drop("_s")
     )
 

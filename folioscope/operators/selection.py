@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text
 from folioscope.operators import ranking
+from folioscope.session import materialized
 
 # ---- fixed values -------------------------------------------------------------------------
 POLICY = {
@@ -93,7 +94,12 @@ def _greedy(rows: pd.DataFrame, passes: Sequence[tuple[str | None, int]], stop:
 
 
 def _select(short: DataFrame, keys: Sequence[str], passes, stop: int, strict: bool) -> DataFrame:
-    """Sequential choice per profile over its shortlist (U4); at most 80 rows reach one call."""
+    """Sequential choice per profile over its shortlist (U4); at most 80 rows reach one call.
+
+    The shortlist is written once: it is read for the choice and again for the chosen rows, and
+    scoring must not run twice.
+    """
+    short = materialized(short, "shortlist")
     lean = short.select(
         F.to_json(F.struct(*keys)).alias("_key"),
         "paper_id",
