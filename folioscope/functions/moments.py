@@ -93,3 +93,8 @@ def generation_decision(at: Column, event_name: Column, allow_peak: bool = False
 
 def days_before(at: Column, days: int) -> Column:
     return at - F.expr(f"INTERVAL {int(days)} DAYS")
+
+
+def day_key(at: Column) -> Column:
+    """UTC calendar day, for evidence kept once per day."""
+    return F.date_format(at, "yyyy-MM-dd")

@@ -330,6 +330,21 @@ def evaluate_rankings(
     )
 
 
+def replay_snapshot(
+    ranked: DataFrame, snapshot: dict[str, DataFrame], split: str, ks: Sequence[int] = (20,)
+) -> DataFrame:
+    """Metrics of rankings against the labels frozen in one stored snapshot.
+
+    ``snapshot`` is what ``readers.read_snapshot`` gives, cut to one snapshot id.
+    """
+    if not snapshot["splits"].filter(F.col("split") == split).limit(1).count():
+        raise ValueError("the snapshot does not hold the requested split")
+    return evaluate_rankings(
+        ranked, snapshot["labels"], snapshot["splits"], snapshot["pairwise"], ks=ks,
+        split_names=(split,),
+    )
+
+
 def label_alias_conflicts(ranked: DataFrame, labels: DataFrame, splits: DataFrame) -> DataFrame:
     """Ranked papers whose aliases carry different labels; any row is an error."""
     matched = _aliases(ranked).join(split_labels(labels, splits), "id")
