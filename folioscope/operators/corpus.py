@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import hashing, identity
 from folioscope.functions.moments import instant
 from folioscope.operators import ledger, scale
+from folioscope.session import materialized
 
 # ---- fixed values -------------------------------------------------------------------------
 KINDS = ["label", "pairwise", "unlabel"]
@@ -204,7 +205,9 @@ def change_events(changes: DataFrame) -> DataFrame:
 
 def import_labels(items, events, positive, negative, observed_at, **options):
     """Ledger after the import, and its counts."""
-    changes = label_changes(items, events, positive, negative, observed_at, **options)
+    changes = materialized(
+        label_changes(items, events, positive, negative, observed_at, **options), "label-changes"
+    )
     if changes.filter(F.col("action") == "both").limit(1).count():
         raise ValueError("an item cannot be both positive and negative")
     status = ledger.append_status(events, change_events(changes))

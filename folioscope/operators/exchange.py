@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import hashing, identity, text
 from folioscope.operators import contracts
+from folioscope.session import materialized
 
 # ---- fixed values -------------------------------------------------------------------------
 REQUEST_TOKENS = 12_000
@@ -221,7 +222,12 @@ def _within(value: Column, low: int, high: int) -> Column:
 
 
 def _complete(valid: DataFrame, rejects: DataFrame, requested: DataFrame):
-    """Batches are all or nothing: every requested paper once, none beside them."""
+    """Batches are all or nothing: every requested paper once, none beside them.
+
+    Both halves are written once, so the JSON is not parsed again for every check.
+    """
+    valid = materialized(valid, "answers")
+    rejects = materialized(rejects.select("batch_id", "reason"), "answer-rejects")
     answered = valid.groupBy("batch_id", "paper_id").agg(F.count(F.lit(1)).alias("_n"))
     matched = requested.select("batch_id", "paper_id", F.lit(1).alias("_asked")).join(
         answered, ["batch_id", "paper_id"], "full_outer"
@@ -232,7 +238,7 @@ def _complete(valid: DataFrame, rejects: DataFrame, requested: DataFrame):
         .when(F.col("_n") > 1, "paper is answered twice")
     )
     broken = matched.withColumn("reason", reason).filter(F.col("reason").isNotNull())
-    all_rejects = rejects.select("batch_id", "reason").unionByName(
+    all_rejects = rejects.unionByName(
         broken.select("batch_id", "reason")
     )
     failed = all_rejects.select("batch_id").distinct()

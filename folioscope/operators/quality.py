@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import hashing
 from folioscope.operators import ledger
+from folioscope.session import materialized
 
 # ---- fixed values -------------------------------------------------------------------------
 TRAITS = {
@@ -103,13 +104,13 @@ def explicit_feedback(papers: DataFrame, feedback: DataFrame) -> DataFrame:
     return spoken.join(papers.select("paper_id"), "paper_id", "left_semi")
 
 
-def trait_support(traits: DataFrame, papers: DataFrame, feedback: DataFrame) -> DataFrame:
+def trait_support(traits: DataFrame, papers: DataFrame, explicit: DataFrame) -> DataFrame:
     """Support of every trait: summed paper weights over the field's largest sum.
 
-    ``papers`` holds the approved paper ids, one row each.
+    ``papers`` holds the approved paper ids, one row each; ``explicit`` their counted feedback.
     """
-    explicit = explicit_feedback(papers, feedback).withColumn("delta", outcome_step())
-    folded = ledger.clamped_weights(explicit, "paper_id", start=START_WEIGHT, floor=FLOOR)
+    steps = explicit.withColumn("delta", outcome_step())
+    folded = ledger.clamped_weights(steps, "paper_id", start=START_WEIGHT, floor=FLOOR)
     weights = papers.select("paper_id").join(folded, "paper_id", "left").select(
         "paper_id", F.coalesce("weight", F.lit(START_WEIGHT)).alias("weight")
     )
@@ -146,8 +147,10 @@ def quality_reference(
     if duplicate_approvals(examples).limit(1).count():
         raise ValueError("an approved paper is listed twice")
     papers = examples.filter("approved").select("paper_id")
-    explicit = explicit_feedback(papers, feedback)
-    support = trait_support(long_traits(examples), papers, feedback)
+    explicit = materialized(explicit_feedback(papers, feedback), "explicit-feedback")
+    support = materialized(
+        trait_support(long_traits(examples), papers, explicit), "trait-support"
+    )
     one = F.lit(1).alias("_one")
     digest = hashing.set_digest(support, hashing.content_hash(["field", "name", "support"]))
     approved_count = papers.agg(F.count(F.lit(1)).alias("approved_example_count"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.moments import days_before, instant
 from folioscope.operators import corpus, ledger, pool, scale
+from folioscope.session import materialized
 from folioscope.sources import writers
 
 
@@ -121,7 +122,7 @@ def ingest_events(stream: DataFrame, root: str, delay: str | None = None) -> Dat
 
     def new_rows(so_far, batch):
         stored = batch.limit(0) if so_far is None else so_far.select(*columns)
-        status = ledger.append_status(stored, batch)
+        status = materialized(ledger.append_status(stored, batch), "append-status")
         if status.filter("conflict").limit(1).count():
             raise ValueError("event_id conflicts with a stored event")
         return ledger.appended_rows(status).select(*columns)
