@@ -82,8 +82,8 @@ def _sql_literal(value, kind: str) -> str:
 def range_buckets(df: DataFrame, order: Sequence[str], name: str = "_bucket") -> DataFrame:
     """Tag rows with order-preserving buckets cut at sampled keys.
 
-    The sample is the rows with the smallest key hashes: bounded, repeatable, and one pass. The
-    cut points become one constant, so a row's bucket depends on its key alone and is found by
+    The sample is the rows with the smallest key hashes: bounded, repeatable, and thinned inside
+    the tasks before it meets in one. The cut points become one constant, so a row's bucket depends on its key alone and is found by
     binary search. A group of any size is spread over as many buckets as its share of the rows.
     """
     spark = df.sparkSession
@@ -93,7 +93,13 @@ def range_buckets(df: DataFrame, order: Sequence[str], name: str = "_bucket") ->
         F.unix_micros(c).alias(c) if kinds[c] == "timestamp" else F.col(c).alias(c) for c in order
     ]
     keys = df.select(*plain)
-    sampled = keys.orderBy(F.xxhash64(*order), *order).limit(buckets * SAMPLE_PER_BUCKET)
+    wanted, total = buckets * SAMPLE_PER_BUCKET, keys.count()
+    spread_hash = F.shiftrightunsigned(F.xxhash64(*order), 1)
+    small = keys
+    if total > 4 * wanted:
+        # Thin the rows by hash where they are, so the final cut meets a few times the sample.
+        small = keys.filter(spread_hash < F.lit(int((1 << 63) * (4 * wanted / total))))
+    sampled = small.orderBy(spread_hash, *order).limit(wanted)
     ordered = sampled.orderBy(*order).collect()
     step = max(1, len(ordered) // buckets)
     cuts = [tuple(row) for row in ordered[step::step]]
