@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontamination, jaccard
+from folioscope.llm import decontamination, jaccard, packing
 
-_MODULES = (decontamination, jaccard)
+_MODULES = (decontamination, jaccard, packing)
 QUERIES = {module.NAME: module.run_query for module in _MODULES}
 ORACLE = {m.NAME: m.SQL for m in _MODULES if getattr(m, "SQL", None)}
