@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.llm import coding, decontamination, jaccard, packing
+from folioscope.llm import archive, coding, counting, decontamination, jaccard, packing
 
-_MODULES = (coding, decontamination, jaccard, packing)
+_MODULES = (archive, coding, counting, decontamination, jaccard, packing)
 QUERIES = {module.NAME: module.run_query for module in _MODULES}
 ORACLE = {m.NAME: m.SQL for m in _MODULES if getattr(m, "SQL", None)}
