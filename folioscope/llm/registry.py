@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.llm import archive, coding, counting, decontamination, jaccard, packing
+from folioscope.llm import (
+    archive, coding, counting, decontamination, jaccard, packing, personal, quality, secrets,
+)
 
-_MODULES = (archive, coding, counting, decontamination, jaccard, packing)
+_MODULES = (quality, coding, decontamination, packing, archive, personal, jaccard, counting, secrets)
 QUERIES = {module.NAME: module.run_query for module in _MODULES}
 ORACLE = {m.NAME: m.SQL for m in _MODULES if getattr(m, "SQL", None)}
