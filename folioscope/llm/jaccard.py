@@ -49,6 +49,8 @@ STAR_COLUMNS = 4
 #: Frequent columns that go last in the order. Any set of columns gives the same links; these
 #: keep the product small. So many hashes are broadcast at most (8 bytes each).
 FREQUENT_COLUMNS = 200_000
+#: Ids are broadcast up to so many rows (16 bytes each and a hash table); beyond it they are shuffled.
+BROADCAST_ROWS = 2_000_000
 #: Tasks count columns over about so many incidences at a time and report what recurs.
 COUNT_BLOCK = 2_000_000
 RECURS = 4
@@ -145,38 +147,35 @@ def prefixes(docs: DataFrame, frequent, n: int, threshold: tuple[int, int]) -> D
     return arrow_pass(docs.select("id", "text"), "text", schema, work)
 
 
-def whole_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Each document's set, as the bytes of its hashes in order."""
+def verified(
+    pairs: DataFrame, texts: DataFrame, n: int, threshold: tuple[int, int]
+) -> DataFrame:
+    """Pairs ``(a, b)`` whose whole sets reach the threshold, with the sizes of their overlap.
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [values.tobytes() for values in shingle_sets(_column(batch, "text"), n)]
-        return pa.RecordBatch.from_pydict(
-            {"id": _column(batch, "id"), "set": pa.array(sets, pa.binary())})
+    Texts travel, not sets: they pack to half the size. Where an id has several texts, any pair
+    of them counts.
+    """
+    part, whole = threshold
 
-    return arrow_pass(docs.select("id", "text"), "text", "id bigint, set binary", work)
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(shingle_sets(_column(batch, "text_a"), n), shingle_sets(_column(batch, "text_b"), n))
+        sizes = np.array([(len(np.intersect1d(x, y, True)), len(x) + len(y)) for x, y in rows], np.int64)
+        common, both = sizes[:, 0], sizes[:, 1]
+        good = (common > 0) & (whole * common >= part * (both - common))
+        return pa.RecordBatch.from_pydict({
+            "a": _column(batch, "a"), "b": _column(batch, "b"), "overlap": common,
+        }).filter(pa.array(good))
 
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    found = arrow_pass(joined, "text_a", "a bigint, b bigint, overlap bigint", work)
+    return found.groupBy("a", "b").agg(F.max("overlap").alias("overlap"))
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs ``(a, b)`` whose whole sets reach the threshold, with the sizes of their overlap."""
-    part, whole = threshold
 
-    def run(batches):
-        for batch in batches:
-            common = np.array([
-                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), True))
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ], np.int64)
-            sizes = [np.array([len(x) // 8 for x in batch.column(i).to_pylist()], np.int64)
-                     for i in (2, 3)]
-            good = whole * common >= part * (sizes[0] + sizes[1] - common)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(common)], names=["a", "b", "overlap"]
-            ).filter(pa.array(good))
-
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(run, "a bigint, b bigint, overlap bigint").distinct()
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids, marked for broadcast only where a count says it is small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def link_documents(
@@ -204,56 +203,64 @@ def link_documents(
     classes = materialized(
         rows.filter("size > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id")),
         "jaccard-classes")
-    first = prefixes(texts, frequent, n, threshold).filter("size > 0")
-    entries = materialized(
-        first.join(classes, ["id", "digest"], "left_semi")
-        .select("id", "size", F.posexplode("columns").alias("place", "column")),
-        "jaccard-prefixes")
+    # Copies leave; of each class its representative stays.
+    copies = materialized(
+        rows.filter("size > 0").join(classes.withColumnRenamed("id", "kept"), "digest")
+        .filter("id <> kept").select("id", "digest").distinct(), "jaccard-copies")
+    first = (
+        prefixes(texts, frequent, n, threshold).filter("size > 0 and id is not null")
+        .join(few(copies), ["id", "digest"], "left_anti").dropDuplicates(["id", "digest"])
+        if repeats_ids(rows) else
+        prefixes(texts, frequent, n, threshold).filter("size > 0 and id is not null")
+        .join(few(copies), ["id", "digest"], "left_anti"))
+    first = materialized(first.select("id", "size", "columns"), "jaccard-prefixes")
     fits = (whole * F.least("size_a", "size_b")) >= (part * F.greatest("size_a", "size_b"))
 
-    # Rows that share any prefix column with another row are the only ones whose sets are needed.
-    shared = entries.groupBy("column").agg(F.count("*").alias("rows")).filter("rows > 1")
-    shared = materialized(entries.join(shared.select("column"), "column"), "jaccard-shared")
-    wanted = shared.select("id").distinct()
-    sets = materialized(
-        whole_sets(texts.join(wanted, "id", "left_semi"), n)
-        .join(classes, "id", "left_semi").dropDuplicates(["id", "set"]), "jaccard-sets")
+    def documents_of(pairs: DataFrame, name: str) -> DataFrame:
+        ids = materialized(
+            pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
+        return materialized(texts.join(few(ids), "id", "left_semi"), f"{name}-texts")
 
-    stars = shared.filter(F.col("place") < STAR_COLUMNS)
+    # Stars: a row against the smallest row of its first columns. What they miss, the product finds.
+    stars = first.select(
+        "id", "size", F.explode(F.slice("columns", 1, STAR_COLUMNS)).alias("column"))
     heads = stars.groupBy("column").agg(
-        F.min(F.struct("size", "id")).alias("head")).select(
-        "column", F.col("head.id").alias("a"), F.col("head.size").alias("size_a"))
-    near = (
+        F.min(F.struct("size", "id")).alias("head"), F.count("*").alias("rows")).filter("rows > 1")
+    heads = heads.select("column", F.col("head.id").alias("a"), F.col("head.size").alias("size_a"))
+    near = materialized(
         stars.select("column", F.col("id").alias("b"), F.col("size").alias("size_b"))
-        .join(heads, "column").filter(fits & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-    )
-    star_links = materialized(verified(near, sets, threshold), "jaccard-star-links")
+        .join(heads, "column").filter(fits & (F.col("a") != F.col("b")))
+        .groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("met"))
+        .filter(F.col("met") >= F.least(F.lit(2), "size_a")).select("a", "b"), "jaccard-stars")
+    star_links = materialized(
+        verified(near, documents_of(near, "jaccard-stars"), n, threshold), "jaccard-star-links")
     groups = components(star_links, "jaccard-groups")
 
     # The blocked product, between components only.
-    grouped = shared.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
-        "column", "id", "size", F.coalesce("component", "id").alias("component"))
-    grouped = materialized(grouped, "jaccard-grouped")
+    grouped = first.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", "size", F.coalesce("component", "id").alias("component"),
+        F.explode("columns").alias("column"))
     mixed = grouped.groupBy("column").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).filter("low < high").select("column")
-    left = grouped.join(mixed, "column")
-    right = left.select("column", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "component")])
-    left = left.select("column", *[F.col(c).alias(f"{c}_a") for c in ("id", "size", "component")])
+    blocks = materialized(grouped.join(mixed, "column"), "jaccard-blocks")
+    left, right = (
+        blocks.select("column", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "component")])
+        for side in "ab")
     prefix = lambda size: size - F.ceil(part * size / F.lit(whole)) + 1
     rest = lambda side: F.col(f"size_{side}") - prefix(F.col(f"size_{side}"))
     needed = F.ceil(part * (F.col("size_a") + F.col("size_b")) / F.lit(part + whole))
-    pairs = (
+    pairs = materialized(
         left.join(right, "column")
         .filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits)
         .groupBy("id_a", "id_b", "size_a", "size_b").agg(F.count("*").alias("overlap"))
         # Of the set whose prefix ends first, all columns up to there are counted; behind it
         # no more can agree than it has left.
         .filter(F.col("overlap") + F.greatest(rest("a"), rest("b")) >= needed)
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    )
-    links = star_links.unionByName(verified(materialized(pairs, "jaccard-pairs"), sets, threshold))
-    linked = components(links.select("a", "b"), "jaccard-components")
+        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "jaccard-pairs")
+    far_links = verified(pairs, documents_of(pairs, "jaccard-pairs"), n, threshold)
+    linked = components(
+        star_links.unionByName(far_links).select("a", "b"), "jaccard-components")
 
     ids = classes.join(linked.withColumnRenamed("node", "id"), "id", "left").select(
         "digest", F.coalesce("component", "id").alias("component"))
@@ -271,6 +278,12 @@ def link_documents(
         F.coalesce(F.when(F.col("size") > 0, F.col("component")), "id").alias("component_id"))
 
 
+def repeats_ids(rows: DataFrame) -> bool:
+    """Whether an id has rows with equal sets; their prefixes must count once."""
+    return rows.filter("size > 0 and id is not null").groupBy("id", "digest").count().filter(
+        "count > 1").limit(1).count() > 0
+
+
 def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the size of its shingle set and its component."""
     return link_documents(table(spark, sf_dir, "documents"))
