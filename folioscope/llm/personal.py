@@ -9,9 +9,9 @@ one place decides the same token in another: a number without its country code,
 its end. Base matches are observed labels and always stay; the model adds spans.
 
 Weights are fitted by pseudo-likelihood on a bounded sample of documents whose base matches serve
-as labels. Each labelled token also stands there a second time in a worn form (without country code
-or end), with the same label, so that skip potentials learn to carry a label on. Every document is
-then searched.
+as labels. Each labelled token also stands there a second time with its shape hidden and the same
+label, so that skip potentials, not shapes, learn to carry a label on. Every document is then
+searched.
 """
 
 from __future__ import annotations
@@ -174,19 +174,6 @@ def pass_messages(nodes: np.ndarray, edges: np.ndarray, weights: np.ndarray, rou
     return p / p.sum(axis=1, keepdims=True)
 
 
-def worn(token: str, label: int) -> str:
-    """A token as it may come up again: an address without its end, a number with dots or without
-    its country code."""
-    if KINDS[label - 1] == "email":
-        return token.rpartition(".")[0]
-    if KINDS[label - 1] == "ip":
-        return token.replace(".", "-")
-    if KINDS[label - 1] == "card":
-        digits = _DIGITS.sub("", token)
-        return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
-    return token[3:].lstrip(" ().-")
-
-
 def fit(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict:
     """Weights by pseudo-likelihood: each node given the labels of its neighbours."""
     features, labels, edges, size = [], [], [], 0
@@ -195,10 +182,10 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e
         features += [node_features(text[a:b]) for a, b, _ in nodes]
         labels += [max(label, 0) for _, _, label in nodes]
         edges += [(i + size, j + size, t) for i, j, t in edges_of([n[:2] for n in nodes], text)]
-        more = [(i, worn(text[a:b], label), label) for i, (a, b, label) in enumerate(nodes) if label > 0]
-        features += [node_features(token) for _, token, _ in more]
-        labels += [label for *_, label in more]
-        edges += [(i + size, size + len(nodes) + k, 2) for k, (i, *_) in enumerate(more)]
+        more = [(i, label) for i, (*_, label) in enumerate(nodes) if label > 0]
+        features += [np.eye(1, _FEATURES)[0] for _ in more]
+        labels += [label for _, label in more]
+        edges += [(i + size, size + len(nodes) + k, 2) for k, (i, _) in enumerate(more)]
         size += len(nodes) + len(more)
     x = np.array(features, float).reshape(size, _FEATURES)
     y = np.array(labels, int)
@@ -206,7 +193,7 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e
     near = np.zeros((size, 3, _LABELS))
     for a, b in ((0, 1), (1, 0)):
         np.add.at(near, (e[:, a], e[:, 2], y[e[:, b]]), 1.0)
-    near = np.minimum(near, 1.0).reshape(size, -1)
+    near = np.minimum(near, 1.0).reshape(size, 3 * _LABELS)
     inputs = np.concatenate([x, near], axis=1)
     w = np.zeros((inputs.shape[1], _LABELS))
     hot = np.eye(_LABELS)[y]
@@ -243,9 +230,11 @@ def add_spans(texts: list[str], model: dict) -> list[list[tuple[str, int, int, b
             potentials.append(p)
             owners.append((row, a, b, label))
     beliefs = pass_messages(np.array(potentials), np.array(edges, int).reshape(-1, 3), model["pairs"])
-    for (row, a, b, label), p in zip(owners, beliefs):
+    # A token that resembles no other has nothing but its shape, and base patterns judge that.
+    alike = {i for a, b, kind in edges if kind for i in (a, b)}
+    for i, ((row, a, b, label), p) in enumerate(zip(owners, beliefs)):
         best = int(p[1:].argmax()) + 1
-        if label < 0 and p[best] >= CERTAIN:
+        if label < 0 and i in alike and p[best] >= CERTAIN:
             out[row].append((KINDS[best - 1], a, b, False))
     return [sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])) for spans in out]
 
