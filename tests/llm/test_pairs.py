@@ -7,7 +7,7 @@ import pytest
 from folioscope.llm import decontamination, jaccard
 from folioscope.llm.components import components
 
-from .samples import AWKWARD, documents, prose
+from llm_samples import AWKWARD, documents, prose
 
 
 def brute_components(rows):

@@ -11,7 +11,7 @@ from folioscope.llm import coding, counting
 from folioscope.llm.tokens import encoder, vocabulary_path
 from folioscope.session import materialized, work_dir
 
-from .samples import AWKWARD, documents, prose
+from llm_samples import AWKWARD, documents, prose
 
 BYTE, WORD = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("word_bpe_49k.json")
 PARTS = ["a", "B", " ", "  ", "\n", "\n\n", "the", "Ġ", "é", "naïve", "'s", "12", "\t", "\x1c", "\x85", "!!", "İ",
