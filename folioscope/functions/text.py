@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import sys
 import html
 import re
+import sys
 import unicodedata
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -40,8 +39,19 @@ SECTION_TERMS = {
 }
 SECTION_CHARACTERS = 4_000
 TOTAL_CHARACTERS = 10_000
+COMMON_ENTITIES = {
+    "&nbsp;": "\u00a0", "&copy;": "\u00a9", "&middot;": "\u00b7", "&quot;": '"', "&apos;": "'",
+    "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&",
+}
 # -------------------------------------------------------------------------------------------
 
+TAG = r"(?s)<(?:[A-Za-z/!?][^>]*)(?:>|\z)"
+ANY_ENTITY = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);?"
+#: Entities that the column expressions leave to Python.
+RARE_ENTITY = r"&(?!(?:nbsp|copy|middot|quot|apos|#39|lt|gt|amp);)#?[A-Za-z0-9]"
+#: Characters that NFKC may change; Latin letters outside this class stay what they are.
+NOT_NFKC_SAFE = r"[^\x00-\x7F\u00A9\u00AB\u00B0\u00B7\u00BB\u00C0-\u0131]"
+
 # Characters whose full case folding adds ASCII letters that ``lower`` leaves alone; found by
 # rule, so the list follows the Unicode tables of the running Python.
 _ASCII = re.compile(r"[a-z]")
@@ -150,96 +160,114 @@ def normalized_identities(names: Column) -> Column:
     )
 
 
-class _Events(HTMLParser):
-    """Flattens HTML into (kind, payload) events for the two reducers below."""
+def _named_entity(match: re.Match) -> str:
+    found = html.unescape(match.group())
+    return match.group() if found in ("<", ">", "&") else found
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, str]] = []
-        self.handle_starttag = lambda tag, attrs: self.out.append(("open", tag))
-        self.handle_endtag = lambda tag: self.out.append(("close", tag))
-        self.handle_data = lambda data: self.out.append(("text", data))
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _rare_entities(values: pd.Series) -> pd.Series:
+    """Entities outside ``COMMON_ENTITIES``; those that would read as markup stay."""
+    return values.map(
+        lambda items: None if items is None
+        else [None if v is None else re.sub(ANY_ENTITY, _named_entity, v) for v in items]
+    )
 
-def html_events(text: str) -> list[tuple[str, str]]:
-    parser = _Events()
-    parser.feed(text)
-    parser.close()
-    return parser.out
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc(values: pd.Series) -> pd.Series:
+    return values.map(
+        lambda items: None if items is None
+        else [None if v is None else unicodedata.normalize("NFKC", v) for v in items]
+    )
 
-def _one_space(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
 
+def _where(items: Column, pattern: str, udf) -> Column:
+    """Arrays with an element that matches go through ``udf``; all others stay as they are."""
+    found = F.exists(items, lambda v: v.rlike(pattern))
+    return F.when(found, udf(F.when(found, items))).otherwise(items)
 
-def plain_text(text: str) -> str:
-    """Visible text: script and style dropped, block tags separate words."""
-    pieces, hidden = [], 0
-    for kind, payload in html_events(text):
-        if payload in ("script", "style") and kind != "text":
-            hidden = hidden + 1 if kind == "open" else max(0, hidden - 1)
-        elif hidden:
-            continue
-        elif kind == "text":
-            pieces.append(payload)
-        elif payload in ("div", "p", "li") or (payload == "br" and kind == "open"):
-            pieces.append(" ")
-    return _one_space(unicodedata.normalize("NFKC", html.unescape("".join(pieces))))
 
+def _without(text: Column, *elements: str) -> Column:
+    """HTML without comments and without these elements and what they hold."""
+    names = "|".join(elements)
+    bare = F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", "")
+    return F.regexp_replace(bare, rf"(?is)<({names})\b[^>]*>.*?(?:</\1\s*>|\z)", "")
 
-@F.pandas_udf(T.StringType())
-def html_to_text(values: pd.Series) -> pd.Series:
-    """HTML to normalized text."""
-    return values.map(lambda v: "" if v is None else plain_text(v))
 
+def _unescaped(text: Column) -> Column:
+    for name, char in COMMON_ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def html_to_texts(values: pd.Series) -> pd.Series:
-    """``html_to_text`` over every element of an array, in one Arrow round trip."""
-    return values.map(lambda items: None if items is None else [plain_text(v) for v in items])
-
-
-def sections_of(text: str) -> dict[str, str | None]:
-    """Text under headings that name a method, an evaluation or limitations, within budget."""
-    found: dict[str, list[str]] = {name: [] for name in SECTION_TERMS}
-    hidden, heading, active, used = 0, None, None, 0
-    for kind, payload in html_events(text):
-        if kind == "text":
-            if hidden:
-                continue
-            if heading is not None:
-                heading.append(payload)
-            elif active is not None:
-                room = min(
-                    SECTION_CHARACTERS - sum(map(len, found[active])), TOTAL_CHARACTERS - used
-                )
-                piece = _one_space(payload)[: max(room, 0)]
-                if piece:
-                    found[active].append(piece)
-                    used += len(piece)
-            continue
-        if payload in ("script", "style", "nav"):
-            hidden = hidden + 1 if kind == "open" else max(0, hidden - 1)
-        if re.fullmatch("h[1-6]", payload):
-            if kind == "open":
-                heading = []
-            else:
-                label = _one_space(" ".join(heading or [])).casefold()
-                active = None
-                for name, terms in SECTION_TERMS.items():
-                    if active is None and any(term in label for term in terms):
-                        active = name
-                heading = None
-    return {name: _one_space(" ".join(parts)) or None for name, parts in found.items()}
-
-
-@F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in SECTION_TERMS]))
-def paper_sections(values: pd.Series) -> pd.DataFrame:
-    """Method, evaluation and limitation text of a paper's HTML."""
-    blank = dict.fromkeys(SECTION_TERMS)
-    return pd.DataFrame(
-        [blank if v is None else sections_of(v) for v in values], columns=list(SECTION_TERMS)
-    )
+
+def html_to_texts(items: Column) -> Column:
+    """Visible text of every HTML string of an array: script and style dropped, block tags
+    separate words, entities and compatibility forms resolved (I10, U2)."""
+    def visible(raw: Column) -> Column:
+        spaced = F.regexp_replace(
+            _without(raw, "script", "style"), r"(?i)</?(?:div|p|li)\b[^>]*>|<br\b[^>]*>", " ")
+        return F.regexp_replace(spaced, TAG, "")
+
+    bare = _where(F.transform(items, visible), RARE_ENTITY, _rare_entities)
+    plain = _where(F.transform(bare, _unescaped), NOT_NFKC_SAFE, _nfkc)
+    return F.transform(plain, collapse_space)
+
+
+def html_to_text(text: Column) -> Column:
+    """``html_to_texts`` of one string; null is empty."""
+    return html_to_texts(F.array(F.coalesce(text, F.lit(""))))[0]
+
+
+def paper_sections(
+    text, section_characters: int | None = SECTION_CHARACTERS,
+    total_characters: int | None = TOTAL_CHARACTERS,
+) -> Column:
+    """Method, evaluation and limitation text of a paper's HTML.
+
+    The page is split at its headings; each part belongs to the section its heading names first.
+    Pieces of text between tags are then added up in order, within a bound for each section and one
+    for all; ``None`` sets no bound.
+    """
+    raw = F.col(text) if isinstance(text, str) else text
+    page = _without(F.coalesce(raw, F.lit("")), "script", "style", "nav")
+    page = _where(F.array(page), RARE_ENTITY, _rare_entities)[0]
+    clean = lambda v: collapse_space(_unescaped(v))
+    after = F.split(page, r"(?i)<h[1-6]\b[^>]*>")
+    kinds = list(SECTION_TERMS)
+
+    def pieces(part: Column) -> Column:
+        heading = F.regexp_extract(part, r"(?is)\A(.*?)</h[1-6]\s*>", 1)
+        label = F.lower(clean(F.regexp_replace(heading, TAG, " ")))
+        kind = F.coalesce(*[
+            F.when(label.rlike("|".join(SECTION_TERMS[name])), F.lit(name)) for name in kinds])
+        body = F.regexp_replace(part, r"(?is)\A.*?</h[1-6]\s*>", "")
+        texts = F.filter(F.transform(F.split(body, TAG), clean), lambda v: v != "")
+        named = part.rlike(r"(?is)</h[1-6]\s*>") & kind.isNotNull()
+        return F.when(named, F.transform(texts, lambda v: F.struct(
+            kind.alias("kind"), v.alias("text")))).otherwise(
+                F.array().cast("array<struct<kind:string,text:string>>"))
+
+    found = F.flatten(F.transform(F.slice(after, 2, F.greatest(F.size(after), F.lit(1))), pieces))
+    most = section_characters if section_characters is not None else 2**31 - 1
+    total = total_characters if total_characters is not None else 2**31 - 1
+    start = F.struct(F.lit(0).alias("all"), *[
+        F.struct(F.lit("").alias("text"), F.lit(0).alias("size")).alias(name) for name in kinds])
+
+    def add(state: Column, piece: Column) -> Column:
+        size = F.coalesce(*[F.when(piece["kind"] == name, state[name]["size"]) for name in kinds])
+        room = F.greatest(F.least(F.lit(most) - size, F.lit(total) - state["all"]), F.lit(0))
+        kept = F.substring(piece["text"], F.lit(1), room)
+        grown = lambda old: F.struct(
+            F.when(kept == "", old["text"]).otherwise(F.concat(old["text"], F.lit(" "), kept)).alias("text"),
+            (old["size"] + F.char_length(kept)).alias("size"))
+        return F.struct((state["all"] + F.char_length(kept)).alias("all"), *[
+            F.when(piece["kind"] == name, grown(state[name])).otherwise(state[name]).alias(name)
+            for name in kinds])
+
+    text_of = lambda state, name: F.nullif(collapse_space(state[name]["text"]), F.lit(""))
+    return F.aggregate(found, start, add, lambda state: F.struct(
+        *[text_of(state, name).alias(name) for name in kinds]))
 
 
 # Functions travel to the workers by value, so these need no copy of the package.

@@ -39,7 +39,7 @@ CATEGORY_NEIGHBOURS = {
     "cs.CV": ["cs.LG"],
     "quant-ph": ["cond-mat.str-el"],
 }
-RESERVED_TAG_PREFIXES = ["ranking-reason:", "zad:"]
+RESERVED_TAG_PREFIXES = ["ranking-reason:", "internal:"]
 CURATED_TAG_PREFIX = "ranking-curated:"
 LABEL_COLLECTIONS = ["positive", "negative", "hard negative"]
 CHILD_TYPES = ["attachment", "note", "annotation"]

@@ -81,10 +81,16 @@ def test_names_of_any_script(spark):
 
 def test_html(spark):
     raw = "<style>x</style><p>A&amp;B<br>C</p><script>no</script>D<li>E"
-    assert text.plain_text(raw) == "A&B C D E"
+    assert one(spark, text.html_to_text(F.col("a")), a=raw) == "A&B C D E"
+    assert one(spark, text.html_to_text(F.col("a")), a="x&#8217;s &lt;b&gt; ﬁ&eacute;&amp;lt; <!-- <p> -->1<") == "x\u2019s <b> fi\u00e9&lt; 1<"
+    assert one(spark, text.html_to_text(F.col("a")), a=None) == ""
     page = "<nav>n</nav><h2>Our <b>Method</b></h2>m1<p>m2</p><h3>Results</h3>" + "r" * 5000 + "<h2>Intro</h2>zz<h2>Future work</h2>" + "l" * 4500
-    got = text.sections_of(page)
+    got = one(spark, text.paper_sections(F.col("a")), a=page)
     assert got["method"] == "m1 m2" and len(got["evaluation"]) == 4000 and len(got["limitations"]) == 4000
+    free = one(spark, text.paper_sections(F.col("a"), None, None), a=page)
+    assert len(free["evaluation"]) == 5000 and len(free["limitations"]) == 4500
+    less = one(spark, text.paper_sections(F.col("a"), 4000, 6000), a=page)
+    assert len(less["evaluation"]) == 4000 and len(less["limitations"]) == 1996
     df = spark.createDataFrame([("p", page)], "paper_id string, html string")
     assert evidence.sections(df).first().method == "m1 m2"
 
@@ -294,7 +300,7 @@ def test_library_sync(spark):
 
 def test_profile_weights(spark):
     items = spark.createDataFrame(
-        [item("r", "machine learning", tags=[("Quantum", True), ("ranking-curated:vision", False), ("zad:hidden", True)], collections=["C", "D"], date="2026-08-01"),
+        [item("r", "machine learning", tags=[("Quantum", True), ("ranking-curated:vision", False), ("internal:hidden", True)], collections=["C", "D"], date="2026-08-01"),
          item("n", kind="note", parent="r", note="language language sk-abcdefghijkl9999"), item("m", kind="annotation", parent="r", mark="neural", comment="algorithm"),
          item("t", "trashed words", trashed=True), item("o", "statistical", date="1980")], ITEM)
     collections = spark.createDataFrame([("me", "C", "Positive"), ("me", "D", "Retrieval")], "profile_id string, key string, name string")
