@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import STOP_WORDS
 from folioscope.operators import profile as P
 from folioscope.session import materialized
 
@@ -106,10 +107,7 @@ PAPERS_SQL = f"""papers AS (
 
 FOLD_SQL = "replace(lower({0}), 'ß', 'ss')"
 RANK_TOKENS_SQL = "list_distinct(regexp_extract_all(" + FOLD_SQL + ", '[a-z][a-z0-9-]{{2,}}'))"
-STOP_SQL = "[" + ", ".join(f"'{w}'" for w in (
-    "about abstract and are for from github into gitlab bitbucket com doi http https note net "
-    "org paper that the this www with"
-).split()) + "]"
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 PROFILE_TOKENS_SQL = (
     "list_filter(list_transform(regexp_extract_all({0}, '[A-Za-z][A-Za-z0-9-]{{2,31}}'), "
     "lambda w: lower(w)), lambda w: NOT list_contains(" + STOP_SQL + ", w) AND NOT "

@@ -16,9 +16,8 @@ CUTOFF = "2024-01-26T00:00:00+00:00"
 
 def stream_of(spark, sf_dir, name):
     """A given table as a stream of files; zone-less times become UTC instants."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    stream = jobs.file_stream(spark, sf_dir, schema, f"{name}.parquet")
-    naive = [f.name for f in schema if f.dataType.simpleString() == "timestamp_ntz"]
+    stream = jobs.table_stream(spark, sf_dir, f"{name}.parquet")
+    naive = [f.name for f in stream.schema if f.dataType.simpleString() == "timestamp_ntz"]
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in naive})
 
 
@@ -39,7 +38,7 @@ def stream_candidates(spark, sf_dir):
 )
 def stream_events(spark, sf_dir):
     rows = feedback_of(stream_of(spark, sf_dir, "events"))
-    kept = jobs.ingest_events(rows, work_dir(spark, "events"), delay="1 hour")
+    kept = jobs.ingest_events(rows, work_dir(spark, "events"))
     return kept.select("event_id", "paper_id", text_time("occurred_at").alias("occurred_at"))
 
 

@@ -55,10 +55,10 @@ def label_conflicts(events: DataFrame, cutoff) -> DataFrame:
     judged = at_cutoff(events, cutoff).filter(F.col("kind") != "pairwise")
     label = F.when(F.col("kind") == "label", F.col("label"))
     per_instant = judged.groupBy("paper_id", "occurred_at").agg(
-        F.min(label).alias("_low"), F.max(label).alias("_high")
+        F.size(F.collect_set(label)).cast("long").alias("labels")
     )
     latest = scale.latest_by(per_instant, ["paper_id"], [F.col("occurred_at")])
-    return latest.filter(F.col("_low") != F.col("_high")).select("paper_id", "occurred_at")
+    return latest.filter(F.col("labels") > 1).select("paper_id", "occurred_at", "labels")
 
 
 def snapshot_header(events: DataFrame, cutoff, row_hash: Column | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def record_manifest(history: DataFrame, manifest: DataFrame, limit: int = HISTOR
 def aggregate_manifests(manifests: DataFrame, by: Sequence[str] = ("side",)) -> DataFrame:
     """Exact medians and counts per side, measured runs only where usage matters.
 
-    ``models`` must be one per side; more is an error for the caller to raise.
+    Several models on one side are an error.
     """
     n = F.col("recommendation_count")
     measured = (
@@ -55,7 +55,8 @@ def aggregate_manifests(manifests: DataFrame, by: Sequence[str] = ("side",)) ->
         "median_cache_hits": F.col("cache_hits"),
     }
     counts = manifests.groupBy(*by).agg(
-        F.min("model").alias("model"),
+        F.when(F.min("model").eqNullSafe(F.max("model")), F.min("model")).otherwise(
+            F.raise_error(F.lit("one side has runs of several models"))).alias("model"),
         F.count(F.lit(1)).alias("run_count"),
         F.count_if(measured).alias("measured_run_count"),
         F.sum(n).cast("long").alias("recommendation_count_total"),

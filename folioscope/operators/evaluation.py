@@ -120,24 +120,30 @@ def split_labels(labels: DataFrame, splits: DataFrame) -> DataFrame:
     named = labels.filter(F.col("label").isNotNull()).select(
         identity.canonical_identity(F.col("paper_id")).alias("id"), "label", "paper_id"
     )
-    one_each = named.groupBy("id").agg(F.max_by("label", "paper_id").alias("label"))
+    one_each = named.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("_other"))
+    one_each = one_each.select("id", F.when(F.col("label") == F.col("_other"), F.col("label")).otherwise(
+        F.raise_error(F.concat(F.lit("labels disagree on "), F.col("id")))).alias("label"))
     members = splits.select(
         "split", identity.canonical_identity(F.col("paper_id")).alias("id")
     ).distinct()
     return members.join(one_each, "id")
 
 
-def item_labels(labelled_aliases: DataFrame) -> DataFrame:
-    """Label of each ranked paper through any of its aliases.
-
-    ``conflict`` marks papers whose aliases carry different labels, which is an error upstream.
-    """
+def _labels_of_items(labelled_aliases: DataFrame) -> DataFrame:
     return (
         labelled_aliases.groupBy("split", "ranking_id", "paper_id", "score")
         .agg(F.min("label").alias("label"), (F.min("label") != F.max("label")).alias("conflict"))
     )
 
 
+def item_labels(labelled_aliases: DataFrame) -> DataFrame:
+    """Label of each ranked paper through any of its aliases (J16); aliases with different labels
+    are an error."""
+    agreed = F.when(~F.col("conflict"), F.col("label")).otherwise(
+        F.raise_error(F.concat(F.lit("labels disagree on aliases of "), F.col("paper_id"))))
+    return _labels_of_items(labelled_aliases).withColumn("label", agreed)
+
+
 def _jaccard(left: Column, right: Column) -> Column:
     union = F.size(F.array_union(left, right))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(left, right)) / union)
@@ -348,7 +354,7 @@ def replay_snapshot(
 def label_alias_conflicts(ranked: DataFrame, labels: DataFrame, splits: DataFrame) -> DataFrame:
     """Ranked papers whose aliases carry different labels; any row is an error."""
     matched = _aliases(ranked).join(split_labels(labels, splits), "id")
-    return item_labels(matched).filter("conflict")
+    return _labels_of_items(matched).filter("conflict")
 
 
 def _texts(*conditions: tuple[Column, str]) -> Column:

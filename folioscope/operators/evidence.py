@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text, urls
 from folioscope.functions.moments import instant
+from folioscope.operators import scale
 
 # ---- fixed values -------------------------------------------------------------------------
 SECTION_SOURCE = "https://ar5iv.labs.arxiv.org/html/"
@@ -59,7 +60,7 @@ def project_pages(
         "paper_id",
         F.posexplode_outer(urls.project_urls(F.col("summary"), hosts, suffixes)).alias("_at", "url"),
     )
-    probed = links.join(probes.select("url", "reachable"), "url", "left")
+    probed = scale.left_join_spread(links, probes.select("url", "reachable"), "url")
     hit = F.when(F.col("reachable"), F.struct("_at", "url"))
     return (
         probed.groupBy("paper_id")
@@ -113,10 +114,8 @@ def repository_materials(pages: DataFrame, listings: DataFrame) -> DataFrame:
     """Material grade per paper through its reachable project page."""
     graded = grade_listings(listings).select(F.lower("repo").alias("_repo"), "grade")
     repo = F.when(F.col("reachable"), urls.repository_of(F.col("url")))
-    joined = (
-        pages.withColumn("repository", repo)
-        .withColumn("_repo", F.lower("repository"))
-        .join(graded, "_repo", "left")
+    joined = scale.left_join_spread(
+        pages.withColumn("repository", repo).withColumn("_repo", F.lower("repository")), graded, "_repo"
     )
     return joined.select(
         "paper_id",
@@ -163,12 +162,13 @@ def citation_context(candidates: DataFrame, works: DataFrame, now, provider: str
     """Citation counts, open access and retraction by exact DOI; no match is unknown.
 
     ``works`` has ``doi``, ``cited_by_count``, ``referenced_works_count``, ``is_oa``,
-    ``is_retracted``.
+    ``is_retracted``. Of works that repeat a DOI the greatest row counts, column by column.
     """
     at = instant(now)
-    one_each = works.filter(F.col("doi").isNotNull()).dropDuplicates(["doi"])
-    joined = candidates.select("paper_id", "doi").join(
-        one_each.withColumn("_found", F.lit(True)), "doi", "left"
+    known = works.filter(F.col("doi").isNotNull())
+    one_each = scale.latest_by(known, ["doi"], [F.col(c) for c in known.columns if c != "doi"])
+    joined = scale.left_join_spread(
+        candidates.select("paper_id", "doi"), one_each.withColumn("_found", F.lit(True)), "doi"
     )
     found = F.coalesce("_found", F.lit(False))
     return joined.select(
@@ -194,10 +194,12 @@ def repository_facts(pages: DataFrame, repositories: DataFrame, now, provider: s
     ``repositories`` has ``full_name``, ``has_license``, ``archived``, ``has_wiki``, ``pushed_at``.
     """
     at = instant(now)
-    facts = repositories.withColumn("_repo", F.lower("full_name")).dropDuplicates(["_repo"])
-    joined = (
-        pages.withColumn("_repo", F.lower(urls.repository_of(F.col("url"))))
-        .join(facts.withColumn("_found", F.lit(True)), "_repo", "left")
+    named = repositories.withColumn("_repo", F.lower("full_name")).filter(F.col("_repo").isNotNull())
+    facts = scale.latest_by(
+        named, ["_repo"], [F.col(c) for c in ("pushed_at", "full_name", "has_license", "archived", "has_wiki")])
+    joined = scale.left_join_spread(
+        pages.withColumn("_repo", F.lower(urls.repository_of(F.col("url")))),
+        facts.withColumn("_found", F.lit(True)), "_repo",
     )
     found = F.coalesce("_found", F.lit(False))
     window = F.expr(f"INTERVAL {MAINTAINED_DAYS} DAYS")

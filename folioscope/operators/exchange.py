@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,18 +126,30 @@ def split_by_cache(wanted: DataFrame, cache: DataFrame, valid: Column) -> DataFr
 # ---- packing --------------------------------------------------------------------------------
 
 
-def _pack(rows: pd.DataFrame, most: int, tokens: int, size: int) -> pd.DataFrame:
-    """Next-fit over the few records of one run, in order; records are never cut."""
-    batch, held, used_tokens, used_bytes, out = 1, 0, 0, 2, []
-    rows = rows.sort_values("record_order", kind="stable")
-    for t, b in zip(rows["tokens"], rows["bytes"], strict=True):
-        if held and (held >= most or used_tokens + t > tokens or used_bytes + b + 1 > size):
-            batch, held, used_tokens, used_bytes = batch + 1, 0, 0, 2
-        used_bytes += b + (1 if held else 0)
-        used_tokens += t
-        held += 1
-        out.append(batch)
-    return rows[["run_id", "paper_id"]].assign(batch_no=out)
+def _batches(records: Column, most: int, tokens: int, size: int) -> Column:
+    """Batch numbers of one run's ordered records: a record starts a new batch where the open one
+    has no place left for it. A batch of n records is a JSON list: two brackets, n - 1 commas.
+    """
+    start = F.struct(
+        F.array().cast("array<int>").alias("numbers"), F.lit(0).alias("records"),
+        F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("bytes"),
+    )
+
+    def put(open_: Column, record: Column) -> Column:
+        text = open_["bytes"] + record["bytes"] + 2 + open_["records"]
+        fits = (
+            (open_["records"] < most) & (open_["tokens"] + record["tokens"] <= tokens) & (text <= size)
+        )
+        number = F.coalesce(F.try_element_at(open_["numbers"], F.lit(-1)), F.lit(1)) + F.when(
+            fits | (open_["records"] == 0), 0).otherwise(1)
+        carried = lambda name, own: F.when(fits, open_[name] + own).otherwise(own).alias(name)
+        return F.struct(
+            F.concat(open_["numbers"], F.array(number)).alias("numbers"),
+            carried("records", F.lit(1)), carried("tokens", record["tokens"].cast("long")),
+            carried("bytes", record["bytes"].cast("long")),
+        )
+
+    return F.aggregate(records, start, put, lambda done: done["numbers"])
 
 
 def pack_records(
@@ -172,14 +181,14 @@ def pack_records(
         F.col("records") > most, "run exceeds the request budget"
     )
     fitting = runs.filter(reason.isNull()).select("run_id")
-    packed = (
-        sized.join(fitting, "run_id", "left_semi")
-        .groupBy("run_id")
-        .applyInPandas(
-            lambda rows: _pack(rows, batch_size, max_tokens, max_bytes),
-            "run_id string, paper_id string, batch_no int",
-        )
+    ordered = sized.join(fitting, "run_id", "left_semi").groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("record_order", "paper_id", "tokens", "bytes"))).alias("_r")
+    )
+    numbered = F.arrays_zip(
+        F.col("_r.paper_id").alias("paper_id"),
+        _batches(F.col("_r"), batch_size, max_tokens, max_bytes).alias("batch_no"),
     )
+    packed = ordered.select("run_id", F.inline(numbered).alias("paper_id", "batch_no"))
     used = packed.groupBy("run_id").agg(F.max("batch_no").alias("_used"))
     too_many = used.filter(F.col("_used") > max_requests).select(
         "run_id", F.lit("run exceeds the request budget").alias("reason")
@@ -403,7 +412,3 @@ def value_assessments(judgments: DataFrame) -> DataFrame:
         "paper_id", advance.alias("solution_advance"), depth.alias("technical_depth"),
         (1.0 - F.col("uncertainty")).alias("value_confidence"),
     ).filter(F.col("solution_advance").isNotNull() | F.col("technical_depth").isNotNull())
-
-
-# Functions travel to the workers by value, so these need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

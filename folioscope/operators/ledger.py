@@ -39,11 +39,10 @@ def append_status(ledger: DataFrame, batch: DataFrame, key: str = "event_id") ->
         F.count(F.lit(1)).alias("copies"),
         F.any_value("_row").alias("_row"),
     )
-    # The stored side is only scanned: it meets the batch's keys first, then just the matches join.
-    stored = ledger.select(key, body.alias("_known"))
+    # The stored side is only scanned: it meets the batch's keys first, and matches alone are hashed.
     known = scale.hot_key_join(
-        stored, per_key.select(key), [key], rows=100_000, sized_by=batch.select(key)
-    )
+        ledger.select(*columns), per_key.select(key), [key], rows=100_000, sized_by=batch.select(key)
+    ).select(key, body.alias("_known"))
     joined = per_key.join(known, key, "left")
     conflict = (F.col("_low") != F.col("_high")) | (
         F.col("_known").isNotNull() & (F.col("_known") != F.col("_low"))

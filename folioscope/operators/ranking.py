@@ -202,9 +202,20 @@ def feature_table(
 
 
 def extra_feature_sums(features: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sum and count of applicable extra features per key and group (P20), one row per key."""
+    """Sum and count of applicable extra features per key and group (P20), one row per key.
+
+    A name that comes twice for one key, or that a local feature has, is an error (J3).
+    """
     applicable = F.col("applicable")
-    return features.groupBy(*keys).agg(
+    doubtful = F.when(F.col("name").isin(list(LOCAL_GROUP)), F.lit(None)).otherwise(F.col("name"))
+    single = features.groupBy(*keys, "name").agg(
+        F.count(F.lit(1)).alias("_copies"), F.max(F.struct(
+            "grp", "value", "confidence", "applicable")).alias("_f"), F.min(doubtful).alias("_own"))
+    checked = single.filter(F.when(
+        (F.col("_copies") > 1) | F.col("_own").isNull(),
+        F.raise_error(F.concat(F.lit("feature is given twice: "), F.col("name"))).cast("boolean"),
+    ).otherwise(F.lit(True)))
+    return checked.select(*keys, "_f.*").groupBy(*keys).agg(
         *[
             column
             for g in GROUPS
@@ -382,9 +393,13 @@ def score_versions(features: DataFrame, sets: Sequence[Mapping]) -> DataFrame:
     )
 
 
+#: Most candidates a shortlist may hold.
+SHORTLIST_MOST = 80
+
+
 def shortlist(scored: DataFrame, limit: int = 60, keys: Sequence[str] = ("profile_id",)):
     """Best ``limit`` candidates per profile, ranked."""
-    if not 1 <= limit <= 80:
+    if not 1 <= limit <= SHORTLIST_MOST:
         raise ValueError("the shortlist holds between 1 and 80 candidates")
     return scale.top_per_group(
         scored, keys, [F.col("score").desc(), F.col("paper_id")], limit, "rank"

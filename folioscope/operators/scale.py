@@ -45,6 +45,18 @@ def hot_key_join(
     return salted.join(spread, [*keys, "_salt"]).drop("_salt")
 
 
+def left_join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on one string key in which rows without a key spread over all tasks.
+
+    ``right`` must not repeat a key. Null keys would hash to one partition; here each
+    gets a key of its own that nothing on the right can have.
+    """
+    alone = F.concat(F.lit("\0"), F.hex(F.xxhash64(*left.columns)))
+    keyed = left.withColumn("_spread", F.coalesce(F.col(key), alone))
+    joined = keyed.join(right.withColumnRenamed(key, "_spread"), "_spread", "left")
+    return joined.drop("_spread")
+
+
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The row with the greatest ``order`` per key, as a map-side combined aggregate."""
     rest = [c for c in df.columns if c not in keys]

@@ -121,7 +121,9 @@ def _select(short: DataFrame, keys: Sequence[str], passes, stop: int, strict: bo
 
 def _cut(scored: DataFrame, limit: int, keys: Sequence[str]) -> DataFrame:
     if "rank" in scored.columns:
-        return scored.filter(F.col("rank") <= min(limit, 80))
+        if not 1 <= limit <= ranking.SHORTLIST_MOST:
+            raise ValueError("the shortlist holds between 1 and 80 candidates")
+        return scored.filter(F.col("rank") <= limit)
     return ranking.shortlist(scored, limit, keys)
 
 

@@ -17,14 +17,29 @@ from folioscope.session import materialized
 from folioscope.sources import writers
 
 
-def file_stream(spark: SparkSession, folder: str, schema, name: str, per_trigger: int = 100):
-    """A growing folder of Parquet files as a stream; ``name`` filters the files."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", per_trigger)
-        .parquet(folder)
-    )
+def file_stream(
+    spark: SparkSession, folder: str, schema, name: str | None = None, per_trigger: int = 100
+):
+    """A growing folder of Parquet files as a stream; ``name`` keeps files of that name only."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    if name is not None:
+        reader = reader.option("pathGlobFilter", name)
+    return reader.parquet(folder)
+
+
+def table_stream(spark: SparkSession, folder: str, table: str, per_trigger: int = 100):
+    """A Parquet table as a stream of its files, be it one file in ``folder`` or a folder there."""
+    path = f"{folder}/{table}"
+    stored = spark.read.parquet(path)
+    single = any(file.endswith(f"/{table}") for file in stored.inputFiles()[:1])
+    if single:
+        return file_stream(spark, folder, stored.schema, table, per_trigger)
+    return file_stream(spark, path, stored.schema, None, per_trigger)
+
+
+def _or_empty(rows: DataFrame | None, spark: SparkSession, schema) -> DataFrame:
+    """A table nothing has arrived in yet has its columns and no rows."""
+    return spark.createDataFrame([], schema) if rows is None else rows
 
 
 def _write_batch(rows: DataFrame, root: str, batch_id: int) -> None:
@@ -60,7 +75,8 @@ def run_merging(stream: DataFrame, root: str, merge) -> DataFrame:
             _write_batch(merge(writers.read_current(spark, root), batch), root, batch_id)
 
     _run(stream, root, body)
-    return writers.read_current(stream.sparkSession, root)
+    spark = stream.sparkSession
+    return _or_empty(writers.read_current(spark, root), spark, stream.schema)
 
 
 def read_appended(spark: SparkSession, root: str) -> DataFrame | None:
@@ -76,8 +92,13 @@ def read_appended(spark: SparkSession, root: str) -> DataFrame | None:
     )
 
 
-def run_appending(stream: DataFrame, root: str, new_rows, mode: str = "append") -> DataFrame:
-    """Append what ``new_rows(table so far, batch)`` finds in every available batch."""
+def run_appending(
+    stream: DataFrame, root: str, new_rows, mode: str = "append", columns=None
+) -> DataFrame:
+    """Append what ``new_rows(table so far, batch)`` finds in every available batch.
+
+    ``columns`` is the schema of the new rows where it is not the stream's.
+    """
 
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -85,7 +106,9 @@ def run_appending(stream: DataFrame, root: str, new_rows, mode: str = "append")
             _write_batch(new_rows(read_appended(spark, root), batch), root, batch_id)
 
     _run(stream, root, body, mode)
-    return read_appended(stream.sparkSession, root)
+    spark = stream.sparkSession
+    schema = (stream.schema if columns is None else columns).add("version", "string")
+    return _or_empty(read_appended(spark, root), spark, schema)
 
 
 def ingest_candidates(
@@ -107,17 +130,11 @@ def ingest_candidates(
     return run_merging(stream, root, merge)
 
 
-def ingest_events(stream: DataFrame, root: str, delay: str | None = None) -> DataFrame:
+def ingest_events(stream: DataFrame, root: str) -> DataFrame:
     """Exactly-once ledger by event id; a changed event under a known id fails the batch.
 
-    ``delay`` adds an in-stream duplicate filter bounded by a watermark. Without it nothing is
-    dropped for lateness, as a ledger requires.
+    However late an event arrives, it is kept: the ledger itself knows which ids it has.
     """
-    if delay is not None:
-        stream = stream.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(
-            ["event_id"]
-        )
-
     columns = stream.columns
 
     def new_rows(so_far, batch):
@@ -179,8 +196,10 @@ def latest_labels(stream: DataFrame, root: str, cutoff) -> DataFrame:
     running = judged.groupBy("paper_id").agg(
         F.max_by(F.struct(*rest), F.struct("occurred_at", "event_id")).alias("_row")
     )
+    flat = judged.select("paper_id", *rest).schema
     changed = run_appending(
-        running, root, lambda so_far, batch: batch.select("paper_id", "_row.*"), mode="update"
+        running, root, lambda so_far, batch: batch.select("paper_id", "_row.*"), mode="update",
+        columns=flat,
     )
     newest = scale.latest_by(changed, ["paper_id"], [F.col("version")])
     return newest.filter(F.col("kind") == "label").select(*stream.columns)

@@ -247,3 +247,85 @@ def test_quality_profile_counts_explicit_outcomes_only(spark):
     assert contracts.policy_violations(quality.policy_table(spark)).count() == 0
     with pytest.raises(ValueError):
         quality.quality_reference(examples, feedback, "quality-reference-policy-legacy-v1")
+
+
+EVENT = "event_id string, paper_id string, occurred_at timestamp"
+
+
+def event_file(spark, folder, *rows):
+    from datetime import datetime
+
+    data = [(e, p, datetime.fromisoformat(at)) for e, p, at in rows]
+    spark.createDataFrame(data, EVENT).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_streams_keep_late_rows_over_many_batches(spark):
+    from folioscope.session import work_dir
+    from folioscope.streaming import jobs
+
+    base = work_dir(spark, "test-stream")
+    event_file(spark, f"{base}/events.parquet", ("e9", "p", "2026-08-09"), ("e8", "p", "2026-08-08"))
+    event_file(spark, f"{base}/events.parquet", ("e9", "p", "2026-08-09"), ("e0", "p", "2020-01-01"))
+    event_file(spark, f"{base}/events.parquet", ("e0", "p", "2020-01-01"), ("e1", "q", "2020-01-02"))
+    stream = jobs.table_stream(spark, base, "events.parquet", per_trigger=1)
+    root = work_dir(spark, "test-ledger")
+    kept = jobs.ingest_events(stream, root)
+    assert sorted(r.event_id for r in kept.collect()) == ["e0", "e1", "e8", "e9"]
+    assert kept.columns == ["event_id", "paper_id", "occurred_at"]
+    event_file(spark, f"{base}/events.parquet", ("e9", "other", "2026-08-09"))
+    with pytest.raises(Exception, match="conflicts"):
+        jobs.ingest_events(jobs.table_stream(spark, base, "events.parquet"), root)
+
+
+def test_a_stream_without_rows_is_an_empty_table(spark):
+    from folioscope.session import work_dir
+    from folioscope.streaming import jobs
+
+    empty = work_dir(spark, "test-empty")
+    spark.createDataFrame([], EVENT).limit(0).write.parquet(f"{empty}/events.parquet")
+    for file in spark.read.parquet(f"{empty}/events.parquet").inputFiles():
+        assert file
+    stream = jobs.file_stream(spark, f"{empty}/events.parquet", spark.createDataFrame([], EVENT).schema, "no-such-file")
+    assert jobs.ingest_events(stream, work_dir(spark, "test-none")).count() == 0
+
+
+def test_silent_choices_are_errors(spark):
+    from folioscope.operators import efficiency, evaluation, ranking, selection
+
+    labels = spark.createDataFrame(
+        [("arxiv:2601.00001", "positive"), ("ARXIV:2601.00001", "negative")], "paper_id string, label string")
+    splits = spark.createDataFrame([("train", "arxiv:2601.00001")], "split string, paper_id string")
+    with pytest.raises(Exception, match="labels disagree"):
+        evaluation.split_labels(labels, splits).collect()
+    shared = spark.createDataFrame(
+        [("train", "r", "p", 1.0, "a", "positive"), ("train", "r", "p", 1.0, "b", "negative")],
+        "split string, ranking_id string, paper_id string, score double, id string, label string")
+    with pytest.raises(Exception, match="aliases of p"):
+        evaluation.item_labels(shared).collect()
+    columns = (
+        "side string, model string, candidate_count long, recommendation_count long, model_requests long, "
+        "cache_hits long, duration_seconds double, actual_input_tokens long, actual_output_tokens long, "
+        "actual_cost_usd double, provider_latency_seconds double")
+    runs = spark.createDataFrame(
+        [("a", m, 9, 3, 1, 0, 1.0, 10, 10, 0.1, 0.1) for m in ("m1", "m2")], columns)
+    with pytest.raises(Exception, match="several models"):
+        efficiency.aggregate_manifests(runs).collect()
+    feature = "paper_id string, name string, value double, applicable boolean, confidence double, grp string"
+    twice = spark.createDataFrame([("p", "x", 1.0, True, 1.0, "recency")] * 2, feature)
+    with pytest.raises(Exception, match="given twice"):
+        ranking.extra_feature_sums(twice, ["paper_id"]).collect()
+    ranked = spark.createDataFrame([("p", 1)], "profile_id string, rank int")
+    with pytest.raises(ValueError, match="between 1 and 80"):
+        selection.select_diverse(ranked, pre_rank_limit=81)
+
+
+def test_null_keys_spread_and_keep_their_rows(spark):
+    from folioscope.operators import scale
+
+    left = spark.range(3000).selectExpr("id", "if(id % 3 = 0, cast(id as string), null) as k")
+    right = spark.createDataFrame([("0", "zero"), ("3", "three")], "k string, name string")
+    joined = scale.left_join_spread(left.repartition(4), right, "k")
+    assert joined.count() == 3000
+    assert sorted(r.name for r in joined.filter("name is not null").collect()) == ["three", "zero"]
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 3000
