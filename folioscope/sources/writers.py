@@ -75,6 +75,26 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def write_documents(
+    rows: DataFrame, path: str, field: str, version: int | None, most: int = 10_000
+) -> None:
+    """Rows as JSON documents that list about ``most`` of them under ``field``, a file each (K9).
+
+    The readers' counterpart: ledgers and corpora under ``events``, histories under ``entries``,
+    manifests, weight sets and examples under their own names. Times become UTC text.
+    """
+    kinds = dict(rows.dtypes)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(c)
+    shown = rows.select(*[stamp(c) if kinds[c] == "timestamp" else F.col(c) for c in rows.columns])
+    parts = max(1, -(-rows.count() // most))
+    part = F.pmod(F.xxhash64(*[c for c in shown.columns if not kinds[c].startswith("map")]), F.lit(parts))
+    documents = shown.groupBy(part.alias("_part")).agg(
+        F.collect_list(F.struct(*shown.columns)).alias(field))
+    head = [] if version is None else [F.lit(version).alias("schema_version")]
+    write = documents.select(*head, field).write.option("maxRecordsPerFile", 1)
+    write.option("ignoreNullFields", False).json(path)
+
+
 def write_published(rows: DataFrame, path: str, version: int = publishing.PUBLISHABLE_VERSION):
     """Published rows under one schema version (K1)."""
     write_json(publishing.published_payload(rows, version), path)
