@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import (
@@ -243,20 +243,24 @@ def link_documents(
     mixed = grouped.groupBy("column").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).filter("low < high").select("column")
-    blocks = materialized(grouped.join(mixed, "column"), "jaccard-blocks")
+    # How many columns a row shares with other components at all; no pair can agree in more.
+    blocks = materialized(grouped.join(mixed, "column").withColumn(
+        "shared", F.count("*").over(Window.partitionBy("id", "size"))), "jaccard-blocks")
     left, right = (
-        blocks.select("column", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "component")])
+        blocks.select("column", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "component", "shared")])
         for side in "ab")
     prefix = lambda size: size - F.ceil(part * size / F.lit(whole)) + 1
     rest = lambda side: F.col(f"size_{side}") - prefix(F.col(f"size_{side}"))
     needed = F.ceil(part * (F.col("size_a") + F.col("size_b")) / F.lit(part + whole))
+    # Of the set whose prefix ends first, all columns up to there are counted; behind it no more
+    # can agree than it has left.
+    reaches = lambda counted: counted + F.greatest(rest("a"), rest("b")) >= needed
     pairs = materialized(
         left.join(right, "column")
-        .filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits)
+        .filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits
+                & reaches(F.least("shared_a", "shared_b")))
         .groupBy("id_a", "id_b", "size_a", "size_b").agg(F.count("*").alias("overlap"))
-        # Of the set whose prefix ends first, all columns up to there are counted; behind it
-        # no more can agree than it has left.
-        .filter(F.col("overlap") + F.greatest(rest("a"), rest("b")) >= needed)
+        .filter(reaches(F.col("overlap")))
         .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "jaccard-pairs")
     far_links = verified(pairs, documents_of(pairs, "jaccard-pairs"), n, threshold)
     linked = components(
