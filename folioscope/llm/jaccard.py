@@ -9,9 +9,10 @@ overlap plus what is left behind the prefixes stays below the size-derived bound
 What remains is verified on whole sets.
 
 Near copies would fill such a product with all pairs of a group. So each row is first compared with
-the smallest row of its first few columns; connected rows get one component, and the product then
-runs only between different components. No link between different components is lost by that, and
-groups of thousands of copies cost a few pairs a row.
+one row of its few least columns, that with the fewest rare columns, which in such a group is the
+text the others come from. Connected rows get one component, and the product runs only between
+different components and only where both rows share enough columns with others. No link between
+different components is lost by that, and groups of thousands of copies cost a few pairs a row.
 
 Shingles are compared by 64-bit hashes of their words.
 """
@@ -44,7 +45,7 @@ NAME = "op8_ngram_jaccard_join"
 SHINGLE = 4
 #: Least similarity, as a fraction.
 THRESHOLD = (85, 100)
-#: A row is compared with the smallest row in each of its first so many columns.
+#: A row is compared with one row for each of so many of its columns, those with the least hashes.
 STAR_COLUMNS = 4
 #: Frequent columns that go last in the order. Any set of columns gives the same links; these
 #: keep the product small. So many hashes are broadcast at most (8 bytes each).
@@ -120,30 +121,37 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, frequent, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """Each document's size, digest and the first columns of its set in the global order."""
+    """Each document's size, digest, the first columns of its set in the global order, how many of
+    its columns are not frequent, and the few columns of its set with the smallest hashes."""
     part, whole = threshold
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         last = frequent.value
-        sizes, digests, lists = [], [], []
+        sizes, digests, lists, rare, least = [], [], [], [], []
         for values in shingle_sets(_column(batch, "text"), n):
             size = len(values)
+            least.append(values[:STAR_COLUMNS].view(np.int64))
+            rare.append(size)
             digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
             sizes.append(size)
             if size and len(last):
                 at = np.minimum(np.searchsorted(last, values), len(last) - 1)
                 often = last[at] == values
                 values = np.concatenate([values[~often], values[often]])
+                rare[-1] -= int(often.sum())
             keep = size - -(-part * size // whole) + 1 if size else 0
             lists.append(values[:keep].view(np.int64))
-        counts = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-        flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
+        def packed(arrays):
+            counts = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+            return pa.ListArray.from_arrays(counts, pa.array(np.concatenate(arrays)))
+
         return pa.RecordBatch.from_pydict({
             "id": _column(batch, "id"), "size": pa.array(sizes, pa.int64()),
-            "digest": pa.array(digests, pa.binary()),
-            "columns": pa.ListArray.from_arrays(counts, pa.array(flat))})
+            "digest": pa.array(digests, pa.binary()), "columns": packed(lists),
+            "rare": pa.array(rare, pa.int64()), "least": packed(least)})
 
-    schema = "id bigint, size bigint, digest binary, columns array<bigint>"
+    schema = ("id bigint, size bigint, digest binary, columns array<bigint>, rare bigint, "
+              "least array<bigint>")
     return arrow_pass(docs.select("id", "text"), "text", schema, work)
 
 
@@ -213,7 +221,8 @@ def link_documents(
         if repeats_ids(rows) else
         prefixes(texts, frequent, n, threshold).filter("size > 0 and id is not null")
         .join(few(copies), ["id", "digest"], "left_anti"))
-    first = materialized(first.select("id", "size", "columns"), "jaccard-prefixes")
+    first = materialized(
+        first.select("id", "size", "columns", "rare", "least"), "jaccard-prefixes")
     fits = (whole * F.least("size_a", "size_b")) >= (part * F.greatest("size_a", "size_b"))
 
     def documents_of(pairs: DataFrame, name: str) -> DataFrame:
@@ -221,11 +230,12 @@ def link_documents(
             pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
         return materialized(texts.join(few(ids), "id", "left_semi"), f"{name}-texts")
 
-    # Stars: a row against the smallest row of its first columns. What they miss, the product finds.
-    stars = first.select(
-        "id", "size", F.explode(F.slice("columns", 1, STAR_COLUMNS)).alias("column"))
+    # Stars: a row against the one with the fewest rare columns of those that share one of its
+    # least columns; in a group of near copies that is the text they come from. What stars miss,
+    # the product finds.
+    stars = first.select("id", "size", "rare", F.explode("least").alias("column"))
     heads = stars.groupBy("column").agg(
-        F.min(F.struct("size", "id")).alias("head"), F.count("*").alias("rows")).filter("rows > 1")
+        F.min(F.struct("rare", "size", "id")).alias("head"), F.count("*").alias("rows")).filter("rows > 1")
     heads = heads.select("column", F.col("head.id").alias("a"), F.col("head.size").alias("size_a"))
     near = materialized(
         stars.select("column", F.col("id").alias("b"), F.col("size").alias("size_b"))

@@ -70,7 +70,7 @@ def test_components_equal_all_pairs(spark, seed):
 
 def test_any_order_of_columns_gives_the_same_links(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "RECURS", 1)
-    monkeypatch.setattr(jaccard, "STAR_COLUMNS", 0)
+    monkeypatch.setattr(jaccard, "STAR_COLUMNS", 1)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     texts = sample(3)
     got = sorted(tuple(r) for r in jaccard.link_documents(documents(spark, texts)).collect())
