@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import moments, text, urls
+from folioscope.operators.evidence import GRADE_SCORES, SECTION_SOURCE
 from folioscope.operators.weights import GROUPS
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -18,16 +19,10 @@ REPOSITORY_HOSTS = ["github.com", "gitlab.com"]
 PROVENANCE = ["arxiv-metadata", "ar5iv-sections-v1", "github-contents-v1"]
 TIERS = ["core", "adjacent", "exploration"]
 PUBLISHED_SIGNALS = ["watched_author", "watched_institution"]
-GRADES = [
-    "unknown", "documentation_only", "implementation", "implementation_and_evaluation",
-    "implementation_data_and_evaluation",
-]
 PUBLISHED_EVIDENCE = [
     "title", "authors", "categories", "published", "summary", "method_evidence",
     "evaluation_evidence", "limitations_evidence", "quality_reference",
 ]
-SECTION_LIMIT, SECTIONS_LIMIT = 4_000, 10_000
-SECTION_SOURCE = "https://ar5iv.labs.arxiv.org/html/"
 MANIFEST_COUNTS = ["candidate_count", "recommendation_count", "model_requests", "cache_hits"]
 MANIFEST_MEASURES = ["estimated_tokens", "estimated_cost_usd", "duration_seconds"]
 MANIFEST_OPTIONAL = [
@@ -382,7 +377,7 @@ def published() -> Rules:
         "quality is not normalized": unit("quality"),
         "uncertainty is not normalized": optional("uncertainty", unit("uncertainty")),
         "reproducibility is not normalized": optional("reproducibility", unit("reproducibility")),
-        "reproducibility evidence is unknown": F.col("reproducibility_evidence").isin(GRADES),
+        "reproducibility evidence is unknown": F.col("reproducibility_evidence").isin(list(GRADE_SCORES)),
         "evidence fields are unknown": subset("quality_evidence_fields", PUBLISHED_EVIDENCE),
         "provenance is unknown": subset("evidence_provenance", PROVENANCE),
         "quota source is unknown": F.col("quota_source").isin(TIERS),
@@ -397,12 +392,12 @@ def cached_sections() -> Rules:
     parts = ["method", "evaluation", "limitations"]
     each = F.lit(True)
     for p in parts:
-        each = each & (size(p) <= SECTION_LIMIT)
+        each = each & (size(p) <= text.SECTION_CHARACTERS)
     return {
         "source is not allowed": F.col("source_url").startswith(SECTION_SOURCE),
         "section is too long": each,
         "sections are too long": size("method") + size("evaluation") + size("limitations")
-        <= SECTIONS_LIMIT,
+        <= text.TOTAL_CHARACTERS,
     }
 
 
