@@ -243,8 +243,12 @@ def fitted(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMENT
     """The model, from at most ``documents`` documents with digits or ``@``."""
     sample = docs.select(F.col(text).alias("text")).filter(
         (F.char_length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9]{3}|@"))
-    sample = sample.orderBy(F.xxhash64("text"), "text").limit(documents)
-    return fit([r.text for r in sample.collect()])
+    # Hashes alone are ordered; texts leave the tasks only below the last one. Equal hashes are copies.
+    last = sample.select(F.xxhash64("text").alias("h")).orderBy("h").limit(documents).agg(F.max("h")).first()[0]
+    if last is None:
+        return fit([])
+    chosen = sample.filter(F.xxhash64("text") <= last).limit(documents)
+    return fit(sorted(r.text for r in chosen.collect()))
 
 
 def find_personal_data(docs: DataFrame, model: dict | None = None, text: str = "text") -> DataFrame:
