@@ -6,6 +6,7 @@ import html
 import re
 import sys
 import unicodedata
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -52,6 +53,16 @@ RARE_ENTITY = r"&(?!(?:nbsp|copy|middot|quot|apos|#39|lt|gt|amp);)#?[A-Za-z0-9]"
 #: Characters that NFKC may change; Latin letters outside this class stay what they are.
 NOT_NFKC_SAFE = r"[^\x00-\x7F\u00A9\u00AB\u00B0\u00B7\u00BB\u00C0-\u0131]"
 
+#: Markup that the column expressions cannot tell for certain, so the page is parsed in Python:
+#: ``<`` or ``>`` inside a tag's quotes (or more quotes than are followed), names that only begin
+#: like the ones looked for, and end tags that hold more than a name.
+UNSURE_TAG = (
+    r"(?i)<[A-Za-z/][^<>\"']*+(?:\"[^\"<>]*+\"[^<>\"']*+|'[^'<>]*+'[^<>\"']*+){0,100}+[\"'<]"
+    r"|</?(?:script|style|nav|div|p|li|br|h[1-6])[^A-Za-z0-9_\s/>]"
+    r"|</(?:script|style|nav|h[1-6])\b(?!\s*>)|<!\["
+)
+HIDDEN = r"(?i)<(?:script|style)\b"
+
 # Characters whose full case folding adds ASCII letters that ``lower`` leaves alone; found by
 # rule, so the list follows the Unicode tables of the running Python.
 _ASCII = re.compile(r"[a-z]")
@@ -182,16 +193,93 @@ def _nfkc(values: pd.Series) -> pd.Series:
     )
 
 
-def _where(items: Column, pattern: str, udf) -> Column:
-    """Arrays with an element that matches go through ``udf``; all others stay as they are."""
-    found = F.exists(items, lambda v: v.rlike(pattern))
+def _where(items: Column, pattern, udf) -> Column:
+    """Arrays with an element that matches (a pattern, or a condition on the element) go through
+    ``udf``; all others stay as they are."""
+    found = F.exists(items, pattern if callable(pattern) else lambda v: v.rlike(pattern))
     return F.when(found, udf(F.when(found, items))).otherwise(items)
 
 
-def _without(text: Column, *elements: str) -> Column:
-    """HTML without comments and without these elements and what they hold."""
+class _Page(HTMLParser):
+    """``(kind, payload)`` of every tag and text of a page."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, str]] = []
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        self.found.append(("open", tag))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.found.append(("close", tag))
+
+    def handle_data(self, data: str) -> None:
+        self.found.append(("text", data))
+
+
+def _shown(page: str, hidden: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Tags and texts of a page outside the elements ``hidden``."""
+    parser = _Page()
+    parser.feed(page)
+    parser.close()
+    shown, depth = [], 0
+    for kind, payload in parser.found:
+        if kind != "text" and payload in hidden:
+            depth = depth + 1 if kind == "open" else max(0, depth - 1)
+        elif not depth or (kind != "text" and re.fullmatch("h[1-6]", payload) and "nav" in hidden):
+            shown.append((kind, payload))
+    return shown
+
+
+def _escaped(text: str) -> str:
+    return html.escape(text, quote=False)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _parsed_text(values: pd.Series) -> pd.Series:
+    """Pages as their visible text, with spaces for block tags; no markup is left, signs are escaped."""
+    def visible(page: str) -> str:
+        return "".join(
+            _escaped(payload) if kind == "text"
+            else " " if payload in ("div", "p", "li") or (payload == "br" and kind == "open") else ""
+            for kind, payload in _shown(page, ("script", "style")))
+
+    return values.map(
+        lambda items: None if items is None else [None if v is None else visible(v) for v in items])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _parsed_sections(values: pd.Series) -> pd.Series:
+    """Pages as headings and texts alone, without what is never shown; signs are escaped."""
+    def plain(page: str) -> str:
+        return "".join(
+            f"<i>{_escaped(payload)}</i>" if kind == "text"
+            else f"<{'/' * (kind == 'close')}{payload}>" if re.fullmatch("h[1-6]", payload) else ""
+            for kind, payload in _shown(page, ("script", "style", "nav")))
+
+    return values.map(
+        lambda items: None if items is None else [None if v is None else plain(v) for v in items])
+
+
+def _unsure(page: Column, sections: bool = False) -> Column:
+    """Whether only a parser can tell what a page shows."""
+    def inside(start: str, end: str, what: str, or_open: bool = False) -> Column:
+        parts = F.split(page, start)
+        held = lambda v: F.split(v, end)[0].rlike(what)
+        return F.exists(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda v: (
+            (~v.rlike(end) | held(v)) if or_open else held(v)))
+
+    found = (
+        page.rlike(UNSURE_TAG) | inside(HIDDEN, r"(?i)</(?:script|style)\s*>", "<!--")
+        | inside("<!--", "-->", HIDDEN))
+    # Navigation that is nested, not ended, or holds scripts.
+    return found | inside(r"(?i)<nav\b", r"(?i)</nav\s*>", HIDDEN, True) if sections else found
+
+
+def _without(text: Column, *elements: str, comment: str = "") -> Column:
+    """HTML with ``comment`` for comments and without these elements and what they hold."""
     names = "|".join(elements)
-    bare = F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", "")
+    bare = F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", comment)
     return F.regexp_replace(bare, rf"(?is)<({names})\b[^>]*>.*?(?:</\1\s*>|\z)", "")
 
 
@@ -209,7 +297,9 @@ def html_to_texts(items: Column) -> Column:
             _without(raw, "script", "style"), r"(?i)</?(?:div|p|li)\b[^>]*>|<br\b[^>]*>", " ")
         return F.regexp_replace(spaced, TAG, "")
 
-    bare = _where(F.transform(items, visible), RARE_ENTITY, _rare_entities)
+    # Pages that only a parser can read come back from it without markup.
+    sure = _where(items, lambda v: _unsure(v), _parsed_text)
+    bare = _where(F.transform(sure, visible), RARE_ENTITY, _rare_entities)
     plain = _where(F.transform(bare, _unescaped), NOT_NFKC_SAFE, _nfkc)
     return F.transform(plain, collapse_space)
 
@@ -230,7 +320,10 @@ def paper_sections(
     for all; ``None`` sets no bound.
     """
     raw = F.col(text) if isinstance(text, str) else text
-    page = _without(F.coalesce(raw, F.lit("")), "script", "style", "nav")
+    sure = _where(
+        F.array(F.coalesce(raw, F.lit(""))), lambda v: _unsure(v, sections=True), _parsed_sections)[0]
+    # A comment ends a piece of text, as any tag does.
+    page = _without(sure, "script", "style", "nav", comment="<!>")
     page = _where(F.array(page), RARE_ENTITY, _rare_entities)[0]
     clean = lambda v: collapse_space(_unescaped(v))
     after = F.split(page, r"(?i)<h[1-6]\b[^>]*>")

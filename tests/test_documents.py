@@ -95,6 +95,28 @@ def test_html(spark):
     assert evidence.sections(df).first().method == "m1 m2"
 
 
+@pytest.mark.parametrize("page, shown", [
+    ('<p>A</p><script>document.write("<!--");</script><p>B</p>', "A B"),
+    ('<style>/* <!-- */</style>A<!-- <script> -->B', "AB"),
+    ('<img alt="a > b">C', "C"), ("<img alt='<p>'>C<b>D</b>", "CD"),
+    ('<p title="1 < 2">A &amp; B</p>', "A & B"), ("<p-x>A</p-x>B", "AB"),
+    ("A<script>x</script >B<style-guide>C</style-guide>", "ABC"),
+    ("<img " + 'a="b" ' * 5000 + 'alt="x > y">C', "C"),
+    ('<a title=">">&amp;lt;</a> &lt;b&gt; &eacute;', "&lt; <b> é")])
+def test_pages_that_only_a_parser_can_read(spark, page, shown):
+    assert one(spark, text.html_to_text(F.col("a")), a=page) == shown
+
+
+@pytest.mark.parametrize("page, method", [
+    ('<h2>Method</h2>A<script>"<!--"</script><p>B</p>', "A B"),
+    ('<h2>Our <img alt="a > b">Method</h2>A<img alt="x > y">B', "A B"),
+    ("<nav>a<nav>b</nav><h2>Result</h2>c</nav><h2>Method</h2>A", "A"),
+    ("<h2>Method</h2><nav-bar>A</nav-bar>&lt;h3&gt;", "A <h3>"),
+    ("<nav><script>'</nav>'</script><p>n</p></nav><h2>Method</h2>A<!-- x -->B", "A B")])
+def test_sections_that_only_a_parser_can_read(spark, page, method):
+    assert one(spark, text.paper_sections(F.col("a")), a=page)["method"] == method
+
+
 def test_moments(spark):
     c = F.col("a").cast("timestamp")
     assert one(spark, moments.product_date(c), a="2026-08-01T17:00:00Z") == "2026-08-02"
