@@ -32,7 +32,12 @@ SAMPLE_DOCUMENTS = 2_000
 SAMPLE_CHARS = 20_000
 #: A node is added if the model gives some label at least so much.
 CERTAIN = 0.6
-ROUNDS = 12
+#: Messages of a document stop below this change; one that has not settled after so many rounds
+#: keeps its last messages.
+SETTLED = 1e-4
+ROUNDS = 1_000
+#: Log potential of the labels an observed node does not have; no number of messages lifts it.
+EXCLUDED = -1e9
 
 #: Fixed values of the contract: kinds in their order, patterns, bounds.
 KINDS = ("email", "ip", "card", "phone")
@@ -131,44 +136,74 @@ def keys_of(token: str) -> list[str]:
     return keys
 
 
-def edges_of(tokens: list[tuple[int, int]], text: str) -> list[tuple[int, int, int]]:
+def edges_of(tokens: list[tuple[int, int]], text: str, labels: list[int] | None = None) -> list[tuple[int, int, int]]:
     """``(i, j, type)``: 0 joins neighbours, 1 repeated and 2 similar tokens. Each repeated or
-    similar token is joined to the next one like it, so edges grow with the tokens alone."""
+    similar token is joined to the next one like it, and each open one (label -1) also to the first
+    token with each observed label like it, so labels arrive at any distance and edges grow with
+    the tokens alone."""
     edges = [(i, i + 1, 0) for i in range(len(tokens) - 1)]
     last: dict[str, int] = {}
-    for i, (a, b) in enumerate(tokens):
-        for k, key in enumerate(keys_of(text[a:b])):
+    keys = [keys_of(text[a:b]) for a, b in tokens]
+    for i, mine in enumerate(keys):
+        for k, key in enumerate(mine):
             if key in last:
                 edges.append((last[key], i, 1 + (k > 0)))
             last[key] = i
+    if labels is not None:
+        observed: dict[str, dict[int, int]] = {}
+        for i, label in enumerate(labels):
+            for key in keys[i] if label > 0 else ():
+                observed.setdefault(key, {}).setdefault(label, i)
+        chained = set(edges)
+        for i, label in enumerate(labels):
+            for k, key in enumerate(keys[i]) if label < 0 else ():
+                for j in observed.get(key, {}).values():
+                    edge = (min(i, j), max(i, j), 1 + (k > 0))
+                    if edge not in chained:
+                        edges.append(edge)
     return edges
 
 
-def pass_messages(nodes: np.ndarray, edges: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS):
+def pass_messages(
+    nodes: np.ndarray, edges: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS,
+    documents: np.ndarray | None = None,
+):
     """Label probabilities of all nodes (sum-product over the loopy graph, damped).
 
     nodes: log potentials, a row per node. edges: ``(i, j, type)``. weights: a label by label table
-    per type.
+    per type. documents: the number of each node's document; edges stay inside documents, and each
+    document stops by itself when its messages settle.
     """
-    if not len(edges):
-        logs = nodes
-    else:
-        source = np.concatenate([edges[:, 0], edges[:, 1]])
-        target = np.concatenate([edges[:, 1], edges[:, 0]])
-        table_ = np.concatenate([weights[edges[:, 2]], weights[edges[:, 2]].transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        messages = np.zeros((len(source), _LABELS))
-        for _ in range(rounds):
-            belief = nodes.copy()
-            np.add.at(belief, target, messages)
-            free = belief[source] - messages[back]
-            out = np.logaddexp.reduce(free[:, :, None] + table_, axis=1)
-            out -= out.max(axis=1, keepdims=True)
-            if np.abs(out - messages).max() < 1e-4:
+    logs = nodes.copy()
+    owner = np.zeros(len(nodes), int) if documents is None else documents
+    messages = np.zeros((2, len(edges), _LABELS))
+    fresh = True
+    for _ in range(rounds if len(edges) else 0):
+        if fresh:  # Only documents that still move are kept.
+            used, ends = np.unique(edges[:, :2].T, return_inverse=True)
+            source = ends.ravel()
+            target = source.reshape(2, -1)[::-1].ravel()
+            start = nodes[used]
+            table_ = np.concatenate([weights[edges[:, 2]], weights[edges[:, 2]].transpose(0, 2, 1)])
+            home = owner[edges[:, 0]]
+        flat = messages.reshape(-1, _LABELS)
+        belief = start.copy()
+        np.add.at(belief, target, flat)
+        free = belief[source] - messages[::-1].reshape(-1, _LABELS)
+        out = np.logaddexp.reduce(free[:, :, None] + table_, axis=1)
+        out -= out.max(axis=1, keepdims=True)
+        change = np.abs(out - flat).max(axis=1).reshape(2, -1).max(axis=0)
+        moving = np.isin(home, home[change >= SETTLED])
+        messages = np.where(np.tile(moving, 2)[:, None], 0.5 * flat + 0.5 * out, flat).reshape(messages.shape)
+        fresh = not moving.all()
+        if fresh:
+            done = np.tile(~moving, 2)
+            np.add.at(logs, used[target[done]], messages.reshape(-1, _LABELS)[done])
+            edges, messages = edges[moving], messages[:, moving]
+            if not len(edges):
                 break
-            messages = 0.5 * messages + 0.5 * out
-        logs = nodes.copy()
-        np.add.at(logs, target, messages)
+    if len(edges):
+        np.add.at(logs, edges[:, :2].T[::-1].ravel(), messages.reshape(-1, _LABELS))
     logs = logs - logs.max(axis=1, keepdims=True)
     p = np.exp(logs)
     return p / p.sum(axis=1, keepdims=True)
@@ -222,14 +257,17 @@ def add_spans(texts: list[str], model: dict) -> list[list[tuple[str, int, int, b
     potentials, edges, owners = [], [], []
     for row, text, nodes in open_texts:
         size = len(potentials)
-        edges += [(i + size, j + size, t) for i, j, t in edges_of([n[:2] for n in nodes], text)]
+        edges += [(i + size, j + size, t) for i, j, t in edges_of(
+            [n[:2] for n in nodes], text, [n[2] for n in nodes])]
         for a, b, label in nodes:
             p = node_features(text[a:b]) @ model["node"]
             if label >= 0:
-                p = np.where(np.arange(_LABELS) == label, 0.0, -50.0)
+                p = np.where(np.arange(_LABELS) == label, 0.0, EXCLUDED)
             potentials.append(p)
             owners.append((row, a, b, label))
-    beliefs = pass_messages(np.array(potentials), np.array(edges, int).reshape(-1, 3), model["pairs"])
+    beliefs = pass_messages(
+        np.array(potentials), np.array(edges, int).reshape(-1, 3), model["pairs"],
+        documents=np.array([row for row, *_ in owners]))
     # A token that resembles no other has nothing but its shape, and base patterns judge that.
     alike = {i for a, b, kind in edges if kind for i in (a, b)}
     for i, ((row, a, b, label), p) in enumerate(zip(owners, beliefs)):

@@ -69,6 +69,35 @@ def test_similar_tokens_carry_labels_over_distance(model):
     assert not any("5551234567" in t for _, t in added)
 
 
+@pytest.mark.parametrize("count", [1, 5, 13, 50, 1000])
+def test_labels_reach_all_repeats(count):
+    import numpy as np
+
+    # Shapes speak for nothing, repeats say little, similar tokens much.
+    model = {"node": np.zeros((len(personal.node_features("x")), 5)), "pairs": np.zeros((3, 5, 5))}
+    model["node"][0, 0] = 2.0
+    model["pairs"][2] = np.diag([0.0, 3.0, 3.0, 3.0, 3.0])
+    model["pairs"][1] = 0.4 * np.eye(5)
+    full = "call +1 (838) 555-9577 or una.89@mail7.example.com"
+    for bare in ("838-555-9577", "una.89@mail7"):
+        many = " and then ".join([bare] * count)
+        for text in (f"{full}; {many}", f"{many}; {full}"):
+            assert sum(not base for *_, base in personal.add_spans([text], model)[0]) == count
+
+
+def test_documents_settle_by_themselves():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=(3, 5, 5))
+    nodes, chain = rng.normal(size=(60, 5)), [(i, i + 1, i % 3) for i in range(49)]
+    pair = [(50, 51, 2)]
+    both = personal.pass_messages(
+        nodes, np.array(chain + pair), weights, documents=np.repeat([0, 1], [50, 10]))
+    assert np.allclose(both[:50], personal.pass_messages(nodes[:50], np.array(chain), weights), atol=1e-12)
+    assert np.allclose(both[50:], personal.pass_messages(nodes[50:], np.array([(0, 1, 2)]), weights), atol=1e-12)
+
+
 def test_without_observed_labels_nothing_is_added(model):
     assert personal.add_spans(["numbers 838-555-9577 and 1234 5678 alone"], model) == [[]]
 
