@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import arrow_pass, table, with_text_size
 
 NAME = "op7_personal_data"
-#: Most documents the weights are fitted on, whole: those with the smallest hashes of their texts
-#: among texts of at most so many characters.
+#: Most texts the weights are fitted on, whole: those with the smallest hashes among distinct texts
+#: of at most so many characters.
 SAMPLE_DOCUMENTS = 2_000
 SAMPLE_CHARS = 20_000
 #: A node is added if the model gives some label at least so much.
@@ -248,7 +248,8 @@ def add_spans(texts: list[str], model: dict) -> list[list[tuple[str, int, int, b
     for row, text in enumerate(texts):
         base = base_spans(text)
         out.append([(*s, True) for s in base])
-        # Without an observed label there is nothing to carry on.
+        # Without an observed label there is nothing to carry on: tokens that repeat would lift each
+        # other over the bound by their shapes alone.
         nodes = nodes_of(text, base) if base else []
         if any(label < 0 for _, _, label in nodes):
             open_texts.append((row, text, nodes))
@@ -278,14 +279,15 @@ def add_spans(texts: list[str], model: dict) -> list[list[tuple[str, int, int, b
 
 
 def fitted(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMENTS) -> dict:
-    """The model, from at most ``documents`` documents with digits or ``@``."""
+    """The model, from at most ``documents`` distinct texts with digits or ``@``."""
     sample = docs.select(F.col(text).alias("text")).filter(
         (F.char_length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9]{3}|@"))
-    # Hashes alone are ordered; texts leave the tasks only below the last one. Equal hashes are copies.
-    last = sample.select(F.xxhash64("text").alias("h")).orderBy("h").limit(documents).agg(F.max("h")).first()[0]
+    # Distinct hashes alone are ordered; texts leave the tasks only up to the last one, one of each.
+    hashed = sample.select(F.xxhash64("text").alias("h"), "text")
+    last = hashed.select("h").distinct().orderBy("h").limit(documents).agg(F.max("h")).first()[0]
     if last is None:
         return fit([])
-    chosen = sample.filter(F.xxhash64("text") <= last).limit(documents)
+    chosen = hashed.filter(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"))
     return fit(sorted(r.text for r in chosen.collect()))
 
 

@@ -98,6 +98,15 @@ def test_documents_settle_by_themselves():
     assert np.allclose(both[50:], personal.pass_messages(nodes[50:], np.array([(0, 1, 2)]), weights), atol=1e-12)
 
 
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    texts = [f"call +1 (838) 555-{i:04d}" for i in range(20)]
+    small = next(r.text for r in spark.createDataFrame([(t,) for t in texts], "text string").orderBy(
+        personal.F.xxhash64("text")).limit(1).collect())
+    monkeypatch.setattr(personal, "fit", lambda found: found)
+    found = personal.fitted(documents(spark, [*texts, *[small] * 50]).repartition(4), documents=12)
+    assert len(found) == len(set(found)) == 12 and small in found
+
+
 def test_without_observed_labels_nothing_is_added(model):
     assert personal.add_spans(["numbers 838-555-9577 and 1234 5678 alone"], model) == [[]]
 
