@@ -10,6 +10,11 @@ from folioscope.llm.common import table
 from folioscope.llm.tokens import vocabulary_path
 from folioscope.session import materialized
 
+#: Near duplicates of the pipeline: words of a shingle, and least similarity as a fraction. The values
+#: of the op8 contract bind that query alone.
+DUPLICATE_SHINGLE = 5
+DUPLICATE_THRESHOLD = (80, 100)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble predicts to be good."""
@@ -19,7 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id, and all others."""
-    linked = materialized(jaccard.link_documents(docs), "pipeline-links")
+    linked = materialized(
+        jaccard.link_documents(docs, n=DUPLICATE_SHINGLE, threshold=DUPLICATE_THRESHOLD), "pipeline-links")
     gone = materialized(
         linked.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "pipeline-copies")
     return docs.join(jaccard.few(gone), "doc_id", "left_anti").select(*docs.columns)

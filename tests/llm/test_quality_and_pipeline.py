@@ -135,6 +135,37 @@ def test_pieces_and_sequences_hold_all_tokens(spark):
     assert packing.pack(packing.materialized(packing.token_pieces(docs.limit(0), path), "none")).count() == 0
 
 
+def brute_kept(rows, n=5, part=80, whole=100):
+    """Ids that are the smallest of their group, by comparing all pairs of (id, text)."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").split()
+        sets.append({tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same and whole * same >= part * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {g: min(doc for (doc, _), h in zip(rows, group) if h == g) for g in set(group)}
+    return set(least.values())
+
+
+def test_near_copies_of_the_pipeline(spark):
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    base, other = words(1000), words(1000)
+    edited = list(base)
+    for i in range(20, 1000, 47):  # 21 words
+        edited[i] = "edit"
+    more, less = [*base, *words(200)], [*other, *words(270)]
+    texts = [" ".join(t) for t in (base, more, edited, other, less)]
+    docs = documents(spark, [*texts, *prose(5, 20)])
+    kept = {r.doc_id for r in corpus_pipeline.duplicate_stage(spark, docs, DATA).collect()}
+    assert kept == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+    assert {0, 3, 4} <= kept and not {1, 2} & kept
+
+
 def test_stages_of_the_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     bench = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
