@@ -23,12 +23,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id, and all others."""
-    linked = materialized(
-        jaccard.link_documents(docs, n=DUPLICATE_SHINGLE, threshold=DUPLICATE_THRESHOLD), "pipeline-links")
-    gone = materialized(
-        linked.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(jaccard.few(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, and all others.
+
+    Rows are compared whatever their ids are: the row with the smallest id stays, one of those that
+    repeat it, and one without an id only where no row of the group has one. Rows that repeat an id
+    with unlike texts all stay, and so do texts without words.
+    """
+    numbered = materialized(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    linked = jaccard.link_documents(
+        numbered, n=DUPLICATE_SHINGLE, threshold=DUPLICATE_THRESHOLD, id_column="_row")
+    others = materialized(
+        linked.filter(F.col("component_id") != F.col("_row")).select("_row", "component_id"), "pipeline-copies")
+    members = materialized(others.unionByName(
+        others.select(F.col("component_id").alias("_row"), "component_id").distinct()), "pipeline-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = materialized(
+        numbered.select("_row", "doc_id").join(jaccard.few(members), "_row")
+        .groupBy("component_id").agg(first.alias("first")).select("first._row"), "pipeline-kept")
+    gone = materialized(members.select("_row").join(jaccard.few(kept), "_row", "left_anti"), "pipeline-gone")
+    return numbered.join(jaccard.few(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,6 +166,20 @@ def test_near_copies_of_the_pipeline(spark):
     assert {0, 3, 4} <= kept and not {1, 2} & kept
 
 
+def test_one_row_of_each_group_stays(spark):
+    one, two, three, four = [" ".join(prose(seed, 20, 60, 3000)) for seed in range(11, 15)]
+    rows = [
+        (5, one), (5, one), (9, one), (None, one), (None, one + " more"),  # repeats of the least id, none
+        (None, two), (None, two), (None, two + " more"),  # no row has an id
+        (7, three), (7, four), (8, four),  # an id with unlike texts
+        (None, None), (3, None), (3, ""), (4, "\n")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.duplicate_stage(spark, docs, DATA).collect()]
+    words = sorted([(d, t.removesuffix(" more")) for d, t in kept if (t or "").strip()], key=str)
+    assert words == sorted([(5, one), (None, two), (7, three), (7, four)], key=str)
+    assert sorted([x for x in kept if not (x[1] or "").strip()], key=str) == sorted(rows[-4:], key=str)
+
+
 def test_stages_of_the_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     bench = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
