@@ -37,11 +37,19 @@ KEY_ALGORITHMS = tuple(bytes.fromhex(x) for x in (
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]++")
 _ARMOUR = re.compile(
-    r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
+    r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])++)-----END \1-----")
+#: White space or its escaped form, as in JSON and source strings (``\\/`` is a slash there).
+_BREAK = re.compile(r"\\+[nrt]|\s|\\+(?=/)")
 #: A DER sequence of over 30 bytes, or the OpenSSH magic, in base64; a DER sequence in hex.
 _ENCODED = re.compile(
-    r"(?<![A-Za-z0-9+/_-])(?:MC|MD|MF|MG|MH|MI|b3BlbnNzaC)[A-Za-z0-9+/_-]{38,}+={0,2}"
+    r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))"
+    r"(?:(?:MC|MD|MF|MG|MH|MI)[A-Za-z0-9+/_-]{38,}+|b3BlbnNzaC[A-Za-z0-9+/_-]{30,}+)={0,2}"
     r"|(?<![0-9A-Fa-f])30[0-9A-Fa-f]{80,}+")
+#: The same from its start over line ends, real or escaped, as far as lines are base64.
+_WRAPPED = re.compile(
+    r"[A-Za-z0-9+/_-]++(?:[\x20\t]*+(?:\r?\n|(?:\\+[nr])++)[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: Characters of a wrapped key that are looked at, line ends included.
+WRAPPED_CHARS = 24_000
 _SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 _ARROW_SPANS = pa.list_(pa.struct(
     [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
@@ -143,24 +151,74 @@ def signed_token(candidate: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict)
 
 
+def key_size(data: bytes) -> int | None:
+    """Bytes of the DER value or the OpenSSH key that ``data`` begins with, as its lengths say."""
+    if data.startswith(b"openssh-key-v1\0"):
+        at = 15
+        for _ in range(3):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        keys = int.from_bytes(data[at : at + 4], "big")
+        at += 4
+        for _ in range(min(keys, 16) + 1):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at
+    if len(data) < 6:
+        return None
+    more = data[1] & 0x7F if data[1] & 0x80 else 0
+    return 2 + more + (int.from_bytes(data[2 : 2 + more], "big") if more else data[1])
+
+
+def wrapped_key(text: str, start: int) -> int | None:
+    """The end of a private key in base64 that goes on over lines from ``start``, or None. Its own
+    lengths say where it ends, so words in the next line do not matter."""
+    known = WRAPPED_CHARS
+    if not text.startswith("b3", start):
+        size = key_size(decode(text[start : start + 40]) or b"")
+        known = -(-(size or 0) * 4 // 3)
+        if not 40 < known < WRAPPED_CHARS:
+            return None
+    m = _WRAPPED.match(text, start, start + min(2 * known + 100, WRAPPED_CHARS))
+    if not m:
+        return None
+    plain = _BREAK.sub("", m.group()).rstrip("=")
+    size = key_size(decode(plain[: len(plain) // 4 * 4]) or b"") or 0
+    chars = -(-size * 4 // 3)
+    data = decode(plain[:chars]) if 0 < chars <= len(plain) else None
+    if not data or not private_key(data):
+        return None
+    end, left = start, chars
+    while left:
+        gap = _BREAK.match(text, end)
+        left -= not gap
+        end = gap.end() if gap else end + 1
+    while end < m.end() and text[end] == "=":
+        end += 1
+    # Behind its last sign the line ends.
+    return None if re.match(r"[A-Za-z0-9+/_-]", text[end : end + 1]) else end
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Signed tokens and private keys, by structure."""
     found = []
     if "ey" in text:
         found += [("token", *m.span()) for m in _SIGNED.finditer(text) if signed_token(m.group())]
     for m in _ARMOUR.finditer(text) if "-----BEGIN" in text else ():
-        data = decode("".join(m.group(2).split()))
+        data = decode(_BREAK.sub("", m.group(2)))
         if data and private_key(data):
             found.append(("key", *m.span()))
     covered = [(a, b) for kind, a, b in found if kind == "key"]
+    behind = 0
     for m in _ENCODED.finditer(text):
         a, b = m.span()
-        if any(x <= a and b <= y for x, y in covered):
+        if a < behind or any(x <= a and b <= y for x, y in covered):
             continue
         raw = m.group()
         data = (bytes.fromhex(raw[: len(raw) // 2 * 2]) if raw[:2] == "30" else decode(raw))
         if data and private_key(data):
             found.append(("key", a, b))
+        elif raw[:2] != "30" and (end := wrapped_key(text, a)):
+            found.append(("key", a, end))
+            behind = end
     return found
 
 

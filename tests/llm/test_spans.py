@@ -184,6 +184,29 @@ def test_keys_are_confirmed_by_nested_lengths(data, good):
         assert secrets.confirmed_spans("a " + pem) == [("key", 2, 2 + len(pem))]
 
 
+@pytest.mark.parametrize("data", [RSA, PKCS8 + b"", SEC1, openssh()])
+@pytest.mark.parametrize("width", [44, 64, 76])
+def test_keys_over_escaped_and_real_lines(data, width):
+    plain = base64.b64encode(data).decode()
+    lines = [plain[i : i + width] for i in range(0, len(plain), width)]
+    armour = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+    for escaped in (json.dumps(armour)[1:-1], json.dumps(json.dumps(armour))[3:-3], armour.replace("\n", "\\r\\n")):
+        assert secrets.confirmed_spans(f'"{escaped}\\n"') == [("key", 1, 1 + len(escaped))]
+    for end in ("\n", "\r\n", "\n  ", "\\n"):
+        body = end.join(lines)
+        for behind in ("", "\nwords", " words", '"'):
+            want = [("key", 2, 2 + len(body))] if len(lines[0]) >= 40 else []
+            assert secrets.confirmed_spans(f"k {body}{behind}") == want
+    if len(lines) > 1:
+        assert secrets.confirmed_spans("k " + "\n".join(lines[:-1])) == []
+
+
+def test_escaped_and_wrapped_lines_take_linear_time():
+    line = "MI" + "A" * 62
+    for text in (f"{line}\n" * 5_000, "-----BEGIN PRIVATE KEY-----\\n" * 10_000, "A\\n" * 100_000):
+        secrets.all_spans(text)
+
+
 def token(header, payload):
     part = lambda x: base64.urlsafe_b64encode(x if isinstance(x, bytes) else json.dumps(x).encode()).decode().rstrip("=")
     return f"{part(header)}.{part(payload)}.c2lnbmF0dXJl"
