@@ -26,9 +26,11 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from heapq import merge
-from itertools import groupby
+from itertools import accumulate, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -51,7 +53,9 @@ RUN_LINKS = 2_000_000
 #: Compressed bytes of key sections that one merge takes.
 CHUNK_BYTES = 64_000_000
 #: Units and their ids that a worker keeps; both are emptied beyond it.
-CACHE_UNITS, CACHE_IDS = 400_000, 8_000_000
+CACHE_UNITS, CACHE_IDS = 600_000, 8_000_000
+#: Texts whose new units are learnt together come to about so many characters.
+BATCH_CHARS = 1_000_000
 
 #: No token of either vocabulary reaches over the front of one space or line end between these.
 _SURE = "[!-~À-ɏ]"
@@ -89,66 +93,93 @@ class PairEncoder:
         if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
             raise ValueError("pieces that reach over a space or line end are not supported")
         self.space = self.b.piece_to_id("▁")
+        self.size_a = {i: len(raw) for i, raw in self.bytes_a.items()}
+        self.size_b = [len(raw) for raw in self.bytes_b]
+        # A sign is a token of its own behind letters that it shares no piece with.
+        vocabulary = dict(names)
+        self.signs = {
+            sign: (vocabulary[sign], self.b.piece_to_id(sign)) for sign in ".,;:?!"
+            if sign in vocabulary and sign in pieces}
+        self.joined = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.shown: list[str] = []  # groups as text
-        self.sizes: list[tuple[int, int, int, bool]] = []  # tokens of A, of B, links, same bytes
-        self.keys: list[np.ndarray] = []
+        self.n_a: list[int] = []
+        self.n_b: list[int] = []
+        self.keys: list[bytes] = []  # of links, four bytes each
+        self.changed: set[int] = set()  # units that do not come back byte by byte
         self.held = 0
 
-    def learn(self, units: list[str]) -> None:
+    def learn(self, units: set[str]) -> None:
         """Encode units that are not kept yet."""
-        coded = self.a.encode_batch_fast(units, add_special_tokens=False)
-        # The library puts a space in front of what it gets: a unit's own, or one to take off again.
-        pieces = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        for unit, a, b in zip(units, coded, pieces):
-            a = a.ids
-            if unit[0] != " ":
-                if b[:1] != [self.space]:
-                    raise ValueError(f"no separate space before {unit[:20]!r}")
-                b = b[1:]
-            self.at[unit] = len(self.shown)
-            self._add(unit.encode(), a, b)
-
-    def _add(self, raw: bytes, a: list[int], b: list[int]) -> None:
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        same = b"".join(parts_a) == raw == b"".join(parts_b)
-        groups, links, end_a, end_b, i, j = [], [], 0, 0, 0, 0
-        first_a = first_b = 0
-        while same and i < len(a):
-            # The side that is behind takes its next token; where both ends meet, a group is full.
-            if end_a <= end_b:
-                end_a, i = end_a + len(parts_a[i]), i + 1
-            while end_b < end_a:
-                end_b, j = end_b + len(parts_b[j]), j + 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                links.append(pair_key(a[i - 1], b[j - 1]))
-                first_a, first_b = i, j
+        signs, joined, at = self.signs, self.joined, self.at
+        ended = [u for u in units if u[-1] in signs and u[-2:-1].isalpha() and u[-2:] not in joined]
+        plain = units.difference(ended)
+        plain.update(v for v in {u[:-1] for u in ended} if v not in at)
+        if plain:
+            names = sorted(plain)
+            coded = self.a.encode_batch_fast(names, add_special_tokens=False)
+            # The library puts a space in front of what it gets: a unit's own, or one to take off again.
+            pieces = self.b.encode([u[1:] if u[0] == " " else u for u in names], num_threads=1)
+            for unit, a, b in zip(names, coded, pieces):
+                if unit[0] != " ":
+                    if b[:1] != [self.space]:
+                        raise ValueError(f"no separate space before {unit[:20]!r}")
+                    b = b[1:]
+                self._add(unit, a.ids, b)
+        for unit in ended:
+            word, (a, b) = at[unit[:-1]], signs[unit[-1]]
+            if word in self.changed:
+                self.changed.add(len(self.shown))
+            at[unit] = len(self.shown)
+            self.shown.append(f"{self.shown[word]};{a}|{b}")
+            self.n_a.append(self.n_a[word] + 1)
+            self.n_b.append(self.n_b[word] + 1)
+            self.keys.append(self.keys[word] + pair_key(a, b).to_bytes(4, sys.byteorder))
+            self.held += self.n_a[-1]
+
+    def _add(self, unit: str, a: list[int], b: list[int]) -> None:
+        raw, groups, links, first_a, first_b = unit.encode(), [], array("I"), 0, 0
+        if b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b]):
+            ends_b = {end: j for j, end in enumerate(accumulate([self.size_b[i] for i in b]), 1)}
+            for i, end in enumerate(accumulate([self.size_a[i] for i in a]), 1):
+                j = ends_b.get(end)
+                if j is not None:
+                    groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
+                    links.append(pair_key(a[i - 1], b[j - 1]))
+                    first_a, first_b = i, j
+        else:
+            self.changed.add(len(self.shown))
+        self.at[unit] = len(self.shown)
         self.shown.append(";".join(groups))
-        self.sizes.append((len(a), len(b), len(links), same))
-        self.keys.append(np.array(links, np.uint32))
+        self.n_a.append(len(a))
+        self.n_b.append(len(b))
+        self.keys.append(links.tobytes())
         self.held += len(a)
 
-    def texts(self, column: pa.Array) -> Iterator[np.ndarray | None]:
-        """For each text the places of its units, or None where it has no tokens."""
-        for value in column:
-            text = value.as_py()
-            if not text:
-                yield None
-                continue
-            units = _units(text)
-            at = self.at
-            new = [u for u in dict.fromkeys(units) if u not in at]
-            if len(at) + len(new) > CACHE_UNITS or self.held > CACHE_IDS:
+    def texts(self, column: pa.Array) -> Iterator[list[int] | None]:
+        """For each text the places of its units, or None where it has no tokens. Places hold until
+        the next text is asked for."""
+        texts = column.to_pylist()
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and size < BATCH_CHARS:
+                size += len(texts[stop] or "")
+                stop += 1
+            units = [_units(t) if t else None for t in texts[start:stop]]
+            new = {u for own in units if own for u in own}
+            if len(self.at) + len(new) > CACHE_UNITS or self.held > CACHE_IDS:
                 self.clear()
-                at, new = self.at, list(dict.fromkeys(units))
+            new.difference_update(self.at)
             if new:
                 self.learn(new)
-            places = [at[u] for u in units]
-            yield places if all(self.sizes[i][3] for i in set(places)) else None
+            for own in units:
+                places = list(map(self.at.__getitem__, own)) if own else None
+                yield None if places is None or not self.changed.isdisjoint(places) else places
+            start = stop
 
 
 _ENCODERS: dict[tuple[str, str], PairEncoder] = {}
@@ -210,11 +241,11 @@ def write_runs(
                 if units is None:
                     held.append((doc, 0, 0, 0, ""))
                     continue
-                shown, sizes = coder.shown, [coder.sizes[i] for i in units]
-                digest = hashlib.sha256(";".join([shown[i] for i in units]).encode()).hexdigest()
-                linked = np.concatenate([coder.keys[i] for i in units])
+                pick = itemgetter(*units, units[0])  # one more, so that it is always a tuple
+                digest = hashlib.sha256(";".join(pick(coder.shown)[:-1]).encode()).hexdigest()
+                linked = np.frombuffer(b"".join(pick(coder.keys)[:-1]), np.uint32)
                 keys.append(linked.astype(np.uint64) << np.uint64(32) | np.uint64(len(held)))
-                held.append((doc, sum(s[0] for s in sizes), sum(s[1] for s in sizes), len(linked), digest))
+                held.append((doc, sum(pick(coder.n_a)[:-1]), sum(pick(coder.n_b)[:-1]), len(linked), digest))
                 size += len(linked)
                 if size >= RUN_LINKS:
                     yield _spilled(held, keys, arrow)
