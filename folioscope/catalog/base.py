@@ -242,12 +242,17 @@ scored AS (
   FROM valued)"""
 
 
+def pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All candidates and all readers."""
+    return papers(spark, sf_dir), materialized(profiles(spark, sf_dir), "profiles")
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates tokenized once and paired with the readers that retrieve them."""
+    """Candidates paired with the readers that retrieve them, with their hits."""
     from folioscope.operators import ranking
 
-    people = materialized(profiles(spark, sf_dir), "profiles")
-    return ranking.assign_pool(ranking.prepare_candidates(papers(spark, sf_dir)), people), people
+    candidates, people = pool(spark, sf_dir)
+    return ranking.assign_pool(candidates, people), people
 
 
 def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:

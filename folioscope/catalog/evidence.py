@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.catalog.base import (
-    FOLD_SQL, NOW, PAPERS_SQL, PAPER_KEY_SQL, SCORED_SQL, pairs, paper_key, papers, query,
+    FOLD_SQL, NOW, PAPERS_SQL, PAPER_KEY_SQL, SCORED_SQL, paper_key, papers, pool, query,
     spread, table, text_time,
 )
-from folioscope.catalog.ranking import DIVERSE_PASSES, scored_pairs, walk_sql
+from folioscope.catalog.ranking import DIVERSE_PASSES, shortlisted, walk_sql
 from folioscope.functions import hashing, identity, moments, text, urls
 from folioscope.operators import contracts, evidence, exchange, publishing, ranking
 from folioscope.plans import recommend as plans
@@ -425,7 +425,7 @@ def cache_split(spark, sf_dir):
     SELECT profile_id AS run_id, paper_id, CAST(batch AS BIGINT) AS batch_no FROM walk""",
 )
 def model_batches(spark, sf_dir):
-    short = ranking.shortlist(scored_pairs(spark, sf_dir), 60).select("profile_id", "paper_id", "rank")
+    short = shortlisted(spark, sf_dir, 60).select("profile_id", "paper_id", "rank")
     records = short.join(papers(spark, sf_dir).select("paper_id", "summary"), "paper_id").select(
         F.col("profile_id").alias("run_id"), "paper_id", F.col("rank").alias("record_order"),
         F.col("summary").alias("record"),
@@ -609,7 +609,7 @@ _RECOMMEND_SQL = (
 
 
 def _recommended(spark, sf_dir):
-    candidates, people = pairs(spark, sf_dir)
+    candidates, people = pool(spark, sf_dir)
     return plans.recommend(candidates, people, proposals_of(spark, sf_dir), NOW)
 
 
@@ -656,7 +656,7 @@ def published_view(spark, sf_dir):
 def recommend_refined(spark, sf_dir):
     from folioscope.session import materialized
 
-    candidates, people = pairs(spark, sf_dir)
+    candidates, people = pool(spark, sf_dir)
     judgments = materialized(judgments_of(spark, sf_dir), "judgments")
     pages = project_pages_of(spark, sf_dir)
     sections = papers(spark, sf_dir).select("paper_id").withColumns(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.catalog.base import (
-    NOW, PAPERS_SQL, PROFILE_SQL, RANK_TOKENS_SQL, SCORED_SQL, pairs, papers, query,
+    NOW, PAPERS_SQL, PROFILE_SQL, RANK_TOKENS_SQL, SCORED_SQL, pairs, papers, pool, query,
 )
 from folioscope.functions import text
 from folioscope.operators import ranking, selection
@@ -37,6 +37,12 @@ def scored_pairs(spark, sf_dir):
 _PARTS = ["lexical", "category", "facet", "recency", "watched_author", "watched_institution", "score"]
 
 
+def shortlisted(spark, sf_dir, limit, **options):
+    """The first candidates of each reader, straight from the pool."""
+    candidates, people = pool(spark, sf_dir)
+    return ranking.pool_shortlist(candidates, people, NOW, limit, **options)
+
+
 @query(
     "paper_score",
     f"""WITH {SCORED_SQL}
@@ -57,7 +63,7 @@ def paper_score(spark, sf_dir):
     FROM scored QUALIFY rank <= 20""",
 )
 def paper_topk(spark, sf_dir):
-    best = ranking.shortlist(scored_pairs(spark, sf_dir), 20)
+    best = shortlisted(spark, sf_dir, 20)
     return best.select(
         "profile_id", F.col("rank").cast("long").alias("rank"), "paper_id", "source",
         F.round("score", 6).alias("score"),
@@ -143,7 +149,7 @@ def _chosen(df):
     + walk_sql("scored", "score", 0.2, 60, DIVERSE_PASSES, True) + _CHOSEN_SQL,
 )
 def diverse_select(spark, sf_dir):
-    return _chosen(selection.select_diverse(scored_pairs(spark, sf_dir), pre_rank_limit=60))
+    return _chosen(selection.select_diverse(shortlisted(spark, sf_dir, 60), pre_rank_limit=60))
 
 
 @query(
@@ -152,4 +158,5 @@ def diverse_select(spark, sf_dir):
     + walk_sql("baseline", "base_score", 1.0, 40, _BASELINE_PASSES, False) + _CHOSEN_SQL,
 )
 def baseline_select(spark, sf_dir):
-    return _chosen(selection.select_baseline(baseline_pairs(spark, sf_dir), pre_rank_limit=40))
+    return _chosen(selection.select_baseline(
+        shortlisted(spark, sf_dir, 40, score=ranking.score_baseline), pre_rank_limit=40))

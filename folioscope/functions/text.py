@@ -93,14 +93,6 @@ def ranking_terms(text: Column) -> Column:
     return F.array_distinct(ranking_words(text))
 
 
-def hyphen_parts(words: Column) -> Column:
-    """Parts of three or more letters after splitting tokens at hyphens."""
-    joined = lambda w: F.contains(w, F.lit("-"))
-    plain = F.filter(words, lambda w: ~joined(w))
-    split = F.flatten(F.transform(F.filter(words, joined), lambda w: F.split(w, "-")))
-    return F.array_distinct(F.concat(plain, F.filter(split, lambda p: F.length(p) >= 3)))
-
-
 def facet_tokens(value: Column) -> Column:
     """Tokens of a facet label; hyphens and spaces mean the same."""
     return ranking_terms(F.replace(value, F.lit("-"), F.lit(" ")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from folioscope.operators import scale
 from folioscope.operators.weights import (
     BASELINE_VERSION, GROUPS, INTEREST_IMPORTANCE, QUALITY_FIRST, weight_literals,
 )
+from folioscope.session import materialized
 
 # ---- fixed values -------------------------------------------------------------------------
 TIER_VALUE = {"core": 1.0, "adjacent": 0.6, "exploration": 0.2}
@@ -61,12 +63,84 @@ def ranking_profile(profiles: DataFrame) -> DataFrame:
     )
 
 
-def assign_pool(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Pair every candidate with the profiles that retrieve one of its categories.
+#: Marks in front of keys that are not whole words: a part behind a hyphen, an author, a place.
+PART, AUTHOR, PLACE = "-", "\1", "\2"
+_ENTRIES = "array<struct<key:string,topic:int,part:string>>"
+
+
+def _postings(profiles: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """An inverted index of all readers, ``(key, profile_id, topic, part)``, from arrays of entries; and
+    ``_wanted``, where readers have retrieval categories."""
+    prepared = ranking_profile(profiles)
+    entries = F.concat(*[F.coalesce(k, F.array().cast(_ENTRIES)) for k in kinds.values()])
+    wanted = [F.col("retrieval_categories").alias("_wanted")] if "retrieval_categories" in prepared.columns else []
+    rows = prepared.select("profile_id", *wanted, F.explode(entries).alias("_e"))
+    return rows.select(*[c for c in rows.columns if c != "_e"], "_e.*")
+
+
+def _entry(key: Column, topic: int, part: Column | None = None) -> Column:
+    part = F.lit(None).cast("string") if part is None else part
+    return F.struct(key.alias("key"), F.lit(topic).alias("topic"), part.alias("part"))
+
+
+def term_postings(profiles: DataFrame) -> DataFrame:
+    """Postings of each topic, and of each facet token as a whole word and as a hyphen part."""
+    return _postings(profiles, {
+        "topic": F.transform("_topics", lambda w: _entry(w, 1)),
+        "whole": F.transform("_facet_words", lambda w: _entry(w, 0, w)),
+        "split": F.transform("_facet_words", lambda w: _entry(F.concat(F.lit(PART), w), 0, w))})
+
+
+def name_postings(profiles: DataFrame) -> DataFrame:
+    """Postings of each watched author and institution."""
+    return _postings(profiles, {
+        "author": F.transform("_author_names", lambda n: _entry(F.concat(F.lit(AUTHOR), n), 0)),
+        "place": F.transform("_place_names", lambda n: _entry(F.concat(F.lit(PLACE), n), 0))})
+
+
+def _term_keys(candidates: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Distinct tokens of each candidate and parts of those with hyphens."""
+    joined = F.filter("words", lambda w: F.contains(w, F.lit("-")))
+    parts = F.filter(F.flatten(F.transform(joined, lambda w: F.split(w, "-"))), lambda p: F.length(p) >= 3)
+    marked = F.transform(F.array_distinct(parts), lambda p: F.concat(F.lit(PART), p))
+    # The outer form keeps Spark from adding a filter that would tokenize each text again.
+    return candidates.select(*ids, F.explode_outer(F.concat("words", marked)).alias("key"))
 
-    An equi-join on category. A pair that matches through several categories is kept once, at
-    the first of them, without another shuffle.
+
+def _name_keys(candidates: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Names of each candidate; texts are not read for them."""
+    known = lambda c, mark: F.transform(
+        F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda n: n != ""),
+        lambda n: F.concat(F.lit(mark), n))
+    names = F.concat(known(F.col("_authors_norm"), AUTHOR), known(F.col("_places_norm"), PLACE))
+    return candidates.select(*ids, F.explode_outer(F.array_distinct(names)).alias("key"))
+
+
+def _summed(found: DataFrame, ids: Sequence[str]) -> DataFrame:
+    return found.groupBy(*ids).agg(
+        F.sum("topic").cast("double").alias("term_overlap"), F.collect_set("part").alias("_met"))
+
+
+def term_hits(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Per reader and candidate that share anything: ``term_overlap``, the number of topics among the
+    candidate's tokens (J9), and ``_met``, the facet tokens among them and their hyphen parts (J11).
+
+    Distinct tokens meet the postings of all readers by equality and are added up, so a pair without
+    a hit costs nothing. ``candidates`` are ``prepare_candidates`` rows, one per ``paper_id``, or one per
+    ``profile_id`` and ``paper_id``.
     """
+    ids = [c for c in ("profile_id", "paper_id") if c in candidates.columns]
+    postings = term_postings(profiles)
+    on = ["key", *[c for c in ids if c == "profile_id"]]
+    carried = [] if "_wanted" not in postings.columns or "profile_id" in ids else ["categories"]
+    found = scale.hot_key_join(_term_keys(candidates, [*ids, *carried]), postings, on, sized_by=postings.select("key"))
+    if carried:
+        found = found.filter(F.arrays_overlap("categories", "_wanted"))
+    return _summed(found, ["profile_id", "paper_id"])
+
+
+def _retrieved(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Candidates with every profile that retrieves one of their categories, once each."""
     wanted = profiles.select(
         "profile_id",
         F.explode(F.array_distinct("retrieval_categories")).alias("_category"),
@@ -76,10 +150,76 @@ def assign_pool(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
     paired = scale.hot_key_join(
         offered, wanted, ["_category"], sized_by=wanted.select("_category")
     )
+    # A pair that matches through several categories is kept at the first of them.
     first = F.get(F.array_intersect("categories", "_wanted"), F.lit(0))
     return paired.filter(F.col("_category") == first).drop("_category", "_wanted")
 
 
+def assign_pool(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pair every candidate with the profiles that retrieve one of its categories (P21), with the
+    hits of the pair.
+
+    Tokens stay below the pairing: the pairs join the sparse sums of ``term_hits``. ``candidates`` hold
+    one row per ``paper_id`` (C10).
+    """
+    if "words" not in candidates.columns:
+        candidates = prepare_candidates(candidates)
+    pairs = _retrieved(candidates.drop("words"), profiles)
+    return _with_hits(pairs, term_hits(candidates, profiles))
+
+
+def _with_hits(pairs: DataFrame, hits: DataFrame) -> DataFrame:
+    return pairs.join(hits, ["profile_id", "paper_id"], "left").withColumns({
+        "term_overlap": F.coalesce("term_overlap", F.lit(0.0)),
+        "_met": F.coalesce("_met", F.array().cast("array<string>"))})
+
+
+def contenders(candidates: DataFrame, profiles: DataFrame, now, limit: int) -> DataFrame:
+    """Pairs ``(profile_id, paper_id, term_overlap, _met)`` among which the first ``limit`` of every
+    reader are, for any score that grows with hits, identity and freshness and depends on nothing else
+    but the tier.
+
+    Without a hit and a watched name, candidates of the same categories differ in freshness and id
+    alone for all readers. So only the first ``limit`` of each set of categories can enter a list; all
+    others come from the inverted index. Pairs that are neither are never built. Candidates without a
+    date are a set of their own.
+    """
+    found = [
+        scale.hot_key_join(keys(candidates, ["paper_id", "categories"]), postings, ["key"], sized_by=postings.select("key"))
+        .filter(F.arrays_overlap("categories", "_wanted"))
+        for keys, postings in ((_term_keys, term_postings(profiles)), (_name_keys, name_postings(profiles)))]
+    fresh = moments.freshness(moments.instant(now), F.col("published"))
+    newest = scale.top_per_group(
+        candidates.select("paper_id", "categories", fresh.alias("_fresh")).withColumns({
+            "_set": F.array_sort(F.array_distinct("categories")), "_dated": F.col("_fresh").isNotNull()}),
+        ["_set", "_dated"], [F.col("_fresh").desc(), F.col("paper_id")], limit, "_place",
+    )
+    none = {"topic": F.lit(0), "part": F.lit(None).cast("string")}
+    columns = ["profile_id", "paper_id", "topic", "part"]
+    unmet = _retrieved(newest.select("paper_id", "categories"), profiles).withColumns(none)
+    return _summed(reduce(DataFrame.unionByName, [x.select(*columns) for x in (*found, unmet)]), columns[:2])
+
+
+def pool_shortlist(
+    candidates: DataFrame, profiles: DataFrame, now, limit: int = 60, *, score=None, **options
+) -> DataFrame:
+    """The first ``limit`` scored candidates of every reader, ranked, without building all pairs.
+
+    ``candidates`` hold one row per ``paper_id`` and no ``profile_id``. Contenders are scored on the few
+    columns a score needs; the others join the ranked rows. ``score`` is ``score_candidates`` (default) or
+    ``score_baseline`` without feedback, with its ``options``.
+    """
+    if "words" not in candidates.columns:
+        candidates = prepare_candidates(candidates)
+    needed = ["paper_id", "categories", "published", "_authors_norm", "_places_norm"]
+    pairs = contenders(candidates, profiles, now, limit).join(candidates.select(*needed), "paper_id")
+    scored = (score or score_candidates)(pairs, profiles, now, **options)
+    best = materialized(shortlist(scored, limit), "ranked")
+    rest = candidates.select("paper_id", *[c for c in candidates.columns if c not in best.columns and c not in (
+        "words", "_authors_norm", "_places_norm")])
+    return scale.hot_key_join(rest, best, ["paper_id"])
+
+
 def _with_profile(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
     prepared = ranking_profile(profiles)
     if "profile_id" not in candidates.columns:
@@ -91,17 +231,16 @@ def _with_profile(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def prepare_candidates(candidates: DataFrame) -> DataFrame:
-    """Everything a score needs from a candidate alone, computed once before any pairing.
+    """Everything a score needs from a candidate alone.
 
-    The summary gives way to its distinct tokens (whole text, I8) and their hyphen parts; names
-    are normalized (I7).
+    The summary gives way to the distinct tokens of the whole text (I8), which only the inverted index
+    reads; names are normalized (I7).
     """
     return (
         candidates.withColumn("words", text.ranking_terms(F.concat_ws(" ", "title", "summary")))
         .drop("summary")
         .withColumns(
             {
-                "_parts": text.hyphen_parts(F.col("words")),
                 "_authors_norm": text.normalized_identities(F.col("authors")),
                 "_places_norm": text.normalized_identities(F.col("affiliations")),
             }
@@ -129,8 +268,12 @@ def _local_features(
 ) -> DataFrame:
     """Tier, overlap, freshness and watched-identity columns of every pair."""
     author, place, cap = bonuses
-    if "words" not in candidates.columns:
-        candidates = prepare_candidates(candidates)
+    if "term_overlap" not in candidates.columns:
+        if "profile_id" not in candidates.columns:
+            raise ValueError("give candidates a profile_id, for example with assign_pool")
+        if "words" not in candidates.columns:
+            candidates = prepare_candidates(candidates)
+        candidates = _with_hits(candidates.drop("words"), term_hits(candidates, profiles))
     joined = _with_profile(candidates, profiles)
     known = lambda c: F.filter(c, lambda n: n != "")
     author_hit = F.arrays_overlap(known(F.col("_authors_norm")), F.col("_author_names"))
@@ -138,14 +281,12 @@ def _local_features(
     return joined.withColumns(
         {
             "source": _tier(F.col("_core"), F.col("_adjacent")),
-            "term_overlap": F.size(F.array_intersect("words", "_topics")).cast("double"),
             "topic_count": F.size("_topics"),
             "recency": moments.freshness(moments.instant(now), F.col("published")),
             "watched_author": F.least(F.when(author_hit, author).otherwise(0.0), F.lit(cap)),
             "_place_bonus": F.when(place_hit, place).otherwise(0.0),
             "has_watchlist": (F.size("_author_names") > 0) | (F.size("_place_names") > 0),
             "has_facets": F.size("_facets") > 0,
-            "_met": F.array_intersect("_parts", "_facet_words"),
         }
     ).withColumn(
         "watched_institution",
@@ -154,11 +295,8 @@ def _local_features(
 
 
 def _facet_value() -> Column:
-    """Weight of the facets whose every token occurs in the paper, out of three.
-
-    The paper's tokens are first reduced to those any facet asks for, so each facet is compared
-    with a handful of words.
-    """
+    """Weight of the facets whose every token occurs in the paper, out of three (J11); the tokens
+    are those that the inverted index met."""
     summed = F.aggregate(
         F.col("_facets"),
         F.lit(0.0),
@@ -195,9 +333,8 @@ def feature_table(
             "identity": F.col("watched_author") + F.col("watched_institution"),
         }
     ).drop(
-        "_topics", "_core", "_adjacent", "_author_names", "_place_names", "_facets", "_parts",
-        "_facet_words", "_met", "_place_bonus", "_authors_norm", "_places_norm", "words",
-        "topic_count",
+        "_topics", "_core", "_adjacent", "_author_names", "_place_names", "_facets",
+        "_facet_words", "_met", "_place_bonus", "_authors_norm", "_places_norm", "topic_count",
     )
 
 
@@ -317,6 +454,12 @@ def score_candidates(
     return score_features(features, weights)
 
 
+def unscored(scored: DataFrame) -> DataFrame:
+    """Scored rows as feature rows again, for a second score with more features."""
+    return scored.drop(
+        "score", "rank", "weight_set_version", *[f"{g}_{kind}" for g in GROUPS for kind in ("value", "contribution")])
+
+
 def components(scored: DataFrame) -> DataFrame:
     """Scores with their named components in one map."""
     names = [

@@ -42,15 +42,24 @@ def recommend(
     baseline: bool = False,
     **bonuses: float,
 ) -> DataFrame:
-    """Suppress, score, shortlist, select and join validated proposals."""
+    """Suppress, score, shortlist, select and join validated proposals.
+
+    ``pairs`` without a ``profile_id`` are the pool, one row per candidate: only pairs that can enter a
+    shortlist are built then.
+    """
     eligible = pairs if history is None else pool.suppress(pairs, history, now)
-    if baseline:
-        scored = ranking.score_baseline(eligible, profiles, now, **bonuses)
-        chosen = selection.select_baseline(scored, pre_rank_limit=pre_rank_limit)
-    else:
-        scored = ranking.score_candidates(eligible, profiles, now, weights=weights, **bonuses)
-        chosen = selection.select_diverse(scored, pre_rank_limit=pre_rank_limit)
-    return proposal_records(chosen, proposals)
+    score = ranking.score_baseline if baseline else ranking.score_candidates
+    options = bonuses if baseline else {"weights": weights, **bonuses}
+    scored = _scored(eligible, profiles, now, pre_rank_limit, score, options)
+    choose = selection.select_baseline if baseline else selection.select_diverse
+    return proposal_records(choose(scored, pre_rank_limit=pre_rank_limit), proposals)
+
+
+def _scored(eligible: DataFrame, profiles: DataFrame, now, limit: int, score, options) -> DataFrame:
+    """All given pairs scored, or the ranked shortlists of a pool."""
+    if "profile_id" in eligible.columns:
+        return score(eligible, profiles, now, **options)
+    return ranking.pool_shortlist(eligible, profiles, now, limit, score=score, **options)
 
 
 def refined_shortlist(
@@ -58,10 +67,9 @@ def refined_shortlist(
 ) -> DataFrame:
     """Feature rows of each reader's shortlist: the only candidates a judge looks at."""
     eligible = pairs if history is None else pool.suppress(pairs, history, now)
-    features = ranking.feature_table(eligible, profiles, now, **bonuses)
-    scored = ranking.score_features(features)
-    short = ranking.shortlist(scored, pre_rank_limit)
-    return short.select(*features.columns)
+    scored = _scored(eligible, profiles, now, pre_rank_limit, ranking.score_candidates, bonuses)
+    short = scored if "rank" in scored.columns else ranking.shortlist(scored, pre_rank_limit)
+    return ranking.unscored(short)
 
 
 def recommend_refined(

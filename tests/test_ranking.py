@@ -212,3 +212,83 @@ def test_weight_sets(spark):
 def test_components_list_only_known_values(spark):
     row = ranking.components(score(spark, [paper(1)], reader())).first()
     assert row.components["lexical"] == 1.0 and "identity_value" not in row.components
+
+
+def many_papers(spark, seed, count, readers):
+    """Random candidates and readers over few words, categories, names and days."""
+    import random
+
+    rng = random.Random(seed)
+    words = ["deep", "deep-learning", "graph", "graph-net", "learning", "sparse", "vision", "net", "rare"]
+    names = ["Ada", "Émile", "Bo"]
+    cats = ["a", "b", "c", "d"]
+    some = lambda pool, most: tuple(rng.sample(pool, rng.randint(0, most)))
+    papers = []
+    for i in range(count):
+        title = " ".join(some(words, 3) if rng.random() < 0.3 else ())
+        row = list(paper(i, title, "", some(names, 2) if rng.random() < 0.1 else ("Nobody",),
+                         some(cats, 2) or ("a",), rng.choice([0, 1, 3, 20, 20, 30, -2])))
+        papers.append(tuple(row[1:]))
+    people = []
+    for i in range(readers):
+        watch = [(n, []) for n in some(names, 1)]
+        facets = [("domain", v, 0.9, 1.0, []) for v in some(["graph net", "deep", "net learning"], 2)]
+        people.append((f"p{i}", list(some(words, 4)), list(some(cats, 1)), list(some(cats, 1)),
+                       watch, [], facets, list(some(cats, 3)) or ["a"]))
+    candidates = spark.createDataFrame(papers, CANDIDATE.replace("profile_id string, ", ""))
+    return candidates, spark.createDataFrame(people, PROFILE + ", retrieval_categories array<string>")
+
+
+def test_hits_of_the_index_equal_token_sets(spark):
+    import re
+
+    candidates, profiles = many_papers(spark, 1, 80, 6)
+    pairs = ranking.assign_pool(candidates, profiles).collect()
+    texts = {r.paper_id: r for r in candidates.collect()}
+    readers = {r.profile_id: r for r in profiles.collect()}
+    assert {(r.profile_id, r.paper_id) for r in pairs} == {
+        (p, c) for p, reader in readers.items() for c, row in texts.items()
+        if set(reader.retrieval_categories) & set(row.categories)}
+    for r in pairs:
+        words = set(re.findall("[a-z][a-z0-9-]{2,}", texts[r.paper_id].title.lower()))
+        parts = {p for w in words for p in (w.split("-") if "-" in w else [w]) if len(p) >= 3}
+        reader = readers[r.profile_id]
+        wanted = {w for f in reader.preference_facets for w in f.value.split()}
+        assert r.term_overlap == len(words & set(reader.topics))
+        assert set(r._met) == wanted & parts | wanted & {w for w in words if "-" not in w}
+    assert "words" not in ranking.assign_pool(candidates, profiles).columns
+
+
+@pytest.mark.parametrize("seed, limit", [(2, 5), (3, 20)])
+def test_shortlists_of_a_pool_need_few_pairs(spark, seed, limit):
+    candidates, profiles = many_papers(spark, seed, 400, 7)
+    prepared = ranking.prepare_candidates(candidates)
+    pairs = ranking.assign_pool(candidates, profiles)
+    assert ranking.contenders(prepared, profiles, NOW, limit).count() < 0.7 * pairs.count()
+    for score in (ranking.score_candidates, ranking.score_baseline):
+        whole = ranking.shortlist(score(pairs, profiles, NOW), limit)
+        short = ranking.pool_shortlist(candidates, profiles, NOW, limit, score=score)
+        assert set(short.columns) == set(whole.columns) - {"_authors_norm", "_places_norm"}
+        columns = sorted(short.columns)
+        rows = [sorted(df.select(*columns).collect(), key=lambda r: (r.profile_id, r.rank)) for df in (short, whole)]
+        assert rows[0] == rows[1] and rows[0]
+
+
+def test_runs_from_a_pool_equal_runs_from_pairs(spark):
+    candidates, profiles = many_papers(spark, 4, 200, 5)
+    proposals = candidates.select(
+        "paper_id", *[F.lit("x").alias(c) for c in ("summary_text", "reason")], F.lit(0.9).alias("quality"))
+    history = candidates.filter("paper_id < '2601.00040'").select(
+        "paper_id", "revision", F.lit(NOW - timedelta(days=3)).alias("published_at"))
+    for baseline in (False, True):
+        runs = [
+            plans.recommend(x, profiles, proposals, NOW, history=history, baseline=baseline).select(
+                "profile_id", "rank", "paper_id", "score", "selected_order").collect()
+            for x in (candidates, ranking.assign_pool(candidates, profiles))]
+        assert sorted(runs[0]) == sorted(runs[1]) and runs[0]
+    short = [
+        plans.refined_shortlist(x, profiles, NOW, history=history, pre_rank_limit=10)
+        for x in (candidates, ranking.assign_pool(candidates, profiles))]
+    columns = sorted(short[0].columns)
+    rows = [sorted(map(str, df.select(*columns).collect())) for df in short]
+    assert rows[0] == rows[1]
