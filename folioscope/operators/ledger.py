@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import hashing
 from folioscope.operators import scale
+from folioscope.session import materialized
 
 # ---- fixed values -------------------------------------------------------------------------
 EVENT_TYPES = ["impression", "outcome", "correction"]
@@ -113,38 +114,47 @@ def lineage_violations(events: DataFrame, known: DataFrame | None = None) -> Dat
     )
 
 
-def _last_before(rows: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
-    """Add the latest non-null ``value`` at or before each row of its key group.
+def _attributable(events: DataFrame) -> DataFrame:
+    """Impressions (``_late`` 0) and effective outcomes (``_late`` 1) as narrow rows, from one scan of
+    the events and one of their corrections."""
+    shown = F.col("event_type") == "impression"
+    spoken = F.col("outcome").isNotNull()
+    kinds = F.array_compact(F.array(F.when(shown, 0), F.when(spoken, 1)))
+    rows = events.filter(shown | spoken).select(
+        "paper_id", "batch_id", "event_id", "outcome", F.col("occurred_at").alias("_at"),
+        F.col("displayed_rank").alias("_rank"), F.explode(kinds).alias("_late"),
+    )
+    gone = events.filter(F.col("supersedes_event_id").isNotNull()).select(
+        F.col("supersedes_event_id").alias("_gone")).distinct()
+    taken_back = (F.col("event_id") == F.col("_gone")) & (F.col("_late") == 1)
+    return rows.join(gone, taken_back, "left_anti")
+
 
-    ``rows`` carries order-preserving buckets. Inside a bucket a running window answers; across
-    buckets only the last value of each earlier (key, bucket) is needed, so a hot key is spread
-    over its buckets and joined with one row per bucket.
+def _carried(rows: DataFrame) -> DataFrame:
+    """What earlier buckets leave to each (paper, batch, bucket): the last impression of the paper, of
+    any batch and of the same one, in one struct.
+
+    Buckets follow the order of papers, so a paper is in several buckets only where a cut falls
+    inside it: papers with a carry are fewer than buckets, and a paper or batch has one row a bucket.
     """
-    rows = rows.withColumn("_v", value)
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy("_at", "_late", "event_id")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    lasts = (
-        rows.groupBy(*keys, "_bucket")
-        .agg(
-            F.max_by(
-                "_v", F.when(F.col("_v").isNotNull(), F.struct("_at", "_late", "event_id"))
-            ).alias("_carry")
-        )
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+    several = (
+        rows.groupBy("paper_id").agg(F.min("_bucket").alias("_first"), F.max("_bucket").alias("_last"))
+        .filter(F.col("_first") < F.col("_last")).select(F.col("paper_id").alias("_paper"))
     )
-    carried = lasts.withColumn("_carry", F.last("_carry", ignorenulls=True).over(earlier)).filter(
-        F.col("_carry").isNotNull()
-    )
-    return (
-        rows.withColumn(name, F.last("_v", ignorenulls=True).over(inside))
-        .join(carried, [*keys, "_bucket"], "left")
-        .withColumn(name, F.coalesce(name, "_carry"))
-        .drop("_v", "_carry")
+    spread = rows.join(F.broadcast(several), F.col("paper_id").eqNullSafe(F.col("_paper"))).drop("_paper")
+    lasts = materialized(
+        spread.groupBy("paper_id", "batch_id", "_bucket").agg(F.max("_mark").alias("_mark")), "last-impressions")
+    earlier = lambda *keys: Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, -1)
+    before = lambda *keys: F.max("_mark").over(earlier(*keys))
+    same = lasts.withColumn("_same0", before("paper_id", "batch_id"))
+    any_batch = lasts.groupBy("paper_id", "_bucket").agg(F.max("_mark").alias("_mark")).withColumn(
+        "_any0", before("paper_id")).select(
+        F.col("paper_id").alias("_p"), F.col("_bucket").alias("_b"), "_any0")
+    both = same.join(any_batch, F.col("paper_id").eqNullSafe(F.col("_p")) & (F.col("_bucket") == F.col("_b")))
+    return both.select(
+        F.col("paper_id").alias("_p"), F.col("batch_id").alias("_n"), F.col("_bucket").alias("_b"),
+        F.struct(F.col("_any0").alias("any"), F.col("_same0").alias("same")).alias("_carry"),
     )
 
 
@@ -153,30 +163,29 @@ def attribute_outcomes(events: DataFrame) -> DataFrame:
 
     The impression of the same batch wins; an outcome whose batch has none, or that names no
     batch, takes the latest of any batch. ``displayed_rank`` is NULL when nothing was shown.
+
+    One sorted pass: rows are cut into buckets in the order of (paper, time), running maxima answer
+    inside a bucket, and one carry per (paper, batch, bucket) holds what came before it.
     """
-    shown = events.filter(F.col("event_type") == "impression").withColumn("_late", F.lit(0))
-    spoken = (
-        effective(events).filter(F.col("outcome").isNotNull()).withColumn("_late", F.lit(1))
-    )
-    columns = ["paper_id", "batch_id", "event_id", "outcome", "_late"]
-    rows = shown.unionByName(spoken).select(
-        *columns, F.col("occurred_at").alias("_at"), F.col("displayed_rank").alias("_rank")
-    )
+    rows = materialized(_attributable(events), "attributable")
     rows = scale.range_buckets(rows, ["paper_id", "_at", "_late", "event_id"])
-    mark = F.when(F.col("_late") == 0, F.struct("event_id", F.col("_rank").alias("rank")))
-    rows = _last_before(rows, ["paper_id"], mark, "_any")
-    rows = _last_before(rows, ["paper_id", "batch_id"], mark, "_same")
-    hit = F.when(F.col("batch_id").isNull(), F.col("_any")).otherwise(
-        F.coalesce("_same", "_any")
-    )
-    return (
-        rows.filter(F.col("_late") == 1)
-        .withColumn("_hit", hit)
-        .select(
-            "event_id", "paper_id", "batch_id", "outcome", F.col("_at").alias("occurred_at"),
-            F.col("_hit.event_id").alias("impression_id"),
-            F.col("_hit.rank").alias("displayed_rank"),
-        )
+    # Rows are ordered by time, so the latest impression so far is the greatest one so far.
+    rows = rows.withColumn("_mark", F.when(F.col("_late") == 0, F.struct("_at", "event_id", "_rank")))
+    so_far = lambda *keys: F.max("_mark").over(
+        Window.partitionBy(*keys, "_bucket").orderBy("_at", "_late", "event_id")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Both windows stand on one shuffle by paper and bucket.
+    inside = rows.withColumn("_any", so_far("paper_id")).withColumn("_same", so_far("paper_id", "batch_id"))
+    carried = _carried(rows)
+    match = F.col("_bucket") == F.col("_b")
+    for own, theirs in (("paper_id", "_p"), ("batch_id", "_n")):
+        match = match & F.col(own).eqNullSafe(F.col(theirs))
+    joined = inside.filter(F.col("_late") == 1).join(carried, match, "left")
+    latest, same = F.coalesce("_any", "_carry.any"), F.coalesce("_same", "_carry.same")
+    hit = F.when(F.col("batch_id").isNull(), latest).otherwise(F.coalesce(same, latest))
+    return joined.withColumn("_hit", hit).select(
+        "event_id", "paper_id", "batch_id", "outcome", F.col("_at").alias("occurred_at"),
+        F.col("_hit.event_id").alias("impression_id"), F.col("_hit._rank").alias("displayed_rank"),
     )
 
 

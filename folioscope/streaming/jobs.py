@@ -1,15 +1,20 @@
 """Structured Streaming jobs over the same operators.
 
-Bounded state (the pool, the suppression history) is a versioned table that every micro-batch
-merges into. Ledgers only grow, so a batch appends its new rows and nothing is rewritten. Running
-labels live in Spark's own state store. A batch's folder carries its id, so a replay overwrites its
+The bounded pool is a versioned table that every micro-batch merges into. Ledgers only grow, so a batch
+appends its new rows and nothing is rewritten. Running labels, the suppression history and the attribution
+of outcomes live in Spark's own state store; what changed in a batch is appended. A batch's folder carries its id, so a replay overwrites its
 own rows and writes nothing twice; the pointer that makes it visible moves last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from folioscope.functions.moments import days_before, instant
 from folioscope.operators import corpus, ledger, pool, scale
@@ -42,9 +47,9 @@ def _or_empty(rows: DataFrame | None, spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema) if rows is None else rows
 
 
-def _write_batch(rows: DataFrame, root: str, batch_id: int) -> None:
+def _write_batch(rows: DataFrame, root: str, batch_id: int, parts: Sequence[str] = ()) -> None:
     version = f"{batch_id:020d}"
-    rows.write.mode("overwrite").parquet(f"{root}/data/version={version}")
+    rows.write.mode("overwrite").partitionBy(*parts).parquet(f"{root}/data/version={version}")
     pointer = rows.sparkSession.range(1).select(
         F.lit(version).alias("version"), F.current_timestamp().alias("committed_at")
     )
@@ -93,17 +98,18 @@ def read_appended(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def run_appending(
-    stream: DataFrame, root: str, new_rows, mode: str = "append", columns=None
+    stream: DataFrame, root: str, new_rows, mode: str = "append", columns=None, parts: Sequence[str] = ()
 ) -> DataFrame:
     """Append what ``new_rows(table so far, batch)`` finds in every available batch.
 
-    ``columns`` is the schema of the new rows where it is not the stream's.
+    ``columns`` is the schema of the new rows where it is not the stream's; ``parts`` are the columns whose
+    values get a folder each.
     """
 
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if not _is_done(spark, root, batch_id):
-            _write_batch(new_rows(read_appended(spark, root), batch), root, batch_id)
+            _write_batch(new_rows(read_appended(spark, root), batch), root, batch_id, parts)
 
     _run(stream, root, body, mode)
     spark = stream.sparkSession
@@ -148,25 +154,136 @@ def ingest_events(stream: DataFrame, root: str) -> DataFrame:
 
 
 def track_history(stream: DataFrame, root: str, now) -> DataFrame:
-    """Latest publication per paper, expired after thirty days."""
+    """Latest publication per paper, expired after thirty days.
 
-    def merge(existing, batch):
-        both = batch if existing is None else existing.unionByName(batch)
-        alive = both.filter(
-            F.col("published_at") >= days_before(instant(now), pool.HISTORY_DAYS)
-        )
-        return scale.latest_by(alive, ["paper_id"], [F.col("published_at")]).select(*batch.columns)
+    The state store keeps the latest publication of a paper and day, and drops days that the watermark
+    leaves thirty days behind. A trigger appends the papers that changed, in a folder per day, so
+    expired days are not even read. Days count up to ``now``, so a date in the future expires nothing.
+    """
+    rest = [c for c in stream.columns if c != "paper_id"]
+    seen = stream.withColumn("_seen", F.least("published_at", instant(now)))
+    running = (
+        seen.withWatermark("_seen", f"{pool.HISTORY_DAYS} days")
+        .groupBy("paper_id", F.window("_seen", "1 day").alias("_window"))
+        .agg(F.max_by(F.struct(*rest), F.struct("published_at", *[c for c in rest if c != "published_at"])).alias("_row"))
+    )
+    day = F.to_date("_window.start").alias("day")
+    changed = run_appending(
+        running, root, lambda so_far, batch: batch.select("paper_id", "_row.*", day), mode="update",
+        columns=T.StructType([*stream.select("paper_id", *rest).schema, T.StructField("day", T.DateType())]), parts=["day"],
+    )
+    oldest = days_before(instant(now), pool.HISTORY_DAYS)
+    alive = changed.filter((F.col("day") >= F.to_date(oldest)) & (F.col("published_at") >= oldest))
+    return scale.latest_by(alive, ["paper_id"], [F.col("published_at"), F.col("version")]).select(*stream.columns)
 
-    return run_merging(stream, root, merge)
+
+_NO_PAPER = "\0"
+#: Map state needs a store with column families.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_CHANGES = """paper_id string, slice date, kind string, event_id string, batch_id string, outcome string, at timestamp,
+  impression_id string, impression_at timestamp, displayed_rank int"""
+_SHOWN, _SAID = "at timestamp, batch string, rank int", "at timestamp, batch string, outcome string"
+
+
+class _Slice(StatefulProcessor):
+    """Impressions and outcomes of one paper and day, each kept once by its id.
+
+    A batch that touches the slice returns its outcomes with the latest impression of the same
+    batch, or of any, within the slice, and its last impression per batch, which later slices need.
+    """
+
+    def init(self, handle) -> None:
+        self.shown = handle.getMapState("shown", "event_id string", _SHOWN)
+        self.said = handle.getMapState("said", "event_id string", _SAID)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for part in rows:
+            for r in part.itertuples(index=False):
+                if r.kind == "impression":
+                    # Ranks beside nulls come as floats.
+                    self.shown.updateValue((r.event_id,), (r.at, r.batch_id, None if pd.isna(r.rank) else int(r.rank)))
+                else:
+                    self.said.updateValue((r.event_id,), (r.at, r.batch_id, r.outcome))
+        marks = sorted((at, event_id, batch, rank) for (event_id,), (at, batch, rank) in self.shown.iterator())
+        last: dict = {}
+        said = sorted(((at, event_id, batch, outcome) for (event_id,), (at, batch, outcome) in self.said.iterator()),
+                      key=lambda s: s[:2])
+        place, latest, out = 0, None, []
+        for at, event_id, batch, outcome in said:
+            while place < len(marks) and marks[place][0] <= at:
+                latest = last[marks[place][2]] = marks[place]
+                place += 1
+            same = last.get(batch) if batch is not None else None
+            # Without one of its own batch here, an earlier slice may still have it: both are returned.
+            for kind, hit in (("same", same), ("any", latest)):
+                out.append((*key, kind, event_id, batch, outcome, at, *((hit[1], hit[0], hit[3]) if hit else (None, None, None))))
+        for mark in marks[place:]:
+            last[mark[2]] = mark
+        out += [(*key, "last", None, batch, None, None, m[1], m[0], m[3]) for batch, m in last.items()]
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in _CHANGES.split(",")])
+
+    def close(self) -> None:
+        pass
 
 
 def attribute_stream(stream: DataFrame, root: str) -> DataFrame:
-    """Outcomes joined to the latest earlier impression, from a streamed ledger.
+    """Effective outcomes with the latest earlier impression, kept up to date in state.
 
-    Late corrections must still count, so attribution reads the exactly-once ledger rather than
-    a windowed stream state.
+    State is keyed by paper and day, so a batch works on the slices it touches and a paper of any
+    size is spread over its days. A slice's last impressions are carried to later slices when the result
+    is read, and corrections take their targets back there: neither touches an old slice. However late an
+    event arrives, it counts; an event sent again is kept once. Where ids may come back with another
+    paper or time, let ``ingest_events`` refuse them first.
     """
-    return ledger.attribute_outcomes(ingest_events(stream, root))
+    spark = stream.sparkSession
+    corrections = f"{root}/corrections"
+    shown = F.col("event_type") == "impression"
+    kinds = F.array_compact(F.array(F.when(shown, "impression"), F.when(F.col("outcome").isNotNull(), "outcome")))
+    rows = stream.select(
+        F.coalesce("paper_id", F.lit(_NO_PAPER)).alias("paper_id"), F.to_date("occurred_at").alias("slice"),
+        "event_id", "batch_id", "outcome", F.col("occurred_at").alias("at"), F.col("displayed_rank").alias("rank"),
+        F.explode(kinds).alias("kind"),
+    )
+    touched = rows.groupBy("paper_id", "slice").transformWithStateInPandas(_Slice(), _CHANGES, "Update", "None")
+    schema = T._parse_datatype_string(_CHANGES)
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        changes = run_appending(touched, root, lambda so_far, batch: batch, mode="update", columns=schema)
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+    taken = stream.filter(F.col("supersedes_event_id").isNotNull()).select(F.col("supersedes_event_id").alias("event_id"))
+    gone = run_appending(taken, corrections, lambda so_far, batch: batch.distinct())
+    return _resolved(changes, gone.select("event_id").distinct())
+
+
+def _resolved(changes: DataFrame, gone: DataFrame) -> DataFrame:
+    """Outcomes of the newest state of each slice, with what earlier slices carry."""
+    newest = changes.groupBy(F.col("paper_id").alias("_p"), F.col("slice").alias("_s")).agg(F.max("version").alias("_v"))
+    current = changes.join(newest, (F.col("paper_id") == F.col("_p")) & F.col("slice").eqNullSafe(F.col("_s")) & (
+        F.col("version") == F.col("_v"))).drop("_p", "_s", "_v", "version")
+    current = materialized(current.withColumn(
+        "_mark", F.when(F.col("impression_id").isNotNull(), F.struct("impression_at", "impression_id", "displayed_rank"))),
+        "slices")
+    lasts = current.filter(F.col("kind") == "last")
+    said = current.filter(F.col("kind") != "last").groupBy(
+        "paper_id", "slice", "event_id", "batch_id", "outcome", "at").agg(
+        F.max(F.when(F.col("kind") == "same", F.col("_mark"))).alias("_same"),
+        F.max(F.when(F.col("kind") == "any", F.col("_mark"))).alias("_any"))
+    points = said.select("paper_id", "batch_id", "slice").distinct().withColumn("_mark", F.lit(None).cast(said.schema["_any"].dataType))
+    # One row per paper, batch and day, so the windows grow with the days, not with the events.
+    per_batch = lasts.select("paper_id", "batch_id", "slice", "_mark").unionByName(points).groupBy(
+        "paper_id", "batch_id", "slice").agg(F.max("_mark").alias("_mark"))
+    per_paper = per_batch.groupBy("paper_id", "slice").agg(F.max("_mark").alias("_mark"))
+    before = lambda *keys: F.max("_mark").over(
+        Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    same = per_batch.filter(F.col("batch_id").isNotNull()).withColumn("_same0", before("paper_id", "batch_id")).drop("_mark")
+    latest = per_paper.withColumn("_any0", before("paper_id")).drop("_mark")
+    joined = said.join(latest, ["paper_id", "slice"], "left").join(same, ["paper_id", "batch_id", "slice"], "left")
+    hit = F.coalesce("_same", "_same0", "_any", "_any0")
+    return joined.join(gone, "event_id", "left_anti").withColumn("_hit", hit).select(
+        "event_id", F.nullif("paper_id", F.lit(_NO_PAPER)).alias("paper_id"), "batch_id", "outcome",
+        F.col("at").alias("occurred_at"), "_hit.impression_id", "_hit.displayed_rank")
 
 
 def attribute_in_window(impressions: DataFrame, outcomes: DataFrame, delay: str, horizon: str):

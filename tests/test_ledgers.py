@@ -76,6 +76,32 @@ def test_attribution_of_a_hot_paper_equals_brute_force(spark):
         assert got[o[0]] == want
 
 
+def test_attribution_scans_events_twice_at_most(spark, monkeypatch):
+    from folioscope.session import work_dir
+
+    events = [shown(f"i{n:03d}", f"p{n % 3}", day(0, n), "b", 1) for n in range(30)]
+    events += [spoken(f"o{n:03d}", f"p{n % 4}", day(1, n), "interested", None) for n in range(30)]
+    events += [spoken("c", "p1", day(2), "not_interested", old="o001"), (*shown("z", None, day(0), None, 4),),
+               (*spoken("y", None, day(1), "interested", None),)]
+    path = work_dir(spark, "test-events")
+    spark.createDataFrame(events, FEEDBACK).write.parquet(path)
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return original(df, name)
+
+    original = ledger.materialized
+    monkeypatch.setattr(ledger, "materialized", kept)
+    scanned = spark.read.parquet(path)
+    found = ledger.attribute_outcomes(scanned)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    reading = [plan for plan in plans if "supersedes_event_id" in plan]  # only the narrow table reads events
+    assert len(reading) == 1 and reading[0].count("Relation [event_id#") == 2
+    rows = {r.event_id: r.impression_id for r in found.collect()}
+    assert "o001" not in rows and rows["c"] == "i028" and rows["o003"] is None and rows["y"] == "z"
+
+
 def test_append_is_idempotent_and_guards_content(spark):
     first = [shown("a", "p", day(0), "b", 1), shown("b", "q", day(0), "b", 2)]
     stored = spark.createDataFrame(first, FEEDBACK)
@@ -329,3 +355,55 @@ def test_null_keys_spread_and_keep_their_rows(spark):
     assert sorted(r.name for r in joined.filter("name is not null").collect()) == ["three", "zero"]
     sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) <= 3000
+
+
+def test_history_expires_by_state_and_is_never_rewritten(spark):
+    from folioscope.session import work_dir
+    from folioscope.streaming import jobs
+
+    schema = "paper_id string, revision int, published_at timestamp"
+    base, root = work_dir(spark, "test-history"), work_dir(spark, "test-history-out")
+    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(f"{base}/h.parquet")
+    put(("old", 1, day(-40)), ("kept", 1, day(-20)), ("twice", 1, day(-10)))
+    put(("twice", 2, day(-5)), ("late", 1, day(-29)), ("kept", 0, day(-25)))
+    put(("ahead", 1, day(2)), ("gone", 1, day(-35)), ("kept", 1, day(-20)))
+    stream = jobs.table_stream(spark, base, "h.parquet", per_trigger=1)
+    got = {(r.paper_id, r.revision, r.published_at.day) for r in jobs.track_history(stream, root, NOW).collect()}
+    want = {("kept", 1, day(-20).day), ("twice", 2, day(-5).day), ("late", 1, day(-29).day), ("ahead", 1, day(2).day)}
+    assert got == want
+    written = jobs.read_appended(spark, root)
+    assert written.select("version").distinct().count() == 3 and written.count() <= 9
+    # Ten days on, two more are too old, and a new batch adds its own rows only.
+    put(("new", 1, day(9)))
+    again = jobs.track_history(jobs.table_stream(spark, base, "h.parquet", per_trigger=1), root, day(11))
+    assert {r.paper_id for r in again.collect()} == {"twice", "ahead", "new"}
+    assert jobs.read_appended(spark, root).count() == written.count() + 1
+
+
+def test_streamed_attribution_equals_the_batch_result(spark):
+    from folioscope.session import work_dir
+    from folioscope.streaming import jobs
+
+    events = [shown(f"i{n:03d}", "hot" if n % 3 else f"p{n % 7}", day(n % 5, n * 7 % 24), f"b{n % 4}" if n % 5 else None, n % 7)
+              for n in range(60)]
+    events += [spoken(f"o{n:03d}", "hot" if n % 2 else f"p{n % 9}", day(n % 6, n * 5 % 24), "interested", f"b{n % 6}" if n % 3 else None)
+               for n in range(70)]
+    events += [spoken("c1", "hot", day(8), "read", None, old="o001"), spoken("c2", "hot", day(9), "worthwhile", "b1", old="c1"),
+               spoken("alone", "unseen", day(1), "read"), spoken("none", None, day(1), "read"), shown("i0", None, day(0), None, 9)]
+    base, root = work_dir(spark, "test-attribution"), work_dir(spark, "test-attribution-out")
+    late_first = [events[60:100], events[:30], events[100:] + events[10:20], events[30:60]]  # late impressions, repeats
+    for part in late_first:
+        spark.createDataFrame(part, FEEDBACK).coalesce(1).write.mode("append").parquet(f"{base}/e.parquet")
+    stream = jobs.table_stream(spark, base, "e.parquet", per_trigger=1)
+    columns = ["event_id", "paper_id", "batch_id", "outcome", "occurred_at", "impression_id", "displayed_rank"]
+    order = lambda df: sorted(map(str, df.select(*columns).collect()))
+    want = order(ledger.attribute_outcomes(spark.createDataFrame(events, FEEDBACK)))
+    assert order(jobs.attribute_stream(stream, root)) == want
+    # A later batch changes what it touches and nothing else is computed again.
+    more = [shown("new", "p1", day(0), "b0", 3), spoken("cx", "hot", day(10), "read", None, old="c2")]
+    spark.createDataFrame(more, FEEDBACK).coalesce(1).write.mode("append").parquet(f"{base}/e.parquet")
+    again = jobs.attribute_stream(jobs.table_stream(spark, base, "e.parquet", per_trigger=1), root)
+    assert order(again) == order(ledger.attribute_outcomes(spark.createDataFrame(events + more, FEEDBACK)))
+    newest = jobs.read_appended(spark, root)
+    last = newest.agg(F.max("version")).first()[0]
+    assert {r.paper_id for r in newest.filter(F.col("version") == last).collect()} == {"p1", "hot"}
