@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Texts are handled in runs of about so many bytes, whatever the size of an Arrow batch.
 CHUNK_BYTES = 8_000_000
@@ -19,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it (case aside, as in Spark)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice come to about ``CHUNK_BYTES``; a longer text
     stands alone. Nulls count nothing."""
@@ -48,7 +57,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def arrow_pass(
-    df: DataFrame, column: str, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]
+    df: DataFrame, column: str, schema: str | StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]
 ) -> DataFrame:
     """Run ``work`` over slices of the rows (``chunks``), inside the tasks, without a shuffle."""
 

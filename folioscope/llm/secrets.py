@@ -16,15 +16,16 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioscope.llm.common import arrow_pass, table
+from folioscope.llm.common import arrow_pass, free_name, table
 
 NAME = "op10_secret_scans"
 
 #: Fixed values of the contract: kinds in their order, patterns, least lengths.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
-    r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    r"(?:(?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
@@ -48,8 +49,8 @@ _ENCODED = re.compile(
 #: The same from its start over line ends, real or escaped, as far as lines are base64.
 _WRAPPED = re.compile(
     r"[A-Za-z0-9+/_-]++(?:[\x20\t]*+(?:\r?\n|(?:\\+[nr])++)[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
-#: Characters of a wrapped key that are looked at, line ends included.
-WRAPPED_CHARS = 24_000
+#: Characters of a wrapped key that are looked at first; more as its lengths ask for.
+WRAPPED_CHARS = 400
 _SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 _ARROW_SPANS = pa.list_(pa.struct(
     [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
@@ -133,7 +134,7 @@ def _openssh(data: bytes) -> bool:
             return False
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    for _ in range(min(keys, 16) + 1):  # public keys and the private part
+    for _ in range(keys + 1):  # public keys and the private part; each has four bytes at least
         at = read(at)
         if at is None:
             return False
@@ -152,38 +153,57 @@ def signed_token(candidate: str) -> bool:
 
 
 def key_size(data: bytes) -> int | None:
-    """Bytes of the DER value or the OpenSSH key that ``data`` begins with, as its lengths say."""
+    """Bytes of the DER value or the OpenSSH key that ``data`` begins with, as its lengths say; None
+    where ``data`` ends before they do."""
     if data.startswith(b"openssh-key-v1\0"):
-        at = 15
-        for _ in range(3):
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        keys = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        for _ in range(min(keys, 16) + 1):
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        at, left, keys = 15, 3, None
+        while left:
+            if at + 4 > len(data):
+                return None
+            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+            if not left and keys is None:
+                if at + 4 > len(data):
+                    return None
+                keys = int.from_bytes(data[at : at + 4], "big")
+                at, left = at + 4, keys + 1
         return at
-    if len(data) < 6:
+    more = data[1] & 0x7F if len(data) > 1 and data[1] & 0x80 else 0
+    if len(data) < 2 + more:
         return None
-    more = data[1] & 0x7F if data[1] & 0x80 else 0
     return 2 + more + (int.from_bytes(data[2 : 2 + more], "big") if more else data[1])
 
 
+def _starts_key(data: bytes) -> bool:
+    """Whether bytes may begin a private key: the OpenSSH magic, or a sequence that begins with
+    the number 0 or 1."""
+    more = data[1] & 0x7F if len(data) > 1 and data[1] & 0x80 else 0
+    return data.startswith(b"openssh-key-v1\0") or data[2 + more : 5 + more] in (b"\x02\x01\0", b"\x02\x01\1")
+
+
 def wrapped_key(text: str, start: int) -> int | None:
     """The end of a private key in base64 that goes on over lines from ``start``, or None. Its own
-    lengths say where it ends, so words in the next line do not matter."""
-    known = WRAPPED_CHARS
-    if not text.startswith("b3", start):
-        size = key_size(decode(text[start : start + 40]) or b"")
-        known = -(-(size or 0) * 4 // 3)
-        if not 40 < known < WRAPPED_CHARS:
-            return None
-    m = _WRAPPED.match(text, start, start + min(2 * known + 100, WRAPPED_CHARS))
-    if not m:
+    lengths say where it ends, so words in the next line do not matter and no length is too long."""
+    if not _starts_key(decode(text[start : start + 40]) or b""):
         return None
-    plain = _BREAK.sub("", m.group()).rstrip("=")
-    size = key_size(decode(plain[: len(plain) // 4 * 4]) or b"") or 0
-    chars = -(-size * 4 // 3)
-    data = decode(plain[:chars]) if 0 < chars <= len(plain) else None
+    window, before = WRAPPED_CHARS, -1
+    while True:
+        m = _WRAPPED.match(text, start, start + window)
+        if m:
+            plain = _BREAK.sub("", m.group()).rstrip("=")
+            size = key_size(decode(plain[: len(plain) // 4 * 4]) or b"")
+            chars = -(-(size or 0) * 4 // 3)
+            if chars > len(text) - start:
+                return None
+            if size is not None and chars <= len(plain):
+                break
+            if m.end() == before:  # the lines end before the key does
+                return None
+            before = m.end()
+            window = max(window, chars)
+        if start + window >= len(text):
+            return None
+        window *= 2
+    data = decode(plain[:chars]) if chars else None
     if not data or not private_key(data):
         return None
     end, left = start, chars
@@ -230,17 +250,19 @@ def all_spans(text: str) -> list[tuple[str, int, int, bool]]:
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All rows and columns with ``_spans``: kind, start and end in code points, and whether the
-    span is a base match. Null and empty texts have none; rows are taken one by one."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """All rows and columns and, last, ``_spans``: kind, start and end in code points, and whether the
+    span is a base match. Where the table has a column of that name, underscores go in front. Null and
+    empty texts have none; rows are taken one by one."""
+    name = free_name(docs, "_spans")
+    schema = T.StructType([*docs.schema, T._parse_datatype_string(f"{name} {_SPANS}")[0]])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = [[{"kind": k, "start": a, "end": b, "base": base} for k, a, b, base in all_spans(t or "")]
                  for t in batch.column(text).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(spans, _ARROW_SPANS)], names=[*batch.schema.names, "_spans"])
+            [*batch.columns, pa.array(spans, _ARROW_SPANS)], names=[*batch.schema.names, name])
 
-    return arrow_pass(docs, text, f"{schema}, _spans {_SPANS}", work)
+    return arrow_pass(docs, text, schema, work)
 
 
 def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:

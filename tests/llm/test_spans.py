@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import personal, secrets
 
@@ -226,3 +227,41 @@ def test_secrets_of_documents(spark):
         assert [(s.kind, s.start, s.end) for s in found[i]._spans if s.base] == secrets_by_contract(text or "")
     assert [s.kind for s in found[len(AWKWARD)]._spans] == ["key"]
     assert secrets.find_secrets(documents(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_folding_of_secrets_is_ascii():
+    for text in ("to\u212aen=abcdefgh1", "pa\u017f\u017fword=abcdefgh1", "password pa\u017f\u017fword=abcdefgh1 x"):
+        assert secrets.base_spans(text) == []
+    assert secrets.base_spans("ToKeN=abcdefgh1") == [("assign", 0, 15)]
+
+
+def der(tag, body):
+    size = len(body)
+    head = bytes([size]) if size < 128 else bytes([0x80 + (size.bit_length() + 7) // 8]) + size.to_bytes(
+        (size.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + head + body
+
+
+def test_wrapped_keys_of_any_length():
+    import base64
+
+    word = lambda raw: len(raw).to_bytes(4, "big") + raw
+    long = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1 + i]) * 6000) for i in range(8)))
+    many = b"openssh-key-v1\0" + word(b"none") + word(b"none") + word(b"") + (20).to_bytes(4, "big") + b"".join(
+        word(bytes([i]) * 51) for i in range(20)) + word(b"k" * 3000)
+    for key in (long, many):
+        assert secrets.private_key(key)
+        coded = base64.b64encode(key).decode()
+        wrapped = "\n".join(coded[i : i + 64] for i in range(0, len(coded), 64))
+        text = f"before\n{wrapped}\nwords behind it\n"
+        assert [s for s in secrets.confirmed_spans(text)] == [("key", 7, 7 + len(wrapped))]
+        assert secrets.confirmed_spans(text.replace(wrapped[-80:], "")) == []
+
+
+def test_spans_stand_beside_columns_of_any_name(spark):
+    docs = documents(spark, ["token=abcdefgh1", None], _spans="mine", **{"odd name": 1})
+    docs = docs.withColumn("nested", F.struct(F.lit(1).alias("a b")))
+    found = secrets.find_secrets(docs)
+    assert found.columns == [*docs.columns, "__spans"]
+    rows = {r.doc_id: r for r in found.collect()}
+    assert rows[0]["_spans"] == "mine" and len(rows[0]["__spans"]) == 1 and rows[1]["__spans"] == []
