@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontamination, jaccard, packing, personal, quality
-from folioscope.llm.common import table
+from folioscope.llm.common import free_name, table
 from folioscope.llm.tokens import vocabulary_path
 from folioscope.session import materialized
 
@@ -29,19 +29,23 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeat it, and one without an id only where no row of the group has one. Rows that repeat an id
     with unlike texts all stay, and so do texts without words.
     """
-    numbered = materialized(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    # Names that no column of the documents has.
+    row = free_name(docs, "_row")
+    numbered = materialized(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
     linked = jaccard.link_documents(
-        numbered, n=DUPLICATE_SHINGLE, threshold=DUPLICATE_THRESHOLD, id_column="_row")
-    others = materialized(
-        linked.filter(F.col("component_id") != F.col("_row")).select("_row", "component_id"), "pipeline-copies")
+        numbered, n=DUPLICATE_SHINGLE, threshold=DUPLICATE_THRESHOLD, id_column=row)
+    linked = linked.select(F.col(row).alias("row"), "component_id")
+    others = materialized(linked.filter(F.col("component_id") != F.col("row")), "pipeline-copies")
     members = materialized(others.unionByName(
-        others.select(F.col("component_id").alias("_row"), "component_id").distinct()), "pipeline-groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+        others.select(F.col("component_id").alias("row"), "component_id").distinct()), "pipeline-groups")
+    ids = numbered.select(F.col(row).alias("row"), "doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     kept = materialized(
-        numbered.select("_row", "doc_id").join(jaccard.few(members), "_row")
-        .groupBy("component_id").agg(first.alias("first")).select("first._row"), "pipeline-kept")
-    gone = materialized(members.select("_row").join(jaccard.few(kept), "_row", "left_anti"), "pipeline-gone")
-    return numbered.join(jaccard.few(gone), "_row", "left_anti").select(*docs.columns)
+        ids.join(jaccard.few(members), "row")
+        .groupBy("component_id").agg(first.alias("first")).select("first.row"), "pipeline-kept")
+    gone = members.select("row").join(jaccard.few(kept), "row", "left_anti")
+    gone = materialized(gone.select(F.col("row").alias(row)), "pipeline-gone")
+    return numbered.join(jaccard.few(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
