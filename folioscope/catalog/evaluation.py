@@ -335,21 +335,20 @@ _SETS = [QUALITY_FIRST, *ablations(QUALITY_FIRST)]
 
 
 def version_rankings(spark, sf_dir):
-    """Every reader's list under the baseline, the candidate weights and each ablation."""
+    """Every reader's candidates with their scores under the baseline, the candidate weights and each
+    ablation."""
     candidates, people = pairs(spark, sf_dir)
     features = ranking.feature_table(candidates, people, NOW)
-    scored = ranking.score_versions(features, _SETS)
-    return evaluation.ranked_papers(scored, F.concat_ws("|", "profile_id", "weight_set_version"))
+    return evaluation.ranked_papers(ranking.version_scores(features, _SETS), F.col("profile_id"))
 
 
 def version_metrics(spark, sf_dir):
     labels, preferences, splits = split_inputs(spark, sf_dir)
     metrics = evaluation.evaluate_rankings(
         version_rankings(spark, sf_dir), labels, splits, preferences, ks=(20, 60),
-        split_names=("temporal-holdout",),
+        split_names=("temporal-holdout",), versions=ranking.version_names(_SETS),
     )
-    parts = F.split("ranking_id", r"\|")
-    named = metrics.withColumn("profile_id", parts[0]).withColumn("ranking_id", parts[1])
+    named = metrics.withColumnsRenamed({"ranking_id": "profile_id", "version": "ranking_id"})
     return materialized(named, "metrics")
 
 

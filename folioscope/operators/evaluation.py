@@ -95,11 +95,12 @@ def snapshot_id(splits: DataFrame, header: DataFrame) -> DataFrame:
 
 
 def ranked_papers(scored: DataFrame, ranking: Column) -> DataFrame:
-    """Scored candidates as rows of an offline ranking."""
+    """Scored candidates as rows of an offline ranking (O12), with one ``score`` or the ``scores`` of
+    several versions."""
     return scored.select(
         ranking.alias("ranking_id"),
         F.concat(F.lit("arxiv:"), "paper_id").alias("paper_id"),
-        "score",
+        "scores" if "scores" in scored.columns else "score",
         "source",
         F.try_element_at("categories", F.lit(1)).alias("category"),
         F.slice(text.ranking_words(F.col("title")), 1, FACET_TOKENS).alias("facets"),
@@ -112,7 +113,7 @@ def ranked_papers(scored: DataFrame, ranking: Column) -> DataFrame:
 def _aliases(ranked: DataFrame) -> DataFrame:
     names = F.concat(F.array("paper_id"), F.coalesce("identifiers", F.array().cast("array<string>")))
     canonical = F.array_distinct(F.transform(names, identity.canonical_identity))
-    return ranked.select("ranking_id", "paper_id", "score", F.explode(canonical).alias("id"))
+    return ranked.select("ranking_id", "paper_id", "scores", F.explode(canonical).alias("id"))
 
 
 def split_labels(labels: DataFrame, splits: DataFrame) -> DataFrame:
@@ -121,17 +122,23 @@ def split_labels(labels: DataFrame, splits: DataFrame) -> DataFrame:
         identity.canonical_identity(F.col("paper_id")).alias("id"), "label", "paper_id"
     )
     one_each = named.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("_other"))
-    one_each = one_each.select("id", F.when(F.col("label") == F.col("_other"), F.col("label")).otherwise(
-        F.raise_error(F.concat(F.lit("labels disagree on "), F.col("id")))).alias("label"))
+    one_each = _agreed(one_each, F.col("label") == F.col("_other"), "labels disagree on ", "id").drop("_other")
     members = splits.select(
         "split", identity.canonical_identity(F.col("paper_id")).alias("id")
     ).distinct()
     return members.join(one_each, "id")
 
 
+def _agreed(rows: DataFrame, agreed: Column, message: str, name: str) -> DataFrame:
+    """Rows, or an error at the first that does not agree. A filter, so that no plan leaves it out."""
+    return rows.filter(F.when(agreed, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit(message), F.col(name))).cast("boolean")))
+
+
 def _labels_of_items(labelled_aliases: DataFrame) -> DataFrame:
+    score = "scores" if "scores" in labelled_aliases.columns else "score"
     return (
-        labelled_aliases.groupBy("split", "ranking_id", "paper_id", "score")
+        labelled_aliases.groupBy("split", "ranking_id", "paper_id", score)
         .agg(F.min("label").alias("label"), (F.min("label") != F.max("label")).alias("conflict"))
     )
 
@@ -139,9 +146,8 @@ def _labels_of_items(labelled_aliases: DataFrame) -> DataFrame:
 def item_labels(labelled_aliases: DataFrame) -> DataFrame:
     """Label of each ranked paper through any of its aliases (J16); aliases with different labels
     are an error."""
-    agreed = F.when(~F.col("conflict"), F.col("label")).otherwise(
-        F.raise_error(F.concat(F.lit("labels disagree on aliases of "), F.col("paper_id"))))
-    return _labels_of_items(labelled_aliases).withColumn("label", agreed)
+    return _agreed(
+        _labels_of_items(labelled_aliases), ~F.col("conflict"), "labels disagree on aliases of ", "paper_id")
 
 
 def _jaccard(left: Column, right: Column) -> Column:
@@ -149,13 +155,13 @@ def _jaccard(left: Column, right: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(left, right)) / union)
 
 
-def list_diversity(top: DataFrame, ks: Sequence[int]) -> DataFrame:
+def list_diversity(top: DataFrame, ks: Sequence[int], keys: Sequence[str] = ("ranking_id",)) -> DataFrame:
     """One minus mean facet overlap of a list's pairs (A16, J25); lists hold at most max(k)."""
-    lists = top.groupBy("ranking_id").agg(
+    lists = top.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rank", F.array_distinct("facets").alias("f")))).alias("l")
     )
-    sized = lists.select("ranking_id", F.explode(F.array(*map(F.lit, ks))).alias("k"), "l").select(
-        "ranking_id", "k", F.expr("slice(l, 1, k)").alias("l")
+    sized = lists.select(*keys, F.explode(F.array(*map(F.lit, ks))).alias("k"), "l").select(
+        *keys, "k", F.expr("slice(l, 1, k)").alias("l")
     )
     overlaps = F.flatten(
         F.transform(
@@ -167,12 +173,17 @@ def list_diversity(top: DataFrame, ks: Sequence[int]) -> DataFrame:
     )
     mean = F.aggregate("o", F.lit(0.0), lambda a, v: a + v) / F.size("o")
     return sized.withColumn("o", overlaps).select(
-        "ranking_id", "k",
+        *keys, "k",
         F.when(F.size("l") >= 2, 1.0 - mean).alias("intra_list_diversity_at_k"),
     )
 
 
-def pairwise_accuracy(aliases: DataFrame, pairwise: DataFrame, splits: DataFrame) -> DataFrame:
+def _per_version(rows: DataFrame, keys: Sequence[str], values: Sequence[Column], name: str) -> DataFrame:
+    """One aggregate per version over whole rows, then a row per version ``_v``."""
+    return rows.groupBy(*keys).agg(F.array(*values).alias("_a")).select(*keys, F.posexplode("_a").alias("_v", name))
+
+
+def pairwise_accuracy(aliases: DataFrame, pairwise: DataFrame, splits: DataFrame, versions: int) -> DataFrame:
     """Share of preferences the scores agree with, both sides ranked and in the split."""
     pair = pairwise.select(
         "event_id",
@@ -189,32 +200,31 @@ def pairwise_accuracy(aliases: DataFrame, pairwise: DataFrame, splits: DataFrame
     scores = (
         aliases.join(asked, "id", "left_semi")
         .groupBy("ranking_id", "id")
-        .agg(F.max("score").alias("score"))
-    )
-    left = scores.select("ranking_id", F.col("id").alias("winner"), F.col("score").alias("_w"))
-    right = scores.select("ranking_id", F.col("id").alias("other"), F.col("score").alias("_o"))
-    return (
-        inside.join(left, "winner")
-        .join(right, ["ranking_id", "other"])
-        .groupBy("split", "ranking_id")
-        .agg(F.avg((F.col("_w") > F.col("_o")).cast("double")).alias("pairwise_accuracy"))
+        .agg(F.array(*[F.max(F.col("scores")[i]) for i in range(versions)]).alias("scores"))
     )
+    left = scores.select("ranking_id", F.col("id").alias("winner"), F.col("scores").alias("_w"))
+    right = scores.select("ranking_id", F.col("id").alias("other"), F.col("scores").alias("_o"))
+    met = inside.join(left, "winner").join(right, ["ranking_id", "other"])
+    agree = [F.avg((F.col("_w")[i] > F.col("_o")[i]).cast("double")) for i in range(versions)]
+    return _per_version(met, ["split", "ranking_id"], agree, "pairwise_accuracy")
 
 
-def brier(labelled: DataFrame, ranked: DataFrame) -> DataFrame:
+def brier(labelled: DataFrame, ranked: DataFrame, versions: int) -> DataFrame:
     """Brier score of min-max scaled scores over labelled papers."""
+    score = lambda i: F.col("scores")[i]
     bounds = ranked.groupBy("ranking_id").agg(
-        F.min("score").alias("_min"), F.max("score").alias("_max")
-    )
-    chance = F.when(F.col("_max") == F.col("_min"), 0.5).otherwise(
-        (F.col("score") - F.col("_min")) / (F.col("_max") - F.col("_min"))
+        F.array(*[F.min(score(i)) for i in range(versions)]).alias("_min"),
+        F.array(*[F.max(score(i)) for i in range(versions)]).alias("_max"),
     )
     outcome = (F.col("label") == "positive").cast("double")
-    return (
-        labelled.join(bounds, "ranking_id")
-        .groupBy("split", "ranking_id")
-        .agg(F.avg((chance - outcome) * (chance - outcome)).alias("brier_score"))
-    )
+
+    def missed(i: int) -> Column:
+        low, high = F.col("_min")[i], F.col("_max")[i]
+        chance = F.when(high == low, 0.5).otherwise((score(i) - low) / (high - low))
+        return F.avg((chance - outcome) * (chance - outcome))
+
+    return _per_version(
+        labelled.join(bounds, "ranking_id"), ["split", "ranking_id"], [missed(i) for i in range(versions)], "brier_score")
 
 
 def _ideal(n: Column) -> Column:
@@ -230,19 +240,34 @@ def evaluate_rankings(
     *,
     ks: Sequence[int] = (20,),
     split_names: Sequence[str] = ("temporal-holdout",),
+    versions: Sequence[str] | None = None,
 ) -> DataFrame:
     """Metrics of every ranking on every split and k in one pass.
 
+    A ranking holds a paper once. With ``versions``, ``ranked`` carries ``scores``, an array with one score per
+    version, and each ranking is measured under each of them (column ``version``); rows stay one per
+    paper. Only the first places of a version, as ids and scores, and the metrics are a row per version.
     The rankings are written once to the shared folder, since several metrics read them.
     Precision divides by the labelled papers among the top k only, and the ideal gain counts all
     positives of the split; unavailable values stay NULL.
     """
     ks = sorted(ks)
+    names = [""] if versions is None else list(versions)
+    if versions is None:
+        ranked = ranked.withColumn("scores", F.array("score")).drop("score")
     ranked = materialized(ranked, "ranked")
+    listed = ["ranking_id", "_v"]
+    cut = scale.top_per_group(
+        ranked.select("ranking_id", "paper_id", F.posexplode("scores").alias("_v", "score")), listed,
+        [F.col("score").desc(), F.col("paper_id")], ks[-1],
+    )
+    # A paper's other columns are joined once, whatever number of versions lists it.
+    places = cut.groupBy("ranking_id", "paper_id").agg(F.collect_list(F.struct("_v", "rank")).alias("_places"))
+    details = ranked.select("ranking_id", "paper_id", "source", "category", "facets")
+    top = materialized(
+        places.join(details, ["ranking_id", "paper_id"])
+        .select("ranking_id", "paper_id", "source", "category", "facets", F.inline("_places")), "top")
     chosen = splits.filter(F.col("split").isin(list(split_names)))
-    top = scale.top_per_group(
-        ranked, ["ranking_id"], [F.col("score").desc(), F.col("paper_id")], ks[-1]
-    )
     aliases = _aliases(ranked)
     in_split = split_labels(labels, chosen)
     # Most ranked papers carry no label: only the labelled aliases go on to the metrics.
@@ -268,10 +293,10 @@ def evaluate_rankings(
     )
     at_k = F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: k >= F.col("rank"))).alias("k")
     hits = (
-        top.select("ranking_id", "paper_id", "rank")
+        top.select(*listed, "paper_id", "rank")
         .join(labelled.select("split", "ranking_id", "paper_id", "label"), ["ranking_id", "paper_id"])
-        .select(*keys, "rank", "label", at_k)
-        .groupBy(*keys, "k")
+        .select("split", *listed, "rank", "label", at_k)
+        .groupBy("split", *listed, "k")
         .agg(
             F.count(F.lit(1)).alias("_labelled"),
             F.count_if(positive).alias("_pos"),
@@ -280,8 +305,8 @@ def evaluate_rankings(
         )
     )
     coverage = (
-        top.select("ranking_id", "source", "category", at_k)
-        .groupBy("ranking_id", "k")
+        top.select(*listed, "source", "category", at_k)
+        .groupBy(*listed, "k")
         .agg(
             F.count_distinct(F.nullif("source", F.lit(""))).alias("source_coverage_at_k"),
             F.count_distinct(F.nullif("category", F.lit(""))).alias("category_coverage_at_k"),
@@ -292,11 +317,13 @@ def evaluate_rankings(
         coverage.withColumn("split", F.explode(F.array(*map(F.lit, split_names))))
         .join(sizes, "split", "left")
         .join(overlap, keys, "left")
-        .join(hits, [*keys, "k"], "left")
-        .join(list_diversity(top, ks), ["ranking_id", "k"], "left")
-        .join(brier(labelled, ranked), keys, "left")
-        .join(pairwise_accuracy(aliases, pairwise, chosen), keys, "left")
+        .join(hits, ["split", *listed, "k"], "left")
+        .join(list_diversity(top, ks, listed), [*listed, "k"], "left")
+        .join(brier(labelled, ranked, len(names)), ["split", *listed], "left")
+        .join(pairwise_accuracy(aliases, pairwise, chosen, len(names)), ["split", *listed], "left")
     )
+    version = [] if versions is None else [
+        F.element_at(F.array(*map(F.lit, names)), F.col("_v") + 1).alias("version")]
     counts = [
         "evaluated_labels", "positive_labels", "negative_labels", "candidate_overlap",
         "candidate_positive_labels", "candidate_negative_labels", "_labelled", "_pos", "_neg",
@@ -310,6 +337,7 @@ def evaluate_rankings(
     ideal = _ideal(F.least(F.col("positive_labels"), F.col("k")).cast("int"))
     return frame.select(
         *keys,
+        *version,
         "k",
         "evaluated_labels",
         "positive_labels",
@@ -353,6 +381,8 @@ def replay_snapshot(
 
 def label_alias_conflicts(ranked: DataFrame, labels: DataFrame, splits: DataFrame) -> DataFrame:
     """Ranked papers whose aliases carry different labels; any row is an error."""
+    if "scores" not in ranked.columns:
+        ranked = ranked.withColumn("scores", F.array("score"))
     matched = _aliases(ranked).join(split_labels(labels, splits), "id")
     return _labels_of_items(matched).filter("conflict")
 

@@ -510,14 +510,17 @@ def score_baseline(
     return baseline_features(feature_table(candidates, profiles, now, **bonuses), feedback_adjustments)
 
 
-def score_versions(features: DataFrame, sets: Sequence[Mapping]) -> DataFrame:
-    """Scores of the same feature rows under the baseline and several weight sets, in one pass."""
+def version_scores(features: DataFrame, sets: Sequence[Mapping]) -> DataFrame:
+    """Feature rows with ``scores``: the baseline's score and that of each weight set, in this order, so
+    that several rankings of the same pairs stay one row a pair."""
     scored = score_features(features.withColumn("feedback", F.lit(0.0)), sets[:1])
     known = {g: F.col(f"{g}_value") for g in GROUPS}
 
     def total(weights: Mapping) -> Column:
         share, weight = F.lit(0.0), F.lit(0.0)
         for g, value in known.items():
+            if not weights[g]:
+                continue
             share = share + F.coalesce(value * float(weights[g]), F.lit(0.0))
             weight = weight + F.when(value.isNotNull(), float(weights[g])).otherwise(0.0)
         return F.when(weight > 0, share / weight).otherwise(0.0)
@@ -525,15 +528,12 @@ def score_versions(features: DataFrame, sets: Sequence[Mapping]) -> DataFrame:
     base = F.lit(0.0)
     for part in _baseline_parts():
         base = base + part
-    versions = [F.struct(F.lit(BASELINE_VERSION).alias("version"), base.alias("score"))]
-    versions += [
-        F.struct(F.lit(s["version"]).alias("version"), total(s).alias("score")) for s in sets
-    ]
-    return (
-        scored.withColumn("_s", F.explode(F.array(*versions)))
-        .withColumns({"score": F.col("_s.score"), "weight_set_version": F.col("_s.version")})
-        .drop("_s")
-    )
+    return scored.withColumn("scores", F.array(base, *map(total, sets))).drop("score", "weight_set_version")
+
+
+def version_names(sets: Sequence[Mapping]) -> list[str]:
+    """Names of the entries of ``scores``."""
+    return [BASELINE_VERSION, *[s["version"] for s in sets]]
 
 
 #: Most candidates a shortlist may hold.

@@ -315,6 +315,37 @@ def test_a_stream_without_rows_is_an_empty_table(spark):
     assert jobs.ingest_events(stream, work_dir(spark, "test-none")).count() == 0
 
 
+def test_versions_in_one_pass_equal_versions_alone(spark):
+    import random
+
+    rng = random.Random(3)
+    names = ["base", "one", "two"]
+    rows = [(f"r{n % 2}", f"2601.{n:05d}", [rng.choice([0.1, 0.5, rng.random()]) for _ in names], rng.choice(["core", ""]),
+             rng.choice(["a", "b"]), rng.sample(["x", "y", "z"], 2), [f"doi:10.1/{n}"] if n % 3 else None) for n in range(60)]
+    ranked = spark.createDataFrame(
+        rows, "ranking_id string, paper_id string, scores array<double>, source string, category string, "
+        "facets array<string>, identifiers array<string>")
+    labels = spark.createDataFrame(
+        [(f"doi:10.1/{n}" if n % 2 else f"2601.{n:05d}", rng.choice(["positive", "negative"])) for n in range(0, 60, 4)]
+        + [(f"doi:10.1/{n}", "positive") for n in (1, 7, 13)], "paper_id string, label string")
+    splits = labels.select(F.when(F.rand(5) > 0.4, "a").otherwise("b").alias("split"), "paper_id")
+    splits = spark.createDataFrame(splits.collect(), splits.schema)
+    pairwise = spark.createDataFrame(
+        [(str(n), f"2601.{n:05d}", f"2601.{n + 8:05d}") for n in range(0, 40, 4)],
+        "event_id string, paper_id string, compared_paper_id string")
+    run = lambda df, **kw: evaluation.evaluate_rankings(
+        df, labels, splits, pairwise, ks=(3, 10), split_names=("a", "b"), **kw)
+    whole = run(ranked, versions=names)
+    assert whole.filter("pairwise_accuracy is not null and brier_score is not null").count()
+    for i, name in enumerate(names):
+        alone = run(ranked.withColumn("score", F.col("scores")[i]).drop("scores"))
+        mine = whole.filter(F.col("version") == name).select(*alone.columns)
+        # Sums may come in another order.
+        rows = [sorted([[round(v, 9) if isinstance(v, float) else v for v in r] for r in df.collect()], key=str)
+                for df in (mine, alone)]
+        assert rows[0] == rows[1]
+
+
 def test_silent_choices_are_errors(spark):
     from folioscope.operators import efficiency, evaluation, ranking, selection
 
