@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from folioscope.catalog.base import FEEDBACK_SQL, feedback_events, query, table
 from folioscope.operators import ledger
+from folioscope.session import work_dir
+from folioscope.sources import ledgers
 
 _ATTRIBUTED_SQL = f"""{FEEDBACK_SQL},
 hit AS (
@@ -94,9 +96,7 @@ def lineage_check(spark, sf_dir):
     return ledger.lineage_violations(corrected_events(spark, sf_dir))
 
 
-@query(
-    "ledger_append",
-    f"""WITH {FEEDBACK_SQL},
+_APPEND_SQL = f"""WITH {FEEDBACK_SQL},
     ledger AS (SELECT * FROM feedback WHERE event_type = 'outcome'),
     batch AS (
       SELECT event_id, CASE WHEN displayed_rank = 7 OR outcome = 'interested' AND batch_id = '2024-01-05'
@@ -107,9 +107,11 @@ def lineage_check(spark, sf_dir):
     SELECT p.event_id, variants > 1 OR coalesce(l.paper_id <> p.paper, false) AS conflict,
       CASE WHEN conflict OR l.event_id IS NOT NULL THEN 0 ELSE 1 END::BIGINT AS added,
       CASE WHEN conflict THEN 0 WHEN l.event_id IS NULL THEN copies - 1 ELSE copies END::BIGINT AS duplicates
-    FROM per_key p LEFT JOIN ledger l USING (event_id)""",
-)
-def ledger_append(spark, sf_dir):
+    FROM per_key p LEFT JOIN ledger l USING (event_id)"""
+
+
+def _append_sides(spark, sf_dir):
+    """The stored outcomes, and a batch of new, repeated and changed events."""
     columns = ["event_id", "paper_id", "outcome", "event_type", "batch_id", "occurred_at"]
     events = feedback_events(spark, sf_dir)
     changed = (F.col("displayed_rank") == 7) | (
@@ -120,7 +122,24 @@ def ledger_append(spark, sf_dir):
         events.filter(F.col("displayed_rank").between(5, 9)).select(*columns)
     )
     stored = events.filter(F.col("event_type") == "outcome").select(*columns)
-    return ledger.append_status(stored, batch).select("event_id", "conflict", "added", "duplicates")
+    return stored, batch
+
+
+@query("ledger_append", _APPEND_SQL)
+def ledger_append(spark, sf_dir):
+    return ledger.append_status(*_append_sides(spark, sf_dir)).select("event_id", "conflict", "added", "duplicates")
+
+
+@query("ledger_versions", _APPEND_SQL)
+def ledger_versions(spark, sf_dir):
+    """The same append against a ledger on storage that grew in three versions and was made one after the second."""
+    stored, batch = _append_sides(spark, sf_dir)
+    root = work_dir(spark, "ledger")
+    for turn in range(3):
+        ledgers.append(stored.filter(F.pmod(F.crc32(F.col("event_id").cast("binary")), F.lit(3)) == turn), root, f"{turn:020d}")
+        if turn == 1:
+            ledgers.compact(spark, root, stored.schema)
+    return ledgers.append_status(batch, root).select("event_id", "conflict", "added", "duplicates")
 
 
 @query(

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from folioscope.functions.moments import days_before, instant
 from folioscope.operators import corpus, ledger, pool, scale
 from folioscope.session import materialized
-from folioscope.sources import writers
+from folioscope.sources import ledgers, writers
 
 
 def file_stream(
@@ -139,18 +139,15 @@ def ingest_candidates(
 def ingest_events(stream: DataFrame, root: str) -> DataFrame:
     """Exactly-once ledger by event id; a changed event under a known id fails the batch.
 
-    However late an event arrives, it is kept: the ledger itself knows which ids it has.
+    However late an event arrives, it is kept: the ledger itself knows which ids it has, and a batch opens only
+    the parts of the ledger that its ids may be in (``sources.ledgers``).
     """
-    columns = stream.columns
 
-    def new_rows(so_far, batch):
-        stored = batch.limit(0) if so_far is None else so_far.select(*columns)
-        status = materialized(ledger.append_status(stored, batch), "append-status")
-        if status.filter("conflict").limit(1).count():
-            raise ValueError("event_id conflicts with a stored event")
-        return ledger.appended_rows(status).select(*columns)
+    def body(batch: DataFrame, batch_id: int) -> None:
+        ledgers.append(batch, root, f"{batch_id:020d}")
 
-    return run_appending(stream, root, new_rows).drop("version")
+    _run(stream, root, body)
+    return ledgers.read(stream.sparkSession, root, stream.schema)
 
 
 def track_history(stream: DataFrame, root: str, now) -> DataFrame:

@@ -438,3 +438,63 @@ def test_streamed_attribution_equals_the_batch_result(spark):
     newest = jobs.read_appended(spark, root)
     last = newest.agg(F.max("version")).first()[0]
     assert {r.paper_id for r in newest.filter(F.col("version") == last).collect()} == {"p1", "hot"}
+
+
+def stored_ledger(spark, batches, part_rows=50):
+    from folioscope.session import work_dir
+    from folioscope.sources import ledgers
+
+    root = work_dir(spark, "test-versions")
+    schema = "event_id string, paper_id string, part int"
+    for n, rows in enumerate(batches):
+        ledgers.append(spark.createDataFrame(rows, schema), root, f"{n:020d}", part_rows=part_rows)
+    return root, spark.createDataFrame([], schema).schema
+
+
+def test_files_an_append_opens_follow_the_batch_not_the_ledger(spark):
+    from folioscope.sources import ledgers
+
+    batches = [[(f"e{n}-{i}", "p", i) for i in range(200)] for n in range(6)]
+    short, schema = stored_ledger(spark, batches[:2])
+    long, _ = stored_ledger(spark, batches)
+    retried = spark.createDataFrame([("e0-7", "p", 7), ("e1-9", "p", 9), ("new", "p", 1)], schema)
+    fresh = spark.createDataFrame([(f"f{i}", "p", i) for i in range(20)], schema)
+    for root in (short, long):
+        assert 2 <= len(ledgers.may_hold(retried, root)) <= 3
+        assert len(ledgers.may_hold(fresh, root)) <= 2
+    whole = ledgers.may_hold(spark.createDataFrame([r for b in batches for r in b], schema), long)
+    assert len(whole) == 6 * 4
+    assert ledgers.read(spark, long, schema).count() == 1200
+    status = {r.event_id: (r.added, r.duplicates, r.conflict) for r in ledgers.append_status(retried, long).collect()}
+    assert status == {"e0-7": (0, 1, False), "e1-9": (0, 1, False), "new": (1, 0, False)}
+
+
+def test_no_stored_key_is_missed_at_any_size_of_filter(spark):
+    from folioscope.sources import ledgers
+
+    rows = [(f"k{i}", "p", i) for i in range(5000)]
+    root, schema = stored_ledger(spark, [rows, [("last", "p", 0)]], part_rows=1000)
+    assert [(v.power, v.parts, v.rows) for v in ledgers.manifest(spark, root)] == [(2, 8, 5000), (0, 1, 1)]
+    again = ledgers.append_status(spark.createDataFrame(rows[::3], schema), root)
+    assert again.filter("added = 0 and duplicates = 1").count() == len(rows[::3])
+    unknown = spark.createDataFrame([(f"u{i}",) for i in range(3000)], "event_id string")
+    assert len(ledgers.may_hold(unknown.limit(40), root)) <= 4
+
+
+def test_a_stored_ledger_is_idempotent_refuses_changes_and_compacts(spark):
+    from folioscope.sources import ledgers
+
+    root, schema = stored_ledger(spark, [[("a", "p", 1), ("a", "p", 1)], [], [("b", None, None), (None, "p", 3)]])
+    frame = lambda *rows: spark.createDataFrame(rows, schema)
+    want = {("a", "p", 1), ("b", None, None), (None, "p", 3)}
+    for changed in ([("a", "q", 1)], [("b", "p", None)], [("c", "p", 1), ("c", "q", 1)]):
+        with pytest.raises(ValueError, match="conflicts"):
+            ledgers.append(frame(*changed), root, f"{3:020d}")
+    assert ledgers.append(frame(("z", "p", 1)), root, f"{2:020d}") is None
+    assert {tuple(r) for r in ledgers.read(spark, root, schema).collect()} == want
+    ledgers.compact(spark, root, schema)
+    assert len(ledgers.manifest(spark, root)) == 1 and ledgers.done(spark, root, f"{2:020d}")
+    ledgers.append(frame(("a", "p", 1), ("d", "p", 4)), root, f"{3:020d}")
+    assert {tuple(r) for r in ledgers.read(spark, root, schema).collect()} == want | {("d", "p", 4)}
+    with pytest.raises(ValueError, match="names of the"):
+        ledgers.append(frame(("e", "p", 1)).withColumnRenamed("part", "ledger_part"), root, f"{4:020d}")
