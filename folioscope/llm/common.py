@@ -28,6 +28,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered_names(df: DataFrame) -> DataFrame:
+    """The same columns under ``_0``, ``_1``, ..., which no name of an operator meets; ``toDF`` brings
+    the names back."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice come to about ``CHUNK_BYTES``; a longer text
     stands alone. Nulls count nothing."""

@@ -18,11 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm.common import (
     arrow_pass,
+    free_name,
     lower_table,
     member_table,
+    numbered_names,
     run_hashes,
     table,
     text_bytes,
@@ -99,14 +102,17 @@ def find_hits(raw: np.ndarray, offsets: np.ndarray, known: WindowSet):
 
 
 def scan(docs: DataFrame, known, text: str = "text") -> DataFrame:
-    """Every row with ``_words`` (its number of words), ``_spans`` (runs of hit words: word
+    """Every row and, last, ``_words`` (its number of words), ``_spans`` (runs of hit words: word
     numbers and code points, ends exclusive) and ``_items`` (sorted ids of items that occur).
 
     ``known`` is a broadcast ``WindowSet``. Null and empty texts have no words. Rows are taken
-    one by one: repeated ids and other columns pass through.
+    one by one: repeated ids and other columns pass through. Where the table has columns of these
+    names, underscores go in front of the new ones.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    schema += f", _words bigint, _spans {_SPAN}, _items array<string>"
+    names = [free_name(docs, name) for name in ("_words", "_spans", "_items")]
+    kinds = ("bigint", _SPAN, "array<string>")
+    schema = T.StructType([
+        *docs.schema, *[T._parse_datatype_string(f"{n} {k}")[0] for n, k in zip(names, kinds)]])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets = text_bytes(batch.column(text))
@@ -138,8 +144,7 @@ def scan(docs: DataFrame, known, text: str = "text") -> DataFrame:
             *batch.columns, pa.array(np.diff(word_from), pa.int64()),
             pa.array(spans, _ARROW_SPAN), pa.array([sorted(i) for i in items], pa.list_(pa.string())),
         ]
-        return pa.RecordBatch.from_arrays(
-            columns, names=[*batch.schema.names, "_words", "_spans", "_items"])
+        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
     return arrow_pass(docs, text, schema, work)
 
@@ -162,13 +167,15 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text",
     item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_words``, ``_spans`` and ``_items`` (see ``scan``).
+    """All rows and columns of ``docs`` and, last, ``_words``, ``_spans`` and ``_items`` (see ``scan``).
 
     An empty benchmark leaves every text clean. Items without words or text have no windows; items
     with the same id count once. Columns of the benchmark never meet those of ``docs``.
     """
     spark = docs.sparkSession
-    out = None
+    names = [*docs.columns, *[free_name(docs, name) for name in ("_words", "_spans", "_items")]]
+    text = f"_{docs.columns.index(text)}"
+    docs, out = numbered_names(docs), None
     blocks = item_blocks(benchmark, item, item_text, block_bytes)
     for block in blocks:
         known = spark.sparkContext.broadcast(
@@ -183,7 +190,7 @@ def contamination(
         }).drop("_spans0", "_items0")
         if len(blocks) > 1:
             out = materialized(out, "decontamination")
-    return out
+    return out.toDF(*names)
 
 
 def merged_runs(spans):
@@ -206,20 +213,21 @@ def merged_runs(spans):
 
 def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``contamination`` with hit words cut out of their texts, all columns of the input."""
+    added, spans = found.columns[-3:], found.columns[-2]
+
     def cut(state, span):
         kept = F.substring(F.col(text), state["at"] + 1, span["from"] - state["at"])
         return F.struct(F.concat(state["text"], kept).alias("text"), span["to"].alias("at"))
 
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     tail = lambda s: F.concat(s["text"], F.substring(F.col(text), s["at"] + 1, F.char_length(text)))
-    cleaned = F.when(F.size("_spans") == 0, F.col(text)).otherwise(
-        F.aggregate("_spans", start, cut, tail))
-    return with_text_size(found.withColumn(text, cleaned), text).drop("_words", "_spans", "_items")
+    cleaned = F.when(F.size(spans) == 0, F.col(text)).otherwise(F.aggregate(spans, start, cut, tail))
+    return with_text_size(found.withColumn(text, cleaned), text).drop(*added)
 
 
 def drop_documents(found: DataFrame) -> DataFrame:
     """Rows of ``contamination`` without a hit, all columns of the input."""
-    return found.filter(F.size("_spans") == 0).drop("_words", "_spans", "_items")
+    return found.filter(F.size(found.columns[-2]) == 0).drop(*found.columns[-3:])
 
 
 def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioscope.llm.common import arrow_pass, table, with_text_size
+from folioscope.llm.common import arrow_pass, free_name, table, with_text_size
 
 NAME = "op7_personal_data"
 #: Most texts the weights are fitted on, whole: those with the smallest hashes among distinct texts
@@ -292,19 +293,21 @@ def fitted(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMENT
 
 
 def find_personal_data(docs: DataFrame, model: dict | None = None, text: str = "text") -> DataFrame:
-    """All rows and columns with ``_spans``: kind, start and end in code points, and whether the
-    span is a base match. Null and empty texts have none; rows are taken one by one."""
+    """All rows and columns and, last, ``_spans``: kind, start and end in code points, and whether the
+    span is a base match. Where the table has a column of that name, underscores go in front. Null and
+    empty texts have none; rows are taken one by one."""
     shared = docs.sparkSession.sparkContext.broadcast(model or fitted(docs, text))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    name = free_name(docs, "_spans")
+    schema = T.StructType([*docs.schema, T._parse_datatype_string(f"{name} {_SPANS}")[0]])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column(text).to_pylist()]
         spans = [[{"kind": k, "start": a, "end": b, "base": base} for k, a, b, base in row]
                  for row in add_spans(texts, shared.value)]
         return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(spans, _ARROW_SPANS)], names=[*batch.schema.names, "_spans"])
+            [*batch.columns, pa.array(spans, _ARROW_SPANS)], names=[*batch.schema.names, name])
 
-    return arrow_pass(docs, text, f"{schema}, _spans {_SPANS}", work)
+    return arrow_pass(docs, text, schema, work)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -320,7 +323,6 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact_documents(docs: DataFrame, model: dict | None = None, text: str = "text") -> DataFrame:
     """All rows and columns, with personal data replaced in the texts; null texts stay null."""
     shared = docs.sparkSession.sparkContext.broadcast(model or fitted(docs, text))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = batch.column(text).to_pylist()
@@ -329,7 +331,7 @@ def redact_documents(docs: DataFrame, model: dict | None = None, text: str = "te
         at = batch.schema.get_field_index(text)
         return batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 
-    return with_text_size(arrow_pass(docs, text, schema, work), text)
+    return with_text_size(arrow_pass(docs, text, docs.schema, work), text)
 
 
 def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:

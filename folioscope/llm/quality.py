@@ -21,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import table
+from folioscope.llm.common import free_name, table
 from folioscope.session import materialized
 
 NAME = "op1_quality_classifier"
@@ -131,7 +131,8 @@ def paths(description: str, names: tuple[str, ...] = NAMES) -> set[tuple[Bound,
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns with the statistics, under names no column of ``docs`` may have."""
-    clash = [name for name in NAMES if name in docs.columns]
+    taken = {c.lower() for c in docs.columns}
+    clash = [name for name in NAMES if name in taken]
     if clash:
         raise ValueError(f"columns {clash} are names of statistics")
     return docs.withColumns(statistics(F.col(text)))
@@ -185,11 +186,13 @@ def fit(sample: DataFrame) -> Ensemble:
 
 
 def classify(docs: DataFrame, model: Ensemble, text: str = "text") -> DataFrame:
-    """All rows and columns with ``score`` (0 to 1) and ``predicted`` (1 from ``GOOD`` on). Null
-    and empty texts are scored by the statistics of the empty text."""
+    """All rows and columns and, last, ``score`` (0 to 1) and ``predicted`` (1 from ``GOOD`` on). Null
+    and empty texts are scored by the statistics of the empty text. Where the table has columns of
+    these names, underscores go in front of the new ones; names of statistics are refused."""
+    score, predicted = free_name(docs, "score"), free_name(docs, "predicted")
     keep = [F.col(f"`{c}`") for c in docs.columns]
-    scored = with_statistics(docs, text).select(*keep, model.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+    scored = with_statistics(docs, text).select(*keep, model.score().alias(score))
+    return scored.withColumn(predicted, (F.col(score) >= GOOD).cast("int"))
 
 
 def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import decontamination, jaccard
 from folioscope.llm.components import components
@@ -148,3 +149,19 @@ def test_no_benchmark_no_hits(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.drop_documents(decontamination.contamination(docs, bench)).count() == 5
     assert decontamination.contamination(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [2_000_000, 10])
+def test_contamination_stands_beside_columns_of_any_name(spark, block_bytes):
+    docs = documents(spark, ["one two three", None, "other words"], _words="w", _spans="s", _ITEMS="i", _0="zero", **{"odd name": 1})
+    docs = docs.withColumn("nested", F.struct(F.lit(1).alias("a b")))
+    bench = spark.createDataFrame([(1, "two three"), (2, "one two"), (3, "nowhere")], "item_id bigint, text string")
+    found = decontamination.contamination(docs, bench, block_bytes=block_bytes)
+    assert found.columns == [*docs.columns, "__words", "__spans", "__items"]
+    rows = {r.doc_id: r for r in found.collect()}
+    assert (rows[0]["__words"], rows[0]["__items"], rows[0]["_words"], rows[0]["_0"]) == (3, ["1", "2"], "w", "zero")
+    assert [(s["first"], s["last"]) for s in rows[0]["__spans"]] == [(0, 3)]
+    kept = decontamination.drop_documents(found)
+    assert kept.columns == docs.columns and {r.doc_id: r["_spans"] for r in kept.collect()} == {1: "s", 2: "s"}
+    cut = decontamination.remove_spans(found)
+    assert cut.columns == docs.columns and {r.doc_id: r.text for r in cut.collect()} == {0: "", 1: None, 2: "other words"}

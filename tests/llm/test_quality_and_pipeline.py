@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -70,6 +71,47 @@ def test_awkward_texts_have_scores(spark, model):
         quality.classify(documents(spark, ["x"], upper=1), model)
 
 
+def test_scores_stand_beside_columns_of_any_name(spark, model):
+    docs = documents(spark, ["x y", None], score="mine", predicted="yours", **{"odd name": 1})
+    docs = docs.withColumn("nested", F.struct(F.lit(1).alias("a b")))
+    found = quality.classify(docs, model)
+    assert found.columns == [*docs.columns, "_score", "_predicted"]
+    assert all((r.score, r.predicted) == ("mine", "yours") and 0 <= r["_score"] <= 1 for r in found.collect())
+    assert {r["_score"] for r in found.collect()} == {r.score for r in quality.classify(docs.drop("score"), model).collect()}
+    with pytest.raises(ValueError, match="digits"):
+        quality.classify(documents(spark, ["x"], Digits=1), model)
+
+
+def test_the_compiled_score_equals_its_rules_row_by_row(spark, model):
+    texts = [*AWKWARD, *prose(31, 30), "THE CAT; 12 34.\n" * 9]
+    rows = quality.classify(quality.with_statistics(documents(spark, texts)).select(
+        "doc_id", "text", F.struct(*quality.NAMES).alias("seen")), model).collect()
+    assert model.rules and len(rows) == len(texts)
+    for r in rows:
+        total = model.intercept + sum(w * r.seen[n] for n, w in model.linear)
+        for rule, weight in model.rules:
+            if all(r.seen[b.name] <= b.value if b.at_most else r.seen[b.name] > b.value for b in rule):
+                total += weight
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
+@pytest.mark.parametrize("text", ["", "a", "One two two.\nA1;  b?\n", "ÄÖ 12 ,x", "\n\n"])
+def test_statistics_equal_plain_python(spark, text):
+    seen = quality.with_statistics(documents(spark, [text])).first()
+    words, lines = text.split(), text.split("\n")
+    chars, count = max(1, len(text)), max(1, len(words))
+    assert seen.log_chars == pytest.approx(math.log1p(len(text)))
+    assert seen.log_words == pytest.approx(math.log1p(len(words)))
+    assert seen.word_length == pytest.approx(sum(map(len, words)) / count)
+    assert seen.words_per_line == pytest.approx(len(words) / len(lines))
+    assert seen.distinct_words == pytest.approx(len(set(words)) / count)
+    assert seen.distinct_lines == pytest.approx(len(set(lines)) / len(lines))
+    assert seen.short_words == pytest.approx(sum(len(w) <= 3 for w in words) / count)
+    assert seen.upper == pytest.approx(sum("A" <= c <= "Z" for c in text) / chars)
+    assert seen.digits == pytest.approx(sum("0" <= c <= "9" for c in text) / chars)
+    assert seen.stops == pytest.approx(sum(c in ".,;:?" for c in text) / chars)
+
+
 @pytest.mark.parametrize("labels, share", [([], 0.5), ([(0, 1), (1, 1), (3, 1)], 0.99)])
 def test_no_labels_to_tell_apart_give_a_constant(spark, labels, share):
     docs = documents(spark, ["a b", "c", "d", "e"])

@@ -265,3 +265,16 @@ def test_spans_stand_beside_columns_of_any_name(spark):
     assert found.columns == [*docs.columns, "__spans"]
     rows = {r.doc_id: r for r in found.collect()}
     assert rows[0]["_spans"] == "mine" and len(rows[0]["__spans"]) == 1 and rows[1]["__spans"] == []
+
+
+def test_personal_data_stands_beside_columns_of_any_name(spark, model):
+    docs = documents(spark, ["write to a.b@example.org", None], _spans="mine", **{"odd name": 1})
+    docs = docs.withColumn("nested", F.struct(F.lit(1).alias("a b")))
+    found = personal.find_personal_data(docs, model)
+    assert found.columns == [*docs.columns, "__spans"]
+    rows = {r.doc_id: r for r in found.collect()}
+    assert rows[0]["_spans"] == "mine" and [s.kind for s in rows[0]["__spans"]] == ["email"] and rows[1]["__spans"] == []
+    clean = personal.redact_documents(docs, model)
+    assert clean.columns == docs.columns
+    assert {r.doc_id: (r.text, r["_spans"], r["odd name"]) for r in clean.collect()} == {
+        0: ("write to [EMAIL]", "mine", 1), 1: (None, "mine", 1)}
