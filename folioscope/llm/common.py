@@ -67,13 +67,16 @@ def arrow_pass(
 ) -> DataFrame:
     """Run ``work`` over slices of the rows (``chunks``), inside the tasks, without a shuffle."""
 
+    names = df.columns
+
     def run(batches):
-        for part in chunks(batches, column):
+        for part in chunks((b.rename_columns(names) for b in batches), column):
             out = work(part)
             if out is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    # Spark reads the columns by name here, and a dot in one would look like a field.
+    return numbered_names(df).mapInArrow(run, schema)
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, member: np.ndarray):

@@ -232,6 +232,19 @@ def test_names_of_the_duplicate_stage_are_free(spark):
     assert sorted((r.doc_id, r["_row"], r["row"], r["component_id"]) for r in kept.collect()) == [(0, 7, 8, "x"), (2, 7, 8, "x")]
 
 
+def test_stages_filter_by_their_own_columns(spark, monkeypatch):
+    monkeypatch.setattr(quality, "labelled", lambda docs, labels: None)
+    docs = documents(spark, ["mail a.b@example.org", "two"], predicted=0, score=5, _spans="s", **{"odd.name": 1})
+    for value, count in ((3.0, 2), (-3.0, 0)):
+        monkeypatch.setattr(quality, "fit", lambda sample: quality.Ensemble(value))
+        kept = corpus_pipeline.quality_stage(spark, docs, "/root/testdata/sf0.001")
+        assert kept.columns == docs.columns and kept.count() == count
+    for stage in (corpus_pipeline.decontamination_stage, corpus_pipeline.personal_stage):
+        after = stage(spark, docs, "/root/testdata/sf0.001")
+        assert after.columns == docs.columns
+        assert {(r.doc_id, r.predicted, r["_spans"], r["odd.name"]) for r in after.collect()} == {(0, 0, "s", 1), (1, 0, "s", 1)}
+
+
 def test_stages_of_the_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     bench = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
