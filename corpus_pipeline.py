@@ -16,10 +16,16 @@ DUPLICATE_SHINGLE = 5
 DUPLICATE_THRESHOLD = (80, 100)
 
 
+def own_columns(docs: DataFrame) -> list:
+    """The columns of a table, whatever signs their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble predicts to be good."""
     model = quality.fit(quality.labelled(docs, table(spark, sf_dir, "labels")))
-    return quality.classify(docs, model).filter("predicted = 1").select(*docs.columns)
+    scored = quality.classify(docs, model)
+    return scored.filter(F.col(scored.columns[-1]) == 1).select(*own_columns(docs))
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +51,18 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         .groupBy("component_id").agg(first.alias("first")).select("first.row"), "pipeline-kept")
     gone = members.select("row").join(jaccard.few(kept), "row", "left_anti")
     gone = materialized(gone.select(F.col("row").alias(row)), "pipeline-gone")
-    return numbered.join(jaccard.few(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return numbered.join(jaccard.few(gone), row, "left_anti").select(*own_columns(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return decontamination.drop_documents(found).select(*docs.columns)
+    return decontamination.drop_documents(found).select(*own_columns(docs))
 
 
 def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced in their texts."""
-    return personal.redact_documents(docs).select(*docs.columns)
+    return personal.redact_documents(docs).select(*own_columns(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
