@@ -8,7 +8,8 @@ from folioscope.catalog.base import (
     PAPER_KEY_SQL, PAPERS_SQL, PROFILE_TOKENS_SQL, benchmark_items, paper_key, papers, query,
     table, text_time,
 )
-from folioscope.operators import library, pool, profile
+from folioscope.operators import library, pool, profile, profile_counts
+from folioscope.session import materialized
 
 OBSERVED = "2024-02-01T00:00:00+00:00"
 DONE = "2024-02-10T00:00:00+00:00"
@@ -350,3 +351,41 @@ def known_excluded(spark, sf_dir):
         ).alias("identifiers"),
     )
     return library.exclude_known(papers(spark, sf_dir), items).select("paper_id")
+
+
+def _earlier_library(items):
+    """An earlier state of a library: some items in the trash, some notes not yet written, some with
+    other dates, and one more item beside every second one, gone since."""
+    length = F.length("key")
+    seed = F.col("parent_key").isNull()
+    late = F.pmod(F.crc32("key"), F.lit(5))
+    older = items.select(*[
+        (F.col("trashed") | (late == 1)).alias(c) if c == "trashed"
+        else F.when(late == 2, F.concat(F.lit("draft words "), F.left(c, length))).otherwise(F.col(c)).alias(c)
+        if c == "note_text"
+        else F.when(late == 3, F.lit("2011-04")).otherwise(F.col(c)).alias(c) if c == "date"
+        else F.col(c)
+        for c in items.columns
+    ])
+    gone = items.filter(seed & (late > 2)).withColumn("key", F.concat(F.lit("gone"), F.col("key")))
+    return older.unionByName(gone)
+
+
+@query(
+    "profile_deltas",
+    f"""WITH {LIBRARY_SQL} SELECT 'long' AS horizon, profile_id, rank, term, round(weight, 6) AS weight FROM long_terms
+    UNION ALL SELECT 'recent', profile_id, rank, term, round(recent, 6) FROM recent_terms""",
+)
+def profile_deltas(spark, sf_dir):
+    """Terms of the library as it is, from counts of an earlier state and signed deltas."""
+    items = conversation_items(spark, sf_dir)
+    earlier = _earlier_library(items)
+    stored = materialized(profile_counts.count_terms(earlier), "profile-counts")
+    counts = profile_counts.updated(stored, profile_counts.deltas(earlier, items))
+    weights = profile_counts.weights_of(
+        counts, conversation_collections(spark, sf_dir), observed_at=OBSERVED
+    )
+    return profile.profile_table(weights).select(
+        "horizon", "profile_id", F.col("rank").cast("long").alias("rank"), "term",
+        F.round("weight", 6).alias("weight"),
+    )

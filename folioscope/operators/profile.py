@@ -107,8 +107,8 @@ def _weighted(tokens: Column, weight: Column) -> Column:
     return F.transform(tokens, lambda t: F.struct(t.alias("term"), weight.alias("w")))
 
 
-def _own_terms(roots: DataFrame) -> DataFrame:
-    """Terms of an item's own metadata and tags, summed per profile."""
+def own_signals() -> Column:
+    """Weighted terms of a seed row's own metadata and tags."""
     base = F.lit(SIGNAL_WEIGHTS["library"]) + F.when(
         F.col("_curated"), SIGNAL_WEIGHTS["curated"]
     ).otherwise(0.0)
@@ -117,20 +117,12 @@ def _own_terms(roots: DataFrame) -> DataFrame:
             _kept_tags(), lambda t: _weighted(text.profile_tokens(_tag_text(t)), _tag_weight(t))
         )
     )
-    signals = F.concat(_weighted(text.profile_tokens(_root_text()), base), from_tags)
-    exploded = roots.select("profile_id", "_decay", F.explode(signals).alias("s"))
-    return exploded.groupBy("profile_id", F.col("s.term").alias("term")).agg(
-        F.sum("s.w").alias("weight"), F.sum(F.col("s.w") * F.col("_decay")).alias("recent")
-    )
-
+    return F.concat(_weighted(text.profile_tokens(_root_text()), base), from_tags)
 
-def child_terms(items: DataFrame, roots: DataFrame) -> DataFrame:
-    """Terms of notes and annotations under seed items.
 
-    Children are summed per parent and term first, so the join meets one row per distinct term of
-    a parent, however many children hang below it.
-    """
-    signals = F.concat(
+def child_signals() -> Column:
+    """Weighted terms of a note or annotation row."""
+    return F.concat(
         *[
             _weighted(
                 text.profile_tokens(F.coalesce(F.col(field), F.lit(""))),
@@ -143,11 +135,32 @@ def child_terms(items: DataFrame, roots: DataFrame) -> DataFrame:
             )
         ]
     )
-    children = items.filter(
+
+
+def live_children(items: DataFrame) -> DataFrame:
+    """Rows that hang below another row and are not trashed."""
+    return items.filter(
         F.col("parent_key").isNotNull() & ~F.coalesce(F.col("trashed"), F.lit(False))
     )
+
+
+def _own_terms(roots: DataFrame) -> DataFrame:
+    """Terms of an item's own metadata and tags, summed per profile."""
+    exploded = roots.select("profile_id", "_decay", F.explode(own_signals()).alias("s"))
+    return exploded.groupBy("profile_id", F.col("s.term").alias("term")).agg(
+        F.sum("s.w").alias("weight"), F.sum(F.col("s.w") * F.col("_decay")).alias("recent")
+    )
+
+
+def child_terms(items: DataFrame, roots: DataFrame) -> DataFrame:
+    """Terms of notes and annotations under seed items.
+
+    Children are summed per parent and term first, so the join meets one row per distinct term of
+    a parent, however many children hang below it.
+    """
     per_parent = (
-        children.select("profile_id", F.col("parent_key").alias("key"), F.explode(signals).alias("s"))
+        live_children(items)
+        .select("profile_id", F.col("parent_key").alias("key"), F.explode(child_signals()).alias("s"))
         .groupBy("profile_id", "key", F.col("s.term").alias("term"))
         .agg(F.sum("s.w").alias("w"))
     )
