@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from folioscope.session import materialized
 
 BROADCAST_ROWS = 20_000
-SALTS = 16
 SAMPLE_PER_BUCKET = 16
-MAX_BUCKETS = 2_048
+#: Rows that one task may well hold; larger inputs get more buckets and more salts.
+ROWS_PER_TASK = 1_000_000
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -31,17 +31,34 @@ def hot_key_join(
     keys: Sequence[str],
     rows: int = BROADCAST_ROWS,
     sized_by: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Inner equi-join that survives one key holding a third of ``wide``.
 
     A narrow side within ``rows`` is broadcast; ``sized_by`` is a cheaper table known to be no
-    smaller, counted in its place. Beyond it, ``wide`` is spread over salts and
-    ``narrow`` is repeated once per salt, so a hot key is met by many tasks.
+    smaller, counted in its place. Beyond it, keys with more than ``rows_per_task`` rows in ``wide``
+    are spread over as many salts as their count asks for, and only their rows of ``narrow`` are
+    repeated, once per salt.
     """
     if fits_broadcast(narrow if sized_by is None else sized_by, rows):
         return wide.join(F.broadcast(narrow), list(keys))
-    salted = wide.withColumn("_salt", F.pmod(F.xxhash64(*wide.columns), F.lit(SALTS)).cast("int"))
-    spread = narrow.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    hot = materialized(
+        wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        .filter((F.col("_rows") > rows_per_task) & F.expr(" and ".join(f"`{k}` is not null" for k in keys)))
+        .select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts")),
+        "hot-keys",
+    )
+    if hot.isEmpty():
+        return wide.join(narrow, list(keys))
+    # At most one hot key per ``rows_per_task`` rows of ``wide``; its size is checked all the same.
+    salts = small_side(hot, rows)
+    many = F.coalesce("_salts", F.lit(1))
+    salted = wide.join(salts, list(keys), "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*wide.columns), many).cast("int")
+    ).drop("_salts")
+    spread = narrow.join(salts, list(keys), "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), many - 1))
+    ).drop("_salts")
     return salted.join(spread, [*keys, "_salt"]).drop("_salt")
 
 
@@ -91,28 +108,45 @@ def _sql_literal(value, kind: str) -> str:
     return f"CAST('{value!r}' AS {kind})" if isinstance(value, float) else f"CAST({value} AS {kind})"
 
 
-def range_buckets(df: DataFrame, order: Sequence[str], name: str = "_bucket") -> DataFrame:
+def _key_sample(keys: DataFrame, order: Sequence[str], slots: int) -> tuple[int, list]:
+    """Row count and at most ``slots`` keys in order, in one pass.
+
+    Keys are dealt to slots by hash and each slot keeps the one with the smallest hash, so a task
+    sends one row per slot whatever it reads, and the sample is the same in every run.
+    """
+    spread = F.xxhash64(*order)
+    kept = (
+        keys.groupBy(F.pmod(spread, F.lit(slots)).alias("_slot"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min_by(F.struct(*order), spread).alias("_key"))
+        .orderBy("_key")
+        .select("_rows", "_key")
+        .collect()
+    )
+    return sum(row["_rows"] for row in kept), [row["_key"] for row in kept]
+
+
+def range_buckets(
+    df: DataFrame, order: Sequence[str], name: str = "_bucket", rows_per_bucket: int = ROWS_PER_TASK
+) -> DataFrame:
     """Tag rows with order-preserving buckets cut at sampled keys.
 
-    The sample is the rows with the smallest key hashes: bounded, repeatable, and thinned inside
-    the tasks before it meets in one. The cut points become one constant, so a row's bucket depends on its key alone and is found by
-    binary search. A group of any size is spread over as many buckets as its share of the rows.
+    There is a bucket for every ``rows_per_bucket`` rows, and at least one per shuffle partition.
+    Count and sample come from one pass; only inputs beyond ``rows_per_bucket`` rows a partition are
+    passed once more, for the larger sample they need. The cut points become one constant, so a row's
+    bucket depends on its key alone and is found by binary search. A group of any size is spread
+    over as many buckets as its share of the rows.
     """
     spark = df.sparkSession
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), MAX_BUCKETS)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     kinds = dict(df.dtypes)
     plain = [
         F.unix_micros(c).alias(c) if kinds[c] == "timestamp" else F.col(c).alias(c) for c in order
     ]
     keys = df.select(*plain)
-    wanted, total = buckets * SAMPLE_PER_BUCKET, keys.count()
-    spread_hash = F.shiftrightunsigned(F.xxhash64(*order), 1)
-    small = keys
-    if total > 4 * wanted:
-        # Thin the rows by hash where they are, so the final cut meets a few times the sample.
-        small = keys.filter(spread_hash < F.lit(int((1 << 63) * (4 * wanted / total))))
-    sampled = small.orderBy(spread_hash, *order).limit(wanted)
-    ordered = sampled.orderBy(*order).collect()
+    total, ordered = _key_sample(keys, order, buckets * SAMPLE_PER_BUCKET)
+    if total > buckets * rows_per_bucket:
+        buckets = -(-total // rows_per_bucket)
+        _, ordered = _key_sample(keys, order, buckets * SAMPLE_PER_BUCKET)
     step = max(1, len(ordered) // buckets)
     cuts = [tuple(row) for row in ordered[step::step]]
     if not cuts:
@@ -139,14 +173,15 @@ def range_buckets(df: DataFrame, order: Sequence[str], name: str = "_bucket") ->
 
 
 def position_within(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "position"
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "position",
+    rows_per_bucket: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Exact 1-based position per group, ascending, for groups of any size.
 
     Rows are numbered inside order-preserving buckets and shifted by the sizes of the earlier
     buckets of their group; the order must identify rows.
     """
-    bucketed = range_buckets(df, [*groups, *order])
+    bucketed = range_buckets(df, [*groups, *order], rows_per_bucket=rows_per_bucket)
     sizes = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1

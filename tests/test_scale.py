@@ -40,6 +40,42 @@ def test_hot_group_is_spread_over_buckets(spark):
     assert scale.range_buckets(df, ["g", "id"]).select("_bucket").distinct().count() >= 4
 
 
+def test_buckets_grow_with_the_rows(spark):
+    buckets = lambda n: scale.range_buckets(
+        spark.range(n).withColumn("g", F.lit("hot")), ["g", "id"], rows_per_bucket=500)
+    rows = {}
+    for n in (10_000, 100_000):
+        sizes = [r["count"] for r in buckets(n).groupBy("_bucket").count().collect()]
+        rows[n] = (len(sizes), max(sizes))
+    assert 18 <= rows[10_000][0] <= 22 and 180 <= rows[100_000][0] <= 220
+    assert max(most for _, most in rows.values()) <= 2_000
+
+
+def test_positions_over_many_buckets_with_nulls(spark):
+    rows = [(g, None if i % 7 == 0 else a, i) for g, a, i in skewed(500)]
+    df = spark.createDataFrame(rows, "g string, a int, id int")
+    got = {r.id: r.position for r in scale.position_within(df, ["g"], ["a", "id"], rows_per_bucket=20).collect()}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    want = {}
+    for g in {r[0] for r in rows}:
+        for i, r in enumerate(sorted((r for r in rows if r[0] == g), key=key), 1):
+            want[r[2]] = i
+    assert got == want
+    assert scale.position_within(df.limit(0), ["g"], ["a", "id"]).count() == 0
+
+
+def test_hot_keys_get_salts_by_their_count(spark):
+    rows = [*skewed(300), (None, 1, 900)]
+    wide = spark.createDataFrame(rows, "g string, a int, id int")
+    narrow = wide.select("g").distinct().withColumn("w", F.length("g"))
+    twice = narrow.unionByName(narrow.withColumn("w", -F.col("w")))
+    plain = sorted(tuple(r) for r in wide.join(twice, "g").select("g", "id", "w").collect())
+    salted = scale.hot_key_join(wide, twice, ["g"], rows=2, rows_per_task=30)
+    assert sorted(tuple(r) for r in salted.select("g", "id", "w").collect()) == plain
+    plan = salted._jdf.queryExecution().toString()
+    assert "_salt" in plan and "Cartesian" not in plan
+
+
 def test_exact_medians(spark):
     rows = [(g, float(a) if i % 5 else None, float(i)) for g, a, i in skewed(500)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
