@@ -389,3 +389,44 @@ def profile_deltas(spark, sf_dir):
         "horizon", "profile_id", F.col("rank").cast("long").alias("rank"), "term",
         F.round("weight", 6).alias("weight"),
     )
+
+
+@query(
+    "profile_reprojection",
+    f"""WITH {LIBRARY_SQL},
+    bare AS (SELECT DISTINCT profile_id, CAST(profile_id[2:] AS INTEGER) AS n, length('{{"schema_version":4,"source_library_version":7,'
+      || '"topics":[],"core_categories":[],"adjacent_categories":[],"representative_terms":[],"preference_facets":[]}}')
+      + CASE WHEN CAST(profile_id[2:] AS INTEGER) % 2 = 0 THEN length('"cs.LG","cs.CV"') ELSE length('"quant-ph"') END AS size FROM root),
+    topic AS (SELECT profile_id, n, rank, term, size, sum(length(term) + 3) OVER (PARTITION BY profile_id ORDER BY rank) - 1 AS room
+      FROM long_terms JOIN bare USING (profile_id) WHERE rank <= 30),
+    t AS (SELECT profile_id, any_value(n) AS n, any_value(size) + max(CASE WHEN size + room <= 220 + 60 * n THEN room ELSE 0 END) AS size,
+      coalesce(string_agg(CASE WHEN size + room <= 220 + 60 * n THEN term END, ',' ORDER BY rank), '') AS topics FROM topic GROUP BY ALL),
+    r AS (SELECT t.profile_id, t.n, t.topics, t.size + max(CASE WHEN t.size + room <= 220 + 60 * t.n THEN room ELSE 0 END) AS size,
+      coalesce(string_agg(CASE WHEN t.size + room <= 220 + 60 * t.n THEN term END, ',' ORDER BY rank), '') AS representative
+      FROM t JOIN topic USING (profile_id) WHERE rank <= 12 GROUP BY t.profile_id, t.n, t.topics, t.size),
+    near(odd, place, neighbour) AS (VALUES (1, 1, 'cond-mat.str-el'), (0, 1, 'cs.AI'), (0, 2, 'cs.NE'), (0, 3, 'stat.ML')),
+    a AS (SELECT r.*, place, neighbour, sum(length(neighbour) + 3) OVER (PARTITION BY profile_id ORDER BY place) - 1 AS room
+      FROM r JOIN near ON odd = n % 2)
+    SELECT profile_id, topics, representative,
+      coalesce(string_agg(CASE WHEN size + room <= 220 + 60 * n THEN neighbour END, ',' ORDER BY place), '') AS adjacent,
+      CAST(size + max(CASE WHEN size + room <= 220 + 60 * n THEN room ELSE 0 END) AS BIGINT) AS payload_bytes, 4 AS schema_version
+    FROM a GROUP BY profile_id, topics, representative, size""",
+)
+def profile_reprojection(spark, sf_dir):
+    """Profiles of versions 1 to 4, projected anew and cut to budgets between 220 and 640 bytes."""
+    terms = _terms(spark, sf_dir).filter(F.col("horizon") == "long")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
+    number = F.substring("profile_id", 2, 9).cast("int")
+    raw = terms.groupBy("profile_id").agg(F.transform(ordered, lambda s: s["term"]).alias("topics")).select(
+        "profile_id", (number % 4 + 1).alias("schema_version"), F.lit(7).alias("source_library_version"), "topics",
+        F.when(number % 2 == 0, F.array(F.lit("cs.LG"), F.lit("cs.CV"))).otherwise(F.array(F.lit("quant-ph"))).alias("core_categories"),
+        F.array(F.lit("old.XX")).alias("adjacent_categories"), F.array(F.lit("old")).alias("representative_terms"),
+        F.array().cast("array<struct<kind:string,value:string>>").alias("preference_facets"),
+    )
+    projected = profile.reproject(raw)
+    fitted = profile.fit_budget(projected, 220 + 60 * number, beside=["profile_id"])
+    joined = lambda c, name: F.concat_ws(",", c).alias(name)
+    return fitted.select(
+        "profile_id", joined("topics", "topics"), joined("representative_terms", "representative"),
+        joined("adjacent_categories", "adjacent"), F.col("payload_bytes").cast("long").alias("payload_bytes"), "schema_version",
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -353,6 +355,84 @@ def with_budget(profiles: DataFrame, budget: int = PAYLOAD_BUDGET) -> DataFrame:
     )
 
 
+#: Lists of a payload in the order in which they are given room.
+PAYLOAD_LISTS = [
+    "core_categories", "topics", "representative_terms", "preference_facets", "watched_authors",
+    "watched_institutions", "adjacent_categories", "representative_papers",
+]
+
+
+def reproject(profiles: DataFrame) -> DataFrame:
+    """Exported profiles of any version held to the allowlist of today's version.
+
+    Unsafe topics leave, lists are cut to their lengths, neighbours and representative terms are
+    derived anew. Null lists of strings become empty; other columns stay.
+    """
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    safe = F.filter(listed("topics"), lambda t: F.coalesce(text.is_safe_term(t), F.lit(False)))
+    return (
+        profiles.withColumn("topics", F.slice(safe, 1, TOPICS))
+        .withColumn("core_categories", F.slice(listed("core_categories"), 1, CATEGORIES))
+        .withColumn("adjacent_categories", neighbour_categories(F.col("core_categories")))
+        .withColumn("representative_terms", F.slice("topics", 1, REPRESENTATIVE_TERMS))
+        .withColumn("preference_facets", F.slice("preference_facets", 1, LONG_FACETS + RECENT_FACETS))
+        .withColumn("schema_version", F.lit(PROFILE_SCHEMA_VERSION))
+    )
+
+
+def _room(lists: Sequence[str], left: Column) -> Column:
+    """One fold over the entries of all lists: how many of each fit, and the bytes that are left.
+
+    A list is closed by its first entry that does not fit; the next list goes on with what is left.
+    """
+    def sized(i: int) -> Column:
+        # An entry alone in brackets is one byte longer than it is behind a comma.
+        entry = lambda e: F.struct(
+            F.lit(i).alias("at"), (F.octet_length(F.to_json(F.array(e))) - 1).alias("size")
+        )
+        return F.coalesce(
+            F.transform(F.col(lists[i]), entry), F.array().cast("array<struct<at:int,size:int>>")
+        )
+
+    entries = F.flatten(F.array(*map(sized, range(len(lists)))))
+    counts = [f"n{i}" for i in range(len(lists))]
+    start = F.struct(
+        left.cast("int").alias("left"), F.lit(-1).alias("closed"), *[F.lit(0).alias(n) for n in counts]
+    )
+
+    def step(held, entry):
+        first = F.coalesce(*[F.when((entry["at"] == i) & (held[n] == 0), 1) for i, n in enumerate(counts)], F.lit(0))
+        rest = held["left"] - entry["size"] + first
+        fits = (held["closed"] != entry["at"]) & (rest >= 0)
+        return F.struct(
+            F.when(fits, rest).otherwise(held["left"]).alias("left"),
+            F.when(fits, held["closed"]).otherwise(entry["at"]).alias("closed"),
+            *[(held[n] + F.when(fits & (entry["at"] == i), 1).otherwise(0)).alias(n) for i, n in enumerate(counts)],
+        )
+
+    return F.aggregate(entries, start, step)
+
+
+def fit_budget(
+    profiles: DataFrame, budget: int | Column = PAYLOAD_BUDGET, beside: Sequence[str] = ()
+) -> DataFrame:
+    """Profiles cut to the byte budget: of each list, in the order of ``PAYLOAD_LISTS``, the longest
+    prefix that still fits. Columns ``beside`` the payload are not counted. A profile whose other
+    fields alone are too large keeps no entry and is marked by ``within_budget``. Null lists stay null.
+    """
+    apart = [*beside, "payload_bytes", "within_budget"]
+    body = [c for c in profiles.columns if c not in apart]
+    lists = [c for c in PAYLOAD_LISTS if c in body]
+    size = lambda *cs: F.octet_length(F.to_json(F.struct(*cs)))
+    bare = [F.slice(c, 1, 0).alias(c) if c in lists else F.col(c) for c in body]
+    left = budget - size(*bare)
+    folded = profiles.select(*beside, *body, _room(lists, left).alias("_room"))
+    cut = [F.slice(c, 1, F.col(f"_room.n{lists.index(c)}")).alias(c) if c in lists else F.col(c) for c in body]
+    return folded.select(*beside, *cut, (F.col("_room.left") >= 0).alias("within_budget")).select(
+        *beside, *body, size(*body).alias("payload_bytes"), "within_budget"
+    )
+
+
 # ---- item digests and their cache -----------------------------------------------------------
 
 _CHILD_BODY = [

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope import schemas
 from folioscope.functions import identity, moments, text
-from folioscope.operators import contracts, library
+from folioscope.operators import contracts, library, profile
 from folioscope.operators.quality import POLICIES
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -169,6 +169,24 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_remote_profiles(
+    spark: SparkSession, path: str, budget: int = profile.PAYLOAD_BUDGET, fit: bool = False
+) -> DataFrame:
+    """Exported profiles of any version as payloads of today's version.
+
+    A profile over the byte budget stops the read, or is cut to the longest prefixes of its lists
+    that fit. The profile's name is beside the payload, not part of it.
+    """
+    projected = profile.reproject(read_profiles(spark, path))
+    if fit:
+        return profile.fit_budget(projected, budget, beside=["profile_id"])
+    body = [c for c in projected.columns if c != "profile_id"]
+    small = F.when(F.octet_length(F.to_json(F.struct(*body))) <= budget, F.lit(True)).otherwise(
+        F.raise_error(F.concat_ws(" ", F.lit("profile over its byte budget:"), "profile_id")).cast("boolean")
+    )
+    return profile.fit_budget(projected.filter(small), budget, beside=["profile_id"])
+
+
 def _ddl(struct: str) -> str:
     """A struct schema in the colon form that casts take."""
     inside = struct.removeprefix("struct<").removesuffix(">")
