@@ -440,6 +440,25 @@ def test_streamed_attribution_equals_the_batch_result(spark):
     assert {r.paper_id for r in newest.filter(F.col("version") == last).collect()} == {"p1", "hot"}
 
 
+def test_streamed_attribution_keeps_its_state_without_python(spark, monkeypatch):
+    from folioscope.session import work_dir
+    from folioscope.streaming import jobs
+
+    plans, run = [], jobs.run_appending
+    monkeypatch.setattr(jobs, "run_appending", lambda stream, *a, **b: (
+        plans.append(stream._jdf.queryExecution().analyzed().toString()), run(stream, *a, **b))[1])
+    # Equal times, a batch of its own beside a later one, an outcome without a time, an impression sent again.
+    events = [shown("i1", "p", day(0), "b1", 1), shown("i2", "p", day(0), "b2", 2), shown("i3", "p", day(0, 3), "b2", 3),
+              spoken("o1", "p", day(0), "read", "b1"), spoken("o2", "p", day(0), "read"), spoken("o3", "p", day(0, 5), "read", "b1"),
+              spoken("o4", "p", None, "read", "b1"), spoken("o5", "p", day(1), "read", "b1"), spoken("o6", "p", day(-1), "read", "b1")]
+    base, root = work_dir(spark, "test-plain"), work_dir(spark, "test-plain-out")
+    spark.createDataFrame([*events, events[0]], FEEDBACK).write.parquet(f"{base}/e.parquet")
+    got = jobs.attribute_stream(jobs.table_stream(spark, base, "e.parquet"), root)
+    assert {r.event_id: r.impression_id for r in got.collect()} == {
+        "o1": "i1", "o2": "i2", "o3": "i1", "o4": None, "o5": "i1", "o6": None}
+    assert got.count() == 6 and not any("Pandas" in p or "Python" in p for p in plans)
+
+
 def stored_ledger(spark, batches, part_rows=50):
     from folioscope.session import work_dir
     from folioscope.sources import ledgers
