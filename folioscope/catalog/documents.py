@@ -9,13 +9,14 @@ from folioscope.operators import contracts
 from folioscope.session import work_dir
 from folioscope.sources import readers, writers
 
-#: Rows in a document, so that every table here becomes several files.
+#: Least rows in a document, so that every table here becomes several files; documents of larger tables
+#: list more, as each file costs its own write, listing and read.
 PER_DOCUMENT = 300
 
 
 def _written(spark, rows, name, field, version):
     path = work_dir(spark, name)
-    writers.write_documents(rows, path, field, version, PER_DOCUMENT)
+    writers.write_documents(rows, path, field, version, least=PER_DOCUMENT)
     return path
 
 

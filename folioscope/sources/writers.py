@@ -10,6 +10,10 @@ from folioscope.operators import pool, publishing
 from folioscope.operators.profile import EXTRACTOR_VERSION, stale_items
 
 
+#: Files that a small table becomes where its documents may be small.
+SEVERAL = 64
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder exists on the file system the path names."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -76,17 +80,21 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_documents(
-    rows: DataFrame, path: str, field: str, version: int | None, most: int = 10_000
+    rows: DataFrame, path: str, field: str, version: int | None, most: int = 10_000,
+    least: int | None = None,
 ) -> None:
     """Rows as JSON documents that list about ``most`` of them under ``field``, a file each (K9).
 
     The readers' counterpart: ledgers and corpora under ``events``, histories under ``entries``,
-    manifests, weight sets and examples under their own names. Times become UTC text.
+    manifests, weight sets and examples under their own names. Times become UTC text. With ``least``,
+    documents of a small table list fewer rows, down to that many, to be ``SEVERAL`` files.
     """
     kinds = dict(rows.dtypes)
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(c)
     shown = rows.select(*[stamp(c) if kinds[c] == "timestamp" else F.col(c) for c in rows.columns])
-    parts = max(1, -(-rows.count() // most))
+    count = rows.count()
+    size = most if least is None else min(most, max(least, -(-count // SEVERAL)))
+    parts = max(1, -(-count // size))
     part = F.pmod(F.xxhash64(*[c for c in shown.columns if not kinds[c].startswith("map")]), F.lit(parts))
     documents = shown.groupBy(part.alias("_part")).agg(
         F.collect_list(F.struct(*shown.columns)).alias(field))

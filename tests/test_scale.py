@@ -142,3 +142,18 @@ def test_the_closed_form_of_the_fold(deltas):
     tails = [sum(deltas[i + 1 :]) for i in range(len(deltas))]
     closed = max([1.0 + sum(deltas)] + [0.25 + t for d, t in zip(deltas, tails) if d < 0])
     assert closed == brute_fold([(i, "", d) for i, d in enumerate(deltas)])
+
+
+def test_documents_grow_with_their_table(spark):
+    import glob
+
+    from folioscope.catalog import documents
+    from folioscope.sources import writers
+
+    files = {}
+    for rows in (900, 40_000):
+        path = documents._written(spark, spark.range(rows), f"documents-{rows}", "entries", 1)
+        files[rows] = len(glob.glob(f"{path}/part-*.json"))
+        listed = spark.read.schema("entries array<struct<id:long>>").option("multiLine", True).json(path)
+        assert listed.selectExpr("inline(entries)").distinct().count() == rows
+    assert files[900] == 3 and files[40_000] <= writers.SEVERAL
