@@ -157,3 +157,22 @@ def test_documents_grow_with_their_table(spark):
         listed = spark.read.schema("entries array<struct<id:long>>").option("multiLine", True).json(path)
         assert listed.selectExpr("inline(entries)").distinct().count() == rows
     assert files[900] == 3 and files[40_000] <= writers.SEVERAL
+
+
+def test_one_row_group_of_texts_becomes_tasks_by_rows(spark, tmp_path):
+    from folioscope.catalog import base
+
+    path = str(tmp_path / "documents.parquet")
+    spark.range(30_000).selectExpr("id as doc_id", "repeat('x', 20) as text").coalesce(1).write.parquet(path)
+    texts = base.spread(spark.read.parquet(path), "documents")
+    sizes = [r["count"] for r in texts.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 30_000 and len(sizes) >= 6 and max(sizes) <= 10_000
+
+
+def test_html_stages_are_computed_few_times(spark):
+    from folioscope.functions import text
+
+    page = spark.createDataFrame([("<p>a&eacute;b</p>",)], "html string").select(text.html_to_text(F.col("html")).alias("t"))
+    assert page.first().t == "aéb"
+    # Comments are removed once for each of three stages, not once for each use of each of them.
+    assert page._jdf.queryExecution().optimizedPlan().toString().count("</?(?:div|p|li)") <= 6
