@@ -34,6 +34,14 @@ QUALITY_ROLES = ["descriptive", "positive_reference", "evaluation_reference", "l
 Rules = Mapping[str, Column]
 
 
+def marked(df: DataFrame, rules: Rules, reason: str = "reason") -> DataFrame:
+    """Rows with the first rule they break, NULL where they keep all. NULL counts as broken."""
+    broken = F.coalesce(
+        *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(why)) for why, ok in rules.items()]
+    )
+    return df.withColumn(reason, broken)
+
+
 def check(
     df: DataFrame, rules: Rules, *, reason: str = "reason", fail_fast: bool = False
 ) -> tuple[DataFrame, DataFrame]:
@@ -42,16 +50,13 @@ def check(
     A rule is a condition that must be true; NULL counts as broken. ``fail_fast`` raises on the
     first reject instead.
     """
-    broken = F.coalesce(
-        *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(why)) for why, ok in rules.items()]
-    )
-    marked = df.withColumn(reason, broken)
-    rejects = marked.filter(F.col(reason).isNotNull())
+    rows = marked(df, rules, reason)
+    rejects = rows.filter(F.col(reason).isNotNull())
     if fail_fast:
         first = rejects.select(reason).take(1)
         if first:
             raise ValueError(first[0][0])
-    return marked.filter(F.col(reason).isNull()).drop(reason), rejects
+    return rows.filter(F.col(reason).isNull()).drop(reason), rejects
 
 
 def reject_counts(rejects: DataFrame, reason: str = "reason") -> DataFrame:

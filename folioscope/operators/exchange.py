@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import hashing, identity, text
-from folioscope.operators import contracts
+from folioscope.operators import contracts, scale
 from folioscope.session import materialized
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -36,6 +36,7 @@ SIGNALS = [
     "watched_institution",
 ]
 MOST_SIGNALS = 4
+RESPONSES_PER_TASK = 5_000
 # -------------------------------------------------------------------------------------------
 
 
@@ -202,12 +203,16 @@ def pack_records(
 
 
 def _entries(responses: DataFrame, field: str) -> DataFrame:
-    """Raw JSON text of every entry of a response, with its place."""
+    """Raw JSON text of every entry of a response.
+
+    Responses are dealt anew by number: they are small and dear to parse, so tasks cut by bytes are few.
+    """
     whole = F.col("content")
+    responses = scale.spread_rows(responses, RESPONSES_PER_TASK)
     listed = F.from_json(F.get_json_object(whole, f"$.{field}"), "array<string>")
     exact = F.json_object_keys(whole) == F.array(F.lit(field))
     return responses.select(
-        "batch_id", F.posexplode_outer(F.when(exact, listed)).alias("entry_no", "entry")
+        "batch_id", F.explode_outer(F.when(exact, listed)).alias("entry")
     )
 
 
@@ -219,24 +224,32 @@ def _names(*names: str) -> Column:
     return F.array(*[F.lit(n) for n in sorted(names)])
 
 
-def _number(entry: Column, name: str) -> Column:
-    """A JSON number, NULL for any other kind of value."""
-    raw = F.from_json(entry, f"struct<{name}:string>")[name]
-    quoted = entry.rlike(rf'"{name}"\s*:\s*"')
-    return F.when(~quoted & raw.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), raw.cast("double"))
+def _raw(entry: Column, *names: str) -> Column:
+    """Raw texts of some fields, from one parse."""
+    return F.from_json(entry, ", ".join(f"{n} string" for n in names))
+
+
+def _number(entry: str, raw: str, name: str) -> Column:
+    """A JSON number among the ``raw`` texts of ``entry``, NULL for any other kind of value."""
+    text_, quoted = F.col(raw)[name], F.col(entry).rlike(rf'"{name}"\s*:\s*"')
+    return F.when(~quoted & text_.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), text_.cast("double"))
 
 
 def _within(value: Column, low: int, high: int) -> Column:
     return F.length(value).between(low, high)
 
 
-def _complete(valid: DataFrame, rejects: DataFrame, requested: DataFrame):
-    """Batches are all or nothing: every requested paper once, none beside them.
+def _complete(rows: DataFrame, rules: contracts.Rules, kept: Sequence[str], requested: DataFrame):
+    """Entries that keep every rule, in batches that are all or nothing: every requested paper once,
+    none beside them (J26).
 
-    Both halves are written once, so the JSON is not parsed again for every check.
+    Entries are written once, each with the rule it breaks. Filters on a rule would otherwise be moved
+    below the steps that parse, and parse an entry again for every use of each of its fields.
     """
-    valid = materialized(valid, "answers")
-    rejects = materialized(rejects.select("batch_id", "reason"), "answer-rejects")
+    marked = contracts.marked(rows, rules, "why")
+    answers = materialized(marked.select("batch_id", "why", *kept), "answers")
+    valid = answers.filter(F.col("why").isNull()).drop("why")
+    rejects = answers.filter(F.col("why").isNotNull()).select("batch_id", F.col("why").alias("reason"))
     answered = valid.groupBy("batch_id", "paper_id").agg(F.count(F.lit(1)).alias("_n"))
     matched = requested.select("batch_id", "paper_id", F.lit(1).alias("_asked")).join(
         answered, ["batch_id", "paper_id"], "full_outer"
@@ -259,21 +272,19 @@ def parse_proposals(responses: DataFrame, requested: DataFrame) -> tuple[DataFra
     e = F.col("entry")
     value = F.from_json(e, "arxiv_id string, summary string, reason string")
     rows = _entries(responses, "proposals").select(
-        "batch_id", "entry_no", "entry", _number(e, "quality").alias("quality"), value.alias("v")
-    ).select("*", "v.*", identity.paper_id(F.col("v.arxiv_id")).alias("paper_id"))
-    valid, rejects = contracts.check(
-        rows,
-        {
-            "unsupported fields": _keys(e) == _names("arxiv_id", "quality", "summary", "reason"),
-            "identifier is malformed": F.col("paper_id").isNotNull(),
-            "quality is invalid": F.col("quality").between(0, 1),
-            "text is invalid": _within(F.col("summary"), 24, 800) & _within(F.col("reason"), 24, 400),
-            "reason is generic": ~text.is_generic_reason(F.col("reason")),
-        },
-        reason="why",
+        "batch_id", "entry", value.alias("v"), _raw(e, "quality").alias("raw")
+    ).select(
+        "*", "v.*", identity.paper_id(F.col("v.arxiv_id")).alias("paper_id"),
+        _number("entry", "raw", "quality").alias("quality"),
     )
-    shaped = valid.select("batch_id", "paper_id", "quality", "summary", "reason")
-    return _complete(shaped, rejects.select("batch_id", F.col("why").alias("reason")), requested)
+    rules = {
+        "unsupported fields": _keys(e) == _names("arxiv_id", "quality", "summary", "reason"),
+        "identifier is malformed": F.col("paper_id").isNotNull(),
+        "quality is invalid": F.col("quality").between(0, 1),
+        "text is invalid": _within(F.col("summary"), 24, 800) & _within(F.col("reason"), 24, 400),
+        "reason is generic": ~text.is_generic_reason(F.col("reason")),
+    }
+    return _complete(rows, rules, ["paper_id", "quality", "summary", "reason"], requested)
 
 
 def _evidence_ok(allowed: Sequence[str]) -> Column:
@@ -296,35 +307,38 @@ def parse_judgments(
     if contract not in CONTRACT_DIMENSIONS:
         raise ValueError("judge contract is unsupported")
     e = F.col("entry")
+    names = CONTRACT_DIMENSIONS[contract]
     value = F.from_json(e, "arxiv_id string, dimensions string, evidence_fields array<string>")
     rows = _entries(responses, "judgments").select(
-        "batch_id", "entry", value.alias("v"), _number(e, "uncertainty").alias("uncertainty")
-    ).select("*", "v.*", identity.paper_id(F.col("v.arxiv_id")).alias("paper_id"))
+        "batch_id", "entry", value.alias("v"), _raw(e, "uncertainty").alias("raw")
+    ).select("*", "v.*").select(
+        "*", identity.paper_id(F.col("arxiv_id")).alias("paper_id"),
+        _number("entry", "raw", "uncertainty").alias("uncertainty"),
+        _raw(F.col("dimensions"), *names).alias("raw_dimensions"),
+    )
     d = F.col("dimensions")
-    names = CONTRACT_DIMENSIONS[contract]
-    scores = {n: _number(d, n) for n in names}
-    null = {n: F.coalesce(d.rlike(rf'"{n}"\s*:\s*null'), F.lit(False)) for n in names}
-    sound = F.lit(True)
-    for n in names:
-        sound = sound & (null[n] | F.coalesce(scores[n].between(0, 1), F.lit(False)))
-    valid, rejects = contracts.check(
-        rows,
-        {
-            "unsupported fields": _keys(e)
-            == _names("arxiv_id", "dimensions", "uncertainty", "evidence_fields"),
-            "identifier is malformed": F.col("paper_id").isNotNull(),
-            "dimensions are invalid": (_keys(d) == _names(*names)) & sound,
-            "uncertainty is invalid": F.col("uncertainty").between(0, 1),
-            "evidence references are invalid": _evidence_ok(allowed),
-        },
-        reason="why",
+    null = lambda n: F.coalesce(d.rlike(rf'"{n}"\s*:\s*null'), F.lit(False))
+    scored = rows.select(
+        "batch_id", "entry", "paper_id", "uncertainty", "evidence_fields", _keys(d).alias("named"),
+        F.array(*[null(n) for n in names]).alias("null"),
+        F.array(*[_number("dimensions", "raw_dimensions", n) for n in names]).alias("scores"),
     )
-    pairs = [c for n in names for c in (F.lit(n), scores[n])]
-    shaped = valid.select(
-        "batch_id", "paper_id", F.create_map(*pairs).alias("dimensions"), "uncertainty",
-        "evidence_fields",
+    sound = F.forall(
+        F.arrays_zip("null", "scores"),
+        lambda x: x["null"] | F.coalesce(x["scores"].between(0, 1), F.lit(False)),
     )
-    return _complete(shaped, rejects.select("batch_id", F.col("why").alias("reason")), requested)
+    rules = {
+        "unsupported fields": _keys(e)
+        == _names("arxiv_id", "dimensions", "uncertainty", "evidence_fields"),
+        "identifier is malformed": F.col("paper_id").isNotNull(),
+        "dimensions are invalid": (F.col("named") == _names(*names)) & sound,
+        "uncertainty is invalid": F.col("uncertainty").between(0, 1),
+        "evidence references are invalid": _evidence_ok(allowed),
+    }
+    shaped = scored.withColumn(
+        "dimensions", F.map_from_arrays(F.array(*map(F.lit, names)), "scores"))
+    return _complete(
+        shaped, rules, ["paper_id", "dimensions", "uncertainty", "evidence_fields"], requested)
 
 
 def parse_explanations(
@@ -342,22 +356,16 @@ def parse_explanations(
     texts = F.lit(True)
     for name in ("summary", "reason", "limitation"):
         texts = texts & _within(F.col(name), 20, 800)
-    valid, rejects = contracts.check(
-        rows,
-        {
-            "unsupported fields": _keys(e)
-            == _names("arxiv_id", "summary", "reason", "limitation", "evidence_fields"),
-            "identifier is malformed": F.col("paper_id").isNotNull(),
-            "text is invalid": texts,
-            "reason is generic": ~text.is_generic_reason(F.col("reason")),
-            "evidence references are invalid": _evidence_ok(allowed),
-        },
-        reason="why",
-    )
-    shaped = valid.select(
-        "batch_id", "paper_id", "summary", "reason", "limitation", "evidence_fields"
-    )
-    return _complete(shaped, rejects.select("batch_id", F.col("why").alias("reason")), requested)
+    rules = {
+        "unsupported fields": _keys(e)
+        == _names("arxiv_id", "summary", "reason", "limitation", "evidence_fields"),
+        "identifier is malformed": F.col("paper_id").isNotNull(),
+        "text is invalid": texts,
+        "reason is generic": ~text.is_generic_reason(F.col("reason")),
+        "evidence references are invalid": _evidence_ok(allowed),
+    }
+    return _complete(
+        rows, rules, ["paper_id", "summary", "reason", "limitation", "evidence_fields"], requested)
 
 
 def usage_totals(usage: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:

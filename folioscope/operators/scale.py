@@ -62,6 +62,15 @@ def hot_key_join(
     return salted.join(spread, [*keys, "_salt"]).drop("_salt")
 
 
+def spread_rows(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """Deal a table whose rows are dear to work on, one task per ``rows_per_task`` rows and per core at least.
+
+    The rows are counted first, so ``df`` is best read from files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // rows_per_task)))
+
+
 def left_join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join on one string key in which rows without a key spread over all tasks.
 

@@ -388,6 +388,22 @@ def test_judgment_contract(spark, change, reason):
     assert reason is None or reason in {r.reason for r in rejects.collect()}
 
 
+def test_answers_are_parsed_once(spark, monkeypatch):
+    """One write of the entries, and no parse per use of a field in its plan."""
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(exchange, "materialized", written)
+    answers = spark.createDataFrame([(1, json.dumps({"judgments": [JUDGMENT]}))], "batch_id long, content string")
+    asked = spark.createDataFrame([(1, "2601.00001")], "batch_id long, paper_id string")
+    exchange.parse_judgments(answers, asked)
+    # The response; fields, uncertainty and dimensions of an entry.
+    assert len(plans) == 1 and plans[0].count("from_json(") == 4
+
+
 def test_unknown_dimensions_stay_unknown(spark):
     dims = {**JUDGMENT["dimensions"], "novelty": None, "solution_advance": None}
     answers = spark.createDataFrame([(1, json.dumps({"judgments": [{**JUDGMENT, "dimensions": dims}]}))], "batch_id long, content string")
