@@ -60,6 +60,14 @@ def test_ranking_words_equal_python_case_folding(value):
     assert one(spark, text.ranking_words(F.col("a")), a=value) == want
 
 
+def test_rare_characters_are_looked_for_behind_one_range(spark):
+    """The class of all of them costs a comparison a member and character, so most texts never meet it."""
+    rare = [c for c in text.FOLD_EXTRAS if c != "ß"]
+    tests = spark.range(1).select(text.ascii_fold(F.lit("a"))).columns[0].split(" THEN ")[0]
+    near, wide = f"[{min(rare)}-{max(rare)}]", "[" + "".join(rare) + "]"
+    assert near in tests and tests.index(near) < tests.index(wide)
+
+
 def test_profile_tokens(spark):
     raw = "The Learning www.site.org/x github.com/a/b sk-abcdefghijkl1234 Password42 top-k"
     assert one(spark, text.profile_tokens(F.col("a")), a=raw) == ["learning", "top-k"]
