@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.catalog.base import (
-    FEEDBACK_SQL, NOW, PAPER_KEY_SQL, SCORED_SQL, feedback_events, pairs, paper_key,
-    papers, query, table,
+    FEEDBACK_SQL, NOW, PAPER_KEY_SQL, SCORED_SQL, feedback_events, paper_key,
+    papers, pool, query, table,
 )
 from folioscope.operators import corpus, efficiency, evaluation, quality, ranking
 from folioscope.operators.weights import QUALITY_FIRST, BASELINE_VERSION, ablations
@@ -306,8 +306,15 @@ _REAL = [
 ]
 
 
+def _faceted_pairs(spark, sf_dir):
+    """Candidates paired with their readers; facets are cut from a title before it is paired."""
+    candidates, people = pool(spark, sf_dir)
+    faceted = ranking.prepare_candidates(candidates.withColumn("facets", evaluation.title_facets()))
+    return ranking.assign_pool(faceted.drop("title"), people), people
+
+
 def reader_rankings(spark, sf_dir):
-    candidates, people = pairs(spark, sf_dir)
+    candidates, people = _faceted_pairs(spark, sf_dir)
     scored = ranking.score_candidates(candidates, people, NOW)
     return evaluation.ranked_papers(scored, F.col("profile_id"))
 
@@ -337,7 +344,7 @@ _SETS = [QUALITY_FIRST, *ablations(QUALITY_FIRST)]
 def version_rankings(spark, sf_dir):
     """Every reader's candidates with their scores under the baseline, the candidate weights and each
     ablation."""
-    candidates, people = pairs(spark, sf_dir)
+    candidates, people = _faceted_pairs(spark, sf_dir)
     features = ranking.feature_table(candidates, people, NOW)
     return evaluation.ranked_papers(ranking.version_scores(features, _SETS), F.col("profile_id"))
 

@@ -94,16 +94,25 @@ def snapshot_id(splits: DataFrame, header: DataFrame) -> DataFrame:
     )
 
 
+def title_facets() -> Column:
+    """The first ranking tokens of a title."""
+    return F.slice(text.ranking_words(F.col("title")), 1, FACET_TOKENS)
+
+
 def ranked_papers(scored: DataFrame, ranking: Column) -> DataFrame:
     """Scored candidates as rows of an offline ranking (O12), with one ``score`` or the ``scores`` of
-    several versions."""
+    several versions.
+
+    ``facets`` are those of the title, unless the candidates carry them: a paper ranked for many readers
+    is then tokenized once, before it is paired.
+    """
     return scored.select(
         ranking.alias("ranking_id"),
         F.concat(F.lit("arxiv:"), "paper_id").alias("paper_id"),
         "scores" if "scores" in scored.columns else "score",
         "source",
         F.try_element_at("categories", F.lit(1)).alias("category"),
-        F.slice(text.ranking_words(F.col("title")), 1, FACET_TOKENS).alias("facets"),
+        F.col("facets") if "facets" in scored.columns else title_facets().alias("facets"),
         F.when(F.col("doi").isNotNull(), F.array(F.concat(F.lit("doi:"), "doi")))
         .otherwise(F.array().cast("array<string>"))
         .alias("identifiers"),

@@ -194,6 +194,16 @@ RANKED = """ranking_id string, paper_id string, score double, source string, cat
   facets array<string>, identifiers array<string>"""
 
 
+def test_facets_are_cut_before_pairing(spark):
+    """Candidates that carry facets are not tokenized again for each of their readers."""
+    row = ("p", "r", "Sparse models of long texts", ["en"], None, "core", 0.5)
+    scored = spark.createDataFrame([row], "paper_id string, profile_id string, title string, categories array<string>, doi string, source string, score double")
+    plain = evaluation.ranked_papers(scored, F.col("profile_id"))
+    carried = evaluation.ranked_papers(
+        scored.withColumn("facets", evaluation.title_facets()).drop("title"), F.col("profile_id"))
+    assert plain.first().facets == carried.first().facets == ["sparse", "models", "long", "texts"]
+
+
 def metrics(spark, ranked, labels, pairwise, papers, k):
     splits = spark.createDataFrame([("s", i + 1, p) for i, p in enumerate(papers)], "split string, position long, paper_id string")
     return evaluation.evaluate_rankings(
