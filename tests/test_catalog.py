@@ -95,3 +95,14 @@ def test_bounded_stream_attribution(spark, tmp_path):
     query.awaitTermination()
     got = spark.read.schema("event_id string, impression_id string").parquet(str(tmp_path / "out"))
     assert [tuple(r) for r in got.select(F.col("event_id"), F.col("impression_id")).collect()] == [("o", "i1")]
+
+
+def test_papers_keep_splits_that_are_even_enough(spark, tmp_path):
+    """Texts that are only tokenized are not dealt anew for each read; sections still get small tasks."""
+    from folioscope.catalog import base, evidence
+
+    rows = spark.range(0, 96_000, 1, 8).selectExpr("id AS doc_id", "'a. b' AS text", "'en' AS lang", "'s' AS source", "4L AS n_chars")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan(base.papers(spark, str(tmp_path)))
+    assert "Repartition" in plan(evidence._section_pages(spark, str(tmp_path)))
