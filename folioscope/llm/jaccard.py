@@ -14,6 +14,13 @@ text the others come from. Connected rows get one component, and the product run
 different components and only where both rows share enough columns with others. No link between
 different components is lost by that, and groups of thousands of copies cost a few pairs a row.
 
+Copies with too many edits to link to that text still share nearly all their columns with each
+other, so columns tell nothing about them; what they do not have in common with that text does.
+Rows near a head with many followers are kept as differences (columns of one of both sets alone).
+Sets ``a`` and ``b`` with differences ``d`` and ``e`` from one head overlap in
+``(|a| + |b| - |d| - |e|) / 2 + |d & e|`` columns, so pairs of such rows are joined on prefixes of
+their differences, rare ones first, and the product leaves them out.
+
 Shingles are compared by 64-bit hashes of their words.
 """
 
@@ -47,6 +54,8 @@ SHINGLE = 4
 THRESHOLD = (85, 100)
 #: A row is compared with one row for each of so many of its columns, those with the least hashes.
 STAR_COLUMNS = 4
+#: Rows are kept as differences from heads that so many rows are compared with.
+FOLLOWERS = 2
 #: Frequent columns that go last in the order. Any set of columns gives the same links; these
 #: keep the product small. So many hashes are broadcast at most (8 bytes each).
 FREQUENT_COLUMNS = 200_000
@@ -181,6 +190,70 @@ def verified(
     return found.groupBy("a", "b").agg(F.max("overlap").alias("overlap"))
 
 
+def differences(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """``(head, id, size, head_size, columns)`` of pairs ``(a, b)`` of a head and a row: the columns
+    that one of both sets has alone. Pairs that have less than half of their columns in common leave."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(shingle_sets(_column(batch, "text_a"), n), shingle_sets(_column(batch, "text_b"), n))
+        sizes, lists = [], []
+        for x, y in rows:
+            sizes.append((len(x), len(y)))
+            lists.append(np.setxor1d(x, y, True).view(np.int64))
+        head_size, size = np.array(sizes, np.int64).T
+        count = np.array([len(x) for x in lists], np.int64)
+        ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+        return pa.RecordBatch.from_pydict({
+            "head": _column(batch, "a"), "id": _column(batch, "b"), "size": size, "head_size": head_size,
+            "columns": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists))),
+        }).filter(pa.array(3 * count <= size + head_size))
+
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    schema = "head bigint, id bigint, size bigint, head_size bigint, columns array<bigint>"
+    return arrow_pass(joined, "text_a", schema, work).dropDuplicates(["id"])
+
+
+def difference_pairs(apart: DataFrame, groups: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs ``(a, b)`` of rows of ``differences`` that have one head, lie in different components of
+    ``groups`` and can reach the threshold. ``groups`` must hold the links between rows and heads."""
+    part, whole = threshold
+    rows = apart.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
+        "head", "id", "size", "head_size", F.coalesce("component", "id").alias("component"),
+        F.size("columns").cast("long").alias("apart"), F.explode("columns").alias("column"))
+    met = rows.groupBy("head", "column").agg(
+        F.count("*").alias("seen"), (F.min("component") < F.max("component")).alias("mixed"))
+    order = Window.partitionBy("id").orderBy("seen", "column")
+    blocks = materialized(
+        rows.join(met, ["head", "column"]).withColumn("place", F.row_number().over(order))
+        .filter("mixed").drop("seen", "mixed"), "jaccard-differences-blocks")
+    # Of a pair, the row with fewer differences is looked up by its prefix. Its partner differs at least
+    # as much, and is not linked to the head if the row is; both bound the prefix for all partners.
+    own, spare = F.col("apart"), whole - part
+    half = F.floor(spare * F.col("size") / F.lit(2 * part)) + 1
+    linked = (whole + part) * own <= spare * (F.col("size") + F.col("head_size"))
+    near = F.floor(
+        ((whole + part) * own + spare * (F.col("size") - F.col("head_size"))) / F.lit(2 * (whole + part))) + 1
+    cut = F.when(linked, F.least(half, near)).otherwise(half)
+    names = ("id", "size", "component", "apart", "place")
+    left, right = (
+        side.select("head", "column", *[F.col(c).alias(f"{c}_{x}") for c in names])
+        for side, x in ((blocks.filter(F.col("place") <= cut), "a"), (blocks, "b")))
+    both = F.col("size_a") + F.col("size_b")
+    # So many differences must agree, and at least one of them in the prefixes that this leaves.
+    agree = F.ceil(part * both / F.lit(part + whole)) - (both - F.col("apart_a") - F.col("apart_b")) / 2
+    first = (F.col("apart_a") < F.col("apart_b")) | (
+        (F.col("apart_a") == F.col("apart_b")) & (F.col("id_a") < F.col("id_b")))
+    fits = (whole * F.least("size_a", "size_b")) >= (part * F.greatest("size_a", "size_b"))
+    return (
+        left.join(right, ["head", "column"])
+        .filter(first & (F.col("component_a") != F.col("component_b")) & fits
+                & (F.col("place_a") <= F.col("apart_a") - agree + 1)
+                & (F.col("place_b") <= F.col("apart_b") - agree + 1))
+        .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
+
+
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table of ids, marked for broadcast only where a count says it is small."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -244,37 +317,79 @@ def link_documents(
         .filter(F.col("met") >= F.least(F.lit(2), "size_a")).select("a", "b"), "jaccard-stars")
     star_links = materialized(
         verified(near, documents_of(near, "jaccard-stars"), n, threshold), "jaccard-star-links")
-    groups = components(star_links, "jaccard-groups")
 
-    # The blocked product, between components only.
-    grouped = first.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
-        "id", "size", F.coalesce("component", "id").alias("component"),
-        F.explode("columns").alias("column"))
+    # Rows near a head with many followers, as differences from it. An id with several sets is
+    # none of them, as texts are looked up by ids.
+    led = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("rows")).filter(F.col("rows") >= FOLLOWERS)
+    led = materialized(
+        first.join(led, "id").select("id", "rows", F.explode("columns").alias("column")).groupBy("column")
+        .agg(F.max(F.struct("rows", (-F.col("id")).alias("least"))).alias("head"))
+        .select("column", F.col("head.rows").alias("rows"), (-F.col("head.least")).alias("head")), "jaccard-heads")
+    told = (
+        first.select("id", F.size("columns").alias("prefix"), F.explode("columns").alias("column"))
+        .join(few(led), "column").groupBy("id", "prefix", "head").agg(F.count("*").alias("met"), F.max("rows").alias("rows"))
+        .filter(8 * F.col("met") >= F.col("prefix")).groupBy("id")
+        .agg(F.max(F.struct("met", "rows", (-F.col("head")).alias("least"))).alias("best"))
+        .select((-F.col("best.least")).alias("a"), F.col("id").alias("b")))
+    told = materialized(told, "jaccard-told")
+    asked = materialized(
+        told.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-told-ids")
+    alone = materialized(
+        rows.filter("size > 0").join(few(asked), "id", "left_semi").groupBy("id")
+        .agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low = high").select("id"),
+        "jaccard-told-alone")
+    for side in "ab":
+        told = told.join(few(alone.select(F.col("id").alias(side))), side, "left_semi")
+    apart = materialized(differences(told, documents_of(told, "jaccard-differences"), n), "jaccard-differences")
+    head_links = apart.filter(
+        ((whole + part) * F.size("columns") <= (whole - part) * (F.col("size") + F.col("head_size")))
+        & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    near_links = materialized(star_links.select("a", "b").unionByName(head_links), "jaccard-near-links")
+    groups = materialized(components(near_links, "jaccard-groups"), "jaccard-groups")
+    alike = difference_pairs(apart, groups, threshold)
+
+    # The blocked product, between components only and without pairs of one head.
+    earlier = F.expr("concat(array(cast(null as bigint)), slice(columns, 1, size(columns) - 1))")
+    entry = F.explode(F.arrays_zip("columns", earlier.alias("before"), F.sequence(
+        F.lit(1), F.size("columns")).alias("place")))
+    grouped = (
+        first.join(groups.withColumnRenamed("node", "id"), "id", "left")
+        .join(few(apart.select("id", "head")), "id", "left").select(
+            "id", "size", F.coalesce("component", "id").alias("component"), "head", entry.alias("entry"))
+        .select("id", "size", "component", "head", F.col("entry.columns").alias("column"), "entry.before",
+                "entry.place"))
     mixed = grouped.groupBy("column").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).filter("low < high").select("column")
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        (F.min("head") < F.max("head")).alias("several"), F.count("head").alias("led"), F.count("*").alias("rows")
+    ).filter("low < high and (led < rows or several)").select(
+        "column", F.coalesce("several", F.lit(False)).alias("several"))
     # How many columns a row shares with other components at all; no pair can agree in more.
     blocks = materialized(grouped.join(mixed, "column").withColumn(
         "shared", F.count("*").over(Window.partitionBy("id", "size"))), "jaccard-blocks")
-    left, right = (
-        blocks.select("column", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "component", "shared")])
-        for side in "ab")
+    sided = lambda rows, side: rows.select("column", *[
+        F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "component", "head", "shared", "before", "place")])
     prefix = lambda size: size - F.ceil(part * size / F.lit(whole)) + 1
     rest = lambda side: F.col(f"size_{side}") - prefix(F.col(f"size_{side}"))
+    left = lambda side: F.col(f"size_{side}") - F.col(f"place_{side}")
     needed = F.ceil(part * (F.col("size_a") + F.col("size_b")) / F.lit(part + whole))
-    # Of the set whose prefix ends first, all columns up to there are counted; behind it no more
-    # can agree than it has left.
-    reaches = lambda counted: counted + F.greatest(rest("a"), rest("b")) >= needed
-    pairs = materialized(
-        left.join(right, "column")
-        .filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits
-                & reaches(F.least("shared_a", "shared_b")))
-        .groupBy("id_a", "id_b", "size_a", "size_b").agg(F.count("*").alias("overlap"))
-        .filter(reaches(F.col("overlap")))
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "jaccard-pairs")
+    # A pair counts at its first common column. One behind another common column is not the first;
+    # at the first, no more can agree than what either set has from there on. Of the set whose prefix
+    # ends first, all common columns up to there are shared; behind it no more can agree than it has left.
+    meets = (
+        (F.col("component_a") != F.col("component_b")) & fits
+        & ~F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False)) & (1 + F.least(left("a"), left("b")) >= needed)
+        & (F.least("shared_a", "shared_b") + F.greatest(rest("a"), rest("b")) >= needed))
+    free, led_rows = blocks.filter("head is null"), blocks.filter("head is not null and several")
+    with_free = sided(free, "a").join(sided(blocks, "b"), "column").filter(
+        (F.col("head_b").isNotNull() | (F.col("id_a") < F.col("id_b"))) & meets)
+    of_heads = sided(led_rows, "a").join(sided(led_rows, "b"), "column").filter(
+        (F.col("id_a") < F.col("id_b")) & (F.col("head_a") != F.col("head_b")) & meets)
+    met = with_free.unionByName(of_heads).select(
+        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    pairs = materialized(met.unionByName(alike).distinct(), "jaccard-pairs")
     far_links = verified(pairs, documents_of(pairs, "jaccard-pairs"), n, threshold)
     linked = components(
-        star_links.unionByName(far_links).select("a", "b"), "jaccard-components")
+        near_links.unionByName(far_links.select("a", "b")), "jaccard-components")
 
     ids = classes.join(linked.withColumnRenamed("node", "id"), "id", "left").select(
         "digest", F.coalesce("component", "id").alias("component"))

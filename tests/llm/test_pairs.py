@@ -78,6 +78,59 @@ def test_any_order_of_columns_gives_the_same_links(spark, monkeypatch):
     assert got == brute_components(list(enumerate(texts)))
 
 
+def rows_of_pair_joins(spark, since):
+    """Rows that joins on components made, in all executions from number ``since`` on."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    made, done = 0, store.executionsList()
+    for at in range(since, done.size()):
+        number = done.apply(at).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" not in node.name() or "component_a" not in node.desc():
+                continue
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    made += int(values.apply(metric.accumulatorId()).split()[-1].replace(",", ""))
+    return made
+
+
+def far_copies(seed, rows):
+    """Copies of one text with so many edits that hardly any two of them link, a few that share
+    edits and do, and near ones."""
+    rng = random.Random(seed)
+    base = " ".join(f"word{rng.randrange(10**6)}" for _ in range(150))
+    texts = [base] + [near(base, rng, rng.choice((3, 4, 4, 5))) for _ in range(rows)]
+    texts += [near(t, rng, 1) for t in texts[1:9]] + [near(base, rng, 1) for _ in range(10)]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_far_copies_are_not_paired_with_each_other(spark):
+    texts = far_copies(5, 160)
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = sorted(tuple(r) for r in jaccard.link_documents(documents(spark, texts).repartition(2)).collect())
+    assert got == brute_components(list(enumerate(texts)))
+    assert len({r[2] for r in got}) > 100
+    assert 0 < rows_of_pair_joins(spark, since) < 10 * len(texts)
+
+
+@pytest.mark.parametrize("n,threshold", [(4, (85, 100)), (2, (60, 100)), (3, (1, 2)), (1, (95, 100))])
+def test_links_at_any_threshold(spark, n, threshold):
+    part, whole = threshold
+    rng = random.Random(n)
+    texts = far_copies(n, 25)
+    texts = [" ".join(t.split()[: rng.choice((150, 150, 60, 3))]) for t in texts] + sample(4)[:60]
+    want = [{tuple(w[i : i + min(n, len(w))]) for i in range(len(w) - min(n, len(w)) + 1)} if w else set()
+            for w in (re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) for t in texts)]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if want[i] & want[j] and whole * len(want[i] & want[j]) >= part * len(want[i] | want[j]):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    found = jaccard.link_documents(documents(spark, texts), n=n, threshold=threshold)
+    assert {r[0]: r[2] for r in found.collect()} == dict(enumerate(root))
+
+
 def test_repeated_and_missing_ids(spark):
     a, b = prose(8, 2, 90)
     rows = [(5, a), (5, a), (6, b), (6, a), (7, b), (None, a), (None, None)]
@@ -89,6 +142,14 @@ def test_repeated_and_missing_ids(spark):
     assert jaccard.link_documents(docs.limit(0)).count() == 0
 
 
+def test_an_id_with_several_texts_among_far_copies(spark):
+    texts = far_copies(7, 40)
+    rows = [(i if i % 7 else i // 2, t) for i, t in enumerate(texts)] + [(3, texts[20]), (4, None), (5, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in jaccard.link_documents(docs).collect())
+    assert got == brute_components(rows)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = dict(tuple(r) for r in components(edges).collect())
