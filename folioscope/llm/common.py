@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: Texts are handled in runs of about so many bytes, whatever the size of an Arrow batch.
 CHUNK_BYTES = 8_000_000
+#: Words are hashed over about so many of their bytes at a time; each byte takes some 40 meanwhile.
+HASH_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +38,8 @@ def numbered_names(df: DataFrame) -> DataFrame:
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice come to about ``CHUNK_BYTES``; a longer text
-    stands alone. Nulls count nothing."""
+    stands alone. Nulls count nothing. At the end the worker gives back what Arrow holds unused, as it
+    waits for later stages beside the executor."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -49,6 +52,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             stop = max(stop, start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,11 +120,20 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     if not len(starts):
         return np.empty(0, np.uint64)
     lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
     powers = np.cumprod(np.full(int(lengths.max()) + 1, _BASE, np.uint64))
-    bytes_ = raw[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
-    return mix(np.add.reduceat(bytes_ * powers[place], first) + lengths.astype(np.uint64))
+    total = np.cumsum(lengths)
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        done = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, done + HASH_BYTES, side="right")))
+        part = lengths[a:b]
+        first = total[a:b] - part - done
+        place = np.arange(int(total[b - 1] - done)) - np.repeat(first, part)
+        bytes_ = raw[place + np.repeat(starts[a:b], part)].astype(np.uint64) + np.uint64(1)
+        out[a:b] = mix(np.add.reduceat(bytes_ * powers[place], first) + part.astype(np.uint64))
+        a = b
+    return out
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:

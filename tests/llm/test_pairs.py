@@ -2,10 +2,11 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontamination, jaccard
+from folioscope.llm import common, decontamination, jaccard
 from folioscope.llm.components import components
 
 from llm_samples import AWKWARD, documents, prose
@@ -131,6 +132,14 @@ def test_links_at_any_threshold(spark, n, threshold):
     assert {r[0]: r[2] for r in found.collect()} == dict(enumerate(root))
 
 
+def test_words_hash_alike_in_slices_of_any_size(monkeypatch):
+    column = pa.array(["one two three four five", None, "", "a" * 300 + " b", "ÄÖ x", *prose(6, 5, 30)])
+    whole = [x.tolist() for x in jaccard.shingle_sets(column, 2)]
+    for size in (1, 7, 50):
+        monkeypatch.setattr(common, "HASH_BYTES", size)
+        assert [x.tolist() for x in jaccard.shingle_sets(column, 2)] == whole
+
+
 def test_repeated_and_missing_ids(spark):
     a, b = prose(8, 2, 90)
     rows = [(5, a), (5, a), (6, b), (6, a), (7, b), (None, a), (None, None)]
