@@ -8,6 +8,10 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Arrow batches between an executor and its Python workers hold about so many bytes; both sides keep
+#: one whole. Spark's own value is 64 MB.
+ARROW_BATCH = "16m"
+
 
 def build_session(app: str = "folioscope", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator here assumes (UTC, AQE, skew handling)."""
@@ -20,6 +24,7 @@ def build_session(app: str = "folioscope", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BATCH,
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():
