@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from folioscope.llm import decontamination, jaccard, packing, personal, quality
 from folioscope.llm.common import free_name, table
 from folioscope.llm.tokens import vocabulary_path
-from folioscope.session import materialized
+from folioscope.session import materialized, prepared
 
 #: Near duplicates of the pipeline: words of a shingle, and least similarity as a fraction. The values
 #: of the op8 contract bind that query alone.
 DUPLICATE_SHINGLE = 5
 DUPLICATE_THRESHOLD = (80, 100)
+#: Five stages share executors whose heap the first ones fill and workers that stay, so batches of
+#: texts are smaller here and a worker keeps so many token pieces, up to the end of its task.
+STAGE_BATCH = "2m"
+KEPT_PIECES = 50_000
 
 
 def own_columns(docs: DataFrame) -> list:
@@ -67,16 +71,21 @@ def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All pieces of all documents with their places in token sequences."""
-    pieces = packing.token_pieces(docs, vocabulary_path(packing.VOCABULARY))
+    pieces = packing.token_pieces(docs, vocabulary_path(packing.VOCABULARY), kept=KEPT_PIECES)
     return packing.pack(materialized(pieces, "pipeline-pieces"))
 
 
+def in_session(stage):
+    """The stage with the library's session settings, also where a caller runs it by itself."""
+    return lambda spark, docs, sf_dir: stage(prepared(spark, STAGE_BATCH), docs, sf_dir)
+
+
 STAGES = [
-    ("quality_classifier", quality_stage),
-    ("ngram_jaccard_join", duplicate_stage),
-    ("benchmark_decontamination", decontamination_stage),
-    ("personal_data", personal_stage),
-    ("best_fit_packing", packing_stage),
+    ("quality_classifier", in_session(quality_stage)),
+    ("ngram_jaccard_join", in_session(duplicate_stage)),
+    ("benchmark_decontamination", in_session(decontamination_stage)),
+    ("personal_data", in_session(personal_stage)),
+    ("best_fit_packing", in_session(packing_stage)),
 ]
 
 #: Trained models and tokenizers are beyond SQL; tests hold stages against brute force.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import arrow_pass, table
+from folioscope.llm.common import chunks, table
 from folioscope.llm.tokens import encoder, vocabulary_path
 from folioscope.session import materialized
 
@@ -48,13 +48,15 @@ _STEP = _RUNS + ", " + _PLACED
 def token_pieces(
     docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID,
     drops_space: bool = True, with_ids: bool = False, id_column: str = "doc_id", text: str = "text",
+    kept: int | None = None,
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: each text's ids, then ``end_id``, cut
     into pieces of ``capacity``. Null and empty texts are one piece with the end id alone. Other
-    columns are not read; rows that repeat an id are documents of their own."""
+    columns are not read; rows that repeat an id are documents of their own. ``kept`` bounds what
+    the encoder keeps, and then only up to the end of a task."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, offsets = encoder(path, drops_space).encode(batch.column(1))
+        ids, offsets = encoder(path, drops_space, kept).encode(batch.column(1))
         rows: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
         for row, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
             whole = np.append(ids[a:b], end_id).astype("<u4")
@@ -78,9 +80,14 @@ def token_pieces(
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names=names)
 
+    def run(batches):
+        yield from map(work, chunks(batches, "text"))
+        if kept:
+            encoder(path, drops_space, kept).forget()
+
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return arrow_pass(read, "text", schema + (", ids array<int>" if with_ids else ""), work)
+    return read.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
 
 
 def sweep(runs: pd.DataFrame, capacity: int, width: int) -> pd.DataFrame:

@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Most pieces a worker keeps; the cache is emptied beyond it.
+#: Most pieces a worker keeps, in two halves: a full half becomes the older one, whose place the next
+#: full one takes. What is asked again moves to the younger half, so frequent pieces stay.
 CACHE_PIECES = 400_000
-#: Most runs of letters or signs a worker keeps; that cache is emptied beyond it, too.
+#: Most runs of letters or signs a worker keeps, in two halves as well.
 CACHE_RUNS = 600_000
 
 _WORD = re.compile(r"(\n?)([^\W\d_]+)((?:(?!['\w\s])[\x21-\x7e])*)\Z").match
@@ -35,7 +36,7 @@ def _shown_bytes() -> list[str]:
 
 _SHOWN = _shown_bytes()
 
-_ENCODERS: dict[tuple[str, bool], "PieceEncoder"] = {}
+_ENCODERS: dict[tuple[str, bool, int | None], "PieceEncoder"] = {}
 
 
 def vocabulary_path(name: str) -> str:
@@ -45,11 +46,11 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str, drops_space: bool) -> "PieceEncoder":
-    """This worker's encoder of a tokenizer file."""
-    key = (path, drops_space)
+def encoder(path: str, drops_space: bool, kept: int | None = None) -> "PieceEncoder":
+    """This worker's encoder of a tokenizer file; ``kept`` bounds its pieces and its runs more tightly."""
+    key = (path, drops_space, kept)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, drops_space)
+        _ENCODERS[key] = PieceEncoder(path, drops_space, kept)
     return _ENCODERS[key]
 
 
@@ -60,15 +61,23 @@ class PieceEncoder:
     space belongs to the word after it (``byte_bpe_50k``).
     """
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, kept: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
+        self.half_pieces = (kept or CACHE_PIECES) // 2
+        self.half_runs = (kept or CACHE_RUNS) // 2
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the caches."""
         self.cache: dict[str, bytes] = {}
+        self.old_cache: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32) one after the other, and ``n + 1`` offsets; null is empty."""
@@ -143,11 +152,11 @@ class PieceEncoder:
         cache = self.cache
         found = [cache.get(w) if w is not None else b"" for w in names]
         new = [i for i, ids in enumerate(found) if ids is None]
-        if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
         single = []
         for i in new:
-            ids = self._word(names[i])
+            ids = self.old_cache.get(names[i])
+            if ids is None:
+                ids = self._word(names[i])
             if ids is None:
                 single.append(i)
             else:
@@ -159,7 +168,10 @@ class PieceEncoder:
             for i, ids in zip(single, self._batch(texts)):
                 found[i] = ids
         for i in new:
-            if len(names[i]) <= 48 and len(cache) < CACHE_PIECES:
+            if len(names[i]) <= 48:
+                if len(cache) >= self.half_pieces:
+                    self.old_cache = cache
+                    self.cache = cache = {}
                 cache[names[i]] = found[i]
         return found
 
@@ -184,12 +196,15 @@ class PieceEncoder:
 
     def _run(self, text: str) -> bytes:
         ids = self.runs.get(text)
+        if ids is not None:
+            return ids
+        ids = self.old_runs.get(text)
         if ids is None:
             shown = text if text.isascii() and text.isalpha() else "".join(
                 map(_SHOWN.__getitem__, text.encode()))
             ids = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], np.uint16).tobytes()
-            if len(self.runs) >= CACHE_RUNS:
-                self.runs.clear()
-            if len(text) <= 48:
-                self.runs[text] = ids
+        if len(text) <= 48:
+            if len(self.runs) >= self.half_runs:
+                self.old_runs, self.runs = self.runs, {}
+            self.runs[text] = ids
         return ids

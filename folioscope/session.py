@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 #: Arrow batches between an executor and its Python workers hold about so many bytes; both sides keep
-#: one whole. Spark's own value is 64 MB.
+#: one whole, and the executor's buffers double as they grow. Spark's own value is 64 MB.
 ARROW_BATCH = "16m"
 
 
@@ -32,6 +32,13 @@ def build_session(app: str = "folioscope", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def prepared(spark: SparkSession, batch: str = ARROW_BATCH) -> SparkSession:
+    """A session that was built elsewhere, with the settings that bind results and a worker's memory."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
+    return spark
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -268,3 +268,16 @@ def test_stages_of_the_pipeline(spark):
     assert {r.doc_id for r in before} == {r.doc_id for r in after}
     check_packing(after)
     assert jaccard.NAME and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_bound_batches_in_any_session(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = documents(spark, ["a few words of a text", None])
+    before = spark.conf.get(name)
+    try:
+        for stage, work in corpus_pipeline.STAGES[2:]:
+            spark.conf.set(name, "64m")
+            work(spark, docs, DATA)
+            assert spark.conf.get(name) == corpus_pipeline.STAGE_BATCH, stage
+    finally:
+        spark.conf.set(name, before)

@@ -102,3 +102,17 @@ def test_token_counts_find_their_documents(spark, tmp_path):
 def test_no_rows_no_files(spark, tmp_path):
     documents(spark, ["x"]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert counting.run_query(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("drops", [True, False])
+def test_bounded_caches_give_the_same_ids(drops):
+    path = vocabulary_path("word_bpe_49k.json") if drops else BYTE
+    texts = pa.array([*prose(3, 30, 20, 60), *AWKWARD])
+    wide, tight = encoder(path, drops), encoder(path, drops, 8)
+    for _ in range(2):
+        for a, b in zip(wide.encode(texts), tight.encode(texts)):
+            assert a.tolist() == b.tolist()
+        for cache in (tight.cache, tight.old_cache, tight.runs, tight.old_runs):
+            assert 0 < len(cache) <= 4
+        tight.forget()
+        assert not (tight.cache or tight.old_cache or tight.runs or tight.old_runs)
