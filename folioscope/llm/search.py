@@ -5,7 +5,11 @@ of BM25), each term's greatest part in the shard and in every block of documents
 depends on the whole corpus, inverse document frequencies and the mean length, travels with the
 queries, so shards agree on scores and their lists merge exactly.
 
-A query goes through its terms from the greatest bound down and adds up postings. As soon as the
+Terms that many documents of a shard hold carry most of the postings that queries meet, and bounds prune
+few of them. Their parts are kept as whole rows, too, and added up first, for some queries at once, as
+a matrix product.
+
+A query goes through its other terms from the greatest bound down and adds up postings. As soon as the
 terms left could not lift an unseen document over the kth best partial score, no new document is
 admitted; documents seen so far stay only while their partial score and the block maxima of the
 terms left reach that threshold (WAND's pivot test, a block of documents at a time). Survivors are
@@ -39,6 +43,12 @@ QUERY_EVERY = 20
 SHARD_DOCUMENTS = 10_000
 SHARD_WORDS = 6_000_000
 BLOCK_DOCUMENTS = 64
+#: Terms that at least this share of a shard's documents hold are whole rows, and so many queries are
+#: multiplied with these at once.
+DENSE_SHARE = 0.06
+QUERY_BATCH = 64
+#: Terms left are added up whole, without bounds, when they have at most so many postings a document.
+FEW_POSTINGS = 4
 #: Terms of the queries in a block (20 bytes each when broadcast).
 QUERY_BLOCK_TERMS = 1_000_000
 #: Scores are rounded to so many decimals before they are ordered; equal ones go by id.
@@ -162,6 +172,11 @@ class Shard:
         self.most = np.maximum.reduceat(self.parts, self.starts[:-1]) if len(self.terms) else self.parts
         self.blocks = -(-len(self.ids) // BLOCK_DOCUMENTS)
         self.block_most: dict[int, np.ndarray] = {}
+        self.frequent = np.flatnonzero(np.diff(self.starts) >= max(1, DENSE_SHARE * len(self.ids)))
+        self.rows = np.zeros((len(self.frequent), len(self.ids)))
+        for row, term in enumerate(self.frequent.tolist()):
+            at = self.postings(term)
+            self.rows[row, self.places[at]] = self.parts[at]
 
     def postings(self, term: int) -> slice:
         return slice(self.starts[term], self.starts[term + 1])
@@ -176,24 +191,43 @@ class Shard:
             self.block_most[term] = found = np.nextafter(found, np.float32(np.inf))
         return found
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int):
-        """The shard's best ``k`` documents (more where scores tie) as numbers and scores."""
-        if not len(self.terms):
-            return np.empty(0, np.int64), np.empty(0)
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        here = self.terms[at] == terms
-        at, weights = at[here], weights[here]
+    def search_all(self, queries: list, k: int):
+        """For each ``(query, terms, weights)`` the query and its ``search``."""
+        for start in range(0, len(queries) if len(self.terms) else 0, QUERY_BATCH):
+            some = queries[start : start + QUERY_BATCH]
+            factors, rest = np.zeros((len(some), len(self.frequent))), []
+            for i, (_, terms, weights) in enumerate(some):
+                at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+                here = self.terms[at] == terms
+                at, weights = at[here], weights[here]
+                row = np.searchsorted(self.frequent, at)
+                many = np.append(self.frequent, -1)[row] == at
+                factors[i, row[many]] = weights[many]
+                rest.append((at[~many], weights[~many]))
+            for (query, _, _), (at, weights), scores in zip(some, rest, factors @ self.rows):
+                yield query, *self.search(at, weights, scores, k)
+
+    def search(self, at: np.ndarray, weights: np.ndarray, scores: np.ndarray, k: int):
+        """The shard's best ``k`` documents as numbers and scores; the terms numbered ``at`` are still to
+        be added to ``scores``."""
         bounds = weights * self.most[at]
         order = np.argsort(-bounds, kind="stable")
         at, weights, bounds = at[order], weights[order], bounds[order]
         left = np.concatenate((np.cumsum(bounds[::-1])[::-1], [0.0]))
         slack = 10.0 ** -DECIMALS * 2
-        scores, seen, done, least = np.zeros(len(self.ids)), None, 0, 0.0
+        held = self.starts[at + 1] - self.starts[at]
+        few = np.cumsum(held[::-1])[::-1] <= FEW_POSTINGS * len(scores)
+        done, least = 0, 0.0
+        if len(scores) > k:
+            least = float(np.partition(scores, len(scores) - k)[len(scores) - k])
         while done < len(at) and left[done] >= least - slack:
             # Take terms that carry half of what is left.
             stop = max(done + 1, int(np.searchsorted(-left, -left[done] / 2)))
             stop = min(stop, len(at))
-            lengths = self.starts[at[done:stop] + 1] - self.starts[at[done:stop]]
+            # Few postings cost less than the bounds that could spare them.
+            if few[done]:
+                stop = len(at)
+            lengths = held[done:stop]
             ends = np.cumsum(lengths)
             index = np.arange(int(ends[-1])) + np.repeat(
                 self.starts[at[done:stop]] - (ends - lengths), lengths)
@@ -248,8 +282,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_column: str = "
                 for row in batch.to_pylist():
                     shard = Shard(row, mean)
                     out: dict[str, list] = {"query_id": [], "doc_id": [], "score": []}
-                    for query, terms, weights in shared.value:
-                        places, scores = shard.search(terms, weights, k)
+                    for query, places, scores in shard.search_all(shared.value, k):
                         out["query_id"].append(np.full(len(places), query))
                         out["doc_id"].append(shard.ids[places])
                         out["score"].append(scores)

@@ -3,6 +3,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,39 @@ def test_search_of_nothing(spark):
     assert search.search(docs.limit(0), queries).count() == 0
     assert search.search(docs, queries.limit(0)).count() == 0
     assert [tuple(r)[:3] for r in search.search(docs, queries.unionAll(queries)).collect()] == [(0, 1, 0)]
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_frequent_terms_are_added_up_for_many_queries_at_once(monkeypatch, few):
+    monkeypatch.setattr(search, "FEW_POSTINGS", few)
+    texts = [f"{t} own{i} pair{i // 2} few{i // 9}" for i, t in enumerate(prose(9, 300, 40, 120))]
+    lists = list(search.term_lists(pa.array(texts)))
+    (row,) = built(texts)
+    shard = search.Shard(row, 50.0)
+    queries = [(i, t, np.linspace(0.5, 2.0, len(t))) for i, (t, _, _) in enumerate(lists) if len(t)]
+    found = list(shard.search_all(queries, 7))
+    assert 0 < len(shard.frequent) < len(shard.terms)
+    assert shard.rows.shape == (len(shard.frequent), len(texts))
+    assert [q for q, _, _ in found] == [q for q, _, _ in queries]
+    for (_, terms, weights), (_, places, scores) in zip(queries, found):
+        whole = np.zeros(len(texts))
+        for term, weight in zip(terms, weights):
+            at = shard.postings(int(np.searchsorted(shard.terms, term)))
+            whole[shard.places[at]] += shard.parts[at] * weight
+        order = sorted((-round(x, 6), i) for i, x in enumerate(whole) if x > 0)[:7]
+        assert [i for _, i in order] == places.tolist()
+        assert [-x for x, _ in order] == pytest.approx(scores.tolist(), abs=1e-6)
+
+
+def built(texts):
+    """A shard of texts, numbered in order, without Spark."""
+    lists = list(search.term_lists(pa.array(texts)))
+    terms = np.concatenate([t for t, _, _ in lists])
+    places = np.repeat(np.arange(len(lists), dtype=np.int32), [len(t) for t, _, _ in lists])
+    counts = np.concatenate([c for _, c, _ in lists])
+    order = np.argsort(terms, kind="stable")
+    names, first = np.unique(terms[order], return_index=True)
+    yield {k: v.tobytes() for k, v in {
+        "ids": np.arange(len(texts)), "lengths": np.array([n for _, _, n in lists], "<i8"), "terms": names,
+        "starts": np.append(first, len(terms)).astype("<i8"), "places": places[order],
+        "counts": counts[order].astype("<i4")}.items()}
