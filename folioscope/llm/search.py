@@ -18,8 +18,11 @@ scored in full. Queries come in blocks of bounded size, each broadcast to all sh
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,18 +44,37 @@ K1, B = 1.2, 0.75
 #: Query rows of the registered search: ids divisible by this.
 QUERY_EVERY = 20
 SHARD_DOCUMENTS = 10_000
-SHARD_WORDS = 6_000_000
+SHARD_WORDS = 4_000_000
 BLOCK_DOCUMENTS = 64
+#: Documents of a shard are alike: groups have so many at least, and are found by so many frequent terms, from so
+#: many starts in so many rounds; groups with centres of this cosine are one.
+GROUP_DOCUMENTS = 400
+GROUP_TERMS = 256
+GROUP_STARTS = 32
+GROUP_ROUNDS = 3
+GROUP_NEAR = 0.5
 #: Terms that at least this share of a shard's documents hold are whole rows, and so many queries are
-#: multiplied with these at once.
+#: multiplied with these at once, from slices of so many.
 DENSE_SHARE = 0.06
-QUERY_BATCH = 64
+QUERY_BATCH = 256
+QUERY_SLICE = 2048
+#: Other postings are added up for so many queries at once, so many of them at once, and the lengths of the rows that hold them.
+LINE_BATCH = 64
+POSTINGS = 100_000
+LENGTHS = np.unique(np.ceil(1.4 ** np.arange(50)).astype(np.int64))
 #: Terms left are added up whole, without bounds, when they have at most so many postings a document.
-FEW_POSTINGS = 4
-#: Terms of the queries in a block (20 bytes each when broadcast).
-QUERY_BLOCK_TERMS = 1_000_000
+FEW_POSTINGS = 0.05
+#: Bounds are tried for queries whose terms come to less than so many times the least score.
+BOUNDS_PAY = 2.5
+#: Terms of the queries in a block (20 bytes each at most when broadcast).
+QUERY_BLOCK_TERMS = 3_000_000
+#: Of so many shards first one is searched, then those up to each of the other numbers; what is found so far is the least that
+#: later documents must reach.
+ROUNDS_OF = 64
+ROUNDS = (1, 8, 64)
 #: Scores are rounded to so many decimals before they are ordered; equal ones go by id.
 DECIMALS = 6
+SLACK = 2 * 10.0**-DECIMALS
 
 _LOW = lower_table()
 _MEMBER = member_table(WORD_BYTES)
@@ -69,28 +91,86 @@ def term_lists(column: pa.Array):
         yield terms, counts, b - a
 
 
+def run_starts(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    if not len(ordered):
+        return np.zeros(1, np.int64)
+    return np.append(np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))), len(ordered)).astype("<i8")
+
+
+def alike(places: np.ndarray, starts: np.ndarray, documents: int) -> np.ndarray:
+    """A group number for each document, from the places of each term: documents of a group share frequent
+    terms, as those of one language do.
+
+    Some rounds of k-means over the frequent terms, from documents at even distances; groups with a centre
+    near a larger one's join that, small ones the nearest. Groups bear on speed alone.
+    """
+    none = np.zeros(documents, np.int64)
+    if documents < 2 * GROUP_DOCUMENTS or len(starts) < 2:
+        return none
+    held = np.diff(starts)
+    frequent = np.argsort(-held, kind="stable")[:GROUP_TERMS]
+    has = np.zeros((documents, len(frequent)), np.float32)
+    for column, term in enumerate(frequent.tolist()):
+        has[places[starts[term] : starts[term + 1]], column] = math.sqrt(math.log(1 + documents / held[term]))
+
+    def unit(rows):
+        return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), np.float32(1e-9))
+
+    def middles(of, groups):
+        return unit((of == groups[:, None]).astype(np.float32) @ has)
+
+    has = unit(has)
+    groups = np.arange(GROUP_STARTS)
+    centres = has[np.linspace(0, documents - 1, GROUP_STARTS).astype(np.int64)]
+    for _ in range(GROUP_ROUNDS):
+        of = np.argmax(has @ centres.T, axis=1)
+        centres = middles(of, groups)
+    near = centres @ centres.T
+    leaders: list[int] = []
+    join = groups.copy()
+    for group in np.argsort(-np.bincount(of, minlength=len(groups)), kind="stable").tolist():
+        if leaders and near[group, leaders].max() >= GROUP_NEAR:
+            join[group] = leaders[int(near[group, leaders].argmax())]
+        else:
+            leaders.append(group)
+    of = join[of]
+    groups = np.flatnonzero(np.bincount(of) >= GROUP_DOCUMENTS)
+    if len(groups) < 2:
+        return none
+    small = ~np.isin(of, groups)
+    of[small] = groups[np.argmax(has[small] @ middles(of, groups).T, axis=1)]
+    return of
+
+
+def shard_arrays(ids: list, lengths: list, terms: list, counts: list) -> dict[str, bytes]:
+    """A shard of documents with their ids, numbers of words, terms and counts of these; see ``build_shards``."""
+    places = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
+    all_terms, tf = np.concatenate(terms), np.concatenate(counts)
+    order = np.argsort(all_terms, kind="stable")
+    all_terms, places = all_terms[order], places[order]
+    starts = run_starts(all_terms)
+    group = alike(places, starts, len(ids))
+    together = np.argsort(group, kind="stable")
+    number = np.empty(len(ids), np.int32)
+    number[together] = np.arange(len(ids), dtype=np.int32)
+    arrays = {
+        "ids": np.array(ids, "<i8")[together], "lengths": np.array(lengths, "<i8")[together],
+        "groups": np.unique(group, return_counts=True)[1].astype("<i8"), "terms": all_terms[starts[:-1]],
+        "starts": starts, "places": number[places], "counts": tf[order].astype("<i4")}
+    return {name: values.tobytes() for name, values in arrays.items()}
+
+
 def build_shards(docs: DataFrame) -> DataFrame:
-    """Shards of consecutive rows as arrays in bytes: ``ids``, ``lengths``, ``terms`` in order,
-    ``starts`` of their postings, ``places`` (document numbers, ascending per term) and ``counts``."""
+    """Shards of consecutive rows as arrays in bytes: ``ids``, ``lengths``, the sizes of ``groups`` of documents
+    that are alike and stand together, ``terms`` in order, ``starts`` of their postings, ``places`` (document
+    numbers) and ``counts``."""
+
+    def batch(arrays):
+        return pa.RecordBatch.from_pydict({k: pa.array([v], pa.binary()) for k, v in arrays.items()})
 
     def run(batches):
         ids, lengths, terms, counts = [], [], [], []
-
-        def shard():
-            sizes = [len(t) for t in terms]
-            all_terms = np.concatenate(terms) if terms else np.empty(0, np.uint64)
-            places = np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
-            order = np.argsort(all_terms, kind="stable")
-            ordered = all_terms[order]
-            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else order
-            tf = np.concatenate(counts) if counts else np.empty(0, np.int64)
-            parts = {
-                "ids": np.array(ids, "<i8"), "lengths": np.array(lengths, "<i8"),
-                "terms": ordered[first], "starts": np.append(first, len(ordered)).astype("<i8"),
-                "places": places[order], "counts": tf[order].astype("<i4")}
-            return pa.RecordBatch.from_pydict(
-                {k: pa.array([v.tobytes()], pa.binary()) for k, v in parts.items()})
-
         words = 0
         for part in chunks(batches, "text"):
             for doc, (t, c, n) in zip(part.column(0).to_pylist(), term_lists(part.column(1))):
@@ -100,12 +180,12 @@ def build_shards(docs: DataFrame) -> DataFrame:
                 counts.append(c)
                 words += len(t)
                 if len(ids) >= SHARD_DOCUMENTS or words >= SHARD_WORDS:
-                    yield shard()
+                    yield batch(shard_arrays(ids, lengths, terms, counts))
                     ids, lengths, terms, counts, words = [], [], [], [], 0
         if ids:
-            yield shard()
+            yield batch(shard_arrays(ids, lengths, terms, counts))
 
-    schema = ", ".join(f"{c} binary" for c in ("ids", "lengths", "terms", "starts", "places", "counts"))
+    schema = ", ".join(f"{c} binary" for c in ("ids", "lengths", "groups", "terms", "starts", "places", "counts"))
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -157,6 +237,21 @@ def weighted_queries(queries: DataFrame, frequencies: DataFrame, documents: int)
         "query_id", F.col("_t.term").alias("terms"), F.col("_t.weight").alias("weights"))
 
 
+class Queries:
+    """Queries as arrays: ``ids``, ``starts`` of each one's entries, and for each entry the number (``codes``) of its
+    term and weight among ``terms``, in order, and ``weights``."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        self.ids = np.asarray(ids, np.int64)
+        self.starts = np.append(0, np.cumsum(sizes)).astype(np.int64)
+        order = np.lexsort((weights, terms))
+        terms, weights = terms[order], weights[order]
+        new = np.append(True, (terms[1:] != terms[:-1]) | (weights[1:] != weights[:-1]))[: len(terms)]
+        self.terms, self.weights = terms[new], weights[new]
+        self.codes = np.empty(len(terms), np.int32)
+        self.codes[order] = np.cumsum(new) - 1
+
+
 class Shard:
     """A shard's arrays and bounds, ready for queries."""
 
@@ -166,91 +261,222 @@ class Shard:
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.starts = np.frombuffer(row["starts"], "<i8")
         self.places = np.frombuffer(row["places"], np.int32)
+        self.norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
         counts = np.frombuffer(row["counts"], "<i4").astype(float)
-        norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
-        self.parts = counts * (K1 + 1) / (counts + norm[self.places])
+        self.parts = self.norm[self.places]
+        self.parts += counts
+        counts *= K1 + 1
+        np.divide(counts, self.parts, out=self.parts)
+        del counts
         self.most = np.maximum.reduceat(self.parts, self.starts[:-1]) if len(self.terms) else self.parts
-        self.blocks = -(-len(self.ids) // BLOCK_DOCUMENTS)
-        self.block_most: dict[int, np.ndarray] = {}
-        self.frequent = np.flatnonzero(np.diff(self.starts) >= max(1, DENSE_SHARE * len(self.ids)))
-        self.rows = np.zeros((len(self.frequent), len(self.ids)))
-        for row, term in enumerate(self.frequent.tolist()):
-            at = self.postings(term)
-            self.rows[row, self.places[at]] = self.parts[at]
+        # The postings once more, by document: a document's terms and counts.
+        term_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
+        order = np.argsort(
+            self.places.astype(np.uint16) if len(self.ids) <= 1 << 16 else self.places, kind="stable")
+        self.document_terms = term_of[order]
+        self.document_counts = np.frombuffer(row["counts"], "<i4")[order]
+        del order
+        self.first = np.append(0, np.cumsum(np.bincount(self.places, minlength=len(self.ids))))
+        self._groups(np.frombuffer(row["groups"], "<i8") if "groups" in row else np.array([len(self.ids)]), term_of)
+        self.weight = np.zeros(len(self.terms))
+        self.place_buffer, self.key_buffer, self.part_buffer = (
+            np.empty(POSTINGS, t) for t in (np.int32, np.int64, np.float32))
+
+    def _groups(self, sizes: np.ndarray, term_of: np.ndarray) -> None:
+        """Rows of the terms that are frequent in a group, lines of the other postings, bounds."""
+        self.edges = np.append(0, np.cumsum(sizes))
+        group = np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes)[self.places]
+        both = term_of * np.int32(len(sizes))
+        both += group
+        dense = np.bincount(both, minlength=len(self.terms) * len(sizes)).reshape(-1, len(sizes)) >= np.maximum(
+            1, DENSE_SHARE * sizes)
+        whole = dense.reshape(-1)[both]
+        #: For each group its frequent terms, the row of each term or -1, and the rows.
+        self.groups = []
+        for each, (start, size) in enumerate(zip(self.edges.tolist(), sizes.tolist())):
+            frequent = np.flatnonzero(dense[:, each])
+            row_of = np.full(len(self.terms), -1, np.int32)
+            row_of[frequent] = np.arange(len(frequent))
+            rows = np.zeros((len(frequent), size), np.float32)
+            at = np.flatnonzero(whole & (group == each))
+            rows[row_of[term_of[at]], self.places[at] - start] = self.parts[at]
+            self.groups.append((frequent, row_of, rows))
+        self.frequent, _, self.rows = self.groups[0]
+        # Blocks of documents, none across groups; the greatest part of a term's other postings by group.
+        starts = [np.arange(a, b, BLOCK_DOCUMENTS) for a, b in zip(self.edges[:-1], self.edges[1:])]
+        self.block_starts = np.concatenate(starts)
+        self.block_edges = np.append(0, np.cumsum([len(x) for x in starts]))
+        rest = np.flatnonzero(~whole)
+        most = np.zeros(len(self.terms) * len(sizes), np.float32)
+        np.maximum.at(most, both[rest], self.parts[rest].astype(np.float32))
+        self.rest_most = np.ascontiguousarray(most.reshape(-1, len(sizes)).T)
+        self._lines(rest, term_of[rest])
+
+    def _lines(self, postings: np.ndarray, terms: np.ndarray) -> None:
+        """Postings that are in no row, terms with about as many together, filled up to lines of one length."""
+        self.rest_held = held = np.bincount(terms, minlength=len(self.terms))
+        starts = np.cumsum(held) - held
+        self.kind = np.where(held > 0, np.searchsorted(LENGTHS, held, side="left"), -1).astype(np.int8)
+        self.line = np.zeros(len(self.terms), np.int32)
+        #: By kind, places and parts of the lines.
+        self.lines = {}
+        for kind in np.unique(self.kind[held > 0]).tolist():
+            some = np.flatnonzero(self.kind == kind)
+            self.line[some] = np.arange(len(some))
+            inside = np.arange(int(held[some].max())) < held[some][:, None]
+            at = postings[np.where(inside, starts[some][:, None] + np.arange(inside.shape[1]), starts[some][:, None])]
+            self.lines[kind] = self.places[at], (self.parts[at] * inside).astype(np.float32)
 
     def postings(self, term: int) -> slice:
         return slice(self.starts[term], self.starts[term + 1])
 
-    def block_maxima(self, term: int) -> np.ndarray:
-        """The term's greatest part in each block of documents."""
-        found = self.block_most.get(term)
-        if found is None:
-            found = np.zeros(self.blocks, np.float32)
-            at = self.postings(term)
-            np.maximum.at(found, self.places[at] // BLOCK_DOCUMENTS, self.parts[at].astype(np.float32))
-            self.block_most[term] = found = np.nextafter(found, np.float32(np.inf))
-        return found
-
     def search_all(self, queries: list, k: int):
-        """For each ``(query, terms, weights)`` the query and its ``search``."""
-        for start in range(0, len(queries) if len(self.terms) else 0, QUERY_BATCH):
-            some = queries[start : start + QUERY_BATCH]
-            factors, rest = np.zeros((len(some), len(self.frequent))), []
-            for i, (_, terms, weights) in enumerate(some):
-                at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-                here = self.terms[at] == terms
-                at, weights = at[here], weights[here]
-                row = np.searchsorted(self.frequent, at)
-                many = np.append(self.frequent, -1)[row] == at
-                factors[i, row[many]] = weights[many]
-                rest.append((at[~many], weights[~many]))
-            for (query, _, _), (at, weights), scores in zip(some, rest, factors @ self.rows):
-                yield query, *self.search(at, weights, scores, k)
-
-    def search(self, at: np.ndarray, weights: np.ndarray, scores: np.ndarray, k: int):
-        """The shard's best ``k`` documents as numbers and scores; the terms numbered ``at`` are still to
-        be added to ``scores``."""
-        bounds = weights * self.most[at]
-        order = np.argsort(-bounds, kind="stable")
-        at, weights, bounds = at[order], weights[order], bounds[order]
-        left = np.concatenate((np.cumsum(bounds[::-1])[::-1], [0.0]))
-        slack = 10.0 ** -DECIMALS * 2
-        held = self.starts[at + 1] - self.starts[at]
-        few = np.cumsum(held[::-1])[::-1] <= FEW_POSTINGS * len(scores)
-        done, least = 0, 0.0
-        if len(scores) > k:
-            least = float(np.partition(scores, len(scores) - k)[len(scores) - k])
-        while done < len(at) and left[done] >= least - slack:
-            # Take terms that carry half of what is left.
-            stop = max(done + 1, int(np.searchsorted(-left, -left[done] / 2)))
-            stop = min(stop, len(at))
-            # Few postings cost less than the bounds that could spare them.
-            if few[done]:
-                stop = len(at)
-            lengths = held[done:stop]
-            ends = np.cumsum(lengths)
-            index = np.arange(int(ends[-1])) + np.repeat(
-                self.starts[at[done:stop]] - (ends - lengths), lengths)
-            scores += np.bincount(
-                self.places[index], self.parts[index] * np.repeat(weights[done:stop], lengths),
-                minlength=len(scores))
-            done = stop
-            if len(scores) > k:
-                least = float(np.partition(scores, len(scores) - k)[len(scores) - k])
-        seen = np.flatnonzero((scores > 0) & (scores + left[done] >= least - slack))
-        if done < len(at) and len(seen):
-            rest = np.zeros(self.blocks)
-            for term, weight in zip(at[done:].tolist(), weights[done:].tolist()):
-                rest += self.block_maxima(term) * weight
-            seen = seen[scores[seen] + rest[seen // BLOCK_DOCUMENTS] >= least - slack]
-            for term, weight in zip(at[done:].tolist(), weights[done:].tolist()):
-                places = self.places[self.postings(term)]
-                found = np.minimum(np.searchsorted(places, seen), len(places) - 1)
-                hit = places[found] == seen
-                scores[seen[hit]] += self.parts[self.starts[term] + found[hit]] * weight
-        rounded = np.round(scores[seen], DECIMALS)
-        best = np.lexsort((self.ids[seen], -rounded))[:k]
-        return seen[best], rounded[best]
+        """For each ``(query, terms, weights)`` the query and its best ``k`` documents as numbers and scores."""
+        if not len(self.terms) or not queries:
+            return
+        asked = Queries(
+            [q for q, _, _ in queries], [len(t) for _, t, _ in queries],
+            np.concatenate([t for _, t, _ in queries]), np.concatenate([w for _, _, w in queries]))
+        found = {i: (places, scores) for i, places, scores in self.search(asked, k, np.zeros(len(asked.ids)))}
+        none = np.empty(0, np.int64), np.empty(0)
+        for i, (query, _, _) in enumerate(queries):
+            yield query, *found.get(i, none)
+
+    def search(self, asked: Queries, k: int, least: np.ndarray):
+        """For queries that have such, their number, and of the shard's best ``k`` documents with a score of
+        ``least`` or more their numbers and scores."""
+        if not len(self.terms) or not len(asked.codes):
+            return
+        at = np.minimum(np.searchsorted(self.terms, asked.terms), len(self.terms) - 1)
+        number = np.where(self.terms[at] == asked.terms, at, -1).astype(np.int32)
+        for start in range(0, len(asked.ids), QUERY_SLICE):
+            yield from self._search(asked, start, min(start + QUERY_SLICE, len(asked.ids)), number, k, least)
+
+    def _search(self, asked: Queries, start: int, stop: int, number: np.ndarray, k: int, least: np.ndarray):
+        """``search`` for the queries from ``start`` to ``stop``, with the ``number`` here of each term."""
+        codes = asked.codes[asked.starts[start] : asked.starts[stop]]
+        terms = number[codes]
+        here = np.flatnonzero(terms >= 0)
+        terms, weights = terms[here], asked.weights[codes[here]]
+        starts = np.searchsorted(here, asked.starts[start : stop + 1] - asked.starts[start])
+        least = least[start:stop]
+        sizes = np.diff(starts)
+        query = np.repeat(np.arange(len(sizes)), sizes)
+        # Queries that could not reach the least score with all their terms leave.
+        bounds = np.bincount(query, weights * self.most[terms], len(sizes))
+        alive = np.flatnonzero((sizes > 0) & (bounds >= least - SLACK))
+        # Queries with frequent terms of the same group meet, so that a product has few rows without use.
+        many = np.stack([np.bincount(query[row_of[terms] >= 0], minlength=len(sizes)) for _, row_of, _ in self.groups])
+        alive = alive[np.lexsort((-many.max(axis=0)[alive], many.argmax(axis=0)[alive]))]
+        for at in range(0, len(alive), QUERY_BATCH):
+            batch = alive[at : at + QUERY_BATCH]
+            # Single precision errs by less than this share.
+            share = (sizes[batch] + 8) * 2.0**-23
+            floor = np.maximum((least[batch] - SLACK) * (1 - share), 1e-30).astype(np.float32)
+            near = bounds[batch] < BOUNDS_PAY * least[batch]
+            scores = self.scores(batch, starts, terms, weights, floor, near)
+            reached = scores >= floor[:, None]
+            for i in np.flatnonzero(reached.any(axis=1)).tolist():
+                seen = np.flatnonzero(reached[i])
+                if len(seen) > k:
+                    rough = scores[i, seen]
+                    kth = float(np.partition(rough, len(seen) - k)[len(seen) - k])
+                    seen = seen[rough >= (kth - SLACK) * (1 - 2 * share[i])]
+                own = slice(starts[batch[i]], starts[batch[i] + 1])
+                rounded = np.round(self.exact(terms[own], weights[own], seen), DECIMALS)
+                best = np.lexsort((self.ids[seen], -rounded))[:k]
+                yield start + int(batch[i]), seen[best], rounded[best]
+
+    def scores(self, batch, starts, terms, weights, floor, near) -> np.ndarray:
+        """Scores of all documents for a batch of queries, in single precision; where ``near`` and a query cannot
+        reach its ``floor`` here, the scores by frequent terms."""
+        sizes = starts[batch + 1] - starts[batch]
+        ends = np.cumsum(sizes)
+        entries = np.arange(int(ends[-1])) + np.repeat(starts[batch] - (ends - sizes), sizes)
+        query = np.repeat(np.arange(len(batch)), sizes)
+        terms, weights = terms[entries], weights[entries].astype(np.float32)
+        out = np.empty((len(batch), len(self.ids)), np.float32)
+        for (_, row_of, rows), start, end in zip(self.groups, self.edges[:-1], self.edges[1:]):
+            row = row_of[terms]
+            dense = row >= 0
+            used = np.bincount(row[dense], minlength=len(rows)) > 0
+            used |= used.mean() > 0.75 if len(used) else False
+            factors = np.zeros((len(batch), int(used.sum())), np.float32)
+            factors[query[dense], (np.cumsum(used) - 1)[row[dense]]] = weights[dense]
+            out[:, start:end] = factors @ (rows if used.all() else rows[used])
+        kinds = self.kind[terms]
+        some = np.flatnonzero(near)
+        if len(some):
+            # The greatest score so far in a block, and the block maxima of the terms left.
+            bounds = np.maximum.reduceat(out[some], self.block_starts, axis=1)
+            entries = np.flatnonzero(near[query])
+            asked, left = (np.cumsum(near) - 1)[query[entries]], terms[entries]
+            for each, (start, end) in enumerate(zip(self.block_edges[:-1], self.block_edges[1:])):
+                rest = np.bincount(asked, weights[entries] * self.rest_most[each][left], len(some))
+                bounds[:, start:end] += rest[:, None].astype(np.float32)
+            few = np.bincount(asked, self.rest_held[left], len(some)) <= FEW_POSTINGS * len(self.ids)
+            done = ~few & (bounds.max(axis=1) * np.float32(1 + 2.0**-12) < floor[some])
+            kinds[entries[done[asked]]] = -1
+        flat, offset = out.reshape(-1), query * len(self.ids)
+        for start in range(0, len(batch), LINE_BATCH):
+            a, b = ends[start] - sizes[start], ends[min(start + LINE_BATCH, len(batch)) - 1]
+            order = a + np.argsort(kinds[a:b], kind="stable")
+            bounds = np.searchsorted(kinds[order], np.arange(len(LENGTHS) + 1)).tolist()
+            for kind, (places, parts) in self.lines.items():
+                length = places.shape[1]
+                step = max(1, POSTINGS // length)
+                for at in range(bounds[kind], bounds[kind + 1], step):
+                    some = order[at : min(at + step, bounds[kind + 1])]
+                    line = self.line[terms[some]]
+                    n = len(some) * length
+                    if n > len(self.part_buffer):
+                        self.place_buffer, self.key_buffer, self.part_buffer = (
+                            np.empty(n, t) for t in (np.int32, np.int64, np.float32))
+                    place, key, part = (
+                        x[:n].reshape(-1, length) for x in (self.place_buffer, self.key_buffer, self.part_buffer))
+                    places.take(line, axis=0, out=place, mode="clip")
+                    np.add(place, offset[some][:, None], out=key)
+                    parts.take(line, axis=0, out=part, mode="clip")
+                    part *= weights[some][:, None]
+                    np.add.at(flat, key.reshape(-1), part.reshape(-1))
+        return out
+
+    def exact(self, terms: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Scores of the documents ``places``, in double precision."""
+        self.weight[terms] = weights
+        out = np.empty(len(places))
+        for i, place in enumerate(places.tolist()):
+            own = slice(self.first[place], self.first[place + 1])
+            counts = self.document_counts[own]
+            out[i] = (counts * (K1 + 1) / (counts + self.norm[place])) @ self.weight[self.document_terms[own]]
+        self.weight[terms] = 0
+        return out
+
+
+def matches(shards: DataFrame, asked: Queries, least: np.ndarray, mean: float, k: int) -> DataFrame:
+    """``(query_id, doc_id, score)``: of each shard the best ``k`` documents of every query, without those that
+    miss the query's ``least`` score."""
+    shared = shards.sparkSession.sparkContext.broadcast((asked, least))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, least = shared.value
+                shard = Shard({name: batch.column(name)[i].as_buffer() for name in batch.schema.names}, mean)
+                ids, docs, scores = [], [], []
+                for query, places, found in shard.search(asked, k, least):
+                    ids.append(np.full(len(places), asked.ids[query]))
+                    docs.append(shard.ids[places])
+                    scores.append(found)
+                yield pa.RecordBatch.from_pydict(
+                    {name: np.concatenate(v) if v else [] for name, v in (
+                        ("query_id", ids), ("doc_id", docs), ("score", scores))},
+                    schema=pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]))
+
+    found = materialized(
+        shards.mapInArrow(run, "query_id bigint, doc_id bigint, score double"), "search-lists")
+    shared.unpersist()
+    return found
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,30 +496,27 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_column: str = "
         weighted_queries(asked, document_frequencies(shards), documents), "search-queries")
     size = weighted.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(1, -(-size // QUERY_BLOCK_TERMS))
+    turn = F.pmod(F.xxhash64("ids"), F.lit(ROUNDS_OF))
+    early = materialized(shards.filter(turn < ROUNDS[-2]), "search-early")
+    rounds = [
+        (early if stop < ROUNDS_OF else shards).filter((turn >= start) & (turn < stop))
+        for start, stop in zip((0, *ROUNDS), ROUNDS)]
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     lists = None
     for block in range(blocks):
-        part = weighted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
-        shared = spark.sparkContext.broadcast([
-            (q, np.array(t.values, np.int64).view(np.uint64), np.array(w.values, float))
-            for q, t, w in zip(part["query_id"].to_pylist(), part["terms"], part["weights"])])
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard(row, mean)
-                    out: dict[str, list] = {"query_id": [], "doc_id": [], "score": []}
-                    for query, places, scores in shard.search_all(shared.value, k):
-                        out["query_id"].append(np.full(len(places), query))
-                        out["doc_id"].append(shard.ids[places])
-                        out["score"].append(scores)
-                    yield pa.RecordBatch.from_pydict(
-                        {name: np.concatenate(v) if v else [] for name, v in out.items()},
-                        schema=pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]))
-
-        found = materialized(
-            shards.mapInArrow(run, "query_id bigint, doc_id bigint, score double"), "search-lists")
+        part = weighted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        asked = Queries(
+            part["query_id"].to_numpy(), pc.list_value_length(part["terms"]).to_numpy(),
+            pc.list_flatten(part["terms"]).to_numpy().view(np.uint64), pc.list_flatten(part["weights"]).to_numpy())
+        least, found = np.zeros(len(asked.ids)), None
+        for some in rounds:
+            if found is not None:
+                kth = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).toArrow()
+                known = dict(zip(kth["query_id"].to_pylist(), kth["score"].to_pylist()))
+                least = np.array([known.get(q, 0.0) for q in asked.ids.tolist()])
+            more = matches(some, asked, least, mean, k)
+            found = more if found is None else found.unionByName(more)
         lists = found if lists is None else lists.unionByName(found)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return lists.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "doc_id", "score")
 

@@ -134,6 +134,53 @@ def test_frequent_terms_are_added_up_for_many_queries_at_once(monkeypatch, few):
         assert [-x for x, _ in order] == pytest.approx(scores.tolist(), abs=1e-6)
 
 
+def two_tongues(count):
+    """Texts of two vocabularies in turn, with a few words of both."""
+    return [" ".join(f"{'xy'[i % 2]}{w}" for w in t.split()) + f" both{i % 7} own{i // 4}"
+            for i, t in enumerate(prose(11, count, 120, 60))]
+
+
+def test_alike_documents_stand_together(monkeypatch):
+    monkeypatch.setattr(search, "GROUP_DOCUMENTS", 20)
+    texts = two_tongues(120)
+    row = arrays(texts)
+    assert np.frombuffer(row["groups"], "<i8").tolist() == [60, 60]
+    ids = np.frombuffer(row["ids"], "<i8")
+    assert len(set(ids[:60] % 2)) == 1 and sorted(ids) == list(range(120))
+    shard = search.Shard(row, 50.0)
+    # Rows of frequent terms span the documents of their own group alone.
+    assert [rows.shape[1] for _, _, rows in shard.groups] == [60, 60]
+    ours, theirs = (set(frequent.tolist()) for frequent, _, _ in shard.groups)
+    assert len(ours & theirs) <= 7 < min(len(ours), len(theirs))
+
+
+@pytest.mark.parametrize("pay", [0, 1e9])
+def test_documents_below_the_least_score_leave(monkeypatch, pay):
+    monkeypatch.setattr(search, "GROUP_DOCUMENTS", 20)
+    monkeypatch.setattr(search, "BOUNDS_PAY", pay)
+    monkeypatch.setattr(search, "FEW_POSTINGS", 0)
+    texts = two_tongues(120) + ["x own3", "foreign words alone", ""]
+    row = arrays(texts)
+    shard = search.Shard(row, 50.0)
+    lists = [(i, t, np.full(len(t), 1.5)) for i, (t, _, _) in enumerate(search.term_lists(pa.array(texts))) if len(t)]
+    whole = {q: list(zip(shard.ids[places].tolist(), scores.tolist())) for q, places, scores in shard.search_all(lists, 8)}
+    asked = search.Queries([q for q, _, _ in lists], [len(t) for _, t, _ in lists],
+                           np.concatenate([t for _, t, _ in lists]), np.concatenate([w for _, _, w in lists]))
+    least = np.array([whole[q][min(2, len(whole[q]) - 1)][1] + (q % 3 == 0) for q in asked.ids.tolist()])
+    found = {int(asked.ids[i]): list(zip(shard.ids[places].tolist(), scores.tolist()))
+             for i, places, scores in shard.search(asked, 8, least)}
+    for q, low in zip(asked.ids.tolist(), least):
+        assert [hit for hit in found.get(q, []) if hit[1] >= low] == [hit for hit in whole[q] if hit[1] >= low]
+        assert all(score >= low - 1e-3 for _, score in found.get(q, []))
+
+
+def arrays(texts):
+    """A shard of texts, numbered in order, as it is built for the search."""
+    lists = list(search.term_lists(pa.array(texts)))
+    return search.shard_arrays(
+        list(range(len(texts))), [n for _, _, n in lists], [t for t, _, _ in lists], [c for _, c, _ in lists])
+
+
 def built(texts):
     """A shard of texts, numbered in order, without Spark."""
     lists = list(search.term_lists(pa.array(texts)))
