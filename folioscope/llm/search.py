@@ -5,15 +5,16 @@ of BM25), each term's greatest part in the shard and in every block of documents
 depends on the whole corpus, inverse document frequencies and the mean length, travels with the
 queries, so shards agree on scores and their lists merge exactly.
 
-Terms that many documents of a shard hold carry most of the postings that queries meet, and bounds prune
-few of them. Their parts are kept as whole rows, too, and added up first, for some queries at once, as
-a matrix product.
-
-A query goes through its other terms from the greatest bound down and adds up postings. As soon as the
-terms left could not lift an unseen document over the kth best partial score, no new document is
-admitted; documents seen so far stay only while their partial score and the block maxima of the
-terms left reach that threshold (WAND's pivot test, a block of documents at a time). Survivors are
-scored in full. Queries come in blocks of bounded size, each broadcast to all shards.
+Documents of a shard that share frequent terms, as those of one language do, stand together as a group. Terms
+that many documents of a group hold carry most of the postings that queries meet, and bounds prune few of
+them. Their parts are kept as whole rows and added up for some queries at once as a matrix product. Other
+postings are added up in lines of about one length.
+
+A few shards are searched first. The kth best score found there is the least that the documents of the
+other shards must reach: queries that cannot with all their terms leave a shard, and so do those whose
+sums so far and block maxima of the terms left stay below it. Sums are in single precision; documents that
+reach the least score, its error taken off, are scored again in double precision. Queries come in blocks of
+bounded size, each broadcast to all shards.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +69,9 @@ FEW_POSTINGS = 0.05
 #: Bounds are tried for queries whose terms come to less than so many times the least score.
 BOUNDS_PAY = 2.5
 #: Terms of the queries in a block (20 bytes each at most when broadcast).
-QUERY_BLOCK_TERMS = 3_000_000
-#: Of so many shards first one is searched, then those up to each of the other numbers; what is found so far is the least that
-#: later documents must reach.
-ROUNDS_OF = 64
-ROUNDS = (1, 8, 64)
+QUERY_BLOCK_TERMS = 2_000_000
+#: One of so many shards is searched first; what it finds is the least that the others' documents must reach.
+FIRST_OF = 8
 #: Scores are rounded to so many decimals before they are ordered; equal ones go by id.
 DECIMALS = 6
 SLACK = 2 * 10.0**-DECIMALS
@@ -143,6 +143,15 @@ def alike(places: np.ndarray, starts: np.ndarray, documents: int) -> np.ndarray:
     return of
 
 
+def narrow(numbers: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in two bytes each where they fit, else in four; ``wide`` reads them."""
+    return numbers.astype("<u2" if not len(numbers) or numbers.max() < 1 << 16 else "<i4")
+
+
+def wide(raw, count: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) < 4 * count else "<i4")
+
+
 def shard_arrays(ids: list, lengths: list, terms: list, counts: list) -> dict[str, bytes]:
     """A shard of documents with their ids, numbers of words, terms and counts of these; see ``build_shards``."""
     places = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
@@ -157,7 +166,7 @@ def shard_arrays(ids: list, lengths: list, terms: list, counts: list) -> dict[st
     arrays = {
         "ids": np.array(ids, "<i8")[together], "lengths": np.array(lengths, "<i8")[together],
         "groups": np.unique(group, return_counts=True)[1].astype("<i8"), "terms": all_terms[starts[:-1]],
-        "starts": starts, "places": number[places], "counts": tf[order].astype("<i4")}
+        "starts": starts, "places": narrow(number[places]), "counts": narrow(tf[order])}
     return {name: values.tobytes() for name, values in arrays.items()}
 
 
@@ -177,7 +186,7 @@ def build_shards(docs: DataFrame) -> DataFrame:
                 ids.append(doc)
                 lengths.append(n)
                 terms.append(t)
-                counts.append(c)
+                counts.append(c.astype("<i4"))
                 words += len(t)
                 if len(ids) >= SHARD_DOCUMENTS or words >= SHARD_WORDS:
                     yield batch(shard_arrays(ids, lengths, terms, counts))
@@ -260,9 +269,10 @@ class Shard:
         lengths = np.frombuffer(row["lengths"], "<i8")
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.starts = np.frombuffer(row["starts"], "<i8")
-        self.places = np.frombuffer(row["places"], np.int32)
+        self.places = wide(row["places"], int(self.starts[-1]))
         self.norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
-        counts = np.frombuffer(row["counts"], "<i4").astype(float)
+        held = wide(row["counts"], int(self.starts[-1]))
+        counts = held.astype(float)
         self.parts = self.norm[self.places]
         self.parts += counts
         counts *= K1 + 1
@@ -271,10 +281,9 @@ class Shard:
         self.most = np.maximum.reduceat(self.parts, self.starts[:-1]) if len(self.terms) else self.parts
         # The postings once more, by document: a document's terms and counts.
         term_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
-        order = np.argsort(
-            self.places.astype(np.uint16) if len(self.ids) <= 1 << 16 else self.places, kind="stable")
+        order = np.argsort(self.places, kind="stable")
         self.document_terms = term_of[order]
-        self.document_counts = np.frombuffer(row["counts"], "<i4")[order]
+        self.document_counts = held[order]
         del order
         self.first = np.append(0, np.cumsum(np.bincount(self.places, minlength=len(self.ids))))
         self._groups(np.frombuffer(row["groups"], "<i8") if "groups" in row else np.array([len(self.ids)]), term_of)
@@ -325,7 +334,7 @@ class Shard:
             self.line[some] = np.arange(len(some))
             inside = np.arange(int(held[some].max())) < held[some][:, None]
             at = postings[np.where(inside, starts[some][:, None] + np.arange(inside.shape[1]), starts[some][:, None])]
-            self.lines[kind] = self.places[at], (self.parts[at] * inside).astype(np.float32)
+            self.lines[kind] = self.places[at].astype(np.int32), (self.parts[at] * inside).astype(np.float32)
 
     def postings(self, term: int) -> slice:
         return slice(self.starts[term], self.starts[term + 1])
@@ -444,39 +453,44 @@ class Shard:
     def exact(self, terms: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Scores of the documents ``places``, in double precision."""
         self.weight[terms] = weights
-        out = np.empty(len(places))
-        for i, place in enumerate(places.tolist()):
-            own = slice(self.first[place], self.first[place + 1])
-            counts = self.document_counts[own]
-            out[i] = (counts * (K1 + 1) / (counts + self.norm[place])) @ self.weight[self.document_terms[own]]
+        sizes = self.first[places + 1] - self.first[places]
+        ends = np.cumsum(sizes)
+        own = np.arange(int(ends[-1])) + np.repeat(self.first[places] - (ends - sizes), sizes)
+        weight = self.weight[self.document_terms[own]]
         self.weight[terms] = 0
-        return out
+        hits = np.flatnonzero(weight)
+        document = np.repeat(np.arange(len(places)), sizes)[hits]
+        counts = self.document_counts[own[hits]].astype(float)
+        parts = counts * (K1 + 1) / (counts + self.norm[places][document])
+        return np.bincount(document, parts * weight[hits], len(places))
 
 
-def matches(shards: DataFrame, asked: Queries, least: np.ndarray, mean: float, k: int) -> DataFrame:
+def matches(shards: DataFrame, asked: Broadcast, least: np.ndarray, mean: float, k: int) -> DataFrame:
     """``(query_id, doc_id, score)``: of each shard the best ``k`` documents of every query, without those that
     miss the query's ``least`` score."""
-    shared = shards.sparkSession.sparkContext.broadcast((asked, least))
+    lows = shards.sparkSession.sparkContext.broadcast(least)
+
+    def found(row):
+        shard, queries = Shard(row, mean), asked.value
+        ids, docs, scores = [], [], []
+        for query, places, found in shard.search(queries, k, lows.value):
+            ids.append(np.full(len(places), queries.ids[query]))
+            docs.append(shard.ids[places])
+            scores.append(found)
+        return pa.RecordBatch.from_pydict(
+            {name: np.concatenate(v) if v else [] for name, v in (
+                ("query_id", ids), ("doc_id", docs), ("score", scores))},
+            schema=pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                asked, least = shared.value
-                shard = Shard({name: batch.column(name)[i].as_buffer() for name in batch.schema.names}, mean)
-                ids, docs, scores = [], [], []
-                for query, places, found in shard.search(asked, k, least):
-                    ids.append(np.full(len(places), asked.ids[query]))
-                    docs.append(shard.ids[places])
-                    scores.append(found)
-                yield pa.RecordBatch.from_pydict(
-                    {name: np.concatenate(v) if v else [] for name, v in (
-                        ("query_id", ids), ("doc_id", docs), ("score", scores))},
-                    schema=pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]))
-
-    found = materialized(
-        shards.mapInArrow(run, "query_id bigint, doc_id bigint, score double"), "search-lists")
-    shared.unpersist()
-    return found
+                yield found({name: batch.column(name)[i].as_buffer() for name in batch.schema.names})
+        pa.default_memory_pool().release_unused()
+
+    out = materialized(shards.mapInArrow(run, "query_id bigint, doc_id bigint, score double"), "search-lists")
+    lows.unpersist()
+    return out
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -496,11 +510,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_column: str = "
         weighted_queries(asked, document_frequencies(shards), documents), "search-queries")
     size = weighted.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(1, -(-size // QUERY_BLOCK_TERMS))
-    turn = F.pmod(F.xxhash64("ids"), F.lit(ROUNDS_OF))
-    early = materialized(shards.filter(turn < ROUNDS[-2]), "search-early")
-    rounds = [
-        (early if stop < ROUNDS_OF else shards).filter((turn >= start) & (turn < stop))
-        for start, stop in zip((0, *ROUNDS), ROUNDS)]
+    early = F.pmod(F.xxhash64("ids"), F.lit(FIRST_OF)) == 0
+    first, others = materialized(shards.filter(early), "search-first"), shards.filter(~early)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     lists = None
     for block in range(blocks):
@@ -508,14 +519,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_column: str = "
         asked = Queries(
             part["query_id"].to_numpy(), pc.list_value_length(part["terms"]).to_numpy(),
             pc.list_flatten(part["terms"]).to_numpy().view(np.uint64), pc.list_flatten(part["weights"]).to_numpy())
-        least, found = np.zeros(len(asked.ids)), None
-        for some in rounds:
-            if found is not None:
-                kth = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).toArrow()
-                known = dict(zip(kth["query_id"].to_pylist(), kth["score"].to_pylist()))
-                least = np.array([known.get(q, 0.0) for q in asked.ids.tolist()])
-            more = matches(some, asked, least, mean, k)
-            found = more if found is None else found.unionByName(more)
+        shared = spark.sparkContext.broadcast(asked)
+        found = matches(first, shared, np.zeros(len(asked.ids)), mean, k)
+        kth = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).toArrow()
+        least = dict(zip(kth["query_id"].to_pylist(), kth["score"].to_pylist()))
+        least = np.array([least.get(q, 0.0) for q in asked.ids.tolist()])
+        found = found.unionByName(matches(others, shared, least, mean, k))
+        shared.unpersist()
         lists = found if lists is None else lists.unionByName(found)
     return lists.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "doc_id", "score")
