@@ -1,7 +1,7 @@
 """Exact top-k search by BM25: an inverted index per shard with block-max dynamic pruning.
 
 A shard indexes some thousand documents: terms in order, their postings (document and frequency part
-of BM25), each term's greatest part in the shard and in every block of documents. What
+of BM25), each term's greatest part in the shard and in every group of documents. What
 depends on the whole corpus, inverse document frequencies and the mean length, travels with the
 queries, so shards agree on scores and their lists merge exactly.
 
